@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from .exact_dedup import exact_duplicates
+from .line_dedup import drop_repeated_lines
 from .shared import read_documents
 
 
@@ -12,9 +15,32 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read_documents(spark, sf_dir))
 
 
-LLM_QUERIES = {"op9_exact_dedup": op9_exact_dedup}
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = drop_repeated_lines(read_documents(spark, sf_dir), min_docs=10, min_points=1)
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+LLM_QUERIES = {
+    "op8_line_dedup": op8_line_dedup,
+    "op9_exact_dedup": op9_exact_dedup,
+}
 
 LLM_ORACLES = {
+    "op8_line_dedup": """
+        with lines as (
+            select doc_id, line, line_no,
+                   translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+            from (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as line_no
+                  from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents))
+        ), frequent as (
+            select key from lines where length(key) >= 1 group by key having count(distinct doc_id) >= 10
+        )
+        select doc_id, count(*) as n_lines, count(f.key) as n_dropped,
+               sha256(coalesce(string_agg(l.line, chr(10) order by line_no) filter (where f.key is null), '')) as kept_sha256
+        from lines l left join frequent f on l.key = f.key
+        group by doc_id
+    """,
     "op9_exact_dedup": """
         with groups as (
             select coalesce(text, '') as t, max(doc_id) as keep_id, count(*) as group_size from documents group by 1

@@ -2,27 +2,49 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
+from .best_fit_packing import pack_best_fit
 from .exact_dedup import exact_duplicates
 from .line_dedup import drop_repeated_lines
+from .pieces import piece_ids
 from .shared import read_documents
+from .token_store import tokens_of
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read_documents(spark, sf_dir))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_best_fit(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=0, size=2048)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op4_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tokens_of(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return rows.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = piece_ids(read_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    ids = F.array_join("ids", ",")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = drop_repeated_lines(read_documents(spark, sf_dir), min_docs=10, min_points=1)
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 LLM_QUERIES = {
+    "op4_elias_fano": op4_elias_fano,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_line_dedup": op8_line_dedup,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 LLM_ORACLES = {

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .best_fit_packing import pack_best_fit
 from .exact_dedup import exact_duplicates
 from .line_dedup import drop_repeated_lines
+from .ogg import stored_media
 from .pieces import piece_ids
 from .shared import read_documents
 from .token_store import tokens_of
@@ -28,6 +29,22 @@ def op4_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stored_media(read_documents(spark, sf_dir))
+    seconds = F.format_string("%.6f", F.element_at("times", -1))
+    feature = F.format_string("streams=%d pages=%d packets=%d bad_pages=%d seconds=%s", "streams", "pages", "packets", "bad_pages", seconds)
+    return rows.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        feature.alias("feature"),
+    )
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = piece_ids(read_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
     ids = F.array_join("ids", ",")
@@ -41,6 +58,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op4_elias_fano": op4_elias_fano,
+    "op6_ogg": op6_ogg,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_line_dedup": op8_line_dedup,
     "op9_exact_dedup": op9_exact_dedup,

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from .best_fit_packing import pack_best_fit
 from .exact_dedup import exact_duplicates
+from .language_id import id_remainder, predict_languages
 from .line_dedup import drop_repeated_lines
 from .ogg import stored_media
 from .pieces import piece_ids
 from .shared import read_documents
 from .token_store import tokens_of
+from .toxicity import score_toxicity
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = predict_languages(read_documents(spark, sf_dir))
+    return found.select("doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op4_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tokens_of(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return rows.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
@@ -57,6 +68,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_language_id": op2_language_id,
     "op4_elias_fano": op4_elias_fano,
     "op6_ogg": op6_ogg,
     "op7_sentencepiece": op7_sentencepiece,

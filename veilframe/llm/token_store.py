@@ -27,8 +27,8 @@ from .shared import binaries, kept_folder, text_of, texts
 from .tokenization import word_bpe
 
 MAGIC, HEAD, SAMPLE, NULL_KEY = b"VFEF", struct.Struct("<4sBBBBQQQ"), 64, -(2**63)
-#: Ids after which a shard is closed (a longer document still is one shard's), and documents per Arrow batch read back.
-SHARD_IDS, READ_BATCH = 1 << 20, 4096
+#: Ids after which a shard is closed (a longer document still is one shard's), documents encoded together, and documents per Arrow batch read back.
+SHARD_IDS, ENCODE_BATCH, READ_BATCH = 1 << 20, 256, 4096
 #: Most shards whose first positions are broadcast (20 bytes each).
 MAX_BROADCAST = 1_000_000
 
@@ -132,10 +132,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
         model = word_bpe(tokenizer)
         end = struct.pack("<I", end_id)
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            ids = [np.frombuffer(x + end, "<u4").astype("<u2" if small else "<u4").tobytes() for x in model.encode(texts(batch.column(1)))]
-            at = np.searchsorted(bounds, [NULL_KEY if k is None else k for k in keys], "left")
-            yield pa.record_batch([pa.array(at, pa.int32()), batch.column(0), binaries(ids)], ["bucket", "key", "ids"])
+            for first in range(0, batch.num_rows, ENCODE_BATCH):
+                part = batch.slice(first, ENCODE_BATCH)
+                keys = part.column(0).to_pylist()
+                ids = [np.frombuffer(x + end, "<u4").astype("<u2" if small else "<u4").tobytes() for x in model.encode(texts(part.column(1)))]
+                at = np.searchsorted(bounds, [NULL_KEY if k is None else k for k in keys], "left")
+                yield pa.record_batch([pa.array(at, pa.int32()), part.column(0), binaries(ids)], ["bucket", "key", "ids"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, part, keys, ids, size = None, 0, [], [], 0

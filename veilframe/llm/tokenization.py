@@ -9,17 +9,15 @@ from itertools import chain
 
 import numpy as np
 
-#: Chunks a worker remembers (about 200 bytes each); beyond that it forgets those of over LONG characters, which rarely recur.
-MAX_CHUNKS, LONG = 600_000, 9
+#: Chunks as written, and words in lower case, that a worker remembers (about 200 bytes each); words longer than LONG,
+#: which rarely recur, are not among them. A full table starts afresh.
+MAX_CHUNKS, MAX_WORDS, LONG = 400_000, 900_000, 11
 
 
-def forget(known: dict) -> None:
-    """Keep a worker's table of chunks bounded."""
-    if len(known) > MAX_CHUNKS:
-        for chunk in [c for c in known if len(c) > LONG]:
-            del known[chunk]
-        if len(known) > MAX_CHUNKS // 2:
-            known.clear()
+def forget(known: dict, most: int = MAX_CHUNKS) -> None:
+    """Keep a worker's table bounded."""
+    if len(known) > most:
+        known.clear()
 
 
 class WordBpe:
@@ -40,21 +38,23 @@ class WordBpe:
         self.library, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.words.normalizer = None
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        added = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join(["[\x1c-\x1f]", *added]))
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.symbols = ["\x1c", "\x1d", "\x1e", "\x1f", *added]
         end = self.library.model.end_of_word_suffix
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
         self.ends[[i for t, i in self.library.get_vocab().items() if end and t.endswith(end)]] = True
         self.known: dict[str, bytes] = {}
+        self.ids: dict[str, bytes] = {}
         self.stops = {c: self._whole(c) for c in ",."}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if self.letters.fullmatch(c)] if self.ends.any() else []
-        other = list(set(chunks).difference(plain)) if len(plain) < len(chunks) else []
-        words = list({c.rstrip(",.").lower() for c in plain})
+        split = {c: c.rstrip(",.").lower() for c in chunks if self.letters.fullmatch(c)} if self.ends.any() else {}
+        other = [c for c in chunks if c not in split]
+        forget(self.ids, MAX_WORDS)
+        words = list(set(split.values()).difference(self.ids))
         ids: dict[str, bytes] = {}
         parts = [words[i : i + 2000] for i in range(0, len(words), 2000)]
         for part, found in zip(parts, self.words.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
@@ -64,15 +64,16 @@ class WordBpe:
                 raise ValueError("the tokenizer's words don't end where they should")
             data = row.tobytes()
             ids.update((w, data[a:b]) for w, a, b in zip(part, [0, *cuts], cuts, strict=False))
-        for chunk in plain:
-            word = ids[chunk.rstrip(",.").lower()]
-            self.known[chunk] = word + self.stops[chunk[-1]] if chunk[-1] in ",." else word
+        for chunk, word in split.items():
+            own = ids.get(word) or self.ids[word]
+            self.known[chunk] = own + self.stops[chunk[-1]] if chunk[-1] in ",." else own
+        self.ids.update((w, x) for w, x in ids.items() if len(w) <= LONG)
         for chunk, found in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False) if other else (), strict=True):
             self.known[chunk] = np.array(found.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit integers."""
-        split = [None if self.whole.search(t) else t.split() for t in texts]
+        split = [None if any(x in t for x in self.symbols) else t.split() for t in texts]
         forget(self.known)
         known, new = self.known, set()
         for words in split:

@@ -73,6 +73,27 @@ def _merge(rows: pa.Table) -> pa.Table:
     return pa.table({"segment": rows["segment"][:1], "bits": binaries([bitmap.tobytes()])})
 
 
+def once_filter(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray], values: int) -> np.ndarray:
+    """A plain Bloom filter over the hashes of all of df's Arrow batches, as a bitmap of at most MAX_BITS bits."""
+    bits = filter_bits(values)
+
+    def unite(rows: pa.Table) -> pa.Table:
+        found = np.zeros(SEGMENT, bool)
+        for once in rows["once"].to_pylist():
+            found[np.frombuffer(once, "<u2")] = True
+        return pa.table({"segment": rows["segment"][:1], "bits": binaries([np.packbits(found, bitorder="little").tobytes()])})
+
+    rows = df.mapInArrow(lambda batches: _fill(batches, hashes_of, bits), "segment int, once binary, twice binary")
+    return _assembled(rows.groupBy("segment").applyInArrow(unite, "segment int, bits binary"), bits)
+
+
+def _assembled(segments: DataFrame, bits: int) -> np.ndarray:
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for row in segments.toLocalIterator():
+        bitmap[row["segment"] * SEGMENT // 8 : (row["segment"] + 1) * SEGMENT // 8] = np.frombuffer(row["bits"], np.uint8)
+    return bitmap
+
+
 def twice_filter(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray], values: int) -> np.ndarray:
     """The twice-filter over hashes_of(batch) of all of df's Arrow batches, as a bitmap of at most MAX_BITS bits.
 
@@ -80,7 +101,4 @@ def twice_filter(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray
     """
     bits = filter_bits(values)
     rows = df.mapInArrow(lambda batches: _fill(batches, hashes_of, bits), "segment int, once binary, twice binary")
-    bitmap = np.zeros(bits // 8, np.uint8)
-    for row in rows.groupBy("segment").applyInArrow(_merge, "segment int, bits binary").toLocalIterator():
-        bitmap[row["segment"] * SEGMENT // 8 : (row["segment"] + 1) * SEGMENT // 8] = np.frombuffer(row["bits"], np.uint8)
-    return bitmap
+    return _assembled(rows.groupBy("segment").applyInArrow(_merge, "segment int, bits binary"), bits)

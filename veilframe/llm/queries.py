@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .best_fit_packing import pack_best_fit
 from .exact_dedup import exact_duplicates
+from .jaccard_join import link_components
 from .language_id import id_remainder, predict_languages
 from .line_dedup import drop_repeated_lines
 from .ogg import stored_media
@@ -40,6 +41,10 @@ def op4_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_components(read_documents(spark, sf_dir))
+
+
 def op6_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stored_media(read_documents(spark, sf_dir))
     seconds = F.format_string("%.6f", F.element_at("times", -1))
@@ -71,6 +76,7 @@ LLM_QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
     "op4_elias_fano": op4_elias_fano,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_ogg": op6_ogg,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_line_dedup": op8_line_dedup,

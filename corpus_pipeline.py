@@ -1,23 +1,62 @@
-"""A corpus pipeline of five stages; see STAGES."""
+"""A corpus pipeline: documents in, packed token sequences out.
+
+Each stage works on all that its predecessor kept, and all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from veilframe.llm.best_fit_packing import pack_best_fit
 from veilframe.llm.exact_dedup import drop_exact_duplicates
+from veilframe.llm.jaccard_join import drop_near_duplicates
+from veilframe.llm.language_id import keep_identified
+from veilframe.llm.pii import mask_personal_data
 from veilframe.llm.shared import kept, read_documents
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a letter, or far from every language's profile."""
+    return keep_identified(docs)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts keep the row with the largest doc_id."""
     return drop_exact_duplicates(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a Jaccard similarity of 0.8 or more keep the one with the smallest doc_id."""
+    return drop_near_duplicates(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask personal data in the texts."""
+    return mask_personal_data(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the documents' tokens into sequences of at most 2048."""
+    packed = pack_best_fit(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=0, size=2048)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("personal_data", personal_data),
+    ("packing", packing),
+]
 
+#: SQL can't express the language profiles or the tokens; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table documents, each result stored before the next stage reads it."""
     docs = read_documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
         docs = kept(stage(spark, docs, sf_dir))

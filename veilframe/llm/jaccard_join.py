@@ -21,12 +21,13 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
@@ -168,8 +169,8 @@ def links_between(sets: list[np.ndarray], groups: list[int], queries: list[int])
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n (shingles), set_id (a hash of the set; null if empty), shingles (their hashes, sorted, u64 little-endian)."""
-    rows = docs.select("doc_id", text_of().cast("binary").alias("body"))
+    """doc_id, key (a hash of the text), n (shingles), set_id (one of the set; null if empty), shingles (their hashes, sorted, u64 little-endian)."""
+    rows = docs.select("doc_id", text_of().cast("binary").alias("body"), F.xxhash64(text_of()).alias("key"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,9 +178,9 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 part = batch.slice(at, 1000)
                 data = [shingles(x).tobytes() for x in part.column(1).to_pylist()]
                 ids = [int(np.uint64(xxhash.xxh3_64_intdigest(x)).astype(np.int64)) if x else None for x in data]
-                yield pa.record_batch([part.column(0), pa.array([len(x) // 8 for x in data], pa.int64()), pa.array(ids, pa.int64()), binaries(data)], ["doc_id", "n", "set_id", "shingles"])
+                yield pa.record_batch([part.column(0), part.column(2), pa.array([len(x) // 8 for x in data], pa.int64()), pa.array(ids, pa.int64()), binaries(data)], ["doc_id", "key", "n", "set_id", "shingles"])
 
-    return rows.mapInArrow(build, f"doc_id {rows.schema[0].dataType.simpleString()}, n long, set_id long, shingles binary")
+    return rows.mapInArrow(build, f"doc_id {rows.schema[0].dataType.simpleString()}, key long, n long, set_id long, shingles binary")
 
 
 def _grouped(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -288,12 +289,8 @@ def _searched(cells: DataFrame, total: int, between: bool) -> DataFrame:
     return cells.groupBy(F.pmod("cell", F.lit(parts)).alias("deal")).applyInArrow(lambda _, g: search(g), "a long, b long")
 
 
-def _hashed(*cols: str) -> F.Column:
-    return F.xxhash64(*cols)
-
-
 def link_components(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
+    """One row per document: doc_id, key (xxhash64 of the text), n_shingles, component_id.
 
     Two documents link when 100 * (common shingles) >= 80 * (shingles of either); component_id is the smallest doc_id
     reachable by links, its own included. A text that is null, empty or without words has no shingles and its own doc_id.
@@ -307,9 +304,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     bitmap = spark.sparkContext.broadcast(bloom.once_filter(chosen, lambda batch: u64(batch.column(0)), chosen.count()).tobytes())
 
     @F.pandas_udf("boolean")
-    def may_link(ids):  # noqa: ANN001, ANN202
-        import pandas as pd
-
+    def may_link(ids: pd.Series) -> pd.Series:
         return pd.Series(bloom.holds(np.frombuffer(bitmap.value, np.uint8), ids.to_numpy().astype(np.int64).view(np.uint64)))
 
     named = sets.filter("set_id is not null")
@@ -329,13 +324,33 @@ def link_components(docs: DataFrame) -> DataFrame:
     tops = kept(tops)
     least = kept(tops.groupBy("root").agg(F.min("rep").alias("component_id")))
     of_set = kept(tops.join(least, "root").select("set_id", "component_id"))
-    small = sets.select("doc_id", "n", "set_id")
-    linked = small.filter("set_id is not null").join(of_set, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = small.filter("set_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    small = sets.select("doc_id", "key", "n", "set_id")
+    linked = small.filter("set_id is not null").join(of_set, "set_id").select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id")
+    alone = small.filter("set_id is null").select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 
 
-def _heads(how_many) -> object:  # noqa: ANN001
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs, all columns as they came, with the document of the smallest doc_id of each component (see link_components).
+
+    Rows that share that doc_id all stay, as do components without any doc_id. Only rows that a Bloom filter of the
+    dropped texts may hold shuffle, to meet the list of what goes; the others pass straight through.
+    """
+    gone = kept(link_components(docs).filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct())
+    bitmap = docs.sparkSession.sparkContext.broadcast(bloom.once_filter(gone.select("gone_key"), lambda batch: u64(batch.column(0)), gone.count()).tobytes())
+
+    @F.pandas_udf("boolean")
+    def may_go(keys: pd.Series) -> pd.Series:
+        return pd.Series(bloom.holds(np.frombuffer(bitmap.value, np.uint8), keys.to_numpy().astype(np.int64).view(np.uint64)))
+
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(text_of()).alias("key"))
+    rows = rows.select("row", "key", may_go("key").alias("suspect"))
+    match = (F.col("key") == F.col("gone_key")) & F.col("row.doc_id").eqNullSafe(F.col("gone_id"))
+    stay = rows.filter("suspect").join(gone, match, "left_anti")
+    return rows.filter("not suspect").select("row").unionByName(stay.select("row")).select("row.*")
+
+
+def _heads(how_many: Callable[[int], int]) -> Callable:
     """A mapper from (set_id, n, shingles) to its how_many(n) least hashes, one row each."""
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,8 +367,8 @@ def _heads(how_many) -> object:  # noqa: ANN001
 def _cells(heads: DataFrame, live: DataFrame) -> DataFrame:
     """First round: cells of sets with an equal head; large ones in chunks that another head deals otherwise."""
     lists = kept(heads.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
-    members = kept(heads).join(lists, "shingle").withColumn("chunk", F.pmod(_hashed("set_id", "shingle"), F.ceil(F.col("size") / CHUNK)))
-    cells = kept(members.select(_hashed("shingle", "chunk").alias("cell"), "set_id"))
+    members = kept(heads).join(lists, "shingle").withColumn("chunk", F.pmod(F.xxhash64("set_id", "shingle"), F.ceil(F.col("size") / CHUNK)))
+    cells = kept(members.select(F.xxhash64("shingle", "chunk").alias("cell"), "set_id"))
     return cells.join(live, "set_id").select("cell", "set_id", F.lit(0).cast("long").alias("comp"), F.lit(True).alias("asks"), "shingles")
 
 
@@ -366,16 +381,16 @@ def _apart(live: DataFrame, roots: DataFrame) -> DataFrame:
     comp = kept(live.join(roots, live.set_id == roots.node, "left").select("set_id", "n", F.coalesce("root", "set_id").alias("comp"), "shingles"), "none")
     prefix = comp.select("set_id", "n", "shingles").mapInArrow(_heads(lambda n: n - least_shared(n) + 1), "shingle long, set_id long, n long")
     posts = kept(prefix.select("shingle", "set_id").join(kept(comp.select("set_id", "comp")), "set_id"))
-    lists = posts.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(_hashed("set_id")).alias("x"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    lists = posts.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     mixed = kept(lists.filter("lo != hi").groupBy("size", "x").agg(F.min("shingle").alias("shingle")).select("shingle", "size"))
     members = kept(posts.join(mixed, "shingle"))
     shares = kept(members.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k")))
     largest = kept(shares.groupBy("shingle").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("k")))
     rows = members.join(largest, "shingle").withColumn("in_main", F.col("comp") == F.col("main"))
     mains, others = F.ceil(F.col("k") / CHUNK).cast("int"), F.greatest(F.lit(1), F.ceil((F.col("size") - F.col("k")) / CHUNK)).cast("int")
-    own = F.pmod(_hashed("set_id", "shingle"), F.when(F.col("in_main"), mains).otherwise(others)).cast("int")
+    own = F.pmod(F.xxhash64("set_id", "shingle"), F.when(F.col("in_main"), mains).otherwise(others)).cast("int")
 
-    def pairs(kind: str, i: F.Column, j: F.Column) -> F.Column:
+    def pairs(kind: str, i: Column, j: Column) -> Column:
         return F.xxhash64("shingle", F.lit(kind), i.cast("int"), j.cast("int"))
 
     facing = F.when(

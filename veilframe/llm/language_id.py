@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from .shared import text_of, texts
 
 #: n-grams in a profile, and about how many labelled rows profiles are learned from.
 PROFILE, MAX_FIT_ROWS = 300, 20_000
+#: Texts farther than this from every profile are not taken for any language: clean texts stay below 0.7.
+MAX_DISTANCE = 0.8
 SPACE, STAND_IN, STAND_INS = 0x20, 0xE000, 0x1900
 
 
@@ -99,6 +102,28 @@ def fit_profiles(labelled: DataFrame, size: int = PROFILE, max_rows: int = MAX_F
     return profiles
 
 
+class Nearest:
+    """The nearest of some profiles to a text: language, score and distance as in identify."""
+
+    def __init__(self, profiles: dict[str, list[int]], size: int) -> None:
+        self.langs, self.size = sorted(profiles), size
+        self.known = np.unique(np.array([g for x in profiles.values() for g in x], np.int64))
+        self.places = np.full((len(self.known) + 1, len(self.langs)), -1, np.int64)
+        for j, lang in enumerate(self.langs):
+            self.places[np.searchsorted(self.known, profiles[lang]), j] = np.arange(len(profiles[lang]))
+
+    def __call__(self, text: str) -> tuple[str, float, float]:
+        grams = ranking(text, self.size)
+        if not len(grams) or not len(self.known):
+            return "und", 0.0, 1.0
+        at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
+        there = self.places[np.where(self.known[at] == grams, at, len(self.known))]
+        apart = np.where(there < 0, self.size, np.abs(there - np.arange(len(grams))[:, None])).sum(axis=0) / (self.size * len(grams))
+        best = int(np.argmin(apart))
+        second = float(np.partition(apart, 1)[1]) if len(self.langs) > 1 else 1.0
+        return self.langs[best], 1 - 0.5 * float(apart[best]) / second if second else 0.5, float(apart[best])
+
+
 def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE) -> DataFrame:
     """One row per document: doc_id, lang_pred, score, distance.
 
@@ -109,27 +134,11 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFIL
     nothing was learned. Rows with a null or repeated doc_id are documents like any other; other columns are ignored;
     an empty table gives an empty result.
     """
-    langs = sorted(profiles)
-    known = np.unique(np.array([g for x in profiles.values() for g in x], np.int64))
-    places = np.full((len(known) + 1, len(langs)), -1, np.int64)
-    for j, lang in enumerate(langs):
-        places[np.searchsorted(known, profiles[lang]), j] = np.arange(len(profiles[lang]))
+    nearest = Nearest(profiles, size)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in texts(batch.column(1)):
-                grams = ranking(text, size)
-                if not len(grams) or not len(known):
-                    out.append(("und", 0.0, 1.0))
-                    continue
-                at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-                at = np.where(known[at] == grams, at, len(known))
-                there = places[at]
-                apart = np.where(there < 0, size, np.abs(there - np.arange(len(grams))[:, None])).sum(axis=0) / (size * len(grams))
-                best = int(np.argmin(apart))
-                second = float(np.partition(apart, 1)[1]) if len(langs) > 1 else 1.0
-                out.append((langs[best], 1 - 0.5 * float(apart[best]) / second if second else 0.5, float(apart[best])))
+            out = [nearest(text) for text in texts(batch.column(1))]
             yield pa.record_batch([batch.column(0), *(pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64())))], ["doc_id", "lang_pred", "score", "distance"])
 
     rows = docs.select("doc_id", text_of())
@@ -141,6 +150,26 @@ def id_remainder(col: str, mod: int) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def keep_identified(docs: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
+    """docs, all columns as they came, without the rows whose text has no letter or is far from every language.
+
+    Profiles are learned from docs itself as in predict_languages; a text goes if its distance is above max_distance:
+    nearly none of its n-grams then is among a language's common ones. Where nothing can be learned, as without lang
+    values, only texts without letters go. Only the text crosses to Python, and nothing shuffles.
+    """
+    nearest = Nearest(fit_profiles(docs.filter(id_remainder("doc_id", 4) != 2)), PROFILE)
+
+    @F.pandas_udf("boolean")
+    def identified(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            if nearest.langs:
+                yield pd.Series([x[0] != "und" and x[2] <= max_distance for x in map(nearest, part)])
+            else:
+                yield pd.Series([len(grams_of(t)) > 0 for t in part])
+
+    return docs.filter(identified(text_of()))
+
+
 def predict_languages(docs: DataFrame) -> DataFrame:
     """Profiles learned from docs with a lang outside the held-out fold (remainder 2 of 4), applied to all docs: see identify."""
     return identify(docs, fit_profiles(docs.filter(id_remainder("doc_id", 4) != 2)))

@@ -12,6 +12,7 @@ from .jaccard_join import link_components
 from .language_id import id_remainder, predict_languages
 from .line_dedup import drop_repeated_lines
 from .ogg import stored_media
+from .pii import PATTERNS, find_personal_data, of_kind, spans_text, with_extra
 from .pieces import piece_ids
 from .shared import read_documents
 from .token_store import tokens_of
@@ -36,13 +37,19 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = with_extra(*find_personal_data(read_documents(spark, sf_dir)))
+    counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{k}") for k in PATTERNS]
+    return rows.select("doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.concat("base", "extra")).alias("spans"))
+
+
 def op4_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tokens_of(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return rows.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_components(read_documents(spark, sf_dir))
+    return link_components(read_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +82,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
+    "op3_personal_data": op3_personal_data,
     "op4_elias_fano": op4_elias_fano,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_ogg": op6_ogg,

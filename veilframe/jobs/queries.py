@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import box_queries
+
+QUERIES = {**box_queries.QUERIES}
+ORACLES = {**box_queries.ORACLES}

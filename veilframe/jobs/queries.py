@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import box_queries
+from . import box_queries, score_queries
 
-QUERIES = {**box_queries.QUERIES}
-ORACLES = {**box_queries.ORACLES}
+PARTS = (box_queries, score_queries)
+QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}

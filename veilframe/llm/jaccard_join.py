@@ -40,6 +40,10 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 CELLS, CHUNK = 4, 1000
 #: Shingles that a group of inverted lists, and a group of cells, holds on average.
 LIST_SHINGLES, CELL_SHINGLES = 2_000_000, 1_000_000
+#: Bytes of text to a shingle, about, for the number of groups alone; documents whose postings travel together.
+BYTES_A_SHINGLE, POST_BATCH = 6, 4000
+#: Counters of the frequency sketch, one byte each, and how many of them a shingle counts in.
+COUNTERS, ROWS = 1 << 22, 2
 #: Weighs probing against merging in the number of long lists, as the paper proposes.
 MU = 0.01
 
@@ -168,17 +172,29 @@ def links_between(sets: list[np.ndarray], groups: list[int], queries: list[int])
     return links
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of the text), n (shingles), set_id (one of the set; null if empty), shingles (their hashes, sorted, u64 little-endian)."""
+def set_id_of(data: bytes) -> int:
+    """A set's name, from its shingles' bytes: a signed 64-bit hash."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(data)).astype(np.int64))
+
+
+def shingle_sets(docs: DataFrame, suspected: np.ndarray) -> DataFrame:
+    """doc_id, key (a hash of the text), n (shingles), set_id (null if empty), shingles (their hashes, sorted, u64 little-endian).
+
+    shingles is null but for sets that the Bloom filter `suspected` may hold, and there but for a task's first such row.
+    """
     rows = docs.select("doc_id", text_of().cast("binary").alias("body"), F.xxhash64(text_of()).alias("key"))
+    shared = docs.sparkSession.sparkContext.broadcast(suspected.tobytes())
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = np.frombuffer(shared.value, np.uint8), set()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 data = [shingles(x).tobytes() for x in part.column(1).to_pylist()]
-                ids = [int(np.uint64(xxhash.xxh3_64_intdigest(x)).astype(np.int64)) if x else None for x in data]
-                yield pa.record_batch([part.column(0), part.column(2), pa.array([len(x) // 8 for x in data], pa.int64()), pa.array(ids, pa.int64()), binaries(data)], ["doc_id", "key", "n", "set_id", "shingles"])
+                ids = [set_id_of(x) if x else None for x in data]
+                live = bloom.holds(bits, np.array([i or 0 for i in ids], np.int64).view(np.uint64)).tolist()
+                sent = [x if x and k and i not in seen and not seen.add(i) else None for x, i, k in zip(data, ids, live, strict=True)]
+                yield pa.record_batch([part.column(0), part.column(2), pa.array([len(x) // 8 for x in data], pa.int64()), pa.array(ids, pa.int64()), binaries(sent)], ["doc_id", "key", "n", "set_id", "shingles"])
 
     return rows.mapInArrow(build, f"doc_id {rows.schema[0].dataType.simpleString()}, key long, n long, set_id long, shingles binary")
 
@@ -200,9 +216,11 @@ def _share_counts(owners: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, n
     return np.bincount(which[~repeated], minlength=which[-1] + 1)[which] > 1, order, repeated
 
 
-def suspects(sets: DataFrame, total: int) -> DataFrame:
-    """set_id of the sets that share at least the threshold's part of their shingles with others; total: all shingles."""
-    parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // LIST_SHINGLES))
+def suspects(docs: DataFrame) -> DataFrame:
+    """set_id of the sets that share at least the threshold's part of their shingles with others."""
+    source = docs.select(text_of().cast("binary").alias("body"))
+    total = (source.agg(F.sum(F.length("body"))).first()[0] or 0) // BYTES_A_SHINGLE
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // LIST_SHINGLES))
     names, kinds = ["part", "ids", "sizes", "counts", "prints"], "part int, ids binary, sizes binary, counts binary, prints binary"
 
     def rows(part: int, ids: np.ndarray, sizes: np.ndarray, counts: np.ndarray, prints: np.ndarray | None) -> pa.RecordBatch:
@@ -218,13 +236,14 @@ def suspects(sets: DataFrame, total: int) -> DataFrame:
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
-            ids, data = u64(batch.column(0)), batch.column(1).to_pylist()
-            own = [i for i, x in enumerate(ids.tolist()) if x not in seen and not seen.add(x)]
+        for batch in (b.slice(at, POST_BATCH) for b in batches for at in range(0, b.num_rows, POST_BATCH)):
+            every = [shingles(x) for x in batch.column(0).to_pylist()]
+            names_ = [set_id_of(x.tobytes()) if len(x) else None for x in every]
+            own = [i for i, x in enumerate(names_) if x is not None and x not in seen and not seen.add(x)]
             if not own:
                 continue
-            sets_ = [np.frombuffer(data[i], "<u8") for i in own]
-            ids, sizes = ids[own], np.array([len(x) for x in sets_])
+            sets_ = [every[i] for i in own]
+            ids, sizes = np.array([names_[i] for i in own], np.int64).view(np.uint64), np.array([len(x) for x in sets_])
             flat, owner = np.concatenate(sets_), np.repeat(np.arange(len(own)), sizes)
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
@@ -266,7 +285,7 @@ def suspects(sets: DataFrame, total: int) -> DataFrame:
         enough = n >= -(-NUMERATOR * sizes[first].astype(np.int64) // DENOMINATOR)
         return pa.table({"set_id": pa.array(unique[enough].view(np.int64), pa.int64())})
 
-    posted = sets.filter("set_id is not null").select("set_id", "shingles").mapInArrow(post, kinds)
+    posted = source.mapInArrow(post, kinds)
     return posted.groupBy("part").applyInArrow(count, kinds).groupBy("part").applyInArrow(choose, "set_id long")
 
 
@@ -297,29 +316,24 @@ def link_components(docs: DataFrame) -> DataFrame:
     Null doc_ids count in a component, and give its id only if it has no other; rows that repeat a doc_id are documents
     of their own. An empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
-    sets = kept(shingle_sets(docs), "none")
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    chosen = kept(suspects(sets, total))
-    bitmap = spark.sparkContext.broadcast(bloom.once_filter(chosen, lambda batch: u64(batch.column(0)), chosen.count()).tobytes())
-
-    @F.pandas_udf("boolean")
-    def may_link(ids: pd.Series) -> pd.Series:
-        return pd.Series(bloom.holds(np.frombuffer(bitmap.value, np.uint8), ids.to_numpy().astype(np.int64).view(np.uint64)))
-
+    chosen = kept(suspects(docs))
+    suspected = bloom.once_filter(chosen, lambda batch: u64(batch.column(0)), chosen.count())
+    sets = kept(shingle_sets(docs, suspected), "none")
     named = sets.filter("set_id is not null")
     classes = kept(named.groupBy("set_id").agg(F.min("doc_id").alias("rep")))
-    live = named.filter(may_link("set_id")).join(chosen, "set_id", "left_semi")
+    live = named.filter("shingles is not null").join(chosen, "set_id", "left_semi")
     live = kept(live.groupBy("set_id").agg(F.any_value("n").alias("n"), F.any_value("shingles").alias("shingles")), "none")
     alive = live.agg(F.sum("n")).first()[0] or 0
-    heads = live.mapInArrow(_heads(lambda n: min(n, CELLS)), "shingle long, set_id long, n long")
-    first = kept(_cells(heads, live))
-    links = kept(_searched(first, alive * CELLS, between=False))
+    heads = live.mapInArrow(_heads(lambda x: x[:CELLS]), "shingle long, set_id long")
+    links = kept(_searched(_cells(heads, live), alive * CELLS, between=False))
     roots = kept(components(links))
-    rest = _apart(live, roots)
-    later = kept(_searched(rest, rest.agg(F.sum(F.length("shingles") / 8)).first()[0] or 0, between=True)) if not rest.isEmpty() else None
-    if later is not None and not later.isEmpty():
-        roots = kept(components(links.unionByName(later)))
+    comp = kept(live.join(roots, live.set_id == roots.node, "left").select("set_id", "n", F.coalesce("root", "set_id").alias("comp"), "shingles"), "none")
+    apart = _apart(comp)
+    if not apart.isEmpty():
+        cells = apart.join(comp, "set_id").select("cell", "set_id", "comp", "asks", "shingles")
+        later = kept(_searched(cells, apart.join(comp, "set_id").agg(F.sum("n")).first()[0], between=True))
+        if not later.isEmpty():
+            roots = kept(components(links.unionByName(later)))
     tops = classes.join(roots, classes.set_id == roots.node, "left").select("set_id", "rep", F.coalesce("root", "set_id").alias("root"))
     tops = kept(tops)
     least = kept(tops.groupBy("root").agg(F.min("rep").alias("component_id")))
@@ -350,20 +364,49 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.filter("not suspect").select("row").unionByName(stay.select("row")).select("row.*")
 
 
-def _heads(how_many: Callable[[int], int]) -> Callable:
-    """A mapper from (set_id, n, shingles) to its how_many(n) least hashes, one row each."""
+def _heads(choose: Callable[[np.ndarray], np.ndarray]) -> Callable:
+    """A mapper from (set_id, shingles) to one row for each shingle that `choose` takes of the set's."""
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            sizes = batch.column(names.index("n")).to_numpy()
-            many = [how_many(int(n)) for n in sizes]
-            flat = [np.frombuffer(x, "<u8", k).view("<i8") for x, k in zip(batch.column(names.index("shingles")).to_pylist(), many, strict=True)]
-            yield pa.record_batch([pa.array(np.concatenate(flat) if flat else [], pa.int64()), pa.array(np.repeat(batch.column(names.index("set_id")).to_numpy(), many), pa.int64()), pa.array(np.repeat(sizes, many), pa.int64())], ["shingle", "set_id", "n"])
+            flat = [choose(np.frombuffer(x, "<u8")).view("<i8") for x in batch.column(names.index("shingles")).to_pylist()]
+            ids = np.repeat(batch.column(names.index("set_id")).to_numpy(), [len(x) for x in flat])
+            yield pa.record_batch([pa.array(np.concatenate(flat) if flat else [], pa.int64()), pa.array(ids, pa.int64())], ["shingle", "set_id"])
 
     return heads
 
 
+def _counters(flat: np.ndarray) -> np.ndarray:
+    """(ROWS, n) counters of each shingle."""
+    return np.stack([(mix64(flat ^ np.uint64(i + 1)) % np.uint64(COUNTERS)).astype(np.int64) for i in range(ROWS)])
+
+
+def frequencies(live: DataFrame) -> np.ndarray:
+    """A count-min sketch of how many sets hold each shingle, up to 255: COUNTERS bytes, whatever the data."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                np.add.at(sums, _counters(np.frombuffer(data, "<u8")).ravel(), 1)
+        at = np.flatnonzero(sums)
+        for block in np.unique(at >> 16):
+            own = at[np.searchsorted(at, block << 16) : np.searchsorted(at, (block + 1) << 16)]
+            yield pa.record_batch([pa.array([block], pa.int32()), binaries([(own & 0xFFFF).astype("<u2").tobytes()]), binaries([np.minimum(sums[own], 255).astype(np.uint8).tobytes()])], ["block", "at", "n"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        sums = np.zeros(1 << 16, np.int64)
+        for at, n in zip(rows["at"].to_pylist(), rows["n"].to_pylist(), strict=True):
+            sums[np.frombuffer(at, "<u2")] += np.frombuffer(n, np.uint8)
+        return pa.table({"block": rows["block"][:1], "n": binaries([np.minimum(sums, 255).astype(np.uint8).tobytes()])})
+
+    out = np.zeros(COUNTERS, np.uint8)
+    for row in live.select("shingles").mapInArrow(count, "block int, at binary, n binary").groupBy("block").applyInArrow(add, "block int, n binary").toLocalIterator():
+        out[row["block"] << 16 : (row["block"] + 1) << 16] = np.frombuffer(row["n"], np.uint8)
+    return out
+
+
 def _cells(heads: DataFrame, live: DataFrame) -> DataFrame:
     """First round: cells of sets with an equal head; large ones in chunks that another head deals otherwise."""
     lists = kept(heads.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
@@ -372,15 +415,25 @@ def _cells(heads: DataFrame, live: DataFrame) -> DataFrame:
     return cells.join(live, "set_id").select("cell", "set_id", F.lit(0).cast("long").alias("comp"), F.lit(True).alias("asks"), "shingles")
 
 
-def _apart(live: DataFrame, roots: DataFrame) -> DataFrame:
-    """Second round: cells of sets that share a prefix shingle and are not connected yet.
+def _apart(comp: DataFrame) -> DataFrame:
+    """Second round: cells (cell, set_id, asks) of sets that share a prefix shingle and are not connected yet.
 
     Two linked sets of a and b shingles have more in common than either has beyond its prefix of n - ceil(0.8 n) + 1
-    least hashes, so they share a shingle of both prefixes. Lists with the same members are searched once.
+    first ones, in any order that all sets follow; so they share a shingle of both prefixes. The order here is by
+    frequency, in powers of two of the sketch's counts, then by hash: passages that many sets hold come last, and few
+    sets of different components meet. A shingle that only one set can hold needs no list, and lists with the same
+    members are searched once.
     """
-    comp = kept(live.join(roots, live.set_id == roots.node, "left").select("set_id", "n", F.coalesce("root", "set_id").alias("comp"), "shingles"), "none")
-    prefix = comp.select("set_id", "n", "shingles").mapInArrow(_heads(lambda n: n - least_shared(n) + 1), "shingle long, set_id long, n long")
-    posts = kept(prefix.select("shingle", "set_id").join(kept(comp.select("set_id", "comp")), "set_id"))
+    sketch = comp.sparkSession.sparkContext.broadcast(frequencies(comp).tobytes())
+
+    def prefix(own: np.ndarray) -> np.ndarray:
+        counts = np.frombuffer(sketch.value, np.uint8)[_counters(own)].min(axis=0)
+        rank = np.log2(counts.astype(np.float64)).astype(np.int64)
+        head = np.lexsort((own, rank))[: len(own) - least_shared(len(own)) + 1]
+        return own[head[counts[head] > 1]]
+
+    posts = comp.select("set_id", "shingles").mapInArrow(_heads(prefix), "shingle long, set_id long")
+    posts = kept(posts.join(kept(comp.select("set_id", "comp")), "set_id"))
     lists = posts.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     mixed = kept(lists.filter("lo != hi").groupBy("size", "x").agg(F.min("shingle").alias("shingle")).select("shingle", "size"))
     members = kept(posts.join(mixed, "shingle"))
@@ -403,5 +456,4 @@ def _apart(live: DataFrame, roots: DataFrame) -> DataFrame:
     )
     cells = kept(rows.select(F.explode(facing).alias("cell"), "set_id", (~F.col("in_main")).alias("asks")))
     spread = kept(cells.join(comp.select("set_id", "comp"), "set_id").groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("cell"))
-    cells = kept(cells.join(spread, "cell"))
-    return kept(cells.join(comp, "set_id").select("cell", "set_id", "comp", "asks", "shingles"), "none")
+    return kept(cells.join(spread, "cell"))

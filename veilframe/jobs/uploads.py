@@ -79,16 +79,17 @@ def resolve_uploads(events: DataFrame, jobs: DataFrame) -> DataFrame:
     same_upload = jobs.select("upload_id", "config_hash", F.col("job_id").alias("job_u"))
     same_content = latest_by_fingerprint(jobs).select("content_fp", "config_hash", F.col("job_id").alias("job_c"))
     known = kept(events.join(same_upload, ["upload_id", *key], "left").join(same_content, ["content_fp", *key], "left"))
-    old = known.filter("job_u is not null or job_c is not null")
-    done = old.select("event_seq", F.when(F.col("job_u").isNotNull(), "reuse_upload").otherwise("reuse_content").alias("action"), F.coalesce("job_u", "job_c").alias("job_id"))
-    fresh = kept(known.filter("job_u is null and job_c is null").drop("job_u", "job_c"))
+    done = known.filter("job_u is not null").select("event_seq", F.lit("reuse_upload").alias("action"), F.col("job_u").alias("job_id"))
+    open_ = known.filter("job_u is null").drop("job_u")
+    fresh = kept(open_.filter("job_c is null").drop("job_c"))
     made = kept(fresh.join(creators(fresh), "event_seq").withColumn("job_id", F.substring(F.sha2(F.concat_ws("|", "upload_id", "config_hash", "event_seq"), 256), 1, 32)))
-    ups = made.select("upload_id", "config_hash", F.col("event_seq").alias("seq_u"), F.col("job_id").alias("job_u"))
-    contents = made.select("content_fp", "config_hash", F.col("event_seq").alias("seq_c"), F.col("job_id").alias("job_c"))
-    both = fresh.join(ups, ["upload_id", *key], "left").join(contents, ["content_fp", *key], "left")
+    ups = made.select("upload_id", "config_hash", F.col("event_seq").alias("seq_u"), F.col("job_id").alias("new_u"))
+    contents = made.select("content_fp", "config_hash", F.col("job_id").alias("new_c"))
+    # content of a job that was there before has no creator among the events, so at most one of job_c and new_c is set
+    both = open_.join(ups, ["upload_id", *key], "left").join(contents, ["content_fp", *key], "left")
     mine, earlier = F.col("seq_u") == F.col("event_seq"), F.col("seq_u") < F.col("event_seq")
     action = F.when(mine, "create").when(earlier, "reuse_upload").otherwise("reuse_content")
-    job = F.when(mine | earlier, F.col("job_u")).otherwise(F.col("job_c"))
+    job = F.when(mine | earlier, F.col("new_u")).otherwise(F.coalesce("job_c", "new_c"))
     return done.unionByName(both.select("event_seq", action.alias("action"), job.alias("job_id")))
 
 

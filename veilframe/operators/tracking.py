@@ -169,6 +169,8 @@ def track(dets: DataFrame, videos: DataFrame, rules: Rules = TWO_STAGE, segmente
     nxt = F.lead("first").over(Window.partitionBy("video_id").orderBy("segment"))
     spans = spans.join(videos.select("video_id", "nframes"), "video_id").withColumn("end", F.coalesce(nxt, "nframes"))
     rows = cut.join(spans, ["video_id", "segment"])
+    # tracking costs far more than its few bytes suggest: keep the number of tasks, which AQE would coalesce
+    rows = rows.repartition(int(dets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "video_id", "segment")
     if motion is not None:
         hints = motion.groupBy("video_id").agg(F.collect_set("frame_idx").alias("moving"))
         rows = rows.join(hints, "video_id", "left")

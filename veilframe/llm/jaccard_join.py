@@ -421,30 +421,46 @@ def _apart(comp: DataFrame) -> DataFrame:
     Two linked sets of a and b shingles have more in common than either has beyond its prefix of n - ceil(0.8 n) + 1
     first ones, in any order that all sets follow; so they share a shingle of both prefixes. The order here is by
     frequency, in powers of two of the sketch's counts, then by hash: passages that many sets hold come last, and few
-    sets of different components meet. A shingle that only one set can hold needs no list, and lists with the same
-    members are searched once.
+    sets of different components meet. A shingle that only one set can hold needs no list. Lists are cut into bands of
+    sizes, each with the next smaller one, since linked sets differ by a quarter in size at most. The first shingle that
+    two linked sets share must be early in the smaller one, as what follows it there has to hold their overlap; lists
+    without such a set go. Lists with the same least set_id are searched together, as one cell: that a set holds many
+    shingles in common with the same others then doesn't repeat it.
     """
     sketch = comp.sparkSession.sparkContext.broadcast(frequencies(comp).tobytes())
 
-    def prefix(own: np.ndarray) -> np.ndarray:
-        counts = np.frombuffer(sketch.value, np.uint8)[_counters(own)].min(axis=0)
-        rank = np.log2(counts.astype(np.float64)).astype(np.int64)
-        head = np.lexsort((own, rank))[: len(own) - least_shared(len(own)) + 1]
-        return own[head[counts[head] > 1]]
-
-    posts = comp.select("set_id", "shingles").mapInArrow(_heads(prefix), "shingle long, set_id long")
-    posts = kept(posts.join(kept(comp.select("set_id", "comp")), "set_id"))
-    lists = posts.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    mixed = kept(lists.filter("lo != hi").groupBy("size", "x").agg(F.min("shingle").alias("shingle")).select("shingle", "size"))
-    members = kept(posts.join(mixed, "shingle"))
-    shares = kept(members.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k")))
-    largest = kept(shares.groupBy("shingle").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("k")))
-    rows = members.join(largest, "shingle").withColumn("in_main", F.col("comp") == F.col("main"))
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.frombuffer(sketch.value, np.uint8)
+        for batch in batches:
+            columns: list[list[np.ndarray]] = [[], [], [], [], []]
+            for set_id, comp_, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(data, "<u8")
+                n = len(own)
+                counts = sums[_counters(own)].min(axis=0)
+                rank = np.log2(counts.astype(np.float64)).astype(np.int64)
+                head = np.lexsort((own, rank))[: n - least_shared(n) + 1]
+                place = np.flatnonzero(counts[head] > 1)
+                band = int(math.log(n) / math.log(DENOMINATOR / NUMERATOR))
+                for b in (band, band + 1):
+                    parts = (own[head[place]].view("<i8"), np.full(len(place), b), np.full(len(place), set_id), np.full(len(place), comp_), place <= n - needed(n, n))
+                    for column, part in zip(columns, parts, strict=True):
+                        column.append(part)
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.record_batch([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(columns, types, strict=True)], ["shingle", "band", "set_id", "comp", "early"])
+
+    posts = comp.select("set_id", "comp", "shingles").mapInArrow(prefixes, "shingle long, band int, set_id long, comp long, early boolean")
+    posts = kept(posts.withColumn("list", F.xxhash64("shingle", "band")).select("list", "set_id", "comp", "early"))
+    lists = posts.groupBy("list").agg(F.min("set_id").alias("first"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("early").alias("early"))
+    mixed = kept(lists.filter("lo != hi and early").select("list", "first"))
+    members = kept(posts.join(mixed, "list").select("first", "set_id", "comp").distinct())
+    shares = kept(members.groupBy("first", "comp").agg(F.count(F.lit(1)).alias("k")))
+    largest = kept(shares.groupBy("first").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("k"), F.sum("k").alias("size")))
+    rows = members.join(largest, "first").withColumn("in_main", F.col("comp") == F.col("main"))
     mains, others = F.ceil(F.col("k") / CHUNK).cast("int"), F.greatest(F.lit(1), F.ceil((F.col("size") - F.col("k")) / CHUNK)).cast("int")
-    own = F.pmod(F.xxhash64("set_id", "shingle"), F.when(F.col("in_main"), mains).otherwise(others)).cast("int")
+    own = F.pmod(F.xxhash64("set_id", "first"), F.when(F.col("in_main"), mains).otherwise(others)).cast("int")
 
     def pairs(kind: str, i: Column, j: Column) -> Column:
-        return F.xxhash64("shingle", F.lit(kind), i.cast("int"), j.cast("int"))
+        return F.xxhash64("first", F.lit(kind), i.cast("int"), j.cast("int"))
 
     facing = F.when(
         F.col("in_main"), F.transform(F.sequence(F.lit(0), others - 1), lambda j: pairs("main", own, j))

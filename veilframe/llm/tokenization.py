@@ -24,12 +24,13 @@ class WordBpe:
     """Ids by a tokenizers file whose pre-tokens hold no white space and whose normalizer works within words.
 
     Such a file gives the ids of a text as those of its white-space-separated chunks one after another. Chunks of Latin
-    letters, but for a comma or full stop at their end, are one pre-token each: new ones go to the library's model many
-    at a time in lower case, where ids that end a word tell them apart. Other chunks go to the library as they are, and
+    letters are one pre-token each, and so is a run of marks that ends them: new words go to the library's model many at
+    a time in lower case, where ids that end a word tell them apart. Other chunks go to the library as they are, and
     so do whole texts that hold a separator which the library takes for a symbol, or an added token's string.
     """
 
-    letters = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[,.]?")
+    marks = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # all of ASCII but the apostrophe, which can begin a pre-token of letters
+    letters = re.compile(f"[A-Za-zÀ-ÖØ-öø-ÿ]+[{re.escape(marks)}]*")
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,13 +46,13 @@ class WordBpe:
         self.ends[[i for t, i in self.library.get_vocab().items() if end and t.endswith(end)]] = True
         self.known: dict[str, bytes] = {}
         self.ids: dict[str, bytes] = {}
-        self.stops = {c: self._whole(c) for c in ",."}
+        self.ends_of = lru_cache(10_000)(self._whole)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, chunks: list[str]) -> None:
-        split = {c: c.rstrip(",.").lower() for c in chunks if self.letters.fullmatch(c)} if self.ends.any() else {}
+        split = {c: c.rstrip(self.marks).lower() for c in chunks if self.letters.fullmatch(c)} if self.ends.any() else {}
         other = [c for c in chunks if c not in split]
         forget(self.ids, MAX_WORDS)
         words = list(set(split.values()).difference(self.ids))
@@ -66,7 +67,7 @@ class WordBpe:
             ids.update((w, data[a:b]) for w, a, b in zip(part, [0, *cuts], cuts, strict=False))
         for chunk, word in split.items():
             own = ids.get(word) or self.ids[word]
-            self.known[chunk] = own + self.stops[chunk[-1]] if chunk[-1] in ",." else own
+            self.known[chunk] = own + self.ends_of(chunk[len(word) :]) if len(chunk) > len(word) else own
         self.ids.update((w, x) for w, x in ids.items() if len(w) <= LONG)
         for chunk, found in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False) if other else (), strict=True):
             self.known[chunk] = np.array(found.ids, "<u4").tobytes()

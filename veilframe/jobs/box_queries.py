@@ -242,7 +242,7 @@ def decode_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("video_id", "frame_idx", "cell", "score", "x1", "y1", "x2", "y2", F.get("landmarks", F.lit(1))["x"].alias("eye_x"))
 
 
-ANCHORS = """select *, embedding[a * 16 + 5]::double * 2 + cast(0.5 as double) as score, (frame_idx * 4 + a) % 7000 as anchor_idx
+ANCHORS = """select *, embedding[a * 16 + 5]::double * 2 + cast(0.5 as double) as score, ((frame_idx * 4 + a) % 7000)::int as anchor_idx
     from (select concat('v', label) as video_id, vec_id as frame_idx, embedding, unnest([0, 1, 2, 3]) as a from embeddings)"""
 
 PRIORS = """select net_h, net_w, step, sz, i, j, k, cols,

@@ -17,7 +17,7 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which every executor sees; a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("veilframe.local.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="veilframe-")
         spark.conf.set("veilframe.local.dir", root)

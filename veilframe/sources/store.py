@@ -16,7 +16,10 @@ JOB_SCHEMA = "job_id string, upload_id string, content_fp string, config_hash st
 def kept(df: DataFrame) -> DataFrame:
     """Write df below spark.checkpoint.dir, which all executors share, and read it back; a local folder only where that is unset."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilframe-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("veilframe.local.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="veilframe-")
+        spark.conf.set("veilframe.local.dir", root)
     path = f"{root}/veilframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -126,6 +126,12 @@ def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", up.content_fingerprint(docs, chunk=64).alias("fp"))
 
 
+def content_fingerprint_1mib(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints with the operator's own chunk: texts of up to 2 MiB differ wherever their first MiB or size does."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").cast("binary").alias("content"))
+    return docs.select("doc_id", up.content_fingerprint(docs).alias("fp"))
+
+
 _N = "cast(substring(job_id, 5) as bigint)"
 
 QUERIES = {
@@ -134,6 +140,7 @@ QUERIES = {
     "resolve_uploads": resolve_uploads, "latest_by_fingerprint": latest_by_fingerprint, "new_job_rows": new_job_rows,
     "apply_status_updates": apply_status_updates, "claim_batch": claim_batch, "finish_jobs": finish_jobs, "job_status": job_status,
     "job_backlog": job_backlog, "content_fingerprint": content_fingerprint,
+    "content_fingerprint_1mib": content_fingerprint_1mib,
 }
 
 ORACLES = {

@@ -1,8 +1,12 @@
 """Registered queries over whole inputs: what a narrower query would leave out."""
 
 import hashlib
+import random
 
-from veilframe.jobs import job_queries, uploads as up
+import numpy as np
+
+from veilframe.jobs import frame_queries, job_queries, uploads as up
+from veilframe.operators.tracking import TWO_STAGE, Live, run_frames
 
 
 def fingerprint(data, chunk):
@@ -24,3 +28,41 @@ def test_fingerprint_branches_with_a_small_chunk(spark):
     df = spark.createDataFrame([(bytearray(d),) for d in data], "content binary")
     got = {bytes(r.content): r.fp for r in df.select("content", up.content_fingerprint(df, chunk=4).alias("fp")).collect()}
     assert got == {d: fingerprint(d, 4) for d in data}
+
+
+def test_every_frame_is_painted_and_looked_at(spark, tmp_path):
+    rnd = random.Random(5)
+    rows = [(i, f"l{i % 2}", [rnd.uniform(-0.2, 0.2) for _ in range(64)]) for i in range(7)]
+    spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    d = str(tmp_path)
+    plain = {r.frame_idx: bytes(r.image.data) for r in frame_queries.frames(spark, d).collect()}
+    painted = {r.frame_idx: r.sha for r in frame_queries.redact_frames(spark, d).collect()}
+    for i, data in plain.items():
+        want = np.frombuffer(data, np.uint8).reshape(128, 128, 3).copy()
+        want[i : i + 60, i : i + 40] = 0  # the second box begins 8 columns further and ends with the first
+        assert painted[i] == hashlib.sha256(want.tobytes()).hexdigest() != hashlib.sha256(data).hexdigest()
+    seen = frame_queries.residual_visibility(spark, d).collect()
+    assert sorted((r.frame_idx, r.det_idx) for r in seen) == [(i, k) for i in range(7) for k in range(2)]
+    hybrid = {r.frame_idx: r.luma for r in frame_queries.redact_hybrid(spark, d).collect()}
+    assert set(hybrid) == set(range(7))
+
+
+def test_skipping_starts_after_the_reference_number_of_empty_frames():
+    dets = np.array([[0, 0, 40, 40, 0.9, 0]], float)
+    for frame, found in ((13, [13]), (35, [35]), (37, []), (40, [40])):
+        assert [f for f, out in run_frames(Live(), np.array([frame]), dets, 0, frame + 1, job_queries.ADAPTIVE) if len(out)] == found
+
+
+def test_segments_of_what_is_tracked(spark):
+    d = "/root/testdata/sf0.001"
+    frames, want = {}, {}
+    for r in job_queries.detections(spark, d).filter(f"score >= {TWO_STAGE.low}").collect():
+        frames.setdefault(r.video_id, {}).setdefault(r.frame_idx, []).append(r.det_idx)
+    for video, found in frames.items():
+        segment, last = 0, None
+        for f in sorted(found):
+            segment += last is not None and f - last >= 16
+            last = f
+            want |= {(video, f, i): segment for i in found[f]}
+    got = {(r.video_id, r.frame_idx, r.det_idx): r.segment for r in job_queries.QUERIES["segment_tracked"](spark, d).collect()}
+    assert got == want and got

@@ -14,6 +14,10 @@ from .box_queries import boxes
 from .score_queries import truth
 
 
+#: Two stages, skipping after as many empty frames as the reference's default.
+ADAPTIVE = tracking.Rules(high=0.28, low=0.18, skip_after=36)
+
+
 def _videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_videos(derived(spark, sf_dir, "videos").withColumnRenamed("raw_fps", "fps"))
 
@@ -33,8 +37,7 @@ def track_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def track_adaptive_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     motion = derived(spark, sf_dir, "detections").filter("line = 7").select("video_id", "frame_idx").distinct()
-    rules = tracking.Rules(high=0.28, low=0.18, skip_after=10)
-    return tracking.track(detections(spark, sf_dir), _videos(spark, sf_dir), rules, motion=motion)
+    return tracking.track(detections(spark, sf_dir), _videos(spark, sf_dir), ADAPTIVE, motion=motion)
 
 
 def segment_video(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +45,12 @@ def segment_video(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.segment_video(dets.select("video_id", "frame_idx", "det_idx")).select("video_id", "frame_idx", "det_idx", "segment")
 
 
+def segment_tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of the detections that track_two_stage uses."""
+    dets = detections(spark, sf_dir).filter(F.col("score") >= tracking.TWO_STAGE.low)
+    return tracking.segment_video(dets.select("video_id", "frame_idx", "det_idx")).select("video_id", "frame_idx", "det_idx", "segment")
+
+
 def track_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.track_summary(track_two_stage(spark, sf_dir))
 
@@ -135,7 +144,7 @@ def content_fingerprint_1mib(spark: SparkSession, sf_dir: str) -> DataFrame:
 _N = "cast(substring(job_id, 5) as bigint)"
 
 QUERIES = {
-    "track_two_stage": track_two_stage, "track_iou": track_iou, "track_adaptive_skip": track_adaptive_skip, "segment_video": segment_video,
+    "track_two_stage": track_two_stage, "track_iou": track_iou, "track_adaptive_skip": track_adaptive_skip, "segment_video": segment_video, "segment_tracked": segment_tracked,
     "track_summary": track_summary, "track_loss_frames": track_loss_frames, "compare_trackers": compare_trackers,
     "resolve_uploads": resolve_uploads, "latest_by_fingerprint": latest_by_fingerprint, "new_job_rows": new_job_rows,
     "apply_status_updates": apply_status_updates, "claim_batch": claim_batch, "finish_jobs": finish_jobs, "job_status": job_status,

@@ -1,0 +1,22 @@
+"""What narrower versions of the corpus operators left out."""
+
+from veilframe.llm import pii
+
+
+def test_identifiers_with_blanks_are_found_whole(spark):
+    texts = [f"reach me phone: +1 (555) 555-{1000 + i} thanks" for i in range(12)]
+    texts += [f"paid by card: {number} on day x{i}" for i, number in enumerate(["4111 1111 1111 1111", "5500 0000 0000 0004", "3400 0000 0000 0000 00", "6011 0000 0000 0004", "4012 8888 8888 1881"])]
+    new = ["so phone: (706) 555-3138 ok", "so phone: 706 555 3138, ok", "so phone: 706 555 3139abc ok", "we saw 706 555 3000 rows", "sent by card: 4111 1111 1111 1112 now"]
+    df = spark.createDataFrame(list(enumerate(texts + new)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.mask_personal_data(df).collect()}
+    n = len(texts)
+    assert out[n] == "so phone: <PHONE> ok" and out[n + 1] == "so phone: <PHONE>, ok"
+    assert out[n + 2] == new[2] and out[n + 3] == new[3]
+    assert out[n + 4] == "sent by card: <CARD> now"
+
+
+def test_runs_beside_tokens(spark):
+    df = spark.createDataFrame([(0, "a 5551234567 5559876543 b"), (1, "12 " * 1000 + "x1"), (2, "in 10.0.0.1 2 3 4"), (3, "so (706 555 3137) ok")], "doc_id long, text string")
+    found = {r.doc_id: [(s.start, s.end, s.value) for s in r.tokens] for r in pii.candidates(pii.base_spans(df.withColumnRenamed("text", "body"))).collect()}
+    assert found[0] == [(2, 12, "5551234567"), (13, 23, "5559876543"), (2, 23, "5551234567 5559876543")]
+    assert found[1] == [] and found[2] == [] and found[3] == [(4, 16, "706 555 3137")]

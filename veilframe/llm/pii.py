@@ -25,6 +25,9 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Tokens that may be identifiers: runs of non-blanks with a digit or an at-sign.
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Runs of digit groups, each bare or in brackets, with at most one blank, dot or hyphen between two; SPACED: what one with a blank holds.
+GROUP = r"(?:\([0-9]++\)|[0-9]++)"
+RUN, SPACED = rf"(?<![^\s\"'(\[<])\+?{GROUP}(?:[\x20.-]?+{GROUP})++", r"[0-9]\)?\x20\(?[0-9]"
 #: Least and most characters of a candidate, characters of context on either side, rounds of the bootstrapping.
 SHORTEST, LONGEST, CONTEXT, ROUNDS = 6, 64, 40, 3
 #: A pattern needs so many distinct instances of its kind, and this share among all it goes with; an instance this score.
@@ -94,7 +97,10 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """docs (body, base) and `tokens`: identifier-like tokens that overlap no base span, without marks at their ends."""
+    """docs (body, base) and `tokens`: identifier-like tokens that overlap no base span, without marks at their ends.
+
+    Runs of digit groups with blanks inside are candidates, too, besides the tokens they consist of.
+    """
     found = F.regexp_extract_all("body", F.lit(TOKEN), F.lit(0))
     out = docs.withColumn("_found", F.when(F.col("body").rlike("[0-9@]"), found).otherwise(F.array().cast("array<string>")))
     placed = F.when(F.size("_found") > 0, _placed(F.col("_found"), F.split("body", TOKEN, -1), "")).otherwise(_none())
@@ -106,8 +112,13 @@ def candidates(docs: DataFrame) -> DataFrame:
         start = s["start"] + F.length(tail) - F.length(own)
         return F.struct(s["kind"].alias("kind"), start.alias("start"), (start + F.length(own)).alias("end"), own.alias("value"))
 
-    apart = F.filter(F.transform(placed, trimmed), lambda s: F.length(s["value"]).between(SHORTEST, LONGEST) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return out.withColumn("tokens", apart).drop("_found")
+    runs = F.when(F.col("body").rlike(SPACED), F.regexp_extract_all("body", F.lit(RUN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    out = out.withColumn("_runs", runs)
+    ends = F.when(F.size("_runs") > 0, _placed(F.col("_runs"), F.split("body", RUN, -1), "")).otherwise(_none())
+    # a run that goes on with a letter is none; one without a blank is a token
+    whole = F.filter(ends, lambda s: s["value"].contains(" ") & ~F.substring("body", (s["end"] + 1).cast("int"), F.lit(1)).rlike(r"[^\s.,;:!?\"'()\[\]<>]"))
+    apart = F.filter(F.concat(F.transform(placed, trimmed), whole), lambda s: F.length(s["value"]).between(SHORTEST, LONGEST) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return out.withColumn("tokens", apart).drop("_found", "_runs")
 
 
 def _contexts(body: Column, span: Column) -> Column:
@@ -175,8 +186,8 @@ def find_personal_data(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two tables: rows (doc_id, text_key, base) one per document, and extra (text_key, extra) one per text with discoveries.
 
     base and extra are arrays of kind, start, end, value; places are code points of the whole text, end exclusive. base
-    holds what PATTERNS find. extra holds other tokens that the bootstrapped contexts take for personal data (see
-    bootstrap), wherever in the corpus the same value stands. Null and empty texts have none; rows with a null or repeated
+    holds what PATTERNS find. extra holds other tokens and runs of digit groups that the bootstrapped contexts take for
+    personal data (see bootstrap), without those inside a longer one, wherever in the corpus the same value stands. Null and empty texts have none; rows with a null or repeated
     doc_id are documents of their own; other columns are ignored; an empty table gives empty results.
     """
     rows = kept(mentions(docs))
@@ -184,7 +195,9 @@ def find_personal_data(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = seen.select(F.explode("patterns").alias("pattern"), "value", F.coalesce("kind", F.lit("")).alias("kind")).distinct()
     found = bootstrap(kept(pairs)).select("value", F.col("kind").alias("as"))
     spans = seen.filter("kind = ''").join(found, "value").select("text_key", F.struct(F.col("as").alias("kind"), "start", "end", "value").alias("span")).distinct()
-    extra = kept(spans.groupBy("text_key").agg(F.array_sort(F.collect_list("span")).cast(f"array<{SPAN}>").alias("extra")))
+    grouped = spans.groupBy("text_key").agg(F.array_sort(F.collect_list("span")).cast(f"array<{SPAN}>").alias("all"))
+    outer = F.filter("all", lambda s: ~F.exists("all", lambda o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (F.length(o["value"]) > F.length(s["value"]))))
+    extra = kept(grouped.select("text_key", outer.alias("extra")))
     return rows.select("doc_id", "text_key", "base"), extra
 
 

@@ -66,3 +66,30 @@ def test_segments_of_what_is_tracked(spark):
             want |= {(video, f, i): segment for i in found[f]}
     got = {(r.video_id, r.frame_idx, r.det_idx): r.segment for r in job_queries.QUERIES["segment_tracked"](spark, d).collect()}
     assert got == want and got
+
+
+def test_tracking_streams_sorted_batches():
+    import random
+
+    import pandas as pd
+
+    from veilframe.operators.tracking import Rules, run_batches
+
+    rnd, rules = random.Random(5), Rules(max_age=3, skip_after=4, skip_every=7)
+    rows = [(v, 0, f, i, 9.0 * i, 0.0, 9.0 * i + 40, 40.0, rnd.random(), 0, 60, f % 5 == 0) for v in "ab" for f in sorted(rnd.sample(range(64), 25)) for i in range(rnd.randrange(1, 4))]
+    table = pd.DataFrame(rows, columns=["video_id", "segment", "frame_idx", "det_idx", "x1", "y1", "x2", "y2", "score", "first", "end", "moving"])
+    whole = pd.concat(run_batches(iter([table]), rules), ignore_index=True)
+    assert set(whole["video_id"]) == {"a", "b"}
+    for n in (1, 2, 7):
+        cut = pd.concat(run_batches((table.iloc[i : i + n] for i in range(0, len(table), n)), rules), ignore_index=True)
+        pd.testing.assert_frame_equal(cut, whole)
+
+
+def test_long_chains_of_uploads_take_rounds(spark):
+    from veilframe.jobs import uploads
+
+    chain = [(i, f"u{(i + 1) // 2}", f"c{i // 2}", "x") for i in range(26)]
+    events = spark.createDataFrame(chain, "event_seq long, upload_id string, content_fp string, config_hash string")
+    made = uploads.creators(events)
+    assert sorted(r.event_seq for r in made.collect()) == list(range(0, 26, 2))
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().toString()

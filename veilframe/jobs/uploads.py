@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.sources.store import kept
 
 LIVE = ("queued", "processing", "completed", "needs_review")
-#: Rounds of in-batch decisions before what is left is decided in order.
+#: Rounds of in-batch decisions after which what they found is stored, so that the plan stays short.
 ROUNDS = 10
 
 
@@ -33,27 +32,16 @@ def latest_by_fingerprint(jobs: DataFrame) -> DataFrame:
     return live.withColumn("rank", F.row_number().over(order)).filter("rank = 1").drop("rank")
 
 
-def _in_order(part: pd.DataFrame) -> pd.DataFrame:
-    """Events of one configuration in order: which create a job, no earlier creator sharing either key."""
-    uploads, contents, out = set(), set(), []
-    for seq, upload, content in part.sort_values("event_seq")[["event_seq", "upload_id", "content_fp"]].itertuples(index=False):
-        if upload not in uploads and content not in contents:
-            uploads.add(upload)
-            contents.add(content)
-            out.append(seq)
-    return pd.DataFrame({"event_seq": out}, dtype="int64")
-
-
 def creators(events: DataFrame) -> DataFrame:
     """event_seq of the events that create a job, as if taken in order: no earlier creator has the upload or the content.
 
     In a round, an undecided event that comes first of its upload and first of its content creates; all others that
     share a key with it are reuse. Repeats of both keys are left out beforehand, so no hot pair meets in one task.
-    A few rounds decide nearly all; long alternating chains are finished in order, configuration by configuration.
+    Rounds go on until none is left: a few decide nearly all, a long alternating chain takes one for every two events.
     """
     left = kept(events.groupBy("upload_id", "content_fp", "config_hash").agg(F.min("event_seq").alias("event_seq")))
-    found = None
-    for _ in range(ROUNDS):
+    found, done = None, 0
+    while True:
         by_upload, by_content = Window.partitionBy("upload_id", "config_hash"), Window.partitionBy("content_fp", "config_hash")
         marked = left.withColumn("u", F.min("event_seq").over(by_upload)).withColumn("c", F.min("event_seq").over(by_content))
         new = kept(marked.withColumn("makes", (F.col("event_seq") == F.col("u")) & (F.col("event_seq") == F.col("c"))).drop("u", "c"))
@@ -65,7 +53,9 @@ def creators(events: DataFrame) -> DataFrame:
         left = kept(rest.select("event_seq", "upload_id", "content_fp", "config_hash"))
         if left.isEmpty():
             return found.select("event_seq")
-    return found.select("event_seq").unionByName(left.groupBy("config_hash").applyInPandas(_in_order, "event_seq long"))
+        done += 1
+        if done % ROUNDS == 0:
+            found = kept(found)
 
 
 def resolve_uploads(events: DataFrame, jobs: DataFrame) -> DataFrame:

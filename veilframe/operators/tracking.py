@@ -145,6 +145,42 @@ def emitted(video: str, found: Iterator[tuple[int, np.ndarray]]) -> pd.DataFrame
     return pd.DataFrame({"video_id": video, "frame_idx": flat, "track_id": table[:, ID].astype(np.int64), "x1": table[:, 1], "y1": table[:, 2], "x2": table[:, 3], "y2": table[:, 4], "score": table[:, SCORE], "det_idx": table[:, DET].astype(np.int32), "hits": table[:, HITS].astype(np.int32), "time_since_update": table[:, TSU].astype(np.int32)})
 
 
+def run_batches(batches: Iterator[pd.DataFrame], rules: Rules) -> Iterator[pd.DataFrame]:
+    """Emitted rows, with segment, of rows sorted by video_id, segment, frame_idx and det_idx, in batches cut anywhere."""
+    key, live, at, end, held = None, Live(), 0, 0, None
+
+    def advance(part: pd.DataFrame, stop: int) -> pd.DataFrame:
+        frames, moving = part["frame_idx"].to_numpy(), frozenset(part.loc[part["moving"].astype(bool), "frame_idx"])
+        dets = part[["x1", "y1", "x2", "y2", "score", "det_idx"]].to_numpy(float)
+        return emitted(key[0], run_frames(live, frames, dets, at, stop, rules, moving)).assign(segment=key[1])
+
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if not len(rows):
+            continue
+        video, segment, frame = (rows[c].to_numpy() for c in ("video_id", "segment", "frame_idx"))
+        cuts = np.flatnonzero(np.append(True, (video[1:] != video[:-1]) | (segment[1:] != segment[:-1])))
+        out = []
+        for a, b in zip(cuts, np.append(cuts[1:], len(rows)), strict=True):
+            if (video[a], segment[a]) != key:
+                key, live, end = (video[a], segment[a]), Live(), int(rows["end"].iloc[a])
+                at = 0 if rules.skip_after is not None else int(rows["first"].iloc[a])
+            if b < len(rows):
+                out.append(advance(rows.iloc[a:b], end))
+                continue
+            # the last frame may go on in the next batch
+            last = a + int(np.searchsorted(frame[a:b], frame[b - 1]))
+            if last > a:
+                stop = min(int(frame[last - 1]) + 1, end)
+                out.append(advance(rows.iloc[a:last], stop))
+                at = stop
+            held = rows.iloc[last:b]
+        if out:
+            yield pd.concat(out, ignore_index=True)
+    if held is not None:
+        yield advance(held, end)
+
+
 def segment_video(dets: DataFrame, max_age: int = 14) -> DataFrame:
     """dets with `segment`: a new one where no track can survive the gap, of max_age + 2 frames or more."""
     frames = dets.select("video_id", "frame_idx").distinct()
@@ -160,7 +196,8 @@ def track(dets: DataFrame, videos: DataFrame, rules: Rules = TWO_STAGE, segmente
     dets: video_id, frame_idx, det_idx, x1 ... y2, score; in a frame det_idx gives the order. A long video is cut into
     segments, each a group of its own, and track ids are numbered on by the births of earlier segments: the result is
     that of one pass. With skipping (rules.skip_after), whose state crosses gaps, a video is one group; motion then has
-    frames (video_id, frame_idx) whose detections always count.
+    frames (video_id, frame_idx) whose detections always count. A group's rows stream through the live tracks in order,
+    so a task holds one batch of them at a time, however long the video.
     """
     usable = dets if rules.low is None else dets.filter(F.col("score") >= rules.low)
     columns = ["video_id", "frame_idx", "det_idx", "x1", "y1", "x2", "y2", "score"]
@@ -169,21 +206,14 @@ def track(dets: DataFrame, videos: DataFrame, rules: Rules = TWO_STAGE, segmente
     nxt = F.lead("first").over(Window.partitionBy("video_id").orderBy("segment"))
     spans = spans.join(videos.select("video_id", "nframes"), "video_id").withColumn("end", F.coalesce(nxt, "nframes"))
     rows = cut.join(spans, ["video_id", "segment"])
+    if motion is not None:
+        hints = motion.select("video_id", "frame_idx").distinct().withColumn("moving", F.lit(True))
+        rows = rows.join(hints, ["video_id", "frame_idx"], "left")
+    rows = rows.withColumn("moving", F.coalesce("moving", F.lit(False)) if motion is not None else F.lit(False))
     # tracking costs far more than its few bytes suggest: keep the number of tasks, which AQE would coalesce
     rows = rows.repartition(int(dets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "video_id", "segment")
-    if motion is not None:
-        hints = motion.groupBy("video_id").agg(F.collect_set("frame_idx").alias("moving"))
-        rows = rows.join(hints, "video_id", "left")
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["frame_idx", "det_idx"])
-        dets_ = part[["x1", "y1", "x2", "y2", "score", "det_idx"]].to_numpy(float)
-        moving = part["moving"].iloc[0] if "moving" in part and len(part) else None
-        start = 0 if rules.skip_after is not None else int(part["first"].iloc[0])
-        found = run_frames(Live(), part["frame_idx"].to_numpy(), dets_, start, int(part["end"].iloc[0]), rules, frozenset(() if moving is None else moving))
-        return emitted(key[0], found).assign(segment=key[1])
-
-    local = rows.groupBy("video_id", "segment").applyInPandas(run, SCHEMA + ", segment long")
+    rows = rows.sortWithinPartitions("video_id", "segment", "frame_idx", "det_idx")
+    local = rows.mapInPandas(lambda batches: run_batches(batches, rules), SCHEMA + ", segment long")
     births = local.groupBy("video_id", "segment").agg(F.max("track_id").alias("born"))
     before = F.coalesce(F.sum("born").over(Window.partitionBy("video_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shift = births.select("video_id", "segment", before.alias("before"))

@@ -1,5 +1,10 @@
 """What narrower versions of the corpus operators left out."""
 
+import random
+import time
+
+import pytest
+
 from veilframe.llm import pii
 
 
@@ -17,6 +22,45 @@ def test_identifiers_with_blanks_are_found_whole(spark):
 
 def test_runs_beside_tokens(spark):
     df = spark.createDataFrame([(0, "a 5551234567 5559876543 b"), (1, "12 " * 1000 + "x1"), (2, "in 10.0.0.1 2 3 4"), (3, "so (706 555 3137) ok")], "doc_id long, text string")
-    found = {r.doc_id: [(s.start, s.end, s.value) for s in r.tokens] for r in pii.candidates(pii.base_spans(df.withColumnRenamed("text", "body"))).collect()}
-    assert found[0] == [(2, 12, "5551234567"), (13, 23, "5559876543"), (2, 23, "5551234567 5559876543")]
-    assert found[1] == [] and found[2] == [] and found[3] == [(4, 16, "706 555 3137")]
+    rows = pii.with_candidates(pii.with_base(df.withColumnRenamed("text", "body"))).collect()
+    found = {r.doc_id: [(m.start, m.end) for m in r.mentions if m.form != "base" and m.alike and "ip" not in m.alike] for r in rows}
+    assert found == {0: [(2, 12), (13, 23)], 1: [], 2: [(3, 17)], 3: [(4, 16)]}
+    tokens = {r.doc_id: [(m.start, m.end) for m in r.mentions if m.form == "token"] for r in rows}
+    assert len(tokens[1]) == 1001 and tokens[1][-1] == (3000, 3002)
+
+
+def test_secrets_by_name_form_and_context(spark):
+    rnd = random.Random(3)
+    hexes = ["".join(rnd.choice("0123456789abcdef") for _ in range(40)) for _ in range(8)]
+    texts = [f'see token = "{h}" here {i}' for i, h in enumerate(hexes)]
+    texts += ['one token = "zq19-x" there', "key ghp_" + "a1B2" * 9 + " lies", f"commit {hexes[0][::-1]} is fine", 'the token = "q7w8e9r0t1" too', "page 12 of 340"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows, extra = pii.find_personal_data(df)
+    spans = {r.doc_id: r.extra for r in pii.with_extra(rows, extra).collect()}
+    assert all([s.kind for s in spans[i]] == ["secret"] and texts[i][spans[i][0].start : spans[i][0].end] == h for i, h in enumerate(hexes))
+    assert [texts[9][s.start : s.end] for s in spans[9]] == ["ghp_" + "a1B2" * 9]
+    # too short for a credential; by its context alone; no context of its kind
+    assert spans[8] == [] and [texts[11][s.start : s.end] for s in spans[11]] == ["q7w8e9r0t1"] and spans[10] == [] and spans[12] == []
+
+
+def test_rounds_go_on_until_nothing_is_new(spark):
+    """Each link of a chain of contexts can be accepted only after the one before it."""
+    edges = [(b"p0", bytes([i]), "phone", ["phone"]) for i in range(6)]
+    for k in range(6):
+        new = [bytes([100 + 10 * k + i]) for i in range(5)]
+        edges += [(f"p{k}".encode(), v, "", ["phone"]) for v in new] + [(f"p{k + 1}".encode(), v, "", ["phone"]) for v in new]
+    df = spark.createDataFrame(edges, "pattern binary, value binary, kind string, alike array<string>")
+    assert pii.bootstrap(df).count() == 30
+
+
+@pytest.mark.parametrize("unit", ["{}", "10.0.{}.7", "+1 555 {}"])
+def test_long_texts_take_linear_work(spark, unit):
+    n = 20_000
+    text = "call " + " ".join(unit.format(i % 256 if "." in unit else 1_000_000 + i) for i in range(n)) + "x"
+    df = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")
+    began = time.time()
+    out = pii.mask_personal_data(df).first()
+    assert time.time() - began < 60
+    if "." in unit:
+        assert out.text == "call " + " ".join(["<IP>"] * n) + "x"
+    assert out.n_chars == len(out.text)

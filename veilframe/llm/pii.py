@@ -1,14 +1,15 @@
 """Personal data: exact base patterns, and contextual patterns bootstrapped from what these find.
 
-Everything here is DataFrame functions. The base patterns are written so that the regular expression engine neither
-recurses nor rescans: possessive quantifiers, and starts only where a longer run can't begin.
+Everything here is DataFrame functions, and linear in a text. The base patterns are written so that the regular
+expression engine neither recurses nor rescans: possessive quantifiers, and starts only where a longer run can't begin.
+Places come from prefix sums over the pieces between matches, overlaps from running maxima over sorted spans.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import kept, text_of
@@ -21,23 +22,50 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: A kind without base pattern: credentials, which seeds by form or name and contexts alone find.
+SECRET = "secret"
+KINDS = (*PATTERNS, SECRET)
 #: What a text must hold for a kind to be looked for.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Tokens that may be identifiers: runs of non-blanks with a digit or an at-sign.
-TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-#: Runs of digit groups, each bare or in brackets, with at most one blank, dot or hyphen between two; SPACED: what one with a blank holds.
+#: Tokens that may be identifiers: runs with a digit or an at-sign between blanks, quotes and marks that separate values.
+PART = r"\s\"'`=,;<>|{}"
+TOKEN = rf"(?<![^{PART}])[^{PART}0-9@]*+[0-9@][^{PART}]*+"
+#: Runs of digit groups, each bare or in brackets, with at most one blank, dot or hyphen between two.
 GROUP = r"(?:\([0-9]++\)|[0-9]++)"
-RUN, SPACED = rf"(?<![^\s\"'(\[<])\+?{GROUP}(?:[\x20.-]?+{GROUP})++", r"[0-9]\)?\x20\(?[0-9]"
-#: Least and most characters of a candidate, characters of context on either side, rounds of the bootstrapping.
-SHORTEST, LONGEST, CONTEXT, ROUNDS = 6, 64, 40, 3
+RUN, SPACED = rf"(?<![^\s\"'(\[<=:,;])\+?{GROUP}(?:[\x20.-]?+{GROUP})++", r"[0-9]\)?\x20\(?[0-9]"
+#: Marks that may stand at a candidate's ends without being part of it.
+OPENING, CLOSING = r"^[^\p{L}\p{N}+(@]++", r"[^\p{L}\p{N})]++$"
+#: Forms of credentials that public services issue, and words that name a credential.
+ISSUED = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})$"
+NAMES = r"^(?:.*[^a-z])?(?:token|secret|passwd|password|passphrase|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credentials?)(?:[^a-z].*)?$"
 #: A pattern needs so many distinct instances of its kind, and this share among all it goes with; an instance this score.
 MIN_SUPPORT, MIN_PATTERN, MIN_INSTANCE = 4, 0.8, 0.8
 #: How much an instance of no known kind that looks like the pattern's counts against it; any other counts 1.
 DOUBT = 0.25
-#: Most texts with discovered spans that are broadcast (about 200 bytes each); with more, Spark joins by a shuffle.
+#: Most texts with discovered spans, and most such spans, that are broadcast (about 100 bytes each); with more, Spark joins by a shuffle.
 MAX_BROADCAST = 100_000
+#: Elements of an array that a fold goes over at once, since appending copies what is there.
+BLOCK = 128
 
-SPAN = "struct<kind:string,start:bigint,end:bigint,value:string>"
+SPAN = "struct<kind:string,start:bigint,end:bigint>"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it occurs."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(xs: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """step(step(0, x0), x1) ... for each bigint of a bound array: folds of BLOCK elements, so that no copy grows with its length."""
+
+    def block(done: Column, nth: Column) -> Column:
+        last = F.element_at(F.element_at(done, -1), -1)
+        return F.array_append(done, F.aggregate(F.slice(xs, nth * BLOCK + 1, F.lit(BLOCK)), F.array(last), lambda out, x: F.array_append(out, step(F.element_at(out, -1), x))))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int"))
+    # each block begins with the end of the one before it, the first of all with 0
+    done = F.aggregate(blocks, F.array(F.array(F.lit(0).cast("long"))), block)
+    return F.when(F.size(xs) > 0, F.flatten(F.transform(done, lambda out: F.slice(out, 2, F.lit(BLOCK))))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _digits(value: Column) -> Column:
@@ -47,19 +75,18 @@ def _digits(value: Column) -> Column:
 def _valid(kind: str, value: Column) -> Column:
     """Whether a match counts: parts up to 255, the Luhn sum of 16 to 19 digits, 8 to 15 digits."""
     if kind == "ip":
-        return F.forall(F.split(value, r"\."), lambda p: F.when(F.length(low := F.ltrim(p, F.lit("0"))) <= 3, F.concat(F.lit("0"), low).cast("int") <= 255).otherwise(False))
+        return F.forall(F.split(value, r"\."), lambda p: _let(F.ltrim(p, F.lit("0")), lambda low: F.when(F.length(low) <= 3, F.concat(F.lit("0"), low).cast("int") <= 255).otherwise(False)))
     if kind == "phone":
         return F.length(_digits(value)).between(8, 15)
     if kind == "card":
-        number = _digits(value)
-        doubled = F.transform(F.split(F.reverse(number), ""), lambda d, i: d.cast("int") * (i % 2 + 1))
-        total = F.aggregate(doubled, F.lit(0), lambda s, x: s + F.when(x > 9, x - 9).otherwise(x))
-        return F.when(F.length(number).between(16, 19), total % 10 == 0).otherwise(False)
-    return F.lit(True)
 
+        def luhn(number: Column) -> Column:
+            doubled = F.transform(F.split(F.reverse(number), ""), lambda d, i: d.cast("int") * (i % 2 + 1))
+            total = F.aggregate(doubled, F.lit(0), lambda s, x: s + F.when(x > 9, x - 9).otherwise(x))
+            return F.when(F.length(number).between(16, 19), total % 10 == 0).otherwise(False)
 
-def _passes(kind: str) -> Callable[[Column], Column]:
-    return lambda span: _valid(kind, span["value"])
+        return _let(_digits(value), luhn)
+    return F.lit(True)
 
 
 def of_kind(kind: str) -> Callable[[Column], Column]:
@@ -67,174 +94,264 @@ def of_kind(kind: str) -> Callable[[Column], Column]:
     return lambda span: span["kind"] == kind
 
 
-def _placed(values: Column, gaps: Column, kind: str) -> Column:
-    """Spans of the matches `values`, which lie between the pieces `gaps` of the text: code points, end exclusive."""
-    lengths = F.transform(values, lambda v, i: F.struct(F.length(F.get(gaps, i)).cast("long").alias("gap"), F.length(v).cast("long").alias("own")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
-    run = F.aggregate(lengths, start, lambda s, x: F.struct((s["at"] + x["gap"] + x["own"]).alias("at"), F.array_append(s["starts"], s["at"] + x["gap"]).alias("starts")), lambda s: s["starts"])
-    return F.transform(F.arrays_zip(values.alias("value"), run.alias("start")), lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end"), m["value"].alias("value"))).cast(f"array<{SPAN}>")
+def _like(value: Column) -> Column:
+    """Kinds whose form a candidate has, loosely: what keeps patterns from drifting."""
+
+    def kinds(digits: Column) -> Column:
+        length = F.length(value)
+        phone = digits.between(7, 15) & (digits * 2 > length) & ~value.contains("@")
+        card = digits.between(12, 19) & (digits * 4 > length * 3)
+        ip = (value.contains(".") | value.contains(":")) & value.rlike(r"^[0-9A-Fa-f]{0,4}(?:[.:][0-9A-Fa-f]{0,4}){3,7}$")
+        email = (value.contains("@") | value.contains("at")) & value.rlike(r"[A-Za-z0-9]@[A-Za-z0-9]|\(at\)|\[at\]")
+        secret = (length >= 8) & (digits > 0) & (digits < length) & value.rlike(r"^[A-Za-z0-9+/_.~!$%^&*#-]++=*+$") & value.rlike("[A-Za-z]")
+        return F.array_compact(F.array(*(F.when(test, F.lit(k)) for k, test in zip(KINDS, (email, ip, card, phone, secret), strict=True))))
+
+    return _let(F.length(_digits(value)), kinds)
+
+
+def _words(before: Column, after: Column) -> Column:
+    """The last two words of `before` (null if there is none) and the first one of `after`, lower-cased; by scans from the text's near end."""
+
+    def last(turned: Column, nth: int) -> Column:
+        return F.nullif(F.reverse(F.regexp_extract(turned, r"^[\s\"'`(\[<{]*+(\S++)(?:\s++(\S++))?", nth)), F.lit(""))
+
+    first = F.nullif(F.lower(F.regexp_extract(after, r"^[\s\"'`)\]>}.,;:!?]*+(\S++)", 1)), F.lit(""))
+    return _let(F.lower(F.reverse(before)), lambda turned: F.struct(last(turned, 1).alias("last"), last(turned, 2).alias("second"), first.alias("first")))
+
+
+def _patterns(words: Column) -> Column:
+    """Lexical patterns of a mention, each as 16 bytes: the word before it, the two before it, the words before and after it."""
+    last, second, first = words["last"], words["second"], words["first"]
+    texts = (F.concat(F.lit("L "), last), F.concat(F.lit("LL "), second, F.lit(" "), last), F.concat(F.lit("LR "), last, F.lit(" _ "), first))
+    return F.array_compact(F.array(*(F.unhex(F.md5(t)) for t in texts)))
+
+
+def _matches(pattern: str, hint: Column, finish: Callable[[Column, Column, Column, Column], Column], ok: Callable[[Column], Column]) -> Column:
+    """finish(value, start, before, after) of each match of `pattern` in `body` for which ok(value) holds, in an array.
+
+    before and after are as much of the text around a match as holds two words and one, if there are so many between
+    the matches next to it. Pieces of the text are looked at a fixed number of times each.
+    """
+    pieces = F.zip_with(F.split("body", pattern, -1), F.regexp_extract_all("body", F.lit(pattern), F.lit(0)), lambda gap, value: F.struct(gap.alias("gap"), value.alias("value")))
+    none = F.array().cast("array<struct<gap:string,value:string>>")
+
+    def placed(pieces: Column, starts: Column) -> Column:
+        def near(i: Column, part: str) -> Column:
+            return F.coalesce(F.get(pieces, i)[part], F.lit(""))
+
+        def one(p: Column, i: Column) -> Column:
+            before = F.concat(near(i - 2, "gap"), near(i - 2, "value"), near(i - 1, "gap"), near(i - 1, "value"), p["gap"])
+            after = F.concat(near(i + 1, "gap"), near(i + 1, "value"))
+            return F.when(p["value"].isNotNull() & F.coalesce(ok(p["value"]), F.lit(False)), finish(p["value"], F.get(starts, i), before, after))
+
+        return F.array_compact(F.transform(pieces, one))
+
+    def found(pieces: Column) -> Column:
+        steps = F.transform(pieces, lambda p, i: (F.length(p["gap"]) + F.when(i > 0, F.coalesce(F.length(F.get(pieces, i - 1)["value"]), F.lit(0))).otherwise(0)).cast("long"))
+        starts = _let(steps, lambda xs: _running(xs, lambda at, x: at + x))
+        return F.when(F.size(pieces) > 1, _let(starts, lambda s: placed(pieces, s))).otherwise(F.array())
+
+    return _let(F.when(hint, pieces).otherwise(none), found)
 
 
-def _none() -> Column:
-    return F.array().cast(f"array<{SPAN}>")
+MENTION = "struct<form:string,kind:string,start:bigint,end:bigint,value:binary,alike:array<string>,patterns:array<binary>>"
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """docs (with a string `body`) and `base`: the spans of each kind in PATTERNS' order, by start within a kind.
+def _mention(form: str, kind: Column, start: Column, value: Column, alike: Column, words: Column) -> Column:
+    return F.struct(
+        F.lit(form).alias("form"), kind.alias("kind"), start.alias("start"), (start + F.length(value)).alias("end"),
+        F.unhex(F.md5(value)).alias("value"), alike.alias("alike"), _patterns(words).alias("patterns"),
+    ).cast(MENTION)
+
+
+def _bounds(span: Column) -> Column:
+    return F.struct(span["kind"].alias("kind"), span["start"].alias("start"), span["end"].alias("end")).cast(SPAN)
+
+
+def with_base(docs: DataFrame) -> DataFrame:
+    """docs (with a string `body`) and `mentions`: of form 'base', the spans of each kind in PATTERNS' order, by start within a kind.
 
     Matches are leftmost and don't overlap within a kind; those that fail their kind's test are dropped.
     """
-    out = docs
-    for kind, pattern in PATTERNS.items():
+
+    def finish(kind: str) -> Callable[[Column, Column, Column, Column], Column]:
+        return lambda value, start, before, after: _mention("base", F.lit(kind), start, value, F.array(F.lit(kind)), _words(before, after))
+
+    def found(kind: str, pattern: str) -> Column:
         hint = F.col("body").contains(HINTS[kind]) if HINTS[kind] else F.col("body").rlike("[0-9]")
-        found = F.when(hint, F.regexp_extract_all("body", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-        out = out.withColumn(f"_{kind}", found)
-    for kind, pattern in PATTERNS.items():
-        values = F.col(f"_{kind}")
-        spans = F.when(F.size(values) > 0, F.filter(_placed(values, F.split("body", pattern, -1), kind), _passes(kind))).otherwise(_none())
-        out = out.withColumn(f"_{kind}", spans)
-    return out.withColumn("base", F.concat(*(F.col(f"_{k}") for k in PATTERNS))).drop(*(f"_{k}" for k in PATTERNS))
+        return _matches(pattern, hint, finish(kind), lambda value: _valid(kind, value)).cast(f"array<{MENTION}>")
+
+    return docs.withColumn("mentions", F.concat(*(found(k, p) for k, p in PATTERNS.items())))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """docs (body, base) and `tokens`: identifier-like tokens that overlap no base span, without marks at their ends.
+def with_candidates(docs: DataFrame) -> DataFrame:
+    """docs (body, mentions) with candidates among the mentions, too: of form 'token' and 'run'.
 
-    Runs of digit groups with blanks inside are candidates, too, besides the tokens they consist of.
+    Tokens hold a digit or an at-sign; they count in the contexts of patterns even where they look like no kind. Runs of
+    digit groups with blanks inside are candidates if they look like a kind, besides the tokens they consist of. A token
+    of an issued form, or long and named as a credential by one of the two words before it, is a seed of SECRET.
     """
-    found = F.regexp_extract_all("body", F.lit(TOKEN), F.lit(0))
-    out = docs.withColumn("_found", F.when(F.col("body").rlike("[0-9@]"), found).otherwise(F.array().cast("array<string>")))
-    placed = F.when(F.size("_found") > 0, _placed(F.col("_found"), F.split("body", TOKEN, -1), "")).otherwise(_none())
-
-    def trimmed(s: Column) -> Column:
-        """Without opening marks before and closing marks after it."""
-        tail = F.regexp_replace(s["value"], r"[.,;:!?\"'()\[\]<>]++$", "")
-        own = F.regexp_replace(tail, r"^[\"'(\[<]++", "")
-        start = s["start"] + F.length(tail) - F.length(own)
-        return F.struct(s["kind"].alias("kind"), start.alias("start"), (start + F.length(own)).alias("end"), own.alias("value"))
-
-    runs = F.when(F.col("body").rlike(SPACED), F.regexp_extract_all("body", F.lit(RUN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    out = out.withColumn("_runs", runs)
-    ends = F.when(F.size("_runs") > 0, _placed(F.col("_runs"), F.split("body", RUN, -1), "")).otherwise(_none())
-    # a run that goes on with a letter is none; one without a blank is a token
-    whole = F.filter(ends, lambda s: s["value"].contains(" ") & ~F.substring("body", (s["end"] + 1).cast("int"), F.lit(1)).rlike(r"[^\s.,;:!?\"'()\[\]<>]"))
-    apart = F.filter(F.concat(F.transform(placed, trimmed), whole), lambda s: F.length(s["value"]).between(SHORTEST, LONGEST) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return out.withColumn("tokens", apart).drop("_found", "_runs")
-
-
-def _contexts(body: Column, span: Column) -> Column:
-    """Lexical patterns of a mention: the word before it, the two before it, the words before and after it."""
-    before = F.split(F.trim(F.lower(F.substring(body, F.greatest(F.lit(1), (span["start"] - CONTEXT + 1).cast("int")), F.least(F.lit(CONTEXT), span["start"].cast("int"))))), r"\s+")
-    after = F.split(F.trim(F.lower(F.substring(body, (span["end"] + 1).cast("int"), F.lit(CONTEXT)))), r"\s+")
-    last, two, first = F.element_at(before, -1), F.slice(before, -2, 2), F.element_at(after, 1)
-    return F.array_compact(
-        F.array(
-            F.when(last != "", F.concat(F.lit("L "), last)),
-            F.when((F.size(before) > 1) & (F.get(before, F.size(before) - 2) != ""), F.concat(F.lit("LL "), F.array_join(F.when(F.size(before) > 1, two), " "))),
-            F.when((last != "") & (first != ""), F.concat(F.lit("LR "), last, F.lit(" _ "), first)),
-        )
-    )
-
-
-def _like(kind: Column, value: Column) -> Column:
-    """Whether a candidate has the form of the kind, loosely: what keeps patterns from drifting."""
-    n = F.length(_digits(value))
-    return (
-        F.when(kind == "phone", n.between(7, 15) & (n * 2 > F.length(value)) & ~value.contains("@"))
-        .when(kind == "card", n.between(12, 19) & (n * 4 > F.length(value) * 3))
-        .when(kind == "ip", value.rlike(r"^[0-9A-Fa-f]{0,4}(?:[.:][0-9A-Fa-f]{0,4}){3,7}$"))
-        .when(kind == "email", value.rlike(r"[A-Za-z0-9]@[A-Za-z0-9]|\(at\)|\[at\]"))
-        .otherwise(False)
-    )
-
-
-def mentions(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, text_key (SHA-256), base, and tokens with base spans' and their own contexts."""
-    source = docs.select("doc_id", text_of().alias("body"))
-    found = candidates(base_spans(source))
-    seen = F.transform(F.concat("base", "tokens"), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _contexts(F.col("body"), s).alias("patterns")))
-    return found.select("doc_id", F.unhex(F.sha2("body", 256)).alias("text_key"), "base", seen.alias("seen"))
+
+    def candidate(form: str) -> Callable[[Column, Column, Column, Column], Column]:
+        def finish(value: Column, start: Column, before: Column, after: Column) -> Column:
+            def own(inner: Column, tail: Column) -> Column:
+                at = start + F.length(tail) - F.length(inner)
+
+                def seen(words: Column, alike: Column) -> Column:
+                    # words are lower-cased already; the one before an equals sign may be joined with it
+                    named = F.coalesce(words["last"].rlike(NAMES), F.lit(False)) | F.coalesce(words["second"].rlike(NAMES) & words["last"].rlike("^[^a-z]*$"), F.lit(False))
+                    seed = F.array_contains(alike, SECRET) & (F.length(inner) >= 14) & (inner.rlike(ISSUED) | ((F.length(inner) >= 16) & named))
+                    return _mention(form, F.when(F.lit(form == "token") & seed, SECRET).otherwise(""), at, inner, alike, words)
+
+                shown = _let(_words(before, after), lambda words: _let(_like(inner), lambda alike: seen(words, alike)))
+                # a run that goes on with a letter is none
+                ends = F.lit(True) if form == "token" else ~after.rlike(r"^[^\s.,;:!?\"')\]>]")
+                return F.when((inner != "") & ends, shown)
+
+            return _let(F.regexp_replace(value, CLOSING, ""), lambda tail: _let(F.regexp_replace(tail, OPENING, ""), lambda inner: own(inner, tail)))
+
+        return finish
+
+    def whole(value: Column) -> Column:
+        """A run with a blank, of a kind's form; one without is a token."""
+        return value.contains(" ") & (F.size(_like(value)) > 0)
+
+    tokens = _matches(TOKEN, F.col("body").rlike("[0-9@]"), candidate("token"), lambda value: F.lit(True))
+    runs = _matches(RUN, F.col("body").rlike(SPACED), candidate("run"), whole)
+    return docs.withColumn("mentions", F.concat("mentions", tokens.cast(f"array<{MENTION}>"), runs.cast(f"array<{MENTION}>")))
 
 
 def bootstrap(edges: DataFrame) -> DataFrame:
-    """(value, kind) of the identifiers that patterns discover, from edges (pattern, value, kind or '' if not known).
+    """(value, kind) of the identifiers that patterns discover, from edges (pattern, value, kind or '' if not known, alike).
 
     In each round a pattern's score for a kind is the share of its instances which that kind holds, each weighted with
     its own score (seeds: 1), if at least MIN_SUPPORT instances of the kind are known; unknown instances that look like
     the kind count DOUBT in the whole. An instance's score is that of at least one of its accepted patterns holding,
-    1 - prod(1 - score), for the kind it looks like. Scores are summed up in each task before a shuffle, so that a word
+    1 - prod(1 - score), for the kind it looks like; it enters with the score it has in the round that accepts it.
+    Rounds go on until one accepts nothing new. Scores are summed up in each task before a shuffle, so that a word
     before a third of all identifiers doesn't meet in one task.
     """
-    values = edges.select("value", "kind").distinct()
-    known = kept(values.filter("kind != ''").select("value", "kind", F.lit(1.0).alias("score")))
-    alike = [F.sum(((F.col("kind") == "") & _like(F.lit(k), F.col("value"))).cast("int")).alias(k) for k in PATTERNS]
+    known = kept(edges.filter("kind != ''").select("value", "kind", F.lit(1.0).alias("score")).distinct())
+    alike = [F.sum(((F.col("kind") == "") & F.array_contains("alike", k)).cast("int")).alias(k) for k in KINDS]
     degree = kept(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *alike))
-    doubtful = F.coalesce(*(F.when(F.col("of") == k, F.col(k)) for k in PATTERNS))
-    seeds, found = known, None
-    for _ in range(ROUNDS):
-        support = edges.join(known.select("value", F.col("kind").alias("of"), "score"), "value").groupBy("pattern", "of").agg(F.sum("score").alias("sum"), F.count(F.lit(1)).alias("many"))
+    doubtful = F.coalesce(*(F.when(F.col("of") == k, F.col(k)) for k in KINDS))
+    unknown, found = kept(edges.filter("kind = '' and size(alike) > 0").select("pattern", "value", "alike")), known.limit(0).select("value", "kind", "score")
+    while True:
+        support = edges.select("pattern", "value").join(known.select("value", F.col("kind").alias("of"), "score"), "value").groupBy("pattern", "of").agg(F.sum("score").alias("sum"), F.count(F.lit(1)).alias("many"))
         good = support.filter(F.col("many") >= MIN_SUPPORT).join(degree, "pattern").withColumn("held", F.col("sum") / (F.col("n") - (1 - DOUBT) * doubtful)).filter(F.col("held") >= MIN_PATTERN)
         good = kept(good.select("pattern", "of", F.least(F.col("held"), F.lit(0.99)).alias("held")))
-        new = edges.filter("kind = ''").join(good, "pattern").filter(_like(F.col("of"), F.col("value")))
+        new = unknown.join(found, "value", "left_anti").join(good, "pattern").filter(F.expr("array_contains(alike, of)"))
         scored = new.groupBy("value", "of").agg((1 - F.exp(F.sum(F.log(1 - F.col("held"))))).alias("score")).filter(F.col("score") >= MIN_INSTANCE)
-        best = scored.groupBy("value").agg(F.max_by(F.struct("of", "score"), F.struct("score", "of")).alias("best"))
-        found = kept(best.select("value", F.col("best.of").alias("kind"), F.col("best.score").alias("score")))
-        known = kept(seeds.unionByName(found))
-    return found
+        best = kept(scored.groupBy("value").agg(F.max_by(F.struct("of", "score"), F.struct("score", "of")).alias("best")).select("value", F.col("best.of").alias("kind"), F.col("best.score").alias("score")))
+        if best.isEmpty():
+            return found.select("value", "kind")
+        found = kept(found.unionByName(best))
+        known = kept(known.unionByName(best))
+
+
+def _apart(spans: DataFrame) -> DataFrame:
+    """Mentions (text_key, form, start, end, ...) without candidates that overlap a base span of their text."""
+    base = F.col("form") == "base"
+    up = Window.partitionBy("text_key").orderBy("start", F.desc("end"), F.desc(base)).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("text_key").orderBy(F.desc("start"), F.desc(base)).rowsBetween(Window.unboundedPreceding, 0)
+    # base spans that start with or before a candidate, and with or after it; those that start with it may be in either window
+    marked = spans.withColumn("_end", F.max(F.when(base, F.col("end"))).over(up)).withColumn("_next", F.min(F.when(base, F.col("start"))).over(down))
+    clear = (F.coalesce(F.col("_end") <= F.col("start"), F.lit(True))) & (F.coalesce(F.col("_next") >= F.col("end"), F.lit(True)))
+    return marked.filter(base | clear).drop("_end", "_next")
+
+
+def discovered(rows: DataFrame) -> DataFrame:
+    """(text_key, extra): for each text with any, the spans found beside base ones, by start; from rows (text_key, mentions)."""
+    texts = rows.filter(F.size("mentions") > 0).groupBy("text_key").agg(F.any_value("mentions").alias("mentions"))
+    seen = kept(_apart(texts.select("text_key", F.explode("mentions").alias("m")).select("text_key", "m.*")))
+    edges = kept(seen.select(F.explode("patterns").alias("pattern"), "value", "kind", "alike").distinct())
+    found = bootstrap(edges).select("value", F.col("kind").alias("as"))
+    open_ = seen.filter("form != 'base'").select("text_key", "kind", "start", "end", "value")
+    spans = open_.filter("kind = ''").join(found, "value").select("text_key", F.col("as").alias("kind"), "start", "end")
+    spans = spans.unionByName(open_.filter("kind != ''").select("text_key", "kind", "start", "end"))
+    # a span inside one that starts earlier, or with it and is longer, goes
+    before = Window.partitionBy("text_key").orderBy("start", F.desc("end"), "kind").rowsBetween(Window.unboundedPreceding, -1)
+    outer = spans.withColumn("_far", F.max("end").over(before)).filter("_far is null or _far < end")
+    return outer.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("all")).select("text_key", F.transform("all", _bounds).alias("extra"))
 
 
 def find_personal_data(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two tables: rows (doc_id, text_key, base) one per document, and extra (text_key, extra) one per text with discoveries.
 
-    base and extra are arrays of kind, start, end, value; places are code points of the whole text, end exclusive. base
-    holds what PATTERNS find. extra holds other tokens and runs of digit groups that the bootstrapped contexts take for
-    personal data (see bootstrap), without those inside a longer one, wherever in the corpus the same value stands. Null and empty texts have none; rows with a null or repeated
-    doc_id are documents of their own; other columns are ignored; an empty table gives empty results.
+    base and extra are arrays of kind, start, end; places are code points of the whole text, end exclusive. base holds
+    what PATTERNS find. extra holds seeds of SECRET, and other tokens and runs of digit groups that the bootstrapped
+    contexts take for personal data (see bootstrap), without those inside a longer one, wherever in the corpus the same
+    value stands. Null and empty texts have none; rows with a null or repeated doc_id are documents of their own; other
+    columns are ignored; an empty table gives empty results.
     """
-    rows = kept(mentions(docs))
-    seen = rows.filter(F.size("seen") > 0).select("text_key", F.explode("seen").alias("s")).select("text_key", "s.*")
-    pairs = seen.select(F.explode("patterns").alias("pattern"), "value", F.coalesce("kind", F.lit("")).alias("kind")).distinct()
-    found = bootstrap(kept(pairs)).select("value", F.col("kind").alias("as"))
-    spans = seen.filter("kind = ''").join(found, "value").select("text_key", F.struct(F.col("as").alias("kind"), "start", "end", "value").alias("span")).distinct()
-    grouped = spans.groupBy("text_key").agg(F.array_sort(F.collect_list("span")).cast(f"array<{SPAN}>").alias("all"))
-    outer = F.filter("all", lambda s: ~F.exists("all", lambda o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (F.length(o["value"]) > F.length(s["value"]))))
-    extra = kept(grouped.select("text_key", outer.alias("extra")))
-    return rows.select("doc_id", "text_key", "base"), extra
+    source = docs.select("doc_id", text_of().alias("body"))
+    found = with_candidates(with_base(source)).select("doc_id", F.unhex(F.sha2("body", 256)).alias("text_key"), "mentions")
+    rows = kept(found)
+    base = F.transform(F.filter("mentions", lambda m: m["form"] == "base"), _bounds)
+    return rows.select("doc_id", "text_key", base.alias("base")), kept(discovered(rows.select("text_key", "mentions")))
 
 
 def with_extra(rows: DataFrame, extra: DataFrame) -> DataFrame:
     """rows (with text_key) and their `extra` spans, an empty array where there are none."""
-    if extra.count() <= MAX_BROADCAST:
+    size = extra.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("extra")), F.lit(0))).first()
+    if max(size) <= MAX_BROADCAST:
         extra = F.broadcast(extra)
-    return rows.join(extra, "text_key", "left").withColumn("extra", F.coalesce("extra", _none()))
+    return rows.join(extra, "text_key", "left").withColumn("extra", F.coalesce("extra", F.array().cast(f"array<{SPAN}>")))
 
 
 def spans_text(spans: Column) -> Column:
-    """kind:start:end of spans, by kind in PATTERNS' order, then start; comma-joined."""
-    order = F.create_map(*(x for i, k in enumerate(PATTERNS) for x in (F.lit(k), F.lit(i))))
+    """kind:start:end of spans, by kind in KINDS' order, then start; comma-joined."""
+    order = F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))))
     placed = F.array_sort(F.transform(spans, lambda s: F.struct(order[s["kind"]], s["start"], s["end"], s["kind"].alias("k"))))
     return F.array_join(F.transform(placed, lambda s: F.concat_ws(":", s["k"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def mask(body: Column, spans: Column) -> Column:
-    """The text with each span, or run of overlapping ones, replaced by the first one's kind in angle brackets."""
+    """The text with each span, or run of overlapping ones, replaced by the first one's kind in angle brackets.
+
+    The text is cut into stretches of BLOCK spans, and each of these into its pieces, so that no piece is looked for
+    from the start of a long text.
+    """
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
 
-    def step(acc: Column, s: Column) -> Column:
-        text = F.substring(body, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        parts = F.when(s["start"] >= acc["at"], F.concat(acc["parts"], F.array(text, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))).otherwise(acc["parts"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), parts.alias("parts"))
+    def stretch(at: Column, spans: Column, ends: Column) -> Column:
+        """The text from the end of the spans before the at-th to that of the last of BLOCK spans."""
+        last = F.least(at + BLOCK, F.size(spans)) - 1
+        begin = F.coalesce(F.get(ends, at - 1), F.lit(0).cast("long"))
+
+        def pieces(text: Column) -> Column:
+            def one(i: Column) -> Column:
+                span, seen = F.get(spans, i), F.coalesce(F.get(ends, i - 1), F.lit(0).cast("long"))
+                piece = F.substring(text, (seen - begin + 1).cast("int"), (span["start"] - seen).cast("int"))
+                return F.when(span["start"] >= seen, F.concat(piece, F.lit("<"), F.upper(span["kind"]), F.lit(">"))).otherwise("")
 
-    masked = F.aggregate(ordered, none, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(body, (acc["at"] + 1).cast("int"), F.length(body))))
-    return F.when(F.size(spans) > 0, masked).otherwise(body)
+            return F.array_join(F.transform(F.sequence(at, last), one), "")
+
+        return _let(F.substring(body, (begin + 1).cast("int"), (F.get(ends, last) - begin).cast("int")), pieces)
+
+    def masked(spans: Column, ends: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.size(spans) - 1, F.lit(BLOCK)), lambda at: stretch(at, spans, ends))
+        tail = F.substring(body, (F.element_at(ends, -1) + 1).cast("int"), F.length(body))
+        return F.concat(F.array_join(parts, ""), tail)
+
+    def far(spans: Column) -> Column:
+        return _let(F.transform(spans, lambda s: s["end"]), lambda xs: _running(xs, lambda at, x: F.greatest(at, x)))
+
+    return F.when(F.size(spans) > 0, _let(ordered, lambda spans: _let(far(spans), lambda ends: masked(spans, ends)))).otherwise(body)
 
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
-    """docs, all columns and rows as they came, with personal data in `text` masked and n_chars (if there) brought up to date."""
-    _, extra = find_personal_data(docs)
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text_of().alias("body"), F.unhex(F.sha2(text_of(), 256)).alias("text_key"))
-    found = with_extra(base_spans(row), extra)
-    text = F.when(F.col("row.text").isNotNull(), mask(F.col("body"), F.concat("base", "extra")))
-    found = found.withColumn("masked", text)
+    """docs, all columns and rows as they came, with personal data in `text` masked and n_chars (if there) brought up to date.
+
+    Null and empty texts stay as they are, and so does n_chars where nothing is masked; rows with a null or repeated
+    doc_id are documents like any other; an empty table stays empty. The texts are searched once, stored with their
+    mentions, and masked when what the whole corpus taught is known.
+    """
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text_of().alias("body"))
+    found = kept(with_candidates(with_base(row)).select("row", F.unhex(F.sha2("body", 256)).alias("text_key"), "mentions"))
+    extra = kept(discovered(found.select("text_key", "mentions")))
+    base = F.transform(F.filter("mentions", lambda m: m["form"] == "base"), _bounds)
+    spans = with_extra(found.select("row", "text_key", base.alias("base")), extra).select("row", F.concat("base", "extra").alias("spans"))
+    done = spans.withColumn("masked", F.when(F.size("spans") > 0, mask(F.col("row.text").cast("string"), F.col("spans"))))
     changed = {"text": F.col("masked"), "n_chars": F.length("masked").cast("long")}
-    return found.select(*((changed[c] if c == "text" else F.when(F.size(F.concat("base", "extra")) > 0, changed[c]).otherwise(F.col(f"row.`{c}`"))).alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return done.select(*(F.when(F.size("spans") > 0, changed[c]).otherwise(F.col(f"row.`{c}`")).alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -40,7 +40,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_extra(*find_personal_data(read_documents(spark, sf_dir)))
     counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{k}") for k in PATTERNS]
-    return rows.select("doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.concat("base", "extra")).alias("spans"))
+    every = F.concat("base", "extra")
+    return rows.select("doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(every).alias("spans"), F.size(every).cast("long").alias("n_spans"))
 
 
 def op4_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,22 @@ def test_lines_by_join_and_first_occurrence(spark, docs):
     assert first[80].n_dropped == 1 and first[81].n_dropped == 2
 
 
+def test_larger_sets_are_tried_on_a_sample(spark):
+    """Links between sets on both sides of the least size that is sampled, near the threshold, against all pairs."""
+    rnd = random.Random(9)
+    sets = []
+    for i in range(60):
+        words = [f"v{i}_{k}" for k in range(rnd.choice([50, 60, 66, 70, 84, 90, 200]))]
+        sets.append(words)
+        cut = rnd.randrange(len(words) // 4)
+        sets.append(words[cut:] + [f"e{i}_{k}" for k in range(rnd.randrange(6))])
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(sets)], "doc_id long, text string").repartition(5)
+    grams = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in sets]
+    want = {(i, i - 1 if i % 2 and 100 * len(grams[i] & grams[i - 1]) >= 80 * len(grams[i] | grams[i - 1]) else i) for i in range(len(sets))}
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.link_components(df).collect()}
+    assert got == want and 20 < sum(a != b for a, b in want) < 58
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(7, 7)]

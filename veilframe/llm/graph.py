@@ -1,4 +1,4 @@
-"""Connected components of a graph of bigint nodes, by alternating stars (Kiveris et al., 2014)."""
+"""Connected components of a graph, whose nodes are of any ordered type, by alternating stars (Kiveris et al., 2014)."""
 
 from __future__ import annotations
 
@@ -29,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         edges = kept(_stars(_stars(edges, large=True), large=False))
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b") % 1_000_003)).first()
+        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.hash("b", "a"))).first()
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = now

@@ -3,10 +3,11 @@
 The steps, all exact:
 
 1. Each text becomes the sorted set of hashes of its distinct word shingles; documents with equal sets are one class.
-2. A set can only be linked if at least the threshold's share of its shingles occurs in other sets. Inverted lists over
-   32-bit fingerprints, dealt by the shingle's hash, give these counts; a shingle that several sets of a batch share is
-   counted there and travels once. Only sets with enough shared shingles go on (an equal fingerprint of two shingles
-   lets one through in vain and loses none).
+2. A set can only be linked if at most a fifth of its shingles occurs in no other set. Inverted lists over 32-bit
+   fingerprints, dealt by the shingle's hash, tell which do; a shingle that several sets of a batch share is counted
+   there and travels once. Of sets beyond SMALL one shingle in SAMPLE is looked at: where more of these stand alone
+   than all of the set's shingles may, it links with none. The others go on (equal fingerprints and the shingles not
+   looked at let some through in vain and lose none).
 3. Sets meet in cells of sets with an equal shingle: first those of each set's few least hashes, where most links are
    found; then, for what the links found so far leave apart, those of its whole prefix, in which two linked sets must
    share a shingle. In a cell, a T-occurrence search finds who reaches the overlap.
@@ -32,18 +33,20 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .graph import components
-from .shared import binaries, kept, mix64, text_of, u64
+from .shared import binaries, by_bytes, kept, mix64, text_of, u64
 
 #: Words in a shingle, and the least Jaccard similarity as a fraction.
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Least hashes of a set that give its cells in the first round; sets in a chunk of a cell.
-CELLS, CHUNK = 4, 1000
+CELLS, CHUNK = 2, 1000
 #: Shingles that a group of inverted lists, and a group of cells, holds on average.
 LIST_SHINGLES, CELL_SHINGLES = 2_000_000, 1_000_000
-#: Bytes of text to a shingle, about, for the number of groups alone; documents whose postings travel together.
-BYTES_A_SHINGLE, POST_BATCH = 6, 4000
-#: Counters of the frequency sketch, one byte each, and how many of them a shingle counts in.
-COUNTERS, ROWS = 1 << 22, 2
+#: Bytes of text to a shingle, about, for the number of groups alone; and bytes of text whose sets a task holds at a time, a longer one alone.
+BYTES_A_SHINGLE, BATCH_BYTES = 6, 8 << 20
+#: Sets of at most SMALL shingles are tried on all of them, larger ones on those whose fingerprint SAMPLE divides.
+SMALL, SAMPLE = 64, 3
+#: Least and most counters of the frequency sketch, one byte each, and how many of them a shingle counts in.
+MIN_COUNTERS, MAX_COUNTERS, ROWS = 1 << 20, 1 << 25, 2
 #: Weighs probing against merging in the number of long lists, as the paper proposes.
 MU = 0.01
 
@@ -172,15 +175,25 @@ def links_between(sets: list[np.ndarray], groups: list[int], queries: list[int])
     return links
 
 
-def set_id_of(data: bytes) -> int:
-    """A set's name, from its shingles' bytes: a signed 64-bit hash."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(data)).astype(np.int64))
+def set_id_of(data: bytes) -> bytes:
+    """A set's name: a 128-bit hash of its shingles' bytes."""
+    return xxhash.xxh3_128_digest(data)
+
+
+def _short(ids: list[bytes | None]) -> np.ndarray:
+    """The first 64 bits of names, which the search for suspects does with; 0 for none."""
+    return np.array([int.from_bytes(i[:8], "little") if i else 0 for i in ids], np.uint64)
+
+
+def _posted(prints: np.ndarray, small: np.ndarray) -> np.ndarray:
+    """Which fingerprints count for their owner: all of small sets, one in SAMPLE of others."""
+    return small | (prints % np.uint64(SAMPLE) == 0)
 
 
 def shingle_sets(docs: DataFrame, suspected: np.ndarray) -> DataFrame:
-    """doc_id, key (a hash of the text), n (shingles), set_id (null if empty), shingles (their hashes, sorted, u64 little-endian).
+    """doc_id, key (a hash of the text), n (shingles), set_id (null if empty), short (its first 64 bits), shingles (their hashes, sorted, u64 little-endian).
 
-    shingles is null but for sets that the Bloom filter `suspected` may hold, and there but for a task's first such row.
+    shingles is null but for sets whose short the Bloom filter `suspected` may hold, and there but for a task's first such row.
     """
     rows = docs.select("doc_id", text_of().cast("binary").alias("body"), F.xxhash64(text_of()).alias("key"))
     shared = docs.sparkSession.sparkContext.broadcast(suspected.tobytes())
@@ -188,15 +201,15 @@ def shingle_sets(docs: DataFrame, suspected: np.ndarray) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = np.frombuffer(shared.value, np.uint8), set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in by_bytes(batch, 1, BATCH_BYTES):
                 data = [shingles(x).tobytes() for x in part.column(1).to_pylist()]
                 ids = [set_id_of(x) if x else None for x in data]
-                live = bloom.holds(bits, np.array([i or 0 for i in ids], np.int64).view(np.uint64)).tolist()
+                short = _short(ids)
+                live = bloom.holds(bits, short).tolist()
                 sent = [x if x and k and i not in seen and not seen.add(i) else None for x, i, k in zip(data, ids, live, strict=True)]
-                yield pa.record_batch([part.column(0), part.column(2), pa.array([len(x) // 8 for x in data], pa.int64()), pa.array(ids, pa.int64()), binaries(sent)], ["doc_id", "key", "n", "set_id", "shingles"])
+                yield pa.record_batch([part.column(0), part.column(2), pa.array([len(x) // 8 for x in data], pa.int64()), binaries(ids), pa.array(short.view(np.int64)), binaries(sent)], ["doc_id", "key", "n", "set_id", "short", "shingles"])
 
-    return rows.mapInArrow(build, f"doc_id {rows.schema[0].dataType.simpleString()}, key long, n long, set_id long, shingles binary")
+    return rows.mapInArrow(build, f"doc_id {rows.schema[0].dataType.simpleString()}, key long, n long, set_id binary, short long, shingles binary")
 
 
 def _grouped(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -217,7 +230,11 @@ def _share_counts(owners: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, n
 
 
 def suspects(docs: DataFrame) -> DataFrame:
-    """set_id of the sets that share at least the threshold's part of their shingles with others."""
+    """short of the sets that may share the threshold's part of their shingles with others.
+
+    Postings travel as (names' first bits, `sizes`: twice the shared shingles that a set needs and 1 if it is small,
+    counts, fingerprints). Two names with equal first bits need the smaller number of both.
+    """
     source = docs.select(text_of().cast("binary").alias("body"))
     total = (source.agg(F.sum(F.length("body"))).first()[0] or 0) // BYTES_A_SHINGLE
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // LIST_SHINGLES))
@@ -235,21 +252,29 @@ def suspects(docs: DataFrame) -> DataFrame:
             yield rows(base + part, ids[order[at]], sizes[order[at]], counts[order[at]], None)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in (b.slice(at, POST_BATCH) for b in batches for at in range(0, b.num_rows, POST_BATCH)):
+        seen: set[bytes] = set()
+        for batch in (part for b in batches for part in by_bytes(b, 0, BATCH_BYTES)):
             every = [shingles(x) for x in batch.column(0).to_pylist()]
             names_ = [set_id_of(x.tobytes()) if len(x) else None for x in every]
             own = [i for i, x in enumerate(names_) if x is not None and x not in seen and not seen.add(x)]
             if not own:
                 continue
             sets_ = [every[i] for i in own]
-            ids, sizes = np.array([names_[i] for i in own], np.int64).view(np.uint64), np.array([len(x) for x in sets_])
-            flat, owner = np.concatenate(sets_), np.repeat(np.arange(len(own)), sizes)
+            ids, n = _short([names_[i] for i in own]), np.array([len(x) for x in sets_])
+            flat, owner = np.concatenate(sets_), np.repeat(np.arange(len(own)), n)
+            prints, small = flat & np.uint64(0xFFFFFFFF), n <= SMALL
+            # what a small set links with is at most a quarter larger and must be there in full, too
+            there = _posted(prints, (n * NUMERATOR <= SMALL * DENOMINATOR)[owner])
+            tried = np.bincount(owner[_posted(prints, small[owner])], minlength=len(own))
+            need = np.maximum(0, tried - (n - (-(-NUMERATOR * n // DENOMINATOR))))
+            sizes = need * 2 + small
+            yield from tallies(ids[need == 0], sizes[need == 0], need[need == 0], parts)
+            flat, owner = flat[there], owner[there]
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
-            first = np.append(True, flat[1:] != flat[:-1])
+            first = np.append(True, flat[1:] != flat[:-1])[: len(flat)]
             here = np.bincount(np.cumsum(first) - 1)[np.cumsum(first) - 1] > 1
-            counts = np.bincount(owner[here], minlength=len(own))
+            counts = np.bincount(owner[here & _posted(flat & np.uint64(0xFFFFFFFF), small[owner])], minlength=len(own))
             yield from tallies(ids[counts > 0], sizes[counts > 0], counts[counts > 0], parts)
             # a shingle of several sets goes on once, as that of nobody (0), since its sets are counted
             flat, owner, here = flat[first], owner[first], here[first]
@@ -272,7 +297,8 @@ def suspects(docs: DataFrame) -> DataFrame:
             number = np.cumsum(ids == 0).astype(np.uint64)
             owners = np.repeat(np.where(ids == 0, number, ids), counts)
             shared, order, repeated = _share_counts(owners, prints)
-            row = np.repeat(np.arange(len(ids)), counts)[order][shared & ~repeated]
+            tried = _posted(prints.astype(np.uint64), np.repeat(sizes % 2 == 1, counts))[order]
+            row = np.repeat(np.arange(len(ids)), counts)[order][shared & ~repeated & tried]
             n = np.bincount(row, minlength=len(ids))
             good = (n > 0) & (ids != 0)
             out = list(tallies(ids[good], sizes[good], n[good], parts))
@@ -280,13 +306,13 @@ def suspects(docs: DataFrame) -> DataFrame:
 
     def choose(group: pa.Table) -> pa.Table:
         ids, sizes, counts = (np.concatenate([np.frombuffer(x, t) for x in group[n].to_pylist()]) for n, t in zip(names[1:4], ("<u8", "<u4", "<u4"), strict=True))
-        unique, first, which = np.unique(ids, return_index=True, return_inverse=True)
-        n = np.bincount(which, weights=counts)
-        enough = n >= -(-NUMERATOR * sizes[first].astype(np.int64) // DENOMINATOR)
-        return pa.table({"set_id": pa.array(unique[enough].view(np.int64), pa.int64())})
+        unique, which = np.unique(ids, return_inverse=True)
+        n, need = np.bincount(which, weights=counts), np.full(len(unique), np.iinfo(np.int64).max)
+        np.minimum.at(need, which, sizes.astype(np.int64) // 2)
+        return pa.table({"short": pa.array(unique[n >= need].view(np.int64), pa.int64())})
 
     posted = source.mapInArrow(post, kinds)
-    return posted.groupBy("part").applyInArrow(count, kinds).groupBy("part").applyInArrow(choose, "set_id long")
+    return posted.groupBy("part").applyInArrow(count, kinds).groupBy("part").applyInArrow(choose, "short long")
 
 
 def _searched(cells: DataFrame, total: int, between: bool) -> DataFrame:
@@ -303,9 +329,9 @@ def _searched(cells: DataFrame, total: int, between: bool) -> DataFrame:
             found = links_between(sets, comps[at], [i for i, x in enumerate(asks[at]) if x]) if between else links_within(sets)
             a += [ids[at.start + i] for i, _ in found]
             b += [ids[at.start + j] for _, j in found]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return pa.table({"a": binaries(a), "b": binaries(b)})
 
-    return cells.groupBy(F.pmod("cell", F.lit(parts)).alias("deal")).applyInArrow(lambda _, g: search(g), "a long, b long")
+    return cells.groupBy(F.pmod("cell", F.lit(parts)).alias("deal")).applyInArrow(lambda _, g: search(g), "a binary, b binary")
 
 
 def link_components(docs: DataFrame) -> DataFrame:
@@ -321,14 +347,14 @@ def link_components(docs: DataFrame) -> DataFrame:
     sets = kept(shingle_sets(docs, suspected), "none")
     named = sets.filter("set_id is not null")
     classes = kept(named.groupBy("set_id").agg(F.min("doc_id").alias("rep")))
-    live = named.filter("shingles is not null").join(chosen, "set_id", "left_semi")
+    live = named.filter("shingles is not null").join(chosen, "short", "left_semi")
     live = kept(live.groupBy("set_id").agg(F.any_value("n").alias("n"), F.any_value("shingles").alias("shingles")), "none")
     alive = live.agg(F.sum("n")).first()[0] or 0
-    heads = live.mapInArrow(_heads(lambda x: x[:CELLS]), "shingle long, set_id long")
+    heads = live.mapInArrow(_heads(lambda x: x[:CELLS]), "shingle long, set_id binary")
     links = kept(_searched(_cells(heads, live), alive * CELLS, between=False))
     roots = kept(components(links))
     comp = kept(live.join(roots, live.set_id == roots.node, "left").select("set_id", "n", F.coalesce("root", "set_id").alias("comp"), "shingles"), "none")
-    apart = _apart(comp)
+    apart = _apart(comp, alive)
     if not apart.isEmpty():
         cells = apart.join(comp, "set_id").select("cell", "set_id", "comp", "asks", "shingles")
         later = kept(_searched(cells, apart.join(comp, "set_id").agg(F.sum("n")).first()[0], between=True))
@@ -371,37 +397,48 @@ def _heads(choose: Callable[[np.ndarray], np.ndarray]) -> Callable:
         for batch in batches:
             names = batch.schema.names
             flat = [choose(np.frombuffer(x, "<u8")).view("<i8") for x in batch.column(names.index("shingles")).to_pylist()]
-            ids = np.repeat(batch.column(names.index("set_id")).to_numpy(), [len(x) for x in flat])
-            yield pa.record_batch([pa.array(np.concatenate(flat) if flat else [], pa.int64()), pa.array(ids, pa.int64())], ["shingle", "set_id"])
+            own = np.repeat(np.arange(batch.num_rows), [len(x) for x in flat])
+            yield pa.record_batch([pa.array(np.concatenate(flat) if flat else [], pa.int64()), batch.column(names.index("set_id")).take(pa.array(own))], ["shingle", "set_id"])
 
     return heads
 
 
-def _counters(flat: np.ndarray) -> np.ndarray:
-    """(ROWS, n) counters of each shingle."""
-    return np.stack([(mix64(flat ^ np.uint64(i + 1)) % np.uint64(COUNTERS)).astype(np.int64) for i in range(ROWS)])
+def _counters(flat: np.ndarray, counters: int) -> np.ndarray:
+    """(ROWS, n) counters of each shingle, of so many."""
+    return np.stack([(mix64(flat ^ np.uint64(i + 1)) & np.uint64(counters - 1)).astype(np.int64) for i in range(ROWS)])
+
+
+def _level(sums: np.ndarray) -> np.ndarray:
+    """Counts in eighths of a power of two, in one byte: 0 for 0, 1 for 1, up to 2 ** 31."""
+    return np.where(sums > 0, np.minimum(255, 1 + np.floor(8 * np.log2(np.maximum(sums, 1)))), 0).astype(np.uint8)
 
 
-def frequencies(live: DataFrame) -> np.ndarray:
-    """A count-min sketch of how many sets hold each shingle, up to 255: COUNTERS bytes, whatever the data."""
+def frequencies(live: DataFrame, total: int) -> np.ndarray:
+    """A count-min sketch of how many sets hold each shingle, as levels (see _level).
+
+    It has about as many counters as live shingles in all (`total`), MAX_COUNTERS at most. Beyond that many, counts
+    stand out only above what falls on each counter by chance, ROWS * total / MAX_COUNTERS: passages that more sets
+    hold still come last, and rarer shingles follow each other by their hash.
+    """
+    counters = min(MAX_COUNTERS, max(MIN_COUNTERS, 1 << int(total).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(COUNTERS, np.int64)
+        sums = np.zeros(counters, np.uint32)
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                np.add.at(sums, _counters(np.frombuffer(data, "<u8")).ravel(), 1)
+                np.add.at(sums, _counters(np.frombuffer(data, "<u8"), counters).ravel(), 1)
         at = np.flatnonzero(sums)
         for block in np.unique(at >> 16):
             own = at[np.searchsorted(at, block << 16) : np.searchsorted(at, (block + 1) << 16)]
-            yield pa.record_batch([pa.array([block], pa.int32()), binaries([(own & 0xFFFF).astype("<u2").tobytes()]), binaries([np.minimum(sums[own], 255).astype(np.uint8).tobytes()])], ["block", "at", "n"])
+            yield pa.record_batch([pa.array([block], pa.int32()), binaries([(own & 0xFFFF).astype("<u2").tobytes()]), binaries([np.minimum(sums[own], 0xFFFF).astype("<u2").tobytes()])], ["block", "at", "n"])
 
     def add(rows: pa.Table) -> pa.Table:
         sums = np.zeros(1 << 16, np.int64)
         for at, n in zip(rows["at"].to_pylist(), rows["n"].to_pylist(), strict=True):
-            sums[np.frombuffer(at, "<u2")] += np.frombuffer(n, np.uint8)
-        return pa.table({"block": rows["block"][:1], "n": binaries([np.minimum(sums, 255).astype(np.uint8).tobytes()])})
+            sums[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<u2")
+        return pa.table({"block": rows["block"][:1], "n": binaries([_level(sums).tobytes()])})
 
-    out = np.zeros(COUNTERS, np.uint8)
+    out = np.zeros(counters, np.uint8)
     for row in live.select("shingles").mapInArrow(count, "block int, at binary, n binary").groupBy("block").applyInArrow(add, "block int, n binary").toLocalIterator():
         out[row["block"] << 16 : (row["block"] + 1) << 16] = np.frombuffer(row["n"], np.uint8)
     return out
@@ -412,10 +449,10 @@ def _cells(heads: DataFrame, live: DataFrame) -> DataFrame:
     lists = kept(heads.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
     members = kept(heads).join(lists, "shingle").withColumn("chunk", F.pmod(F.xxhash64("set_id", "shingle"), F.ceil(F.col("size") / CHUNK)))
     cells = kept(members.select(F.xxhash64("shingle", "chunk").alias("cell"), "set_id"))
-    return cells.join(live, "set_id").select("cell", "set_id", F.lit(0).cast("long").alias("comp"), F.lit(True).alias("asks"), "shingles")
+    return cells.join(live, "set_id").select("cell", "set_id", F.lit(b"").alias("comp"), F.lit(True).alias("asks"), "shingles")
 
 
-def _apart(comp: DataFrame) -> DataFrame:
+def _apart(comp: DataFrame, total: int) -> DataFrame:
     """Second round: cells (cell, set_id, asks) of sets that share a prefix shingle and are not connected yet.
 
     Two linked sets of a and b shingles have more in common than either has beyond its prefix of n - ceil(0.8 n) + 1
@@ -427,28 +464,27 @@ def _apart(comp: DataFrame) -> DataFrame:
     without such a set go. Lists with the same least set_id are searched together, as one cell: that a set holds many
     shingles in common with the same others then doesn't repeat it.
     """
-    sketch = comp.sparkSession.sparkContext.broadcast(frequencies(comp).tobytes())
+    sketch = comp.sparkSession.sparkContext.broadcast(frequencies(comp, total).tobytes())
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.frombuffer(sketch.value, np.uint8)
         for batch in batches:
-            columns: list[list[np.ndarray]] = [[], [], [], [], []]
-            for set_id, comp_, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            columns: list[list[np.ndarray]] = [[], [], [], []]
+            for row, data in enumerate(batch.column(2).to_pylist()):
                 own = np.frombuffer(data, "<u8")
                 n = len(own)
-                counts = sums[_counters(own)].min(axis=0)
-                rank = np.log2(counts.astype(np.float64)).astype(np.int64)
-                head = np.lexsort((own, rank))[: n - least_shared(n) + 1]
-                place = np.flatnonzero(counts[head] > 1)
+                level = sums[_counters(own, len(sums))].min(axis=0)
+                head = np.lexsort((own, (level - 1) // 8))[: n - least_shared(n) + 1]
+                place = np.flatnonzero(level[head] > 1)
                 band = int(math.log(n) / math.log(DENOMINATOR / NUMERATOR))
                 for b in (band, band + 1):
-                    parts = (own[head[place]].view("<i8"), np.full(len(place), b), np.full(len(place), set_id), np.full(len(place), comp_), place <= n - needed(n, n))
+                    parts = (own[head[place]].view("<i8"), np.full(len(place), b), np.full(len(place), row), place <= n - needed(n, n))
                     for column, part in zip(columns, parts, strict=True):
                         column.append(part)
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.record_batch([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(columns, types, strict=True)], ["shingle", "band", "set_id", "comp", "early"])
+            shingle, bands, row, early = (pa.array(np.concatenate(c) if c else [], t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.bool_()), strict=True))
+            yield pa.record_batch([shingle, bands, batch.column(0).take(row), batch.column(1).take(row), early], ["shingle", "band", "set_id", "comp", "early"])
 
-    posts = comp.select("set_id", "comp", "shingles").mapInArrow(prefixes, "shingle long, band int, set_id long, comp long, early boolean")
+    posts = comp.select("set_id", "comp", "shingles").mapInArrow(prefixes, "shingle long, band int, set_id binary, comp binary, early boolean")
     posts = kept(posts.withColumn("list", F.xxhash64("shingle", "band")).select("list", "set_id", "comp", "early"))
     lists = posts.groupBy("list").agg(F.min("set_id").alias("first"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("early").alias("early"))
     mixed = kept(lists.filter("lo != hi and early").select("list", "first"))

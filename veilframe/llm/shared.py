@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,19 @@ def binaries(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of the batch whose values in a text or binary column have at most so many bytes, or that are one row."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    first, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > first and held + n > most:
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    if first < len(sizes):
+        yield batch.slice(first)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit numbers, so that any of their bits can serve as a hash."""
     x = x ^ (x >> np.uint64(33))

@@ -1,5 +1,6 @@
 """Trackers: identity, coasting, expiry, recovery, and segments against one pass."""
 
+import math
 import random
 
 import numpy as np
@@ -102,3 +103,105 @@ def test_stream_equals_batch(spark, tmp_path):
     want = sorted(map(tuple, track(dets, videos(spark, 20), TWO_STAGE).filter("frame_idx < 20").select(columns).collect()))
     assert got == want
     assert [r.frame_idx for r in out.filter("rejected").collect()] == [3]
+
+
+class Plain:
+    """A tracker frame by frame, pair by pair, with dicts: the rule in its plainest form."""
+
+    def __init__(self, rules):
+        self.rules, self.tracks, self.born = rules, [], 0
+
+    def _pairs(self, tracks, dets):
+        out = []
+        for t in tracks:
+            a = t["box"]
+            for d in dets:
+                b = d["box"]
+                w = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+                both = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w
+                if both > 0 and w / both >= self.rules.iou_match:
+                    out.append((w / both, t, d))
+                    continue
+                diagonal = math.hypot(a[2] - a[0], a[3] - a[1])
+                apart = math.hypot((a[0] + a[2]) / 2 - (b[0] + b[2]) / 2, (a[1] + a[3]) / 2 - (b[1] + b[3]) / 2)
+                if diagonal > 1 and apart <= self.rules.center_frac * max(diagonal, 1):
+                    out.append((0.15 + 0.01 * (1 - apart / (diagonal + 1e-6)), t, d))
+        return sorted(out, key=lambda p: -p[0])
+
+    def step(self, dets):
+        r = self.rules
+        for t in self.tracks:
+            if t["missed"]:
+                t["box"] = [x + v for x, v in zip(t["box"], t["v"] * 2)]
+            t["missed"] += 1
+        stages = [dets] if r.high is None else [[d for d in dets if d["score"] >= r.high], [d for d in dets if r.low <= d["score"] < r.high]]
+        free, new = list(self.tracks), []
+        for nth, stage in enumerate(stages):
+            open_ = list(stage)
+            for _, t, d in self._pairs(free, stage):
+                if any(t is x for x in free) and any(d is x for x in open_):
+                    free, open_ = [x for x in free if x is not t], [x for x in open_ if x is not d]
+                    old = t["box"]
+                    t["box"] = [r.smooth * o + (1 - r.smooth) * x for o, x in zip(old, d["box"])]
+                    moved = [(t["box"][i] + t["box"][i + 2]) / 2 - (old[i] + old[i + 2]) / 2 for i in (0, 1)]
+                    t["v"] = [r.velocity_smooth * v + (1 - r.velocity_smooth) * m for v, m in zip(t["v"], moved)]
+                    t.update(hits=t["hits"] + 1, missed=0, score=d["score"])
+            new = open_ if nth == 0 else new
+        self.tracks = [t for t in self.tracks if not (any(t is x for x in free) and t["missed"] > r.max_age)]
+        for d in new:
+            self.born += 1
+            self.tracks.append({"id": self.born, "box": list(d["box"]), "v": [0.0, 0.0], "hits": 1, "missed": 0, "score": d["score"]})
+        return [(t["id"], *(round(x, 6) for x in t["box"]), t["score"], t["hits"], t["missed"]) for t in self.tracks if t["hits"] >= r.min_hits or t["missed"] == 0]
+
+
+@pytest.mark.parametrize("rules", [Rules(max_age=3), Rules(max_age=4, high=0.5, low=0.2), Rules(max_age=2, min_hits=2, high=0.5, low=0.2), Rules(max_age=3, skip_after=5, skip_every=3, high=0.5, low=0.2)])
+def test_against_a_plain_tracker(spark, rules):
+    rnd = random.Random(5)
+    found, motion, nframes = [], [], {"a": 60, "b": 90, "c": 0}
+    for v in nframes:
+        for f in range(70):
+            if f % 30 < 14 or (rules.skip_after and f % 30 == 23):
+                found += [(v, f, i, x := rnd.uniform(0, 200), y := rnd.uniform(0, 150), x + rnd.uniform(10, 60), y + rnd.uniform(10, 60), rnd.choice([0.1, 0.3, 0.6, 0.9])) for i in range(rnd.randrange(0, 5))]
+            if rnd.random() < 0.3:
+                motion.append((v, f))
+    df = spark.createDataFrame(found, DETS).repartition(3)
+    listed = spark.createDataFrame([("a", 60), ("b", 90)], "video_id string, nframes long")
+    moves = spark.createDataFrame(motion, "video_id string, frame_idx long") if rules.skip_after else None
+    columns = ["track_id", "x1", "y1", "x2", "y2", "score", "hits", "time_since_update"]
+    got = sorted((r.video_id, r.frame_idx, *(round(x, 6) for x in (r[c] for c in columns))) for r in track(df, listed, rules, motion=moves).collect())
+    want = []
+    for v, n in nframes.items():
+        usable = [r for r in found if r[0] == v and (rules.low is None or r[7] >= rules.low)]
+        plain, empty = Plain(rules), 0
+        for f in range(n or max(r[1] for r in usable) + 1):
+            skipped = rules.skip_after and empty >= rules.skip_after and not plain.tracks and f % rules.skip_every and (v, f) not in motion
+            out = plain.step([] if skipped else [{"box": r[3:7], "score": r[7]} for r in usable if r[1] == f])
+            empty = 0 if out else empty + 1
+            want += [(v, f, *o) for o in out]
+    assert got == sorted(want) and len(got) > 100
+
+
+def test_tracks_are_made_once_and_carry_landmarks(spark):
+    from pyspark.sql import functions as F
+
+    dets = table(spark, [(0, 100, 80, 0.9), (1, 104, 80, 0.9), (3, 108, 80, 0.9)])
+    dets = dets.withColumn("landmarks", F.array(F.struct((F.col("x1") + 5).alias("x"), F.col("y1").alias("y"))))
+    df = track(dets, videos(spark, 6))
+    assert "FlatMapGroups" not in df._jdf.queryExecution().toString() and "MapInPandas" not in df._jdf.queryExecution().toString()
+    marks = {r.frame_idx: r.landmarks[0].x for r in df.collect()}
+    assert marks == {0: 105, 1: 109, 2: 109, 3: 113, 4: 113, 5: 113}
+
+
+def test_stream_ends(spark, tmp_path):
+    """Waiting frames are taken at a video's last one, which removes its state; others wait."""
+    from veilframe.streaming.tracks import track_stream
+
+    d = [(100.0, 80.0, 140.0, 120.0, 0.9, 0)]
+    rows = [("v", 2, d, False), ("v", 0, d, False), ("w", 5, d, False), ("v", 1, d, False), ("v", 3, [], True)]
+    spark.createDataFrame(rows, "video_id string, frame_idx long, dets array<struct<x1:double,y1:double,x2:double,y2:double,score:double,det_idx:int>>, last boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("video_id string, frame_idx long, dets array<struct<x1:double,y1:double,x2:double,y2:double,score:double,det_idx:int>>, last boolean").parquet(str(tmp_path / "in"))
+    query = track_stream(stream).writeStream.format("memory").queryName("ends").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = sorted((r.video_id, r.frame_idx, r.hits) for r in spark.table("ends").collect())
+    assert got == [("v", 0, 1), ("v", 1, 2), ("v", 2, 3), ("v", 3, 3)]
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1

@@ -266,8 +266,8 @@ ORACLES = {
     "find_leaks": f"select video_id, frame_idx, det_idx, t_sec, leak from ({_LEAKS})",
     "qc_report": f"""select video_id, case when leak_count > 0 then 'needs_review' else 'pass' end as status, frames_checked, hits, hits - leak_count as suppressed, leak_count,
         case when frames_checked > 0 then leak_count / frames_checked::double else 0 end as leak_rate, first_leak,
-        case when sampled < nframes then concat('sampled ', sampled, '/', nframes, ' frames (interval=0.15s, cap=30); ') else '' end
-          || concat('hits=', hits, ' residual_visible=', leak_count, ' suppressed_already_redacted=', hits - leak_count) as notes from ({_report_sql(_CHECKED, _LEAKS)})""",
+        case when sampled < nframes then concat(sampled, ' of ', nframes, ' frames looked at: one every 0.15 s, 30 at most; ') else '' end
+          || concat(hits, ' faces found, ', leak_count, ' still visible, ', hits - leak_count, ' covered') as notes from ({_report_sql(_CHECKED, _LEAKS)})""",
     "qc_fail_fast": f"select video_id, case when leak_count > 0 then 'needs_review' else 'pass' end as status, frames_checked, hits, leak_count from ({_report_sql(_until(_CHECKED), _until(_LEAKS))})",
     "choose_retry": f"""select video_id, case when better then 'pass' when leak_count > 0 then 'needs_review' else 'pass' end as status, case when better then second else leak_count end as leak_count,
         leak_count > 0 as retried, leak_count > 0 and not better as retry_rejected

@@ -25,6 +25,11 @@ def content_fingerprint(df: DataFrame, content: str = "content", size: str | Non
     return F.sha2(F.when(n > 2 * chunk, long_).otherwise(head), 256)
 
 
+def upload_name() -> Column:
+    """An event's upload_id; where it is null or empty, a name from its content."""
+    return F.coalesce(F.nullif("upload_id", F.lit("")), F.concat(F.lit("upload-"), F.substring("content_fp", 1, 16)))
+
+
 def latest_by_fingerprint(jobs: DataFrame) -> DataFrame:
     """Of each (content_fp, config_hash), the newest job that has not failed; ties by job_id."""
     order = Window.partitionBy("content_fp", "config_hash").orderBy(F.desc("created_at"), "job_id")
@@ -65,7 +70,7 @@ def resolve_uploads(events: DataFrame, jobs: DataFrame) -> DataFrame:
     and configuration that has not failed, and else creates one. Reuse by content does not register the upload_id.
     """
     key = ["config_hash"]
-    events = events.select("event_seq", F.coalesce("upload_id", F.concat(F.lit("upload-"), F.substring("content_fp", 1, 16))).alias("upload_id"), "content_fp", "config_hash")
+    events = events.select("event_seq", upload_name().alias("upload_id"), "content_fp", "config_hash")
     same_upload = jobs.select("upload_id", "config_hash", F.col("job_id").alias("job_u"))
     same_content = latest_by_fingerprint(jobs).select("content_fp", "config_hash", F.col("job_id").alias("job_c"))
     known = kept(events.join(same_upload, ["upload_id", *key], "left").join(same_content, ["content_fp", *key], "left"))
@@ -86,7 +91,7 @@ def resolve_uploads(events: DataFrame, jobs: DataFrame) -> DataFrame:
 def new_job_rows(events: DataFrame, resolved: DataFrame, now: Column) -> DataFrame:
     """Rows of the job table for the events that create one."""
     made = events.join(resolved.filter("action = 'create'").select("event_seq", "job_id"), "event_seq")
-    upload = F.coalesce("upload_id", F.concat(F.lit("upload-"), F.substring("content_fp", 1, 16)))
+    upload = upload_name()
     text = F.lit(None).cast("string")
     return made.select(
         "job_id", upload.alias("upload_id"), "content_fp", "config_hash", "input_path", F.concat(F.lit("outputs/"), "job_id", F.lit("/redacted.mp4")).alias("output_path"),
@@ -133,3 +138,15 @@ def job_status(jobs: DataFrame, ids: DataFrame) -> DataFrame:
 def job_backlog(jobs: DataFrame) -> DataFrame:
     """Jobs by status and configuration, with totals (null)."""
     return jobs.cube("status", "config_hash").agg(F.count(F.lit(1)).alias("jobs"))
+
+
+def upsert_jobs(jobs: DataFrame, rows: DataFrame) -> DataFrame:
+    """jobs with rows put in by job_id: a job of that id is replaced, other rows are added; the last updated_at wins among rows.
+
+    A row whose upload_id and config_hash belong to another job is left out, as that pair names one job.
+    """
+    newest = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("updated_at"), "status"))).filter("_nth = 1").drop("_nth")
+    taken = jobs.select("upload_id", "config_hash", F.col("job_id").alias("_owner"))
+    mine = newest.join(taken, ["upload_id", "config_hash"], "left").filter("_owner is null or _owner = job_id").select(*jobs.columns)
+    first = mine.withColumn("_nth", F.row_number().over(Window.partitionBy("upload_id", "config_hash").orderBy("created_at", "job_id"))).filter("_nth = 1").drop("_nth")
+    return jobs.join(first.select("job_id"), "job_id", "left_anti").unionByName(first)

@@ -7,19 +7,23 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.boxes import Box
 
+from .frames import small_side
+from .sampling import DEFAULT_FPS
+
 FRAME = ["video_id", "frame_idx"]
 
 
 def qc_frames(frames: DataFrame, sample: DataFrame) -> DataFrame:
-    """The sampled frames that really exist; the sample is ids only."""
-    return frames.join(sample.select(*FRAME).distinct(), FRAME, "left_semi")
+    """The sampled frames that really exist; the sample is ids only, and moves to the frames while it is small."""
+    lists = sample.select(*FRAME).distinct().withColumn("ids", F.array("frame_idx"))
+    return frames.join(small_side(lists, "ids").drop("ids"), FRAME, "left_semi")
 
 
 def find_leaks(hits: DataFrame, videos: DataFrame, min_face: float = 12) -> DataFrame:
-    """Hits (score, corners, visible) of at least min_face pixels, with t_sec; leak: still visible."""
+    """Hits (score, corners, visible) of at least min_face pixels, with t_sec (of an unlisted video, at the default rate); leak: still visible."""
     box = Box.of()
     large = hits.filter((box.width >= min_face) & (box.height >= min_face))
-    return large.join(videos.select("video_id", "fps"), "video_id").withColumn("t_sec", F.col("frame_idx") / F.col("fps")).withColumn("leak", F.col("visible")).drop("fps")
+    return large.join(videos.select("video_id", "fps"), "video_id", "left").withColumn("t_sec", F.col("frame_idx") / F.coalesce("fps", F.lit(DEFAULT_FPS))).withColumn("leak", F.col("visible")).drop("fps")
 
 
 def until_first_leak(frames: DataFrame, hits: DataFrame) -> DataFrame:
@@ -40,8 +44,8 @@ def qc_report(checked: DataFrame, hits: DataFrame, videos: DataFrame, sampled: D
     rows = videos.select("video_id", "nframes").join(frames, "video_id", "left").join(found, "video_id", "left").join(want, "video_id", "left")
     rows = rows.na.fill(0, ["frames_checked", "hits", "leak_count", "sampled"])
     suppressed = F.col("hits") - F.col("leak_count")
-    part = F.when((F.col("nframes") > 0) & (F.col("sampled") < F.col("nframes")), F.format_string(f"sampled %d/%d frames (interval={interval}s, cap={cap})", "sampled", "nframes"))
-    seen = F.format_string("hits=%d residual_visible=%d suppressed_already_redacted=%d", "hits", "leak_count", suppressed)
+    part = F.when((F.col("nframes") > 0) & (F.col("sampled") < F.col("nframes")), F.format_string(f"%d of %d frames looked at: one every {interval} s, {cap} at most", "sampled", "nframes"))
+    seen = F.format_string("%d faces found, %d still visible, %d covered", "hits", "leak_count", suppressed)
     return rows.select(
         "video_id", F.when(F.col("leak_count") > 0, "needs_review").otherwise("pass").alias("status"), "frames_checked", "hits", suppressed.alias("suppressed"), "leak_count",
         F.when(F.col("frames_checked") > 0, F.col("leak_count") / F.col("frames_checked")).otherwise(F.lit(0.0)).alias("leak_rate"), "leaks", F.array_compact(F.array(part, seen)).alias("notes"),

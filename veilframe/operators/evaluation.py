@@ -19,15 +19,20 @@ def sample_every(df: DataFrame, every: int = 15) -> DataFrame:
     return df.filter(F.col("frame_idx") % every == 0)
 
 
-def sample_common(source: DataFrame, output: DataFrame, videos: DataFrame, max_frames: int) -> DataFrame:
+def sample_common(source: DataFrame, output: DataFrame, videos: DataFrame, max_frames: int, in_step: bool = False) -> DataFrame:
     """Frames (video_id, frame_idx) that both have, at every nframes // max_frames-th index, the first max_frames of them.
 
-    A video counts up to the last frame before the first that only one side has.
+    With in_step, for tables of all frames of two videos, a video counts up to its first frame that only one side has;
+    without, for tables that list some frames, those of one side alone are passed over.
     """
     most = max(1, max_frames)
     step = F.greatest(F.lit(1), F.floor(F.col("nframes") / most)).cast("long")
     both = source.select(*FRAME).distinct().join(output.select(*FRAME).distinct(), FRAME)
     due = both.join(videos.select("video_id", step.alias("step")), "video_id").filter(F.col("frame_idx") % F.col("step") == 0)
+    if in_step:
+        sides = source.select(*FRAME, F.lit(1).alias("side")).unionByName(output.select(*FRAME, F.lit(2).alias("side"))).groupBy(*FRAME).agg(F.min("side").alias("a"), F.max("side").alias("b"))
+        stop = sides.filter("a = b").groupBy("video_id").agg(F.min("frame_idx").alias("stop"))
+        due = due.join(stop, "video_id", "left").filter("stop is null or frame_idx < stop")
     rank = F.row_number().over(Window.partitionBy("video_id").orderBy("frame_idx"))
     return due.withColumn("rank", rank).filter(F.col("rank") <= most).select(*FRAME)
 

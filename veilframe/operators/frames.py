@@ -13,11 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilframe.operators.redaction import redaction_plan
+from veilframe.sources.store import kept
 
 IMAGE = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
 FRAME_SCHEMA = f"video_id string, frame_idx long, image {IMAGE}"
 #: Luma weights (B, G, R), grid of luma samples and of thumbnails, tiles a side, 8-bit BGR mode.
 LUMA, LUMA_STEP, THUMB_STEP, TILES, BGR_MODE = (0.114, 0.587, 0.299), 8, 16, 4, 16
+#: Most boxes (about 150 bytes each) that are broadcast to their frames.
+MAX_BOXES = 200_000
 #: Fixed values of the visibility test: rim trimmed, least side, mosaic side, least error and texture.
 RIM, LEAST_SIDE, MOSAIC, LEAST_MAE, LEAST_LAPLACIAN = 0.12, 8, 8, 9.0, 22.0
 
@@ -164,10 +167,9 @@ def paint(frame: np.ndarray, boxes: list[dict], method: str, shape: str) -> np.n
         roi = out[at]
         if method == "blackout":
             new = np.zeros(roi.shape, np.float32)
-        elif method == "blur":
-            new = _blurred(roi, b["kernel"])
         else:
-            new = _mosaic(_blurred(roi, b["kernel"]) if method == "hybrid" else roi, b["blocks"])
+            new = np.rint(_blurred(roi, b["kernel"])) if method != "pixelate" else roi
+            new = new if method == "blur" else np.rint(_mosaic(new, b["blocks"]))
         if shape == "ellipse" and b["shape"] == "ellipse":
             alpha = _ellipse(*roi.shape[:2], b["angle"])[..., None]
             new = alpha * new + (1 - alpha) * roi
@@ -175,21 +177,34 @@ def paint(frame: np.ndarray, boxes: list[dict], method: str, shape: str) -> np.n
     return out
 
 
+def small_side(lists: DataFrame, column: str, most: int = MAX_BOXES) -> DataFrame:
+    """Lists of boxes by frame, stored; to be broadcast if they hold at most so many boxes, so that no pixels shuffle.
+
+    With more, Spark joins by video and frame, which moves the frames: then cut the work into groups of videos.
+    """
+    lists = kept(lists)
+    return F.broadcast(lists) if (lists.agg(F.sum(F.size(column) + 1)).first()[0] or 0) <= most else lists
+
+
 def attach_boxes(frames: DataFrame, boxes: DataFrame) -> DataFrame:
     """Frames with their planned boxes in order; frames without any pass through with an empty list."""
     row = F.struct("order", "rx1", "ry1", "rx2", "ry2", "shape", "angle", "kernel", "blocks")
     lists = boxes.groupBy("video_id", "frame_idx").agg(F.array_sort(F.collect_list(row)).alias("boxes"))
-    joined = frames.join(lists, ["video_id", "frame_idx"], "left")
+    joined = frames.join(small_side(lists, "boxes"), ["video_id", "frame_idx"], "left")
     return joined.withColumn("boxes", F.coalesce("boxes", F.slice(F.array(F.struct(*(F.lit(0).cast(t).alias(n) for n, t in (("order", "long"), ("rx1", "int"), ("ry1", "int"), ("rx2", "int"), ("ry2", "int"), ("shape", "string"), ("angle", "double"), ("kernel", "int"), ("blocks", "int"))))), 1, 0)))
 
 
-def redact_frames(frames: DataFrame, boxes: DataFrame, method: str = "hybrid", shape: str = "ellipse", pad: float = 0.40, pixel_blocks: int = 10) -> DataFrame:
+def redact_frames(frames: DataFrame, boxes: DataFrame, method: str = "hybrid", shape: str = "ellipse", pad: float = 0.40, pixel_blocks: int = 10, videos: DataFrame | None = None) -> DataFrame:
     """Frames with boxes painted over: blackout, blur, pixelate or hybrid (blur, then pixelate); ellipse or rect.
 
-    boxes: video_id, frame_idx, order, x1 ... y2, landmarks. The same frames come out, in number and size.
+    boxes: video_id, frame_idx, order, x1 ... y2, landmarks. The same frames come out, in number and size. Sizes are
+    those that videos (video_id, width, height) states, or else of the frames themselves, which are then read twice.
     """
-    sizes = frames.select("video_id", "frame_idx", F.col("image.width").alias("width"), F.col("image.height").alias("height"))
-    plan = redaction_plan(boxes.join(sizes, ["video_id", "frame_idx"]), pad, pixel_blocks).withColumn("order", F.col("order").cast("long"))
+    if videos is None:
+        sized = boxes.join(frames.select("video_id", "frame_idx", F.col("image.width").alias("width"), F.col("image.height").alias("height")), ["video_id", "frame_idx"])
+    else:
+        sized = boxes.join(videos.select("video_id", "width", "height"), "video_id")
+    plan = redaction_plan(sized, pad, pixel_blocks).withColumn("order", F.col("order").cast("long"))
     return _changed(attach_boxes(frames, plan), lambda f, b: paint(f, list(b), method, shape))
 
 
@@ -229,7 +244,7 @@ def residual_visibility(frames: DataFrame, boxes: DataFrame) -> DataFrame:
                 out += [(video, frame, c["det_idx"], *visibility(f[c["cy1"] : c["cy2"], c["cx1"] : c["cx2"]])) for c in crops]
             yield pd.DataFrame(out, columns=["video_id", "frame_idx", "det_idx", "visible", "mae", "laplacian"])
 
-    return frames.join(lists, ["video_id", "frame_idx"]).mapInPandas(look, "video_id string, frame_idx long, det_idx int, visible boolean, mae double, laplacian double")
+    return frames.join(small_side(lists, "crops"), ["video_id", "frame_idx"]).mapInPandas(look, "video_id string, frame_idx long, det_idx int, visible boolean, mae double, laplacian double")
 
 
 def detect_frames(frames: DataFrame, factory: Callable[[], Callable[[np.ndarray], np.ndarray]], threshold: float, rule: str = "ge") -> DataFrame:

@@ -50,8 +50,8 @@ def qc_budget(settings: DataFrame) -> DataFrame:
 
 
 def frame_time(frames: DataFrame, videos: DataFrame) -> DataFrame:
-    """Seconds from the start: video_id, frame_idx, t_sec."""
-    return frames.join(videos.select("video_id", "fps"), "video_id").select("video_id", "frame_idx", (F.col("frame_idx") / F.col("fps")).alias("t_sec"))
+    """Seconds from the start: video_id, frame_idx, t_sec; of an unlisted video at the default rate."""
+    return frames.join(videos.select("video_id", "fps"), "video_id", "left").select("video_id", "frame_idx", (F.col("frame_idx") / F.coalesce("fps", F.lit(DEFAULT_FPS))).alias("t_sec"))
 
 
 def select_qc_frames(videos: DataFrame, hints: DataFrame, interval: float, cap: int) -> DataFrame:

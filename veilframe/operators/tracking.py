@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilframe.sources.store import kept
+
 SCHEMA = "video_id string, frame_idx long, track_id long, x1 double, y1 double, x2 double, y2 double, score double, det_idx int, hits int, time_since_update int"
 
 
@@ -197,14 +199,19 @@ def track(dets: DataFrame, videos: DataFrame, rules: Rules = TWO_STAGE, segmente
     segments, each a group of its own, and track ids are numbered on by the births of earlier segments: the result is
     that of one pass. With skipping (rules.skip_after), whose state crosses gaps, a video is one group; motion then has
     frames (video_id, frame_idx) whose detections always count. A group's rows stream through the live tracks in order,
-    so a task holds one batch of them at a time, however long the video.
+    so a task holds one batch of them at a time, however long the video. The boxes are tracked once and stored.
+
+    Of a video that is not listed, or whose nframes is null or 0 (not known), the last frame is that of its last
+    detection. If dets has landmarks, each row has those of its track's last hit.
     """
     usable = dets if rules.low is None else dets.filter(F.col("score") >= rules.low)
     columns = ["video_id", "frame_idx", "det_idx", "x1", "y1", "x2", "y2", "score"]
     cut = segment_video(usable.select(*columns), rules.max_age) if segmented and rules.skip_after is None else usable.select(*columns, F.lit(0).cast("long").alias("segment"))
-    spans = cut.groupBy("video_id", "segment").agg(F.min("frame_idx").alias("first"))
+    spans = cut.groupBy("video_id", "segment").agg(F.min("frame_idx").alias("first"), F.max("frame_idx").alias("last"))
     nxt = F.lead("first").over(Window.partitionBy("video_id").orderBy("segment"))
-    spans = spans.join(videos.select("video_id", "nframes"), "video_id").withColumn("end", F.coalesce(nxt, "nframes"))
+    known = F.when(F.col("nframes") > 0, F.col("nframes"))
+    spans = spans.withColumn("next", nxt).join(videos.select("video_id", "nframes"), "video_id", "left")
+    spans = spans.select("video_id", "segment", "first", F.coalesce("next", known, F.col("last") + 1).alias("end"))
     rows = cut.join(spans, ["video_id", "segment"])
     if motion is not None:
         hints = motion.select("video_id", "frame_idx").distinct().withColumn("moving", F.lit(True))
@@ -213,11 +220,15 @@ def track(dets: DataFrame, videos: DataFrame, rules: Rules = TWO_STAGE, segmente
     # tracking costs far more than its few bytes suggest: keep the number of tasks, which AQE would coalesce
     rows = rows.repartition(int(dets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "video_id", "segment")
     rows = rows.sortWithinPartitions("video_id", "segment", "frame_idx", "det_idx")
-    local = rows.mapInPandas(lambda batches: run_batches(batches, rules), SCHEMA + ", segment long")
+    local = kept(rows.mapInPandas(lambda batches: run_batches(batches, rules), SCHEMA + ", segment long"))
     births = local.groupBy("video_id", "segment").agg(F.max("track_id").alias("born"))
     before = F.coalesce(F.sum("born").over(Window.partitionBy("video_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shift = births.select("video_id", "segment", before.alias("before"))
-    return local.join(shift, ["video_id", "segment"]).withColumn("track_id", F.col("track_id") + F.col("before")).drop("segment", "before")
+    out = local.join(shift, ["video_id", "segment"]).withColumn("track_id", F.col("track_id") + F.col("before")).drop("segment", "before")
+    if "landmarks" not in dets.columns:
+        return out
+    hits = dets.select("video_id", F.col("frame_idx").alias("hit_frame"), "det_idx", "landmarks")
+    return out.withColumn("hit_frame", F.col("frame_idx") - F.col("time_since_update")).join(hits, ["video_id", "hit_frame", "det_idx"], "left").select(*out.columns, "landmarks")
 
 
 def track_loss_frames(tracks: DataFrame, max_age: int = 14) -> DataFrame:

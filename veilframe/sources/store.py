@@ -5,7 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,16 +16,48 @@ from pyspark.sql import DataFrame, SparkSession
 JOB_SCHEMA = "job_id string, upload_id string, content_fp string, config_hash string, input_path string, output_path string, status string, qc_status string, error string, created_at timestamp, updated_at timestamp, metrics_json string"
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Write df below spark.checkpoint.dir, which all executors share, and read it back; a local folder only where that is unset."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("veilframe.local.dir", None)
+_scopes = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that are kept within, at its end: write or collect what reads them before.
+
+    Tables kept with lasting=True belong to the scope around this one, or to the caller if there is none.
+    """
+    _scopes.__dict__.setdefault("stack", []).append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.stack.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def kept_folder(spark: SparkSession, lasting: bool = False) -> str:
+    """A new folder below spark.checkpoint.dir, which every executor sees.
+
+    Where that is unset, below the folder of setCheckpointDir; else, in local mode alone, below a temporary one.
+    """
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or spark.conf.get("veilframe.local.dir", None)
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="veilframe-")
         spark.conf.set("veilframe.local.dir", root)
     path = f"{root}/veilframe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stack = getattr(_scopes, "stack", [])
+    if len(stack) > lasting:
+        stack[-1 - lasting].append(path)
+    return path
+
+
+def kept(df: DataFrame, codec: str = "zstd", lasting: bool = False) -> DataFrame:
+    """Write df to a kept_folder and read it back: cuts lineage, survives lost executors, is computed once. See scratch."""
+    path = kept_folder(df.sparkSession, lasting)
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_jobs(spark: SparkSession, path: str) -> DataFrame:

@@ -329,9 +329,9 @@ def _searched(cells: DataFrame, total: int, between: bool) -> DataFrame:
             found = links_between(sets, comps[at], [i for i, x in enumerate(asks[at]) if x]) if between else links_within(sets)
             a += [ids[at.start + i] for i, _ in found]
             b += [ids[at.start + j] for _, j in found]
-        return pa.table({"a": binaries(a), "b": binaries(b)})
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return cells.groupBy(F.pmod("cell", F.lit(parts)).alias("deal")).applyInArrow(lambda _, g: search(g), "a binary, b binary")
+    return cells.groupBy(F.pmod("cell", F.lit(parts)).alias("deal")).applyInArrow(lambda _, g: search(g), "a long, b long")
 
 
 def link_components(docs: DataFrame) -> DataFrame:
@@ -348,9 +348,12 @@ def link_components(docs: DataFrame) -> DataFrame:
     named = sets.filter("set_id is not null")
     classes = kept(named.groupBy("set_id").agg(F.min("doc_id").alias("rep")))
     live = named.filter("shingles is not null").join(chosen, "short", "left_semi")
-    live = kept(live.groupBy("set_id").agg(F.any_value("n").alias("n"), F.any_value("shingles").alias("shingles")), "none")
+    live = live.groupBy("set_id").agg(F.any_value("n").alias("n"), F.any_value("shingles").alias("shingles"))
+    # names are long: from here on a stored number stands for each
+    numbered = kept(live.withColumn("node", F.monotonically_increasing_id()), "none")
+    live = numbered.select(F.col("node").alias("set_id"), "n", "shingles")
     alive = live.agg(F.sum("n")).first()[0] or 0
-    heads = live.mapInArrow(_heads(lambda x: x[:CELLS]), "shingle long, set_id binary")
+    heads = live.mapInArrow(_heads(lambda x: x[:CELLS]), "shingle long, set_id long")
     links = kept(_searched(_cells(heads, live), alive * CELLS, between=False))
     roots = kept(components(links))
     comp = kept(live.join(roots, live.set_id == roots.node, "left").select("set_id", "n", F.coalesce("root", "set_id").alias("comp"), "shingles"), "none")
@@ -360,10 +363,11 @@ def link_components(docs: DataFrame) -> DataFrame:
         later = kept(_searched(cells, apart.join(comp, "set_id").agg(F.sum("n")).first()[0], between=True))
         if not later.isEmpty():
             roots = kept(components(links.unionByName(later)))
-    tops = classes.join(roots, classes.set_id == roots.node, "left").select("set_id", "rep", F.coalesce("root", "set_id").alias("root"))
-    tops = kept(tops)
-    least = kept(tops.groupBy("root").agg(F.min("rep").alias("component_id")))
-    of_set = kept(tops.join(least, "root").select("set_id", "component_id"))
+    named_roots = numbered.select("set_id", "node").join(roots, "node", "left").select("set_id", F.coalesce("root", "node").alias("root"))
+    tops = kept(classes.join(named_roots, "set_id", "left"))
+    least = kept(tops.filter("root is not null").groupBy("root").agg(F.min("rep").alias("component_id")))
+    # a set without a number links with none
+    of_set = kept(tops.join(least, "root", "left").select("set_id", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id")))
     small = sets.select("doc_id", "key", "n", "set_id")
     linked = small.filter("set_id is not null").join(of_set, "set_id").select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id")
     alone = small.filter("set_id is null").select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
@@ -449,7 +453,7 @@ def _cells(heads: DataFrame, live: DataFrame) -> DataFrame:
     lists = kept(heads.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
     members = kept(heads).join(lists, "shingle").withColumn("chunk", F.pmod(F.xxhash64("set_id", "shingle"), F.ceil(F.col("size") / CHUNK)))
     cells = kept(members.select(F.xxhash64("shingle", "chunk").alias("cell"), "set_id"))
-    return cells.join(live, "set_id").select("cell", "set_id", F.lit(b"").alias("comp"), F.lit(True).alias("asks"), "shingles")
+    return cells.join(live, "set_id").select("cell", "set_id", F.lit(0).cast("long").alias("comp"), F.lit(True).alias("asks"), "shingles")
 
 
 def _apart(comp: DataFrame, total: int) -> DataFrame:
@@ -484,7 +488,7 @@ def _apart(comp: DataFrame, total: int) -> DataFrame:
             shingle, bands, row, early = (pa.array(np.concatenate(c) if c else [], t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.bool_()), strict=True))
             yield pa.record_batch([shingle, bands, batch.column(0).take(row), batch.column(1).take(row), early], ["shingle", "band", "set_id", "comp", "early"])
 
-    posts = comp.select("set_id", "comp", "shingles").mapInArrow(prefixes, "shingle long, band int, set_id binary, comp binary, early boolean")
+    posts = comp.select("set_id", "comp", "shingles").mapInArrow(prefixes, "shingle long, band int, set_id long, comp long, early boolean")
     posts = kept(posts.withColumn("list", F.xxhash64("shingle", "band")).select("list", "set_id", "comp", "early"))
     lists = posts.groupBy("list").agg(F.min("set_id").alias("first"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("early").alias("early"))
     mixed = kept(lists.filter("lo != hi and early").select("list", "first"))

@@ -5,6 +5,8 @@ import time
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from veilframe.llm import pii
 
 
@@ -64,3 +66,92 @@ def test_long_texts_take_linear_work(spark, unit):
     if "." in unit:
         assert out.text == "call " + " ".join(["<IP>"] * n) + "x"
     assert out.n_chars == len(out.text)
+
+
+def test_many_slices_give_the_same_rows(spark, docs):
+    """Filters of the least size, in several slices of the hashes, against one."""
+    from veilframe.llm import bloom
+    from veilframe.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
+    from veilframe.llm.line_dedup import drop_repeated_lines
+
+    def rows(df):
+        return sorted(map(repr, df.collect()))
+
+    assert len(bloom.by_slice(docs.selectExpr("coalesce(doc_id, 0) as h"), "h", docs.count(), 256)) > 4
+    assert rows(exact_duplicates(docs, max_bits=256)) == rows(exact_duplicates(docs))
+    assert rows(drop_exact_duplicates(docs, max_bits=256)) == rows(drop_exact_duplicates(docs))
+    assert rows(drop_repeated_lines(docs, max_bits=256)) == rows(drop_repeated_lines(docs))
+    assert rows(drop_repeated_lines(docs, min_docs=1)) != rows(drop_repeated_lines(docs))
+
+
+def test_ranks_and_distances_against_plain_ones(spark):
+    from collections import Counter
+
+    from veilframe.llm.language_id import Nearest, fit_profiles, identify
+
+    rnd = random.Random(2)
+    texts = {lang: [" ".join(rnd.choice(words) for _ in range(30)) for _ in range(12)] for lang, words in {"a": "abc bcd cab dada ab".split(), "b": "xyz zyx yxa xx yaya".split()}.items()}
+    rows = [(i, t, lang) for lang, ts in texts.items() for i, t in enumerate(ts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def grams(text):
+        out = Counter()
+        for w in text.split():
+            out.update(w)
+            out.update(x + y for x, y in zip(" " + w, w + " "))
+            out.update(" " * 0 + (" " + w + " ")[k : k + 3] for k in range(len(w)))
+        return out
+
+    def ranked(counts, size):
+        # ties in the order of their letters' codes, as one number of 16 bits each
+        return sorted(counts, key=lambda g: (-counts[g], sum(ord(c) << 16 * (len(g) - 1 - i) for i, c in enumerate(g))))[:size]
+
+    size = 20
+    plain = {lang: ranked(sum((grams(t) for t in ts), Counter()), size) for lang, ts in texts.items()}
+    profiles = fit_profiles(df, size)
+    assert {k: len(v) for k, v in profiles.items()} == {k: len(v) for k, v in plain.items()}
+    assert profiles == {lang: [sum(ord(c) << 16 * (len(g) - 1 - i) for i, c in enumerate(g)) for g in gs] for lang, gs in plain.items()}
+    assert set(Nearest(profiles, size).langs) == {"a", "b"}
+    for r in identify(df, profiles, size).collect():
+        text = next(t for i, t, lang in rows if i == r.doc_id and lang == r.lang_pred)
+        own = ranked(grams(text), size)
+        far = {lang: sum(abs(p.index(g) - k) if g in p else size for k, g in enumerate(own)) / (size * len(own)) for lang, p in plain.items()}
+        assert min(far, key=far.get) == r.lang_pred and abs(far[r.lang_pred] - r.distance) < 1e-9
+
+
+def test_samples_reach_every_language_and_label(spark):
+    from veilframe.llm.language_id import fit_profiles, unit_hash
+
+    df = spark.range(3000).selectExpr("id as doc_id", "case when id % 1000 = 0 then 'rare words here' else 'common text there' end as text", "case when id % 1000 = 0 then 'r' else 'c' end as lang")
+    assert set(fit_profiles(df, 10, max_rows=50)) == {"r", "c"}
+    share = df.filter(unit_hash(F.col("doc_id"), 7) < 1e-3).count()
+    assert 0 <= share < 12
+
+
+def test_rejects_what_no_profile_covers(spark):
+    """An unlearned language and long letter junk go, short clean texts stay."""
+    from veilframe.llm.language_id import keep_identified
+
+    rnd = random.Random(4)
+    english = "the and that with from this thing reading other water under being these which their would could should about".split()
+    french = "le les des une avec pour dans sur est qui que leur nous vous cette être même après entre toujours".split()
+    other = "jestem który przez może został wszystko gdzie dlaczego szczęście dziękuję proszę człowiek będzie świat".split()
+    rows = [(i, " ".join(rnd.choice(w) for _ in range(60)), lang) for i in range(200) for w, lang in [(english, "en") if i % 2 else (french, "fr")]]
+    rows += [(500 + i, " ".join(rnd.choice(english) for _ in range(5)), None) for i in range(20)]
+    rows += [(600 + i, " ".join(rnd.choice(other) for _ in range(200)), None) for i in range(20)]
+    rows += [(700 + i, " ".join("".join(rnd.choice("qwxzkjvbpgfymcu") for _ in range(7)) for _ in range(400)), None) for i in range(20)]
+    ids = {r.doc_id for r in keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert ids >= set(range(200)) | set(range(500, 520)) and not ids & set(range(600, 720))
+
+
+def test_toxic_features_against_plain_counts():
+    from veilframe.llm.toxicity import FEATURES, features_of
+
+    text = "You are a NASTY fool!! the b4dword and badword,\nfool fool"
+    got = dict(zip(FEATURES, features_of(text, frozenset({"fool", "badword"}), frozenset()), strict=True))
+    words = text.split()
+    assert got["words"] == len(words) and got["word_hits"] == 4 and got["word_kinds"] == 2
+    assert got["word_density"] == pytest.approx(400 / len(words)) and got["densest"] == 4
+    assert got["capitals"] == pytest.approx(sum(c.isupper() for c in text) / len(text)) and got["shouted"] == pytest.approx(100 / len(words))
+    assert got["exclaims"] == pytest.approx(200 / len(words)) and got["obfuscated"] == pytest.approx(100 / len(words))
+    assert got["near_second"] == pytest.approx(100 / len(words))

@@ -3,8 +3,8 @@
 Each task fills its own pair. A pair travels as the bit positions it has set, segment by segment, so that what is
 shuffled follows the rows of a task and not the size of the filter. Per segment, a bit of the twice-filter is one
 that some task had there already, or that two tasks have in their once-filters; a value present twice always has all
-its bits there. The size is capped at MAX_BITS, so the broadcast is bounded: beyond the cap more values count as
-suspects, which costs a larger shuffle afterwards and never a result.
+its bits there. A filter has at most MAX_BITS, so the broadcast is bounded; more values than it is good for are cut into
+slices of the hash space (by_slice), each with a filter of its own, so that the share of suspects doesn't grow.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .shared import binaries, mix64
+from .shared import binaries, kept, mix64
 
 #: Bits per expected value, bits set per value, bits in a segment, and the most bits of a filter (32 MB).
 BITS_PER_VALUE, PROBES, SEGMENT, MAX_BITS = 16, 4, 1 << 16, 1 << 28
@@ -26,6 +27,19 @@ def filter_bits(values: int) -> int:
     return min(MAX_BITS, max(SEGMENT, 1 << max(0, int(values * BITS_PER_VALUE - 1).bit_length())))
 
 
+def by_slice(df: DataFrame, name: str, values: int, max_bits: int = MAX_BITS) -> list[DataFrame]:
+    """df in parts by the hash of its bigint column `name`, each of as many values as a filter of max_bits is good for.
+
+    The parts are stored once, a folder for each, so that all of them together are read once more, however many they
+    are; df itself if one filter will do.
+    """
+    parts = max(1, -(-values * BITS_PER_VALUE // max_bits))
+    if parts == 1:
+        return [df]
+    stored = kept(df.withColumn("_slice", F.pmod(F.xxhash64(name, F.lit(23)), F.lit(parts)).cast("int")), by="_slice")
+    return [stored.filter(F.col("_slice") == i).drop("_slice") for i in range(parts)]
+
+
 def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
     """(PROBES, n) bit positions of each hash."""
     low, step = mix64(hashes), mix64(hashes ^ np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)

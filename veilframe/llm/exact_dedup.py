@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,9 +13,9 @@ from . import bloom
 from .shared import kept, text_of, u64
 
 
-def _suspect(df: DataFrame, hashes: DataFrame, name: str) -> Column:
-    """Whether the row's 64-bit hash, in column `name`, may occur twice in `hashes`."""
-    bitmap = bloom.twice_filter(hashes.select(name), lambda batch: u64(batch.column(0)), hashes.count())
+def _suspect(df: DataFrame, name: str, values: int) -> Column:
+    """Whether the row's 64-bit hash, in df's column `name`, may occur twice there; values: how many to expect."""
+    bitmap = bloom.twice_filter(df.select(name), lambda batch: u64(batch.column(0)), values)
     shared = df.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
     @F.pandas_udf("boolean")
@@ -28,7 +29,14 @@ def _suspect(df: DataFrame, hashes: DataFrame, name: str) -> Column:
     return may_repeat(F.col(name))
 
 
-def exact_duplicates(docs: DataFrame) -> DataFrame:
+def _marked(df: DataFrame, name: str, max_bits: int) -> DataFrame:
+    """df with `suspect`, a filter for each slice of the hashes."""
+    n = df.count()
+    parts = bloom.by_slice(df, name, n, max_bits)
+    return reduce(DataFrame.unionByName, [p.withColumn("suspect", _suspect(p, name, -(-n // len(parts)))) for p in parts])
+
+
+def exact_duplicates(docs: DataFrame, max_bits: int = bloom.MAX_BITS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical; null counts as empty. Of equal texts the largest doc_id stays (a null doc_id only
@@ -40,7 +48,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     back is between two stored tables, so that a hot group's rows can be split between tasks.
     """
     hashes = kept(docs.select(F.col("doc_id"), F.xxhash64(text_of()).alias("h"), F.unhex(F.sha2(text_of(), 256)).alias("sha")))
-    marked = kept(hashes.select("doc_id", "sha", _suspect(hashes, hashes, "h").alias("suspect")))
+    marked = kept(_marked(hashes, "h", max_bits).select("doc_id", "sha", "suspect"))
     groups = kept(marked.filter("suspect").groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     single = marked.filter("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
     several = marked.filter("suspect").join(groups, "sha").select("doc_id", "keep_id", "group_size", "sha")
@@ -49,18 +57,24 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, max_bits: int = bloom.MAX_BITS) -> DataFrame:
     """docs with one row for each distinct text, all columns as they came.
 
-    The row with the largest doc_id stays; of rows that repeat doc_id and text, one. Only rows whose text may repeat
-    shuffle, keyed by the text's SHA-256 after each task has chosen among its own.
+    The row with the largest doc_id stays (one without doc_id only if there is no other); of rows that repeat doc_id and
+    text, the one whose other columns have the largest hash. A null text counts as empty, and the row that stays keeps
+    what it had. An empty table stays empty. Only rows whose text may repeat shuffle, keyed by the text's SHA-256 after
+    each task has chosen among its own. Filters are built from a stored table of hashes; where one is not enough, rows
+    are stored by slice of the hashes first.
     """
     hashed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(text_of()).alias("h"))
     hashes = kept(docs.select(F.xxhash64(text_of()).alias("h")))
-    marked = hashed.select("row", _suspect(hashed, hashes, "h").alias("suspect"))
+    n = hashes.count()
+    rows, keys = bloom.by_slice(hashed, "h", n, max_bits), bloom.by_slice(hashes, "h", n, max_bits)
+    marked = reduce(DataFrame.unionByName, [r.select("row", _suspect(k, "h", -(-n // len(rows))).alias("suspect")) for r, k in zip(rows, keys, strict=True)])
+    others = F.xxhash64(F.to_json(F.struct(*(F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"))))
     chosen = (
         marked.filter("suspect")
         .groupBy(F.sha2(F.coalesce(F.col("row.text").cast("string"), F.lit("")), 256))
-        .agg(F.max_by("row", F.coalesce(F.col("row.doc_id"), F.lit(-(2**63)))).alias("row"))
+        .agg(F.max_by("row", F.struct(F.coalesce(F.col("row.doc_id"), F.lit(-(2**63))), others)).alias("row"))
     )
     return marked.filter("not suspect").select("row").unionByName(chosen.select("row")).select("row.*")

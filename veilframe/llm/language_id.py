@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from .shared import text_of, texts
 
-#: n-grams in a profile, and about how many labelled rows profiles are learned from.
-PROFILE, MAX_FIT_ROWS = 300, 20_000
-#: Texts farther than this from every profile are not taken for any language: clean texts stay below 0.7.
-MAX_DISTANCE = 0.8
+#: n-grams in a profile, and about how many labelled rows of a language its profile is learned from.
+PROFILE, MAX_FIT_ROWS = 300, 5_000
+#: Texts farther than this from every profile are not taken for any language: clean texts stay below 0.65, most texts of
+#: a language without profile and long random letters lie above.
+MAX_DISTANCE = 0.7
 SPACE, STAND_IN, STAND_INS = 0x20, 0xE000, 0x1900
 
 
@@ -73,17 +74,24 @@ def ranking(text: str, size: int) -> np.ndarray:
     return grams[starts[np.argsort(-counts, kind="stable")]]
 
 
+def unit_hash(col: Column, seed: int) -> Column:
+    """A hash of the column, spread evenly over 0 ... 1 with 53 bits."""
+    return F.shiftrightunsigned(F.xxhash64(col, F.lit(seed)), 11) / float(1 << 53)
+
+
 def fit_profiles(labelled: DataFrame, size: int = PROFILE, max_rows: int = MAX_FIT_ROWS) -> dict[str, list[int]]:
-    """Each language's most frequent n-grams in rank order, from rows (text, lang).
+    """Each language's most frequent n-grams in rank order, from rows (doc_id, text, lang).
 
-    Rows with a null lang or a text without letters teach nothing. With more than max_rows rows, about that many are
-    used, chosen by a hash of the text: the one bounded sample here. Counts are summed by Spark; size rows a language
-    come to the driver.
+    Rows with a null lang or a text without letters teach nothing. Of a language with more than max_rows rows about that
+    many are used, those with the least hashes of doc_id: the one bounded sample here, in which each language has its
+    share and each copy of a text counts as a row. Counts are summed by Spark; size rows a language come to the driver.
     """
-    rows = labelled.filter("lang is not null").select(text_of().alias("body"), "lang")
-    n = rows.count()
-    if n > max_rows:
-        rows = rows.filter(F.pmod(F.xxhash64("body", F.lit(7)), F.lit(1_000_000)) < max_rows * 1_000_000 // n)
+    rows = labelled.filter("lang is not null").select(text_of().alias("body"), "lang", unit_hash(F.coalesce(F.col("doc_id").cast("string"), text_of()), 7).alias("at"))
+    many = rows.groupBy("lang").count().filter(F.col("count") > max_rows).collect()
+    if many:
+        share = F.create_map(*(x for r in many for x in (F.lit(r["lang"]), F.lit(max_rows / r["count"]))))
+        rows = rows.filter(F.col("at") < F.coalesce(share[F.col("lang")], F.lit(1.0)))
+    rows = rows.select("body", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .shared import binaries, kept, text_of
+from .shared import binaries, by_bytes, kept, text_of, u64
 
 BLANKS = b" \t\n\x0b\x0c\r"
-#: Most keys whose 16-byte digests are broadcast (16 MB); with more, drops reach their texts by a join.
-MAX_BROADCAST = 1_000_000
+#: Most keys whose digests are broadcast, about 200 bytes each as a table in each worker; with more, drops reach their texts by a join.
+MAX_BROADCAST = 200_000
 
 
 def line_keys(text: bytes) -> tuple[list[bytes], list[bytes]]:
@@ -33,12 +35,35 @@ def _long_enough(key: bytes, min_points: int) -> bool:
     return len(key) >= min_points and (min_points <= 1 or len(key.decode()) >= min_points)
 
 
-def _hashes(batch: pa.RecordBatch) -> np.ndarray:
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of each document's distinct keys: once per document."""
-    out: list[int] = []
-    for text in batch.column(0).to_pylist():
-        out.extend(map(xxhash.xxh3_64_intdigest, {k for k in line_keys(text)[1] if k}))
-    return np.array(out, np.uint64)
+    for batch in batches:
+        for part in by_bytes(batch, 0, 16 << 20):
+            out: list[int] = []
+            for text in part.column(0).to_pylist():
+                out.extend(map(xxhash.xxh3_64_intdigest, {k for k in line_keys(text)[1] if k}))
+            yield pa.record_batch([pa.array(np.array(out, np.uint64).view(np.int64), pa.int64())], ["h"])
+
+
+def frequent_hashes(hashes: DataFrame, least: int, max_bits: int = bloom.MAX_BITS) -> DataFrame:
+    """The values of the stored table hashes (h) that occur at least so often, two at the least.
+
+    For each slice of the values a pair of filters, of those seen once and twice, tells which may repeat; these alone
+    shuffle, after each task has counted its own.
+    """
+    n = hashes.count()
+    parts = bloom.by_slice(hashes, "h", n, max_bits)
+    found = []
+    for part in parts:
+        bitmap = part.sparkSession.sparkContext.broadcast(bloom.twice_filter(part, lambda batch: u64(batch.column(0)), -(-n // len(parts))).tobytes())
+
+        def suspected(batches: Iterator[pa.RecordBatch], bitmap: Broadcast = bitmap) -> Iterator[pa.RecordBatch]:
+            bits = np.frombuffer(bitmap.value, np.uint8)
+            for batch in batches:
+                yield batch.filter(pa.array(bloom.holds(bits, u64(batch.column(0)))))
+
+        found.append(part.mapInArrow(suspected, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(2, least)).select("h"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _suspects(keys: list[bytes], bitmap: np.ndarray, min_points: int) -> list[bytes]:
@@ -48,7 +73,7 @@ def _suspects(keys: list[bytes], bitmap: np.ndarray, min_points: int) -> list[by
     return [k for k, x in zip(keys, may.tolist(), strict=True) if x]
 
 
-def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_points: int = 1, keep_first: bool = False, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_points: int = 1, keep_first: bool = False, max_broadcast: int = MAX_BROADCAST, max_bits: int = bloom.MAX_BITS) -> DataFrame:
     """One row per document: doc_id, text (what is left), n_lines (before), n_dropped.
 
     Texts are split at \\n; null or empty text is one empty line. A line whose key (see line_keys) has at least
@@ -57,14 +82,17 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_points: int = 1
     each keep it). The other lines stay in order, joined by \\n. Each row is a document, also where doc_id is null
     (which sorts first) or repeats. An empty table gives an empty result; other columns are ignored.
 
-    Three passes over the texts. The first fills the filters, the second counts the suspects of each task and shuffles
-    these counts alone, keyed by a 128-bit digest, to exact totals; the third drops. The frequent keys are broadcast
-    after counting them if they are at most max_broadcast; else each distinct text's drops come by joins.
+    Three passes over the texts. The first stores the lines' hashes, of which filters tell the suspected repeats (see
+    frequent_hashes); the second counts the lines of each task whose hash is frequent and shuffles these counts alone,
+    keyed by a 128-bit digest, to exact totals; the third drops. The frequent keys are broadcast after counting them if
+    they are at most max_broadcast; else each distinct text's drops come by joins. With min_docs below 2 every key is
+    frequent, and all are counted.
     """
     spark = docs.sparkSession
     source = docs.select("doc_id", text_of().cast("binary").alias("body"))
-    n_lines = docs.agg(F.sum(F.length(text_of()) - F.length(F.replace(text_of(), F.lit("\n"))) + 1)).first()[0] or 0
-    bitmap = bloom.twice_filter(source.select("body"), _hashes, n_lines)
+    hashes = kept(source.select("body").mapInArrow(_hashes, "h long"))
+    candidates = kept(frequent_hashes(hashes, min_docs, max_bits) if min_docs > 1 else hashes.distinct())
+    bitmap = bloom.once_filter(candidates, lambda batch: u64(batch.column(0)), candidates.count())
     shared = spark.sparkContext.broadcast(bitmap.tobytes())
     del bitmap
 

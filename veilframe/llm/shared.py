@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,25 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.sources.store import kept, kept_folder, scratch
 
-def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
+__all__ = ["binaries", "by_bytes", "kept", "kept_folder", "mix64", "read_documents", "scratch", "text_of", "texts", "u64"]
 
-def kept_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor sees; a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("veilframe.local.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="veilframe-")
-        spark.conf.set("veilframe.local.dir", root)
-    return f"{root}/veilframe-{uuid.uuid4().hex}"
 
-
-def kept(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, is computed once."""
-    spark, path = df.sparkSession, kept_folder(df.sparkSession)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def text_of(col: str = "text") -> Column:

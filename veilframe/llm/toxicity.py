@@ -14,11 +14,11 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .language_id import id_remainder
+from .language_id import id_remainder, unit_hash
 from .shared import kept, text_of, texts
 
-#: About how many labelled rows the model is learned from, and how many lexicon entries of a kind it has at most.
-MAX_FIT_ROWS, MAX_TERMS = 20_000, 2_000
+#: About how many labelled rows of each label the model is learned from.
+MAX_FIT_ROWS = 20_000
 #: Least documents with a term, toxic ones among them by odds, for it to enter the lexicon; characters of a stem.
 MIN_DOCS, MIN_LOG_ODDS, STEMS = 6, 3.0, (4, 5, 6)
 
@@ -71,7 +71,7 @@ def features_of(text: str, words_lex: frozenset[str], stems_lex: frozenset[str])
 
 
 def learn_lexicon(labelled: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
-    """Words and stems that go with label 1, from rows (body, label): counted by Spark, MAX_TERMS of each at most."""
+    """Words and stems that go with label 1, from rows (body, label): counted by Spark; as many as the labelled rows bear out."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,7 +87,8 @@ def learn_lexicon(labelled: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
     counts = labelled.mapInArrow(count, "kind string, term string, clean long, toxic long").groupBy("kind", "term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (totals.get(1, 0) + 1)) - F.log((F.col("clean") + 0.5) / (totals.get(0, 0) + 1))
     chosen = counts.filter(F.col("toxic") >= MIN_DOCS).withColumn("odds", odds).filter(F.col("odds") >= MIN_LOG_ODDS)
-    return tuple(frozenset(r["term"] for r in chosen.filter(F.col("kind") == kind).orderBy(F.desc(F.col("odds") * F.log("toxic")), "term").limit(MAX_TERMS).collect()) for kind in "ws")
+    found = [(r["kind"], r["term"]) for r in chosen.select("kind", "term").collect()]
+    return tuple(frozenset(term for k, term in found if k == kind) for kind in "ws")
 
 
 def with_features(rows: DataFrame, lexicon: tuple[frozenset[str], frozenset[str]]) -> DataFrame:
@@ -104,16 +105,13 @@ def with_features(rows: DataFrame, lexicon: tuple[frozenset[str], frozenset[str]
     return rows.mapInArrow(compute, ", ".join([*others, *(f"{n} double" for n in FEATURES)]))
 
 
-#: Most labelled ids (24 bytes each) that are broadcast to find their texts; with more, Spark joins by a shuffle.
-MAX_BROADCAST = 500_000
-
-
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
     Learned from labels (doc_id, toxic) whose id's remainder modulo 5 is not 0 (held_out: it is), about MAX_FIT_ROWS of
-    them, chosen and dealt to three folds by a hash of the id: one gives the lexicon, one the trees, one the isotonic
-    calibration, so that no step sees rows that the one before it fitted. Labels that are null, other than 0 and 1 or
+    each label, chosen and dealt to three folds by a hash of the id: one gives the lexicon, one the trees, one the
+    isotonic calibration, so that no step sees rows that the one before it fitted. Where a label is thinned, its rows
+    weigh as much more in trees and calibration. Labels that are null, other than 0 and 1 or
     repeated with different values teach nothing. Without examples of both labels every score is the share of label 1,
     or 0. Null and empty texts have zero features and a score like any other; rows with a null or repeated doc_id are
     documents of their own; other columns are ignored; an empty table gives an empty result.
@@ -121,32 +119,31 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     source = docs.select(text_of().alias("body"), "doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"))
     usable = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").cast("int").alias("label"), F.max("toxic").alias("other"))
     usable = usable.filter((F.col("label") == F.col("other")) & (id_remainder("doc_id", 5) != 0)).select("doc_id", "label")
-    n = usable.count()
-    if n > MAX_FIT_ROWS:
-        usable = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < MAX_FIT_ROWS * 1_000_000 // n)
+    counts = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
+    share = F.when(F.col("label") == 1, F.lit(min(1.0, MAX_FIT_ROWS / counts.get(1, 1)))).otherwise(F.lit(min(1.0, MAX_FIT_ROWS / counts.get(0, 1))))
+    usable = usable.withColumn("weight", 1 / share).filter(unit_hash(F.col("doc_id"), 3) < share)
     fold = F.when(F.col("h") < 5, 0).when(F.col("h") < 8, 1).otherwise(2)
     fit = usable.withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(10)))
-    if n <= MAX_BROADCAST:
-        fit = F.broadcast(fit)
-    rows = kept(docs.select(text_of().alias("body"), "doc_id").join(fit, "doc_id").select("body", "label", fold.alias("fold")))
+    # a sample of bounded size: at most about two labels' rows of 40 bytes
+    rows = kept(docs.select(text_of().alias("body"), "doc_id").join(F.broadcast(fit), "doc_id").select("body", "label", "weight", fold.alias("fold")))
     lexicon = learn_lexicon(rows.filter("fold = 0").select("body", "label"))
     known = kept(with_features(rows.filter("fold > 0"), lexicon))
-    by_label = {(r["fold"], r["label"]): r["count"] for r in known.groupBy("fold", "label").count().collect()}
+    by_label = {(r["fold"], r["label"]): r["sum(weight)"] for r in known.groupBy("fold", "label").sum("weight").collect()}
     scored = with_features(source, lexicon)
     if any(not by_label.get((1, k)) for k in (0, 1)):
         total = sum(by_label.values())
         share = sum(v for (_, k), v in by_label.items() if k) / total if total else 0.0
         return scored.select("doc_id", "held_out", F.lit(float(share)).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"))
     assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    trees = GBTClassifier(labelCol="label", maxIter=20, maxDepth=4, maxBins=64, stepSize=0.2, seed=5).fit(assemble.transform(known.filter("fold = 1")))
+    trees = GBTClassifier(labelCol="label", weightCol="weight", maxIter=20, maxDepth=4, maxBins=64, stepSize=0.2, seed=5).fit(assemble.transform(known.filter("fold = 1")))
     margin = vector_to_array("probability")[1]
 
     def raw(df: DataFrame) -> DataFrame:
         return trees.transform(assemble.transform(df)).withColumn("margin", margin)
 
-    iso_rows = raw(known.filter("fold = 2")).select("margin", F.col("label").cast("double").alias("label"))
+    iso_rows = raw(known.filter("fold = 2")).select("margin", "weight", F.col("label").cast("double").alias("label"))
     if all(by_label.get((2, k)) for k in (0, 1)):
-        iso = IsotonicRegression(featuresCol="margin", labelCol="label").fit(iso_rows)
+        iso = IsotonicRegression(featuresCol="margin", labelCol="label", weightCol="weight").fit(iso_rows)
         out = iso.setPredictionCol("calibrated").transform(raw(scored))
         # isotonic steps are flat: a little of the trees' own probability keeps the order within a step
         score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.98 * F.col("calibrated") + 0.02 * F.col("margin")))

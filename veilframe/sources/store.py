@@ -53,10 +53,14 @@ def kept_folder(spark: SparkSession, lasting: bool = False) -> str:
     return path
 
 
-def kept(df: DataFrame, codec: str = "zstd", lasting: bool = False) -> DataFrame:
-    """Write df to a kept_folder and read it back: cuts lineage, survives lost executors, is computed once. See scratch."""
+def kept(df: DataFrame, codec: str = "zstd", lasting: bool = False, by: str | None = None) -> DataFrame:
+    """Write df to a kept_folder and read it back: cuts lineage, survives lost executors, is computed once. See scratch.
+
+    by: its last column, whose values become folders, so that a filter on it reads its part alone.
+    """
     path = kept_folder(df.sparkSession, lasting)
-    df.write.option("compression", codec).parquet(path)
+    writer = df.write.option("compression", codec)
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -41,8 +41,8 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 CELLS, CHUNK = 2, 1000
 #: Shingles that a group of inverted lists, and a group of cells, holds on average.
 LIST_SHINGLES, CELL_SHINGLES = 2_000_000, 1_000_000
-#: Bytes of text to a shingle, about, for the number of groups alone; and bytes of text whose sets a task holds at a time, a longer one alone.
-BYTES_A_SHINGLE, BATCH_BYTES = 6, 8 << 20
+#: Bytes of text to a shingle, about, for the number of groups alone; and bytes of text whose postings, and whose sets, a task holds at a time (a longer text alone).
+BYTES_A_SHINGLE, POST_BYTES, SET_BYTES = 6, 4 << 20, 1 << 20
 #: Sets of at most SMALL shingles are tried on all of them, larger ones on those whose fingerprint SAMPLE divides.
 SMALL, SAMPLE = 64, 3
 #: Least and most counters of the frequency sketch, one byte each, and how many of them a shingle counts in.
@@ -201,7 +201,7 @@ def shingle_sets(docs: DataFrame, suspected: np.ndarray) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = np.frombuffer(shared.value, np.uint8), set()
         for batch in batches:
-            for part in by_bytes(batch, 1, BATCH_BYTES):
+            for part in by_bytes(batch, 1, SET_BYTES):
                 data = [shingles(x).tobytes() for x in part.column(1).to_pylist()]
                 ids = [set_id_of(x) if x else None for x in data]
                 short = _short(ids)
@@ -253,7 +253,7 @@ def suspects(docs: DataFrame) -> DataFrame:
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in (part for b in batches for part in by_bytes(b, 0, BATCH_BYTES)):
+        for batch in (part for b in batches for part in by_bytes(b, 0, POST_BYTES)):
             every = [shingles(x) for x in batch.column(0).to_pylist()]
             names_ = [set_id_of(x.tobytes()) if len(x) else None for x in every]
             own = [i for i, x in enumerate(names_) if x is not None and x not in seen and not seen.add(x)]
@@ -347,8 +347,8 @@ def link_components(docs: DataFrame) -> DataFrame:
     sets = kept(shingle_sets(docs, suspected), "none")
     named = sets.filter("set_id is not null")
     classes = kept(named.groupBy("set_id").agg(F.min("doc_id").alias("rep")))
-    live = named.filter("shingles is not null").join(chosen, "short", "left_semi")
-    live = live.groupBy("set_id").agg(F.any_value("n").alias("n"), F.any_value("shingles").alias("shingles"))
+    # besides suspects this has what the filter takes for one, at most a few in a hundred of the others: they find no partner
+    live = named.filter("shingles is not null").groupBy("set_id").agg(F.any_value("n").alias("n"), F.any_value("shingles").alias("shingles"))
     # names are long: from here on a stored number stands for each
     numbered = kept(live.withColumn("node", F.monotonically_increasing_id()), "none")
     live = numbered.select(F.col("node").alias("set_id"), "n", "shingles")

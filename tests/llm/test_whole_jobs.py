@@ -155,3 +155,25 @@ def test_toxic_features_against_plain_counts():
     assert got["capitals"] == pytest.approx(sum(c.isupper() for c in text) / len(text)) and got["shouted"] == pytest.approx(100 / len(words))
     assert got["exclaims"] == pytest.approx(200 / len(words)) and got["obfuscated"] == pytest.approx(100 / len(words))
     assert got["near_second"] == pytest.approx(100 / len(words))
+
+
+def test_hot_ids_have_buckets_of_their_own(spark, tmp_path):
+    import public_tokenizers
+
+    from veilframe.llm.token_store import read_tokens, write_tokens
+
+    rows = [(None, f"none {i % 3}") for i in range(150)] + [(7, f"seven {i % 2}") for i in range(200)] + [(i, f"own {i}") for i in range(-60, 60)] + [(2**60 + i, "big") for i in range(3)]
+    rnd = random.Random(1)
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = str(tmp_path / "tokens")
+    write_tokens(df, path, public_tokenizers.path("word_bpe_49k.json"), 2)
+    found = sorted(read_tokens(spark, path).collect(), key=lambda r: r.start)
+    want = sorted((r[0] for r in rows), key=lambda d: (d is not None, d or 0))
+    assert [r.doc_id for r in found] == want
+    at = 0
+    for r in found:
+        assert r.start == at
+        at += len(r.ids) // 4
+    hot = spark.read.parquet(path).groupBy("bucket").agg(F.max("n_ids").alias("n")).collect()
+    assert max(r.n for r in hot) < 0.25 * at

@@ -2,15 +2,16 @@
 
 A shard is little-endian throughout:
 
-    magic "VFEF", u8 version 1, u8 bytes per id (2 or 4), u8 low bits L, u8 zero
-    u64 documents n, u64 ids m, u64 upper bits U
-    i64 key of each document (its doc_id; the least value stands for null)
+    magic "VFEF", u8 version 2, u8 bytes per id (2 or 4), u8 low bits L of boundaries, u8 low bits K of keys
+    u64 documents n, u64 ids m, u64 upper bits U of boundaries
+    u64 documents without key (which come first), i64 least key, u64 upper bits V of keys
     boundaries: the n + 1 ascending positions 0 ... m, each as L low bits, packed, padded to 8 bytes, and as
         one bit of an upper bit vector of U bits (padded to 64): position (x >> L) + i for the i-th
-    u32 samples: place of every 64th set bit of the upper vector
+        u32 samples: place of every 64th set bit of the upper vector
+    keys: the documents' ascending doc_ids less the least one, in the same way
     ids: m unsigned integers
 
-The boundaries take about 2 + log2(m / n) bits each instead of 64.
+Boundaries take about 2 + log2(m / n) bits each instead of 64, keys 2 + log2(range / n).
 """
 
 from __future__ import annotations
@@ -23,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import binaries, kept_folder, text_of, texts
+from .shared import binaries, kept_folder, mix64, text_of, texts
 from .tokenization import word_bpe
 
-MAGIC, HEAD, SAMPLE, NULL_KEY = b"VFEF", struct.Struct("<4sBBBBQQQ"), 64, -(2**63)
+MAGIC, HEAD, SAMPLE, NULL_KEY = b"VFEF", struct.Struct("<4sBBBBQQQQqQ"), 64, -(2**63)
 #: Ids after which a shard is closed (a longer document still is one shard's), documents encoded together, and documents per Arrow batch read back.
 SHARD_IDS, ENCODE_BATCH, READ_BATCH = 1 << 20, 256, 4096
+#: Bytes of text that a bucket of consecutive documents has about, and the most buckets.
+BUCKET_BYTES, MAX_BUCKETS = 256 << 20, 50_000
 #: Most shards whose first positions are broadcast (20 bytes each).
 MAX_BROADCAST = 1_000_000
 
@@ -51,6 +54,18 @@ class EliasFano:
         upper[places] = 1
         return cls(low_bits, _padded(np.packbits(bits, bitorder="little")), np.packbits(upper, bitorder="little"), places[::SAMPLE].astype("<u4"), n)
 
+    def data(self) -> bytes:
+        return self.lows.tobytes() + self.upper.tobytes() + self.samples.tobytes()
+
+    @classmethod
+    def read(cls, data: bytes, at: int, low_bits: int, upper_bits: int, n: int) -> tuple[EliasFano, int]:
+        """The sequence of n integers whose data() starts at `at`, in place, and where it ends."""
+        lows = np.frombuffer(data, np.uint8, -(-n * low_bits // 64) * 8, at)
+        upper = np.frombuffer(data, np.uint8, upper_bits // 8, at + len(lows))
+        at += len(lows) + len(upper)
+        samples = np.frombuffer(data, "<u4", -(-n // SAMPLE), at)
+        return cls(low_bits, lows, upper, samples, n), at + 4 * len(samples)
+
     def select(self, i: int) -> int:
         """The i-th integer: from the nearest sampled bit, set bits are counted byte by byte."""
         at, left = int(self.samples[i // SAMPLE]), i % SAMPLE
@@ -81,37 +96,31 @@ def _padded(x: np.ndarray) -> np.ndarray:
 
 
 def write_shard(keys: list[int | None], ids: list[np.ndarray], id_bytes: int) -> bytes:
+    """A shard of documents in ascending order of their keys, those without one first."""
     ends = np.cumsum([0, *map(len, ids)])
-    ef = EliasFano.of(ends)
-    head = HEAD.pack(MAGIC, 1, id_bytes, ef.low_bits, 0, len(keys), int(ends[-1]), len(ef.upper) * 8)
-    own = np.array([NULL_KEY if k is None else k for k in keys], "<i8")
+    known = [k for k in keys if k is not None]
+    least = known[0] if known else 0
+    bounds, own = EliasFano.of(ends), EliasFano.of(np.array([k - least for k in known], np.uint64))
+    head = HEAD.pack(MAGIC, 2, id_bytes, bounds.low_bits, own.low_bits, len(keys), int(ends[-1]), len(bounds.upper) * 8, len(keys) - len(known), least, len(own.upper) * 8)
     flat = np.concatenate(ids) if ids else np.zeros(0)
-    return b"".join([head, own.tobytes(), ef.lows.tobytes(), ef.upper.tobytes(), ef.samples.tobytes(), flat.astype(f"<u{id_bytes}").tobytes()])
+    return b"".join([head, bounds.data(), own.data(), flat.astype(f"<u{id_bytes}").tobytes()])
 
 
 class Shard:
     """A shard's bytes, read in place."""
 
     def __init__(self, data: bytes) -> None:
-        magic, version, self.id_bytes, low_bits, _, self.n, self.m, upper_bits = HEAD.unpack_from(data)
-        if magic != MAGIC or version != 1:
+        magic, version, self.id_bytes, low_bits, key_bits, self.n, self.m, upper_bits, self.nulls, self.least, key_upper = HEAD.unpack_from(data)
+        if magic != MAGIC or version != 2:
             raise ValueError("not a token shard")
-        at = HEAD.size
-        self.keys = np.frombuffer(data, "<i8", self.n, at)
-        at += 8 * self.n
-        lows = np.frombuffer(data, np.uint8, -(-(self.n + 1) * low_bits // 64) * 8, at)
-        at += len(lows)
-        upper = np.frombuffer(data, np.uint8, upper_bits // 8, at)
-        at += len(upper)
-        samples = np.frombuffer(data, "<u4", self.n // SAMPLE + 1, at)
-        self.ends = EliasFano(low_bits, lows, upper, samples, self.n + 1)
-        self.ids = np.frombuffer(data, f"<u{self.id_bytes}", self.m, at + 4 * len(samples))
+        self.ends, at = EliasFano.read(data, HEAD.size, low_bits, upper_bits, self.n + 1)
+        self.keys, at = EliasFano.read(data, at, key_bits, key_upper, self.n - self.nulls)
+        self.ids = np.frombuffer(data, f"<u{self.id_bytes}", self.m, at)
 
     def document(self, i: int) -> tuple[int | None, int, np.ndarray]:
         """Key, start within the shard, and ids of the i-th document."""
         start, end = self.ends.select(i), self.ends.select(i + 1)
-        key = int(self.keys[i])
-        return None if key == NULL_KEY else key, start, self.ids[start:end]
+        return None if i < self.nulls else self.least + self.keys.select(i - self.nulls), start, self.ids[start:end]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_ids: int = SHARD_IDS) -> None:
@@ -121,22 +130,34 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
     first; documents that repeat a doc_id follow each other in the order of their ids' bytes. Shards are the binary
     column of a Parquet table (bucket, part, n_ids, shard): the store's own committer publishes each task's shards once.
 
-    doc_id quantiles, at most 4 for each shuffle partition, deal documents to ordered buckets, so every task writes
-    consecutive documents of like number however hot a source is. The texts are encoded once, where they are read.
+    doc_id quantiles, four for each shuffle partition or as many as the bytes of the texts ask for, deal documents to
+    ordered buckets, so every task writes consecutive documents of like number however hot a source is. A doc_id that
+    is several quantiles, or null so often, has as many buckets of its own, dealt by place in the input; its documents
+    then follow each other in any order. The texts are encoded once, where they are read.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = np.unique(np.array(docs.approxQuantile("doc_id", [i / (4 * n) for i in range(1, 4 * n)], 1 / (16 * n)), np.int64))
+    size = docs.agg(F.sum(F.octet_length(text_of()))).first()[0] or 0
+    many = max(4 * n, min(MAX_BUCKETS, -(-size // BUCKET_BYTES)))
+    places = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key")).approxQuantile("key", [i / many for i in range(1, many)], 1 / (4 * many))
+    bounds, times = np.unique(np.array(places).astype(np.int64), return_counts=True)
+    hot = np.append(np.where(times > 1, times, 0), 0)
+    begins = np.cumsum(np.append(0, 1 + hot))  # of each bound: its bucket, that of smaller keys, and the hot key's own
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = word_bpe(tokenizer)
-        end = struct.pack("<I", end_id)
+        from pyspark import TaskContext
+
+        model, end, seen = word_bpe(tokenizer), struct.pack("<I", end_id), TaskContext.get().partitionId() << 40
         for batch in batches:
             for first in range(0, batch.num_rows, ENCODE_BATCH):
                 part = batch.slice(first, ENCODE_BATCH)
                 keys = part.column(0).to_pylist()
                 ids = [np.frombuffer(x + end, "<u4").astype("<u2" if small else "<u4").tobytes() for x in model.encode(texts(part.column(1)))]
-                at = np.searchsorted(bounds, [NULL_KEY if k is None else k for k in keys], "left")
+                numbers = np.array([NULL_KEY if k is None else k for k in keys], np.int64)
+                at = np.searchsorted(bounds, numbers, "left")
+                own = (at < len(bounds)) & (np.append(bounds, 0)[at] == numbers) & (hot[at] > 0)
+                spread = mix64(np.arange(seen, seen + len(keys)).astype(np.uint64)) >> np.uint64(33)
+                at, seen = begins[at] + np.where(own, 1 + spread.astype(np.int64) * hot[at] // (1 << 31), 0), seen + len(keys)
                 yield pa.record_batch([pa.array(at, pa.int32()), part.column(0), binaries(ids)], ["bucket", "key", "ids"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +180,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
 
     small = max(word_bpe(tokenizer).library.get_vocab_size() - 1, end_id) < 1 << 16
     rows = docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(encode, "bucket int, key long, ids binary")
-    ordered = rows.repartition(n, "bucket").sortWithinPartitions("bucket", F.col("key").asc_nulls_first(), "ids")
+    ordered = rows.repartition(max(n, many // 4), "bucket").sortWithinPartitions("bucket", F.col("key").asc_nulls_first(), "ids")
     ordered.mapInArrow(pack, "bucket int, part int, n_ids long, shard binary").write.option("compression", "none").parquet(path)
 
 

@@ -44,8 +44,6 @@ def test_empty_tables(spark, empty_dir, name):
 def test_duckdb_says_the_same(spark, sf_dir, name, corpus):
     import duckdb
 
-    if name == "op8_line_dedup":
-        pytest.skip("its SQL counts documents by doc_id, which the awkward table repeats; see test_lines")
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{sf_dir}/documents.parquet/*.parquet'")
     df = LLM_QUERIES[name](spark, sf_dir)

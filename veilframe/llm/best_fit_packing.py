@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import binaries, kept, text_of, texts
+from .shared import binaries, by_bytes, kept, text_of, texts
 from .tokenization import word_bpe
 
-STEP = 256
+#: Bytes of text that are encoded together (a longer one alone).
+STEP_BYTES = 512 << 10
 
 
 def plan_slots(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int]]:
@@ -70,8 +71,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataF
 
         block, model, end, ranks = TaskContext.get().partitionId(), word_bpe(tokenizer), struct.pack("<I", end_id), [0] * (size + 1)
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                part = batch.slice(at, STEP)
+            for part in by_bytes(batch, 1, STEP_BYTES):
                 out: list[tuple] = []
                 for doc, ids in zip(part.column(0), model.encode(texts(part.column(1))), strict=True):
                     ids += end
@@ -130,5 +130,5 @@ def pack_best_fit(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int =
     return placed.select("doc_id", "piece", "start", "length", "ids", F.col("slot.sequence_id").alias("sequence_id"), F.col("slot.offset").alias("offset"))
 
 
-#: Most rows (task, length, base) that are broadcast, 24 bytes each; beyond that they are joined by a shuffle.
+#: Most rows (task, length, base) that are broadcast, about 100 bytes each; beyond that they are joined by a shuffle.
 MAX_BROADCAST = 1_000_000

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kept
+from .shared import kept, scratch
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,6 +25,11 @@ def components(edges: DataFrame) -> DataFrame:
     graph. A node with very many neighbours is summed up in each task before the shuffle, and its rows can be split
     between tasks in the join. Edges from a node to itself and repeated edges change nothing.
     """
+    with scratch(edges.sparkSession):
+        return kept(_roots(edges), lasting=True)
+
+
+def _roots(edges: DataFrame) -> DataFrame:
     edges = kept(edges.filter("a != b").distinct())
     seen = None
     while True:

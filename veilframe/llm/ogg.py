@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import binaries, kept, text_of
+from .shared import binaries, by_bytes, kept, text_of
 
 #: Fixed values of the format: capture pattern, page header up to the lacing values, header flags, segments in a page.
 CAPTURE, HEADER = b"OggS", struct.Struct("<4sBBqIIIB")
@@ -167,14 +167,21 @@ def open_media(data: bytes) -> Media:
     return Media(n_bytes, payload, len(streams), sum(s.pages for s in streams.values()), sum(len(s.packets) for s in streams.values()), bad, times)
 
 
+#: Bytes of texts, or of stored forms, that a task turns into the other at a time (a longer one alone).
+STEP_BYTES = 8 << 20
+
+
 def write_media(docs: DataFrame) -> DataFrame:
-    """doc_id and media, the whole text (null: empty) as an Ogg file; one row per document, no shuffle."""
+    """doc_id and media, the whole text (null: empty) as an Ogg file; one row per document, no shuffle.
+
+    Rows with a null or repeated doc_id are documents like any other, other columns are ignored, and an empty table
+    gives an empty result.
+    """
     rows = docs.select("doc_id", text_of().cast("binary").alias("body"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in by_bytes(batch, 1, STEP_BYTES):
                 yield pa.record_batch([part.column(0), binaries([write_ogg(x) for x in part.column(1).to_pylist()])], ["doc_id", "media"])
 
     return rows.mapInArrow(encode, f"doc_id {rows.schema[0].dataType.simpleString()}, media binary")
@@ -191,8 +198,8 @@ def read_media(media: DataFrame) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part, out = batch.slice(at, 1000), []
+            for part in by_bytes(batch, 1, STEP_BYTES):
+                out = []
                 for data in part.column(1).to_pylist():
                     m = open_media(data or b"")
                     out.append((m.n_bytes, m.payload, len(data or b""), hashlib.sha256(data or b"").hexdigest(), m.streams, m.pages, m.packets, m.bad_pages, m.times))

@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import text_of, texts
+from .shared import by_bytes, text_of, texts
 from .tokenization import pieces
 
-#: Documents that are encoded together: bounds what a worker holds beside its table of chunks.
-STEP = 256
+#: Bytes of text that are encoded together (a longer one alone): bounds what a worker holds beside its table of chunks.
+STEP_BYTES = 512 << 10
 
 
 def piece_ids(docs: DataFrame, model: str) -> DataFrame:
@@ -26,8 +26,7 @@ def piece_ids(docs: DataFrame, model: str) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                part = batch.slice(at, STEP)
+            for part in by_bytes(batch, 1, STEP_BYTES):
                 ids = table.encode(texts(part.column(1)))
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(table.decode(ids), pa.string())], ["doc_id", "ids", "decoded"])
 

@@ -94,20 +94,39 @@ LLM_QUERIES = {
 }
 
 LLM_ORACLES = {
+    "op5_jaccard_join": """
+        with recursive words as (
+            select row_number() over () as rid, doc_id,
+                   list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                               'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D\\x20]+'), lambda w: w <> '') as ws
+            from documents
+        ), placed as (select rid, len(ws) as n, unnest(ws) as w, generate_subscripts(ws, 1) as i from words where len(ws) >= 5),
+        grams as (
+            select distinct rid, g from (
+                select rid, n, i, concat_ws(' ', w, lead(w, 1) over p, lead(w, 2) over p, lead(w, 3) over p, lead(w, 4) over p) as g
+                from placed window p as (partition by rid order by i)) where i <= n - 4
+            union all select rid, array_to_string(ws, ' ') from words where len(ws) between 1 and 4
+        ), sets as (select w.rid, doc_id, count(g) as n from words w left join grams g on g.rid = w.rid group by 1, 2),
+        pairs as (select a.rid as a, b.rid as b, count(*) as n from grams a join grams b on a.g = b.g and a.rid <> b.rid group by 1, 2),
+        links as (select a, b from pairs p join sets x on x.rid = a join sets y on y.rid = b where 100 * p.n >= 80 * (x.n + y.n - p.n)),
+        reach as (select rid, rid as other from sets union select r.rid, l.b from reach r join links l on l.a = r.other)
+        select s.doc_id, s.n as n_shingles, least.component_id
+        from sets s join (select r.rid, min(o.doc_id) as component_id from reach r join sets o on o.rid = r.other group by 1) least on least.rid = s.rid
+    """,
     "op8_line_dedup": """
         with lines as (
-            select doc_id, line, line_no,
+            select rid, doc_id, line, line_no,
                    translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
-            from (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as line_no
-                  from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents))
+            from (select rid, doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as line_no
+                  from (select row_number() over () as rid, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents))
         ), frequent as (
-            select key from lines where length(key) >= 1 group by key having count(distinct doc_id) >= 10
+            select key from lines where length(key) >= 1 group by key having count(distinct rid) >= 10
         )
         select doc_id, count(*) as n_lines, count(f.key) as n_dropped,
                sha256(coalesce(string_agg(l.line, chr(10) order by line_no) filter (where f.key is null), '')) as kept_sha256
         from lines l left join frequent f on l.key = f.key
-        group by doc_id
+        group by rid, doc_id
     """,
     "op9_exact_dedup": """
         with groups as (

@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import binaries, kept_folder, mix64, text_of, texts
+from .shared import binaries, by_bytes, kept_folder, mix64, text_of, texts
 from .tokenization import word_bpe
 
 MAGIC, HEAD, SAMPLE, NULL_KEY = b"VFEF", struct.Struct("<4sBBBBQQQQqQ"), 64, -(2**63)
-#: Ids after which a shard is closed (a longer document still is one shard's), documents encoded together, and documents per Arrow batch read back.
-SHARD_IDS, ENCODE_BATCH, READ_BATCH = 1 << 20, 256, 4096
+#: Ids after which a shard is closed (a longer document still is one shard's), bytes of text encoded together, and documents per Arrow batch read back.
+SHARD_IDS, ENCODE_BYTES, READ_BATCH = 1 << 20, 512 << 10, 4096
 #: Bytes of text that a bucket of consecutive documents has about, and the most buckets.
 BUCKET_BYTES, MAX_BUCKETS = 256 << 20, 50_000
 #: Most shards whose first positions are broadcast (20 bytes each).
@@ -149,8 +149,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
 
         model, end, seen = word_bpe(tokenizer), struct.pack("<I", end_id), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for first in range(0, batch.num_rows, ENCODE_BATCH):
-                part = batch.slice(first, ENCODE_BATCH)
+            for part in by_bytes(batch, 1, ENCODE_BYTES):
                 keys = part.column(0).to_pylist()
                 ids = [np.frombuffer(x + end, "<u4").astype("<u2" if small else "<u4").tobytes() for x in model.encode(texts(part.column(1)))]
                 numbers = np.array([NULL_KEY if k is None else k for k in keys], np.int64)

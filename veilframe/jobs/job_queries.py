@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilframe.operators import detections as det, evaluation as ev, tracking
 from veilframe.operators.sampling import normalize_videos
 from veilframe.sources.derived import DETECTIONS, JOBS, UPLOADS, derived
+from veilframe.sources.store import kept
 
 from . import uploads as up
 from .box_queries import boxes
@@ -66,7 +67,7 @@ def compare_trackers(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = raw.select(*columns)
     for name, df in (("iou", track_iou(spark, sf_dir)), ("two_stage", track_two_stage(spark, sf_dir))):
         parts = parts.unionByName(df.withColumn("det_idx", F.col("track_id").cast("int")).withColumn("config", F.lit(name)).select(*columns))
-    pred = ev.sample_every(parts)
+    pred = kept(ev.sample_every(parts))
     times = pred.select("config", "video_id", "frame_idx").distinct().select("config", F.lit(0.004).alias("seconds"))
     return ev.score_configs(ev.greedy_match(truth(spark, sf_dir), pred), pred, times)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilframe.operators import audit, evaluation as ev, sampling
 from veilframe.operators.detections import FRAME, nms
 from veilframe.sources.derived import DETECTIONS, UPLOADS, VIDEOS, derived
+from veilframe.sources.store import kept
 
 from .box_queries import BUCKET, d, fold, iou_sql, side
 
@@ -26,7 +27,7 @@ def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.greedy_match(truth(spark, sf_dir), preds(spark, sf_dir))
+    return ev.greedy_match(truth(spark, sf_dir), preds(spark, sf_dir), configs=["a", "b"])
 
 
 TRUTH = f"select video_id, frame_idx, det_idx, x1 + 2 as x1, y1 + 2 as y1, x2 + 2 as x2, y2 + 2 as y2 from ({DETECTIONS}) where line % 2 = 0 and frame_idx % 15 = 0"
@@ -55,11 +56,13 @@ _TIMINGS = f"select case when event_seq % 2 = 0 then 'a' else 'b' end as config,
 
 
 def score_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.score_configs(matches(spark, sf_dir), preds(spark, sf_dir), timings(spark, sf_dir))
+    found = kept(preds(spark, sf_dir))
+    return ev.score_configs(ev.greedy_match(truth(spark, sf_dir), found), found, timings(spark, sf_dir))
 
 
 def pr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.pr_counts(matches(spark, sf_dir), preds(spark, sf_dir))
+    found = kept(preds(spark, sf_dir))
+    return ev.pr_counts(kept(ev.greedy_match(truth(spark, sf_dir), found)), found)
 
 
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

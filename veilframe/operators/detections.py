@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.boxes import Box, detect_scale, iou, is_sane, resized, shifted_points
 
 FRAME = ["video_id", "frame_idx"]
+#: Most rows of anchor grids (60 bytes each) that are broadcast.
+MAX_PRIORS = 1_000_000
 #: Fixed values of the anchor decoder: steps, anchor sizes for each, and variances.
 STEPS, SIZES, CENTER_VARIANCE, SIZE_VARIANCE = (8, 16, 32), ((16, 32), (64, 128), (256, 512)), 0.1, 0.2
 
@@ -60,9 +62,10 @@ def merge_scales(df: DataFrame, min_face: float = 6.0) -> DataFrame:
     """Passes at several long sides (column long_side), each side once, mapped back to the frame and merged by NMS.
 
     Ties go by pass (column pass), then det_idx. A side that a frame has from more than one pass counts from the first.
+    One shuffle, by frame, serves both the choice of passes and the NMS.
     """
-    first = df.groupBy(*FRAME, "long_side").agg(F.min("pass").alias("_first"))
-    own = df.join(first, [*FRAME, "long_side"]).filter(F.col("pass") == F.col("_first")).drop("_first")
+    first = F.min("pass").over(Window.partitionBy(*FRAME, "long_side"))
+    own = df.repartition(*FRAME).withColumn("_first", first).filter(F.col("pass") == F.col("_first")).drop("_first")
     inv = F.lit(1.0) / detect_scale(F.col("long_side"), F.col("width"), F.col("height"))
     return nms(scale_boxes(own, inv, min_face), order=("pass", "det_idx"))
 
@@ -130,10 +133,10 @@ def prior_boxes(sizes: DataFrame) -> DataFrame:
 def decode_anchors(outputs: DataFrame, priors: DataFrame, min_score: float) -> DataFrame:
     """Boxes and landmarks from anchor outputs (anchor_idx, score, loc, lms, net_w, net_h, scale, width, height).
 
-    Outputs are cut by score (above min_score) before they meet the priors, which are few and broadcast: an anchor grid
-    has at most a few ten thousand rows for each network input size.
+    Outputs are cut by score (above min_score) before they meet the priors, a few ten thousand rows for each network input
+    size, which are broadcast while they are MAX_PRIORS at most.
     """
-    good = outputs.filter(F.col("score") > min_score).join(F.broadcast(priors), ["net_h", "net_w", "anchor_idx"])
+    good = outputs.filter(F.col("score") > min_score).join(F.broadcast(priors) if priors.count() <= MAX_PRIORS else priors, ["net_h", "net_w", "anchor_idx"])
 
     def point(i: int) -> tuple[Column, Column]:
         x = F.col("cx") + F.get("lms", F.lit(2 * i)) * CENTER_VARIANCE * F.col("sx")

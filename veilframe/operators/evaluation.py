@@ -37,15 +37,17 @@ def sample_common(source: DataFrame, output: DataFrame, videos: DataFrame, max_f
     return due.withColumn("rank", rank).filter(F.col("rank") <= most).select(*FRAME)
 
 
-def greedy_match(truth: DataFrame, pred: DataFrame, threshold: float = 0.2) -> DataFrame:
+def greedy_match(truth: DataFrame, pred: DataFrame, threshold: float = 0.2, configs: Sequence[str] | None = None) -> DataFrame:
     """Truth boxes with what they matched: config, frame, gt_idx, corners, hit, pred_idx, pred_score.
 
     In each (config, frame), truth in the order of det_idx takes the first unused prediction, by descending score then
     det_idx, whose IoU is at least threshold. pred has a config column; truth repeats for every config of pred, also in
-    frames without a prediction. One shuffle of each side by frame; a frame's boxes meet in one row.
+    frames without a prediction; configs names them, or else pred is read for them first: store it if it is dear. One
+    shuffle of each side by frame; a frame's boxes meet in one row.
     """
-    configs = F.broadcast(pred.select("config").distinct())
-    gts = truth.groupBy(*FRAME).agg(F.array_sort(F.collect_list(F.struct("det_idx", "x1", "y1", "x2", "y2"))).alias("gts")).crossJoin(configs)
+    names = sorted(r["config"] for r in pred.select("config").distinct().collect()) if configs is None else configs
+    every = F.explode(F.array(*map(F.lit, names)).cast("array<string>")).alias("config")
+    gts = truth.groupBy(*FRAME).agg(F.array_sort(F.collect_list(F.struct("det_idx", "x1", "y1", "x2", "y2"))).alias("gts")).select("*", every)
     preds = pred.groupBy("config", *FRAME).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "det_idx", "x1", "y1", "x2", "y2"))).alias("preds"))
     both = gts.join(preds, ["config", *FRAME], "left")
     none = F.array().cast("array<int>")
@@ -166,5 +168,5 @@ def latency_summary(timings: DataFrame, warm_up: int = 8) -> DataFrame:
 
 def merge_report(old: DataFrame, new: DataFrame, variants: DataFrame) -> DataFrame:
     """A report's rows (tracker, ...), those of re-run variants (tracker) replaced by new ones."""
-    names = F.broadcast(variants.select("tracker").distinct())
+    names = variants.select("tracker").distinct()
     return old.join(names, "tracker", "left_anti").unionByName(new.join(names, "tracker", "left_semi"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import binaries, by_bytes, kept, text_of, texts
+from .shared import binaries, by_bytes, give_back, kept, text_of, texts
 from .tokenization import word_bpe
 
 #: Bytes of text that are encoded together (a longer one alone).
@@ -85,6 +85,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataF
                     [doc_ids, *(pa.array([x[i] for x in out], t) for i, t in ((1, pa.int32()), (2, pa.int64()), (3, pa.int64()))), binaries([x[4] for x in out]), pa.array([x[5] for x in out], pa.int64()), pa.array([x[6] for x in out], pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids", "block", "local"],
                 )
+        give_back()
 
     doc_type = rows.schema[0].dataType.simpleString()
     return rows.mapInArrow(cut, f"doc_id {doc_type}, piece int, start long, length long, ids binary, block long, local long")

@@ -73,6 +73,7 @@ def _fill(batches: Iterator[pa.RecordBatch], hashes_of: Callable, bits: int) ->
             put(twice, values[(counts > 1) | holds(once, values)])
             put(once, values)
     a, b = set_bits(once), set_bits(twice)
+    del once, twice
     for segment in np.unique(a // SEGMENT):
         parts = [x[np.searchsorted(x, segment * SEGMENT) : np.searchsorted(x, (segment + 1) * SEGMENT)] % SEGMENT for x in (a, b)]
         yield pa.record_batch([pa.array([segment], pa.int32()), *(binaries([x.astype("<u2").tobytes()]) for x in parts)], ["segment", "once", "twice"])

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .graph import components
-from .shared import binaries, by_bytes, kept, mix64, text_of, u64
+from .shared import binaries, by_bytes, give_back, kept, mix64, text_of, u64
 
 #: Words in a shingle, and the least Jaccard similarity as a fraction.
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
@@ -207,7 +207,9 @@ def shingle_sets(docs: DataFrame, suspected: np.ndarray) -> DataFrame:
                 short = _short(ids)
                 live = bloom.holds(bits, short).tolist()
                 sent = [x if x and k and i not in seen and not seen.add(i) else None for x, i, k in zip(data, ids, live, strict=True)]
-                yield pa.record_batch([part.column(0), part.column(2), pa.array([len(x) // 8 for x in data], pa.int64()), binaries(ids), pa.array(short.view(np.int64)), binaries(sent)], ["doc_id", "key", "n", "set_id", "short", "shingles"])
+                found = pa.record_batch([part.column(0), part.column(2), pa.array([len(x) // 8 for x in data], pa.int64()), binaries(ids), pa.array(short.view(np.int64)), binaries(sent)], ["doc_id", "key", "n", "set_id", "short", "shingles"])
+                yield found
+        give_back()
 
     return rows.mapInArrow(build, f"doc_id {rows.schema[0].dataType.simpleString()}, key long, n long, set_id binary, short long, shingles binary")
 
@@ -286,6 +288,7 @@ def suspects(docs: DataFrame) -> DataFrame:
                 starts = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
                 k = w[starts]
                 yield rows(part, np.where(k < 0, np.uint64(0), ids[k]), np.where(k < 0, 0, sizes[k]), np.diff(np.append(starts, len(w))), f)
+        give_back()
 
     def count(group: pa.Table) -> pa.Table:
         columns = [np.concatenate([np.frombuffer(x, t) for x in group[n].to_pylist()]) for n, t in zip(names[1:], ("<u8", "<u4", "<u4", "<u4"), strict=True)]
@@ -302,6 +305,8 @@ def suspects(docs: DataFrame) -> DataFrame:
             n = np.bincount(row, minlength=len(ids))
             good = (n > 0) & (ids != 0)
             out = list(tallies(ids[good], sizes[good], n[good], parts))
+            del columns, prints, owners, shared, order, repeated, tried, row
+            give_back()
         return pa.Table.from_batches(out) if out else pa.table([pa.array([], t) for t in (pa.int32(), *[pa.binary()] * 4)], names=names)
 
     def choose(group: pa.Table) -> pa.Table:
@@ -329,6 +334,7 @@ def _searched(cells: DataFrame, total: int, between: bool) -> DataFrame:
             found = links_between(sets, comps[at], [i for i, x in enumerate(asks[at]) if x]) if between else links_within(sets)
             a += [ids[at.start + i] for i, _ in found]
             b += [ids[at.start + j] for _, j in found]
+        give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return cells.groupBy(F.pmod("cell", F.lit(parts)).alias("deal")).applyInArrow(lambda _, g: search(g), "a long, b long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from veilframe.sources.store import kept, kept_folder, scratch
 
-__all__ = ["binaries", "by_bytes", "kept", "kept_folder", "mix64", "read_documents", "scratch", "text_of", "texts", "u64"]
+__all__ = ["binaries", "by_bytes", "give_back", "kept", "kept_folder", "mix64", "read_documents", "scratch", "text_of", "texts", "u64"]
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +38,14 @@ def binaries(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())
 
 
+def give_back() -> None:
+    """Return freed memory to the system: an idle worker otherwise holds what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
     """Parts of the batch whose values in a text or binary column have at most so many bytes, or that are one row."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)

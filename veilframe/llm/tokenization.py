@@ -11,7 +11,7 @@ import numpy as np
 
 #: Chunks as written, and words in lower case, that a worker remembers (about 200 bytes each); words longer than LONG,
 #: which rarely recur, are not among them. A full table starts afresh.
-MAX_CHUNKS, MAX_WORDS, LONG = 400_000, 900_000, 11
+MAX_CHUNKS, MAX_WORDS, LONG = 300_000, 500_000, 11
 
 
 def forget(known: dict, most: int = MAX_CHUNKS) -> None:

@@ -19,7 +19,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges (a, b): root is the least node it is connected with.
+    """(node, root) for every node of edges (a, b) but the roots: root is the least node it is connected with.
 
     Each round is stored, and rounds go on until one changes nothing; their number grows with the logarithm of the
     graph. A node with very many neighbours is summed up in each task before the shuffle, and its rows can be split

@@ -15,8 +15,10 @@ from .ogg import stored_media
 from .pii import PATTERNS, find_personal_data, of_kind, spans_text, with_extra
 from .pieces import piece_ids
 from .shared import read_documents
+from .simhash import near_components
 from .token_store import tokens_of
 from .toxicity import score_toxicity
+from .whitening import whiten
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +82,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deviation is null where it exceeds 64 bits."""
+    rows = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=4, scale=256)
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(read_documents(spark, sf_dir))
+
+
 LLM_QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
@@ -91,6 +103,8 @@ LLM_QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_whitening": op11_whitening,
+    "op12_simhash": op12_simhash,
 }
 
 LLM_ORACLES = {

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_tokenizers
 from .best_fit_packing import pack_best_fit
 from .exact_dedup import exact_duplicates
 from .jaccard_join import link_components
@@ -92,6 +93,10 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(read_documents(spark, sf_dir))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 LLM_QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
@@ -105,6 +110,7 @@ LLM_QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_whitening": op11_whitening,
     "op12_simhash": op12_simhash,
+    "op13_alignment": op13_alignment,
 }
 
 LLM_ORACLES = {

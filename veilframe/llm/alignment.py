@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import binaries, by_bytes, give_back, kept, text_of, texts
+from .shared import binaries, by_bytes, give_back, kept, own_names, text_of, texts
 from .tokenization import forget
 
 #: Bytes of text aligned at once; chunks that a worker remembers (about 500 bytes each), and characters of the longest.
@@ -221,6 +221,7 @@ def pair_counts(rows: DataFrame, size: int, width: np.dtype) -> DataFrame:
     return counts.join(most, F.expr(f"pair div {size}") == F.col("a_id")).select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
+@own_names
 def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """One row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import binaries, by_bytes, give_back, kept, text_of, texts
+from .shared import binaries, by_bytes, give_back, kept, own_names, text_of, texts
 from .tokenization import word_bpe
 
 #: Bytes of text that are encoded together (a longer one alone).
@@ -91,6 +91,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataF
     return rows.mapInArrow(cut, f"doc_id {doc_type}, piece int, start long, length long, ids binary, block long, local long")
 
 
+@own_names
 def pack_best_fit(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048) -> DataFrame:
     """Pack all documents into sequences of at most size ids; one row per piece.
 

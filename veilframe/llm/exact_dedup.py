@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .shared import kept, text_of, u64
+from .shared import kept, own_names, text_of, u64
 
 
 def _suspect(df: DataFrame, name: str, values: int) -> Column:
@@ -36,6 +36,7 @@ def _marked(df: DataFrame, name: str, max_bits: int) -> DataFrame:
     return reduce(DataFrame.unionByName, [p.withColumn("suspect", _suspect(p, name, -(-n // len(parts)))) for p in parts])
 
 
+@own_names
 def exact_duplicates(docs: DataFrame, max_bits: int = bloom.MAX_BITS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -57,6 +58,7 @@ def exact_duplicates(docs: DataFrame, max_bits: int = bloom.MAX_BITS) -> DataFra
     )
 
 
+@own_names
 def drop_exact_duplicates(docs: DataFrame, max_bits: int = bloom.MAX_BITS) -> DataFrame:
     """docs with one row for each distinct text, all columns as they came.
 

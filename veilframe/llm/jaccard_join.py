@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .graph import components
-from .shared import binaries, by_bytes, give_back, kept, mix64, text_of, u64
+from .shared import binaries, by_bytes, give_back, kept, mix64, own_names, text_of, u64
 
 #: Words in a shingle, and the least Jaccard similarity as a fraction.
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
@@ -340,6 +340,7 @@ def _searched(cells: DataFrame, total: int, between: bool) -> DataFrame:
     return cells.groupBy(F.pmod("cell", F.lit(parts)).alias("deal")).applyInArrow(lambda _, g: search(g), "a long, b long")
 
 
+@own_names
 def link_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, key (xxhash64 of the text), n_shingles, component_id.
 
@@ -380,6 +381,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     return linked.unionByName(alone)
 
 
+@own_names
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs, all columns as they came, with the document of the smallest doc_id of each component (see link_components).
 

@@ -7,12 +7,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import text_of, texts
+from .shared import STEP_BYTES, by_bytes, give_back, own_names, text_of, texts
 
 #: n-grams in a profile, and about how many labelled rows of a language its profile is learned from.
 PROFILE, MAX_FIT_ROWS = 300, 5_000
@@ -94,13 +93,14 @@ def fit_profiles(labelled: DataFrame, size: int = PROFILE, max_rows: int = MAX_F
     rows = rows.select("body", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (p for batch in batches for p in by_bytes(batch, 0, STEP_BYTES)):
             by: dict[str, list] = {}
-            for text, lang in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+            for text, lang in zip(texts(part.column(0)), part.column(1).to_pylist(), strict=True):
                 by.setdefault(lang, []).append(grams_of(text))
             for lang, found in by.items():
                 grams, counts = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.record_batch([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.int64()), pa.array(counts, pa.int64())], ["lang", "gram", "n"])
+        give_back()
 
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
@@ -132,6 +132,7 @@ class Nearest:
         return self.langs[best], 1 - 0.5 * float(apart[best]) / second if second else 0.5, float(apart[best])
 
 
+@own_names
 def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE) -> DataFrame:
     """One row per document: doc_id, lang_pred, score, distance.
 
@@ -145,9 +146,9 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFIL
     nearest = Nearest(profiles, size)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [nearest(text) for text in texts(batch.column(1))]
-            yield pa.record_batch([batch.column(0), *(pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64())))], ["doc_id", "lang_pred", "score", "distance"])
+        for part in (p for batch in batches for p in by_bytes(batch, 1, STEP_BYTES)):
+            out = [nearest(text) for text in texts(part.column(1))]
+            yield pa.record_batch([part.column(0), *(pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64())))], ["doc_id", "lang_pred", "score", "distance"])
 
     rows = docs.select("doc_id", text_of())
     return rows.mapInArrow(predict, f"doc_id {rows.schema[0].dataType.simpleString()}, lang_pred string, score double, distance double")
@@ -158,6 +159,7 @@ def id_remainder(col: str, mod: int) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % mod
 
 
+@own_names
 def keep_identified(docs: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
     """docs, all columns as they came, without the rows whose text has no letter or is far from every language.
 
@@ -167,17 +169,21 @@ def keep_identified(docs: DataFrame, max_distance: float = MAX_DISTANCE) -> Data
     """
     nearest = Nearest(fit_profiles(docs.filter(id_remainder("doc_id", 4) != 2)), PROFILE)
 
-    @F.pandas_udf("boolean")
-    def identified(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            if nearest.langs:
-                yield pd.Series([x[0] != "und" and x[2] <= max_distance for x in map(nearest, part)])
-            else:
-                yield pd.Series([len(grams_of(t)) > 0 for t in part])
+    def stays(text: str) -> bool:
+        lang, _, distance = nearest(text)
+        return lang != "und" and distance <= max_distance if nearest.langs else len(grams_of(text)) > 0
+
+    @F.arrow_udf("boolean")
+    def identified(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in column:
+            parts = by_bytes(pa.record_batch([values], ["text"]), 0, STEP_BYTES)
+            yield pa.array([stays(t) for part in parts for t in texts(part.column(0))], pa.bool_())
+        give_back()
 
     return docs.filter(identified(text_of()))
 
 
+@own_names
 def predict_languages(docs: DataFrame) -> DataFrame:
     """Profiles learned from docs with a lang outside the held-out fold (remainder 2 of 4), applied to all docs: see identify."""
     return identify(docs, fit_profiles(docs.filter(id_remainder("doc_id", 4) != 2)))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .shared import binaries, by_bytes, kept, text_of, u64
+from .shared import STEP_BYTES, binaries, by_bytes, kept, own_names, text_of, u64
 
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Most keys whose digests are broadcast, about 200 bytes each as a table in each worker; with more, drops reach their texts by a join.
@@ -73,6 +73,7 @@ def _suspects(keys: list[bytes], bitmap: np.ndarray, min_points: int) -> list[by
     return [k for k, x in zip(keys, may.tolist(), strict=True) if x]
 
 
+@own_names
 def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_points: int = 1, keep_first: bool = False, max_broadcast: int = MAX_BROADCAST, max_bits: int = bloom.MAX_BITS) -> DataFrame:
     """One row per document: doc_id, text (what is left), n_lines (before), n_dropped.
 
@@ -98,7 +99,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_points: int = 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, found = np.frombuffer(shared.value, np.uint8), {}
-        for batch in batches:
+        for batch in (p for b in batches for p in by_bytes(b, 1, STEP_BYTES)):
             for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 doc = -(2**63) if doc is None else doc
                 for key in _suspects(line_keys(text)[1], bits, min_points):
@@ -134,7 +135,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_points: int = 1
 
         def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits, table = np.frombuffer(shared.value, np.uint8), known.value
-            for batch in batches:
+            for batch in (p for b in batches for p in by_bytes(b, 1, STEP_BYTES)):
                 found = []
                 for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     drops = {k: table[d] for k in _suspects(line_keys(text)[1], bits, min_points) if (d := digest(k)) in table}
@@ -145,12 +146,12 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_points: int = 1
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
+        for batch in (p for b in batches for p in by_bytes(b, 1, STEP_BYTES)):
             pairs = {(hashlib.sha256(text).digest(), digest(k)) for text in set(batch.column(1).to_pylist()) for k in _suspects(line_keys(text)[1], bits, min_points)}
             yield pa.record_batch([binaries([p[0] for p in pairs]), binaries([p[1] for p in pairs])], ["sha", "key"])
 
     def drop_listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in by_bytes(b, 1, STEP_BYTES)):
             found = []
             for doc, text, listed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 table = {x["key"]: x["first_doc"] for x in listed or ()}

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import binaries, by_bytes, kept, text_of
+from .shared import binaries, by_bytes, kept, own_names, text_of
 
 #: Fixed values of the format: capture pattern, page header up to the lacing values, header flags, segments in a page.
 CAPTURE, HEADER = b"OggS", struct.Struct("<4sBBqIIIB")
@@ -171,6 +171,7 @@ def open_media(data: bytes) -> Media:
 STEP_BYTES = 8 << 20
 
 
+@own_names
 def write_media(docs: DataFrame) -> DataFrame:
     """doc_id and media, the whole text (null: empty) as an Ogg file; one row per document, no shuffle.
 
@@ -209,6 +210,7 @@ def read_media(media: DataFrame) -> DataFrame:
     return rows.mapInArrow(decode, f"doc_id {rows.schema[0].dataType.simpleString()}, {kinds}")
 
 
+@own_names
 def stored_media(docs: DataFrame) -> DataFrame:
     """Store documents as Ogg in the shared folder and read the stored bytes back (see write_media and read_media).
 

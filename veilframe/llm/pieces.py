@@ -7,13 +7,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import by_bytes, text_of, texts
+from .shared import by_bytes, own_names, text_of, texts
 from .tokenization import pieces
 
 #: Bytes of text that are encoded together (a longer one alone): bounds what a worker holds beside its table of chunks.
 STEP_BYTES = 512 << 10
 
 
+@own_names
 def piece_ids(docs: DataFrame, model: str) -> DataFrame:
     """One row per document: doc_id, ids (array of int), decoded.
 

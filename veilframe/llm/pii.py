@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import kept, text_of
+from .shared import kept, own_names, text_of
 
 #: Kinds in the order of the results, each with an expression that finds the same spans as its definition.
 LOCAL, DOMAIN = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -275,6 +275,7 @@ def discovered(rows: DataFrame) -> DataFrame:
     return outer.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("all")).select("text_key", F.transform("all", _bounds).alias("extra"))
 
 
+@own_names
 def find_personal_data(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two tables: rows (doc_id, text_key, base) one per document, and extra (text_key, extra) one per text with discoveries.
 
@@ -340,6 +341,7 @@ def mask(body: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, _let(ordered, lambda spans: _let(far(spans), lambda ends: masked(spans, ends)))).otherwise(body)
 
 
+@own_names
 def mask_personal_data(docs: DataFrame) -> DataFrame:
     """docs, all columns and rows as they came, with personal data in `text` masked and n_chars (if there) brought up to date.
 

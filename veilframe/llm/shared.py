@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +14,35 @@ from pyspark.sql import functions as F
 
 from veilframe.sources.store import kept, kept_folder, scratch
 
-__all__ = ["binaries", "by_bytes", "give_back", "kept", "kept_folder", "mix64", "read_documents", "scratch", "text_of", "texts", "u64"]
+__all__ = ["STEP_BYTES", "binaries", "by_bytes", "give_back", "kept", "kept_folder", "mix64", "own_names", "read_documents", "scratch", "text_of", "texts", "u64"]
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bytes of text that a task holds as Python values at once, unless an operator sets its own (a longer text alone).
+STEP_BYTES = 2 << 20
+#: Columns that operators refer to by name.
+USED = ("doc_id", "text", "lang", "n_chars", "vec_id", "embedding")
+
+
+def own_names(operator: Callable) -> Callable:
+    """The operator, on a first table whose other columns can't be mistaken for those it uses, such as `TEXT` beside `text`.
+
+    Columns that it hands on get their names back.
+    """
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args: object, **kwargs: object) -> object:
+        names = docs.columns
+        safe = [n if n in USED and names.index(n) == i else f"_other{i}" for i, n in enumerate(names)]
+        out = operator(docs.toDF(*safe), *args, **kwargs)
+        return out.toDF(*names) if isinstance(out, DataFrame) and out.columns == safe else out
+
+    return run
+
+
 def text_of(col: str = "text") -> Column:
     """The text, with null as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

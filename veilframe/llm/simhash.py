@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import by_bytes, give_back, kept, text_of
+from .shared import by_bytes, give_back, kept, own_names, text_of
 
 #: The Golay code's generator polynomial, bits of a word and of a codeword's index.
 GENERATOR, WORD, INDEX = 0b110001110101, 23, 12
@@ -152,6 +152,7 @@ def links(prints: DataFrame, most: int = MOST) -> DataFrame:
     return pairs.unionByName(_midpoints(large))
 
 
+@own_names
 def near_components(docs: DataFrame, most: int = MOST) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hexadecimal digits), component_id.
 

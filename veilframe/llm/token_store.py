@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import binaries, by_bytes, kept_folder, mix64, text_of, texts
+from .shared import binaries, by_bytes, kept_folder, mix64, own_names, text_of, texts
 from .tokenization import word_bpe
 
 MAGIC, HEAD, SAMPLE, NULL_KEY = b"VFEF", struct.Struct("<4sBBBBQQQQqQ"), 64, -(2**63)
@@ -123,6 +123,7 @@ class Shard:
         return None if i < self.nulls else self.least + self.keys.select(i - self.nulls), start, self.ids[start:end]
 
 
+@own_names
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_ids: int = SHARD_IDS) -> None:
     """Encode docs and write them as shards in ascending doc_id order below path.
 
@@ -208,6 +209,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return shards.join(table, ["bucket", "part"]).select("first", "shard").mapInArrow(documents, "doc_id long, start long, ids binary")
 
 
+@own_names
 def tokens_of(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Write docs to a new folder of the shared store and read them back (see write_tokens and read_tokens)."""
     path = kept_folder(docs.sparkSession)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language_id import id_remainder, unit_hash
-from .shared import kept, text_of, texts
+from .shared import STEP_BYTES, by_bytes, kept, own_names, text_of, texts
 
 #: About how many labelled rows of each label the model is learned from.
 MAX_FIT_ROWS = 20_000
@@ -74,7 +74,7 @@ def learn_lexicon(labelled: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
     """Words and stems that go with label 1, from rows (body, label): counted by Spark; as many as the labelled rows bear out."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in by_bytes(b, 0, STEP_BYTES)):
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             for text, label in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 words, stems = terms_of(text)
@@ -97,7 +97,7 @@ def with_features(rows: DataFrame, lexicon: tuple[frozenset[str], frozenset[str]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, stems = shared.value
-        for batch in batches:
+        for batch in (p for b in batches for p in by_bytes(b, 0, STEP_BYTES)):
             values = [features_of(t, words, stems) for t in texts(batch.column(0))]
             yield pa.record_batch([*batch.columns[1:], *(pa.array([v[i] for v in values], pa.float64()) for i in range(len(FEATURES)))], [*batch.schema.names[1:], *FEATURES])
 
@@ -105,6 +105,7 @@ def with_features(rows: DataFrame, lexicon: tuple[frozenset[str], frozenset[str]
     return rows.mapInArrow(compute, ", ".join([*others, *(f"{n} double" for n in FEATURES)]))
 
 
+@own_names
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import binaries, kept
+from .shared import binaries, kept, own_names
 
 #: Directions a pass multiplies, the most that the driver keeps before it restarts from the best, and passes at most.
 BLOCK, MOST, MAX_PASSES = 32, 512, 500
@@ -147,6 +147,7 @@ def leading_components(times: Callable[[np.ndarray], np.ndarray], dims: int, k:
     raise RuntimeError(f"{MAX_PASSES} passes don't certify {k} components")
 
 
+@own_names
 def whiten(vectors: DataFrame, k: int = 4, scale: int = 256, block: int = BLOCK) -> DataFrame:
     """vec_id, component (from 1), n, deviation, whitened, explained, identity_error: a row per kept row and component.
 

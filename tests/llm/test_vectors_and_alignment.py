@@ -189,7 +189,9 @@ def test_alignment_against_a_plain_one(spark, most_pairs):
 def test_alignment_forgets_and_learns_again():
     own, texts = alignment.Aligner(A_PATH, B_PATH), [t or "" for t in odd_texts()]
     first = own.documents(texts)
-    own.known.clear()
+    own.known, own.older = {}, own.known
+    assert own.documents(texts) == first
+    own.known, own.older = {}, {}
     assert [own.documents([t])[0] for t in texts] == first
 
 

@@ -1,18 +1,21 @@
 """Alignment of two tokenizers on the same texts: groups of tokens that end together, and links of overlapping tokens.
 
 Each task turns the distinct chunks of its Arrow batches into tables of token intervals on one line of byte offsets, and
-DuckDB joins them there: an ASOF join finds the B token under each A token's first byte, a range join the B tokens that
-begin within an A token, window sums over common ends number the groups. Documents are put together from their chunks.
+DuckDB joins them there: an ASOF join finds the B token under each A token's first byte, another one with a range the B
+tokens that begin within an A token, window sums over common ends number the groups. Documents are put together from their chunks.
 How many documents hold a pair of ids is counted by each task in DuckDB and summed up by Spark.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -21,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import binaries, by_bytes, give_back, kept, own_names, text_of, texts
-from .tokenization import forget
 
-#: Bytes of text aligned at once; chunks that a worker remembers (about 500 bytes each), and characters of the longest.
-STEP_BYTES, MAX_CHUNKS, LONG = 4 << 20, 400_000, 16
+#: Fixed value: the pre-tokens of byte-level vocabularies of this kind.
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Bytes of text aligned at once; chunks that a worker remembers (about 400 bytes each): so many and those before them.
+STEP_BYTES, MAX_CHUNKS = 1 << 20, 150_000
 #: Counted pairs that a task gathers before it sums up.
 MAX_COUNTED = 4_000_000
 #: Pairs whose counts are broadcast at most (17 bytes each); the rarer ones beyond meet their counts in a shuffle.
@@ -33,7 +37,7 @@ MOST_PAIRS = 4_000_000
 LINKS = """
     select a.chunk, a.id as a_id, b.id as b_id from a asof join b on a.first >= b.first
     union all
-    select a.chunk, a.id, b.id from a join b on b.first > a.first and b.first < a.past
+    select a.chunk, a.id, b.id from (from b where first not in (select first from a)) b asof join a on b.first > a.first where b.first < a.past
     order by chunk
 """
 #: Tokens in the order of groups, A's before B's; part: how many common ends lie before the token's own.
@@ -58,12 +62,15 @@ def byte_symbols() -> dict[str, int]:
 class Aligner:
     """A worker's tokenizers, and what it knows of distinct chunks.
 
-    A text is cut before spaces that follow a letter, digit or mark. A never has a token across such a place, as its
-    pre-tokens hold a space at their start alone; neither has B, if no piece has a marker after another character.
+    A text is cut before spaces that follow a letter, digit or mark, and before line ends between two of these. A never has
+    a token across such a place, as its pre-tokens hold white space at their start alone; neither has B, if no piece has a
+    marker after another character, and none has a line end.
     """
 
-    unsafe = re.compile("[^!-~À-ÖØ-öø-ÿ] ")
-    cut = re.compile("(?<=[!-~À-ÖØ-öø-ÿ])(?= )")
+    safe = "!-~À-ÖØ-öø-ÿ"
+    unsafe = re.compile(f"[^{safe}] ")
+    plain = re.compile(f"[ \n]?[{safe}]+")
+    cut = re.compile(f"(?<=[{safe}])(?= |\n[{safe}])")
 
     def __init__(self, a_path: str, b_path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -80,7 +87,9 @@ class Aligner:
             self.a_bytes[i] = bytes(symbols[c] for c in token) if all(c in symbols for c in token) else token.encode()
         ids = range(self.b.get_piece_size())
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids, map(self.b.id_to_piece, ids), strict=True)]
-        self.apart = not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in ids)
+        self.quick = self._quick()
+        self.a_lengths, self.b_lengths = (np.fromiter(map(len, known), np.int64, len(known)) for known in (self.a_bytes, self.b_bytes))
+        self.apart = not any("▁" in p.lstrip("▁") or "\n" in p for p in map(self.b.id_to_piece, ids)) and self.b.encode("\nx", num_threads=1)[:2] == [self.b.piece_to_id("▁"), self.b.piece_to_id("<0x0A>")]
         x, blank = self.b.encode(["x", "x "], num_threads=1)
         self.blank = blank[len(x) :]
         self.size = len(self.b_bytes)
@@ -88,45 +97,78 @@ class Aligner:
         self.written = [[n + mark for n in numbers] for mark in (",", "|", ";", "")]
         self.width = np.dtype("<u4" if len(self.a_bytes) * self.size < 1 << 32 else "<u8")
         self.known: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}
         self.sql = duckdb.connect(config={"threads": 1})
 
+    def _quick(self) -> object | None:
+        """A's ids for plain chunks by a faster library, where A is what that takes: single bytes, then merges in the order of ids."""
+        import tiktoken
+
+        model = json.loads(self.a.to_str())
+        added = {t["id"] for t in model["added_tokens"]}
+        ranks = {token: i for i, token in enumerate(self.a_bytes) if i not in added and token}
+        merged = [m if isinstance(m, list) else m.split(" ") for m in model["model"]["merges"]]
+        order = [model["model"]["vocab"][x + y] for x, y in merged]
+        pre = model["pre_tokenizer"] or {}
+        plain = model["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        if not plain or order != list(range(256, 256 + len(order))) or len(ranks) != 256 + len(order):
+            return None
+        return tiktoken.Encoding("plain", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
+
+    def _ids(self, new: list[str]) -> list[list[int]]:
+        """A's ids of chunks: those of plain letters, digits and marks by the faster library, others by its own."""
+        plain = self.plain.fullmatch
+        ids = [self.quick.encode_ordinary(c) if plain(c) else None for c in new] if self.quick else [None] * len(new)
+        other = [i for i, x in enumerate(ids) if x is None]
+        for i, found in zip(other, self.a.encode_batch_fast([new[i] for i in other], add_special_tokens=False) if other else (), strict=True):
+            ids[i] = found.ids
+        return ids
+
     def chunks(self, line: str) -> list[str]:
         """The line, which begins with the added space, in parts; whole where it holds what B takes for a marker."""
         if not self.apart or "▁" in line or "\x00" in line:
             return [line]
-        if self.unsafe.search(line):
+        if "\n" in line or self.unsafe.search(line):
             return self.cut.split(line)
         return [" " + w for w in line[1:].split(" ")]
 
-    def _intervals(self, ids: list[list[int]], lengths: list[bytes], starts: np.ndarray) -> pa.Table:
-        own = np.fromiter((i for x in ids for i in x), np.int64)
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        past = np.cumsum(np.fromiter(map(len, lengths), np.int64)[own])  # chunks follow each other without a gap
-        size = np.diff(past, prepend=0)
-        chunk = np.repeat(np.arange(len(ids)), counts)
-        assert not len(past) or past[-1] == starts[-1]
-        return pa.table({"chunk": chunk, "id": own, "first": past - size, "past": past})
+    def _pieces(self, new: list[str]) -> list[list[int]]:
+        """B's ids of chunks; one that begins with a line end is encoded after the space that B adds, and loses it."""
+        ids = self.b.encode([c if c[0] == "\n" else c[1:] for c in new], num_threads=1)
+        for i, c in enumerate(new):
+            if c[0] == "\n":
+                ids[i] = ids[i][1:]
+            elif c == " ":
+                ids[i] = self.blank
+        return ids
+
+    def _intervals(self, ids: list[list[int]], lengths: np.ndarray) -> pa.Table:
+        """The tokens of chunks that follow each other without a gap."""
+        own = np.fromiter(chain.from_iterable(ids), np.int64)
+        past = np.cumsum(lengths[own])
+        chunk = np.repeat(np.arange(len(ids)), np.fromiter(map(len, ids), np.int64, len(ids)))
+        return pa.table({"chunk": chunk, "id": own, "first": past - lengths[own], "past": past})
+
+    def _same(self, ids: list[list[int]], known: list[bytes], data: list[bytes]) -> list[bool]:
+        """Whether each chunk's tokens are its bytes."""
+        return [b"".join([known[k] for k in x]) == d for x, d in zip(ids, data, strict=True)]
 
     def learn(self, new: list[str]) -> None:
         """Align chunks: (tokens of A, of B, groups, links, their text, pairs) each; None where bytes differ."""
-        a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
-        b = self.b.encode([c[1:] for c in new], num_threads=1)
-        good = []
-        for i, chunk in enumerate(new):
-            if chunk == " ":
-                b[i] = self.blank
-            data = chunk.encode()
-            if b"".join([self.a_bytes[k] for k in a[i]]) == data == b"".join([self.b_bytes[k] for k in b[i]]):
-                good.append(i)
-            else:
-                self.known[chunk] = None
-        if not good:
+        a = self._ids(new)
+        b = self._pieces(new)
+        data = [c.encode() for c in new]
+        good = [x and y for x, y in zip(self._same(a, self.a_bytes, data), self._same(b, self.b_bytes, data), strict=True)]
+        if not all(good):
+            self.known.update((c, None) for c, ok in zip(new, good, strict=True) if not ok)
+            a, b, new = ([x for x, ok in zip(xs, good, strict=True) if ok] for xs in (a, b, new))
+        own = new
+        if not own:
             return
-        a, b, own = [a[i] for i in good], [b[i] for i in good], [new[i] for i in good]
-        ends = np.cumsum([len(c.encode()) for c in own])
-        for name, table in (("a", self._intervals(a, self.a_bytes, ends)), ("b", self._intervals(b, self.b_bytes, ends))):
+        for name, table in (("a", self._intervals(a, self.a_lengths)), ("b", self._intervals(b, self.b_lengths))):
             self.sql.register(f"{name}_arrow", table)
             self.sql.execute(f"create or replace temp table {name} as from {name}_arrow")
+            self.sql.unregister(f"{name}_arrow")
         links = self.sql.sql(LINKS).to_arrow_table()
         values = (links["a_id"].to_numpy() * self.size + links["b_id"].to_numpy()).astype(self.width).tobytes()
         step = self.width.itemsize
@@ -145,12 +187,16 @@ class Aligner:
 
     def documents(self, rows: list[str]) -> list[tuple]:
         """(tokens of A, of B, groups, links, digest of the groups, distinct pairs, how often each) of each text."""
-        forget(self.known, MAX_CHUNKS)
+        if len(self.known) > MAX_CHUNKS:
+            self.known, self.older = {}, self.known
         split = [self.chunks(" " + t) if t else [] for t in rows]
         fresh: set[str] = set()
         for chunks in split:
             fresh.update(chunks)
-        new = [c for c in fresh if c not in self.known]
+        fresh.difference_update(self.known)
+        again = fresh.intersection(self.older)
+        self.known.update((c, self.older[c]) for c in again)
+        new = list(fresh - again)
         if new:
             self.learn(new)
         out = []
@@ -163,9 +209,6 @@ class Aligner:
             values, times = np.unique(np.frombuffer(b"".join(pairs), self.width), return_counts=True)
             times = times.astype("u1" if times.max() < 256 else "<u4").tobytes()
             out.append((sum(a), sum(b), sum(groups), sum(links), hashlib.sha256(";".join(parts).encode()).hexdigest(), values.tobytes(), times))
-        for chunk in new:
-            if len(chunk) > LONG:
-                del self.known[chunk]
         return out
 
 
@@ -184,7 +227,9 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         own = aligner(a_path, b_path)
         for batch in batches:
             for part in by_bytes(batch, 1, STEP_BYTES):
+                gc.disable()  # many small tuples and no cycles: collections would only walk through them
                 *counts, digests, pairs, times = zip(*own.documents(texts(part.column(1))), strict=True)
+                gc.enable()
                 yield pa.record_batch([part.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests), binaries(pairs), binaries(times)], names)
         give_back()
 

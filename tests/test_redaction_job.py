@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilframe.jobs import uploads as up
-from veilframe.jobs.redaction import Settings, redact_and_audit
+from veilframe.jobs.redaction import Schedule, Settings, redact_and_audit, retry_schedule
 from veilframe.operators import audit, evaluation as ev, frames as fr
 from veilframe.sources import store
+from veilframe.sources.derived import FACE
 
 VIDEOS = "video_id string, fps double, width int, height int, nframes long"
 
@@ -59,8 +60,9 @@ def test_faces_are_painted_and_a_miss_is_painted_again(spark):
 
         def detect(f):
             rows = inner(f)
-            rows[:, 4] = 0.9 if f[0, 0, 0] == 20 else 0.3
-            return rows
+            rows[:, 4] = 0.9 if f[0, 0, 0] == 20 else 0.34
+            marks = [[b[0] + u * (b[2] - b[0]) if k == 0 else b[1] + v * (b[3] - b[1]) for u, v in FACE for k in (0, 1)] for b in rows]
+            return np.hstack([rows, np.array(marks).reshape(len(rows), 10)])
 
         return detect
 
@@ -71,7 +73,7 @@ def test_faces_are_painted_and_a_miss_is_painted_again(spark):
         a[0, 0] = 21
         marked.append(("w", r.frame_idx, a))
     both = frames.filter("video_id = 'v'").unionByName(images(spark, marked))
-    out = redact_and_audit(both, videos, detector, bright(0.9), Settings(interval=0.2, threshold=0.35, retry_threshold=0.22))
+    out = redact_and_audit(both, videos, detector, bright(0.9), Settings(Schedule(long_side=0, threshold=0.35, dark_below=0), interval=0.2, retry=retry_schedule(Schedule(dark_below=0), long_side=0)))
     assert out.frames.count() == 16 and out.frames.select("video_id", "frame_idx").distinct().count() == 16
     rows = {r.video_id: r for r in out.report.collect()}
     assert rows["v"].status == "pass" and not rows["v"].retried

@@ -6,13 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilframe.operators import frames as fr
 from veilframe.operators.redaction import crop_region
+from veilframe.sources.derived import FACE
 
-from .redaction import Settings, redact_and_audit
+from .redaction import Schedule, Settings, redact_and_audit, retry_schedule
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,25 +85,34 @@ def detect_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redaction_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole job with stand-in detectors: what each video's report and metrics say, and how many frames came out."""
+    """The whole job with stand-in detectors: what each video's report and metrics say, and how many frames came out.
+
+    A video's frames are numbered on. The first pass looks for very bright blocks, the retry for less bright ones, too.
+    """
 
     def spots(level: int) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
         def factory() -> Callable[[np.ndarray], np.ndarray]:
             def detect(f: np.ndarray) -> np.ndarray:
-                ys, xs = np.nonzero(f[::16, ::16, 0] > level)
-                return np.array([[x * 16 - 8, y * 16 - 8, x * 16 + 24, y * 16 + 24, int(f[y * 16, x * 16, 0]) / 255] for y, x in zip(ys, xs, strict=True)]) if len(ys) else np.zeros((0, 5))
+                k = f.shape[0] // 8  # blocks are an eighth of a side, at any scale
+                ys, xs = np.nonzero(f[k // 2 :: k, k // 2 :: k, 0] > level)
+                boxes = [(x * k - k / 2, y * k - k / 2, x * k + 1.5 * k, y * k + 1.5 * k, int(f[y * k + k // 2, x * k + k // 2, 0]) / 255) for y, x in zip(ys, xs, strict=True)]
+                eyes = [(x1 + u * (x2 - x1), y1 + v * (y2 - y1)) for x1, y1, x2, y2, _ in boxes for u, v in FACE]
+                return np.hstack([np.array(boxes), np.array(eyes).reshape(len(boxes), 10)]) if boxes else np.zeros((0, 15))
 
             return detect
 
         return factory
 
-    every = frames(spark, sf_dir)
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").groupBy(F.concat(F.lit("v"), "label").alias("video_id")).agg((F.max("vec_id") + 1).cast("long").alias("nframes"))
-    videos = rows.select("video_id", F.lit(25.0).alias("fps"), F.lit(128).alias("width"), F.lit(128).alias("height"), "nframes")
-    out = redact_and_audit(every, videos, spots(240), spots(230), Settings(method="blackout", shape="rect", interval=2.0, cap=40, retry_threshold=0.1))
+    found = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.concat(F.lit("v"), "label").alias("video_id"), F.col("vec_id").cast("long").alias("frame_idx"))
+    numbers = found.withColumn("nth", (F.row_number().over(Window.partitionBy("video_id").orderBy("frame_idx")) - 1).cast("long"))
+    every = frames(spark, sf_dir).join(numbers, ["video_id", "frame_idx"]).select("video_id", F.col("nth").alias("frame_idx"), "image")
+    videos = found.select("video_id").distinct().select("video_id", F.lit(25.0).alias("fps"), F.lit(128).alias("width"), F.lit(128).alias("height"), F.lit(None).cast("long").alias("nframes"))
+    schedule = Schedule(long_side=128, threshold=0.95, extra_long_side=256, extra_every=3, strong_every=10, strong_threshold=0.97)
+    retry = retry_schedule(schedule, threshold=0.9, long_side=128, strong_every=1)
+    out = redact_and_audit(every, videos, spots(240), spots(230), Settings(schedule, method="blackout", shape="rect", interval=0.2, retry=retry))
     left = out.frames.groupBy("video_id").agg(F.count(F.lit(1)).alias("frames_out"))
     report = out.report.select("video_id", "status", "frames_checked", "leak_count", "retried", "retry_rejected")
-    return report.join(out.metrics.select("video_id", "frames", "frames_with_faces", "faces_painted"), "video_id").join(left, "video_id", "left")
+    return report.join(out.metrics.select("video_id", "frames", "frames_with_faces", "faces_painted", "detect_calls"), "video_id").join(left, "video_id", "left")
 
 
 def enhance_dark_frames(spark: SparkSession, sf_dir: str) -> DataFrame:

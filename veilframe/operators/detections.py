@@ -16,6 +16,19 @@ MAX_PRIORS = 1_000_000
 STEPS, SIZES, CENTER_VARIANCE, SIZE_VARIANCE = (8, 16, 32), ((16, 32), (64, 128), (256, 512)), 0.1, 0.2
 
 
+def suppressed(rows: Column, threshold: float = 0.4, rule: str = "ge") -> Column:
+    """An array of boxes, best first, without those that overlap one that stays: see nms."""
+
+    def keep(acc: Column, x: Column) -> Column:
+        def hit(k: Column) -> Column:
+            value = iou(Box.of(x), Box.of(k))
+            return value >= threshold if rule == "ge" else value > threshold
+
+        return F.when(F.exists(acc, hit), acc).otherwise(F.array_append(acc, x))
+
+    return F.aggregate(rows, F.slice(rows, 1, 0), keep)
+
+
 def nms(df: DataFrame, threshold: float = 0.4, rule: str = "ge", keys: Sequence[str] = FRAME, order: Sequence[str] = ("det_idx",)) -> DataFrame:
     """Non-maximum suppression within each frame (keys): one shuffle by frame, then a fold over its sorted boxes.
 
@@ -25,16 +38,7 @@ def nms(df: DataFrame, threshold: float = 0.4, rule: str = "ge", keys: Sequence[
     rest = [c for c in df.columns if c not in keys]
     first = [(-F.col("score")).alias("_s"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order))]
     rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*first, *rest))).alias("rows"))
-    none = F.slice("rows", 1, 0)
-
-    def keep(acc: Column, x: Column) -> Column:
-        def hit(k: Column) -> Column:
-            value = iou(Box.of(x), Box.of(k))
-            return value >= threshold if rule == "ge" else value > threshold
-
-        return F.when(F.exists(acc, hit), acc).otherwise(F.array_append(acc, x))
-
-    return rows.select(*keys, F.inline(F.aggregate("rows", none, keep))).drop("_s", *(f"_o{i}" for i in range(len(order)))).select(*df.columns)
+    return rows.select(*keys, F.inline(suppressed(F.col("rows"), threshold, rule))).drop("_s", *(f"_o{i}" for i in range(len(order)))).select(*df.columns)
 
 
 def min_face_filter(df: DataFrame, least: float) -> DataFrame:

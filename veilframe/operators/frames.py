@@ -5,6 +5,7 @@ Frames carry Spark's image struct; only statistics and 16-to-1 thumbnails are ev
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,18 +46,24 @@ def luma(frame: np.ndarray) -> float:
     return float(frame[::LUMA_STEP, ::LUMA_STEP].reshape(-1, 3).mean(axis=0) @ np.array(LUMA))
 
 
+def frame_numbers(f: np.ndarray) -> tuple[float, list[float], bytes, int, int]:
+    """luma, tiles (luma of 4 x 4 tiles), thumb, thumb_h, thumb_w of a frame's pixels."""
+    th, tw = max(1, f.shape[0] // TILES), max(1, f.shape[1] // TILES)
+    tiles = [f[i * th : (i + 1) * th, j * tw : (j + 1) * tw] for i in range(TILES) for j in range(TILES)]
+    thumb = f[::THUMB_STEP, ::THUMB_STEP]
+    return luma(f), [luma(t) for t in tiles if t.size], thumb.tobytes(), thumb.shape[0], thumb.shape[1]
+
+
+def is_dark(mean: float, tiles: list[float], threshold: float) -> bool:
+    return mean < threshold or any(t < threshold for t in tiles)
+
+
 def frame_stats(frames: DataFrame) -> DataFrame:
     """video_id, frame_idx, luma, tiles (luma of 4 x 4 tiles), thumb, thumb_h, thumb_w: one pass over the pixels."""
 
     def stats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for image in batch["image"]:
-                f = pixels(image)
-                th, tw = max(1, f.shape[0] // TILES), max(1, f.shape[1] // TILES)
-                tiles = [f[i * th : (i + 1) * th, j * tw : (j + 1) * tw] for i in range(TILES) for j in range(TILES)]
-                thumb = f[::THUMB_STEP, ::THUMB_STEP]
-                out.append((luma(f), [luma(t) for t in tiles if t.size], thumb.tobytes(), thumb.shape[0], thumb.shape[1]))
+            out = [frame_numbers(pixels(image)) for image in batch["image"]]
             yield pd.concat([batch[["video_id", "frame_idx"]].reset_index(drop=True), pd.DataFrame(out, columns=["luma", "tiles", "thumb", "thumb_h", "thumb_w"])], axis=1)
 
     return frames.mapInPandas(stats, "video_id string, frame_idx long, luma double, tiles array<double>, thumb binary, thumb_h int, thumb_w int")
@@ -66,8 +73,12 @@ def any_tile_dark(tiles: Column, threshold: float = 72.0) -> Column:
     return F.exists(tiles, lambda t: t < threshold)
 
 
-def frame_motion(stats: DataFrame) -> DataFrame:
-    """stats with `motion`: the standard deviation of a thumbnail's difference from the previous frame's; null if none of that shape."""
+def frame_motion(stats: DataFrame, span: int = 4096) -> DataFrame:
+    """stats with `motion`: the standard deviation of a thumbnail's difference from the previous frame's; null if none of that shape.
+
+    A video's frames are compared in ranges of `span` frame numbers, each a group of its own with the last thumbnail
+    before it, so that a long video is many tasks' work.
+    """
 
     @F.pandas_udf("double")
     def deviation(now: pd.Series, before: pd.Series) -> pd.Series:
@@ -76,48 +87,99 @@ def frame_motion(stats: DataFrame) -> DataFrame:
 
         return pd.Series([one(a, b) for a, b in zip(now, before, strict=True)], dtype="object")
 
-    order = Window.partitionBy("video_id").orderBy("frame_idx")
-    same = (F.lag("thumb_h").over(order) == F.col("thumb_h")) & (F.lag("thumb_w").over(order) == F.col("thumb_w"))
-    return stats.withColumn("before", F.when(same, F.lag("thumb").over(order))).withColumn("motion", deviation("thumb", "before")).drop("before")
+    own = F.struct("thumb", "thumb_h", "thumb_w")
+    ranged = stats.withColumn("_range", F.floor(F.col("frame_idx") / span))
+    ends = ranged.groupBy("video_id", "_range").agg(F.max_by(own, "frame_idx").alias("_end"))
+    halo = ends.select("video_id", "_range", F.lag("_end").over(Window.partitionBy("video_id").orderBy("_range")).alias("_halo"))
+    order = Window.partitionBy("video_id", "_range").orderBy("frame_idx")
+    last = ranged.join(halo, ["video_id", "_range"]).withColumn("_last", F.coalesce(F.lag(own).over(order), "_halo"))
+    same = (F.col("_last.thumb_h") == F.col("thumb_h")) & (F.col("_last.thumb_w") == F.col("thumb_w"))
+    return last.withColumn("motion", deviation("thumb", F.when(same, F.col("_last.thumb")))).select(*stats.columns, "motion")
 
 
-def enhance_dark_frames(frames: DataFrame, threshold: float = 72.0, clip: float = 2.0, grid: int = 8) -> DataFrame:
-    """Frames with local contrast stretched where they, or a tile of them, are dark; others as they are.
+#: Fixed values of the CIE Lab conversion: linear sRGB (R, G, B) to XYZ over its white, and the cube root's linear part.
+TO_XYZ = np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169], [0.019334, 0.119193, 0.950227]]) / np.array([[0.950456], [1.0], [1.088754]])
+LAB_EDGE, LAB_SLOPE, LAB_SHIFT = 0.008856, 7.787, 16 / 116
+
+
+def to_lab(f: np.ndarray) -> np.ndarray:
+    """8-bit B, G, R to lightness 0 ... 255, a and b."""
+    c = f[..., ::-1].astype(np.float64) / 255
+    linear = np.where(c <= 0.04045, c / 12.92, ((c + 0.055) / 1.055) ** 2.4)
+    xyz = linear @ TO_XYZ.T
+    t = np.where(xyz > LAB_EDGE, np.cbrt(xyz), LAB_SLOPE * xyz + LAB_SHIFT)
+    return np.stack([(116 * t[..., 1] - 16) * 2.55, 500 * (t[..., 0] - t[..., 1]), 200 * (t[..., 1] - t[..., 2])], axis=-1)
+
 
-    Contrast-limited equalization of the mean brightness in a grid of tiles, each on its own: an approximation.
+def from_lab(lab: np.ndarray) -> np.ndarray:
+    """to_lab turned round, to whole values."""
+    y = (lab[..., 0] / 2.55 + 16) / 116
+    t = np.stack([y + lab[..., 1] / 500, y, y - lab[..., 2] / 200], axis=-1)
+    xyz = np.where(t**3 > LAB_EDGE, t**3, (t - LAB_SHIFT) / LAB_SLOPE)
+    c = np.clip(xyz @ np.linalg.inv(TO_XYZ).T, 0, 1)
+    c = np.where(c <= 0.0031308, 12.92 * c, 1.055 * c ** (1 / 2.4) - 0.055)
+    return np.clip(np.rint(c * 255), 0, 255).astype(np.uint8)[..., ::-1]
+
+
+def equalized(plane: np.ndarray, clip: float, grid: int) -> np.ndarray:
+    """Contrast-limited equalization of a whole-valued plane: each tile's mapping, and between tiles' centers their mean.
+
+    Sides are filled up by mirroring to a multiple of the grid; what a tile's histogram has above the limit is spread evenly.
     """
+    h, w = plane.shape
+    th, tw = -(-h // grid), -(-w // grid)
+    full = np.pad(plane, ((0, th * grid - h), (0, tw * grid - w)), mode="reflect" if min(h, w) > max(th * grid - h, tw * grid - w) else "edge")
+    tiles = full.reshape(grid, th, grid, tw).swapaxes(1, 2).reshape(grid * grid, th * tw)
+    counts = np.bincount((tiles + 256 * np.arange(grid * grid)[:, None]).ravel(), minlength=256 * grid * grid).reshape(grid * grid, 256)
+    limit = max(1, int(clip * th * tw / 256))
+    over = np.maximum(counts - limit, 0).sum(axis=1)
+    counts = np.minimum(counts, limit) + (over // 256)[:, None]
+    for row, left in zip(counts, (over % 256).tolist(), strict=True):
+        if left:
+            row[np.arange(0, 256, max(1, 256 // left))[:left]] += 1
+    maps = np.rint(np.cumsum(counts, axis=1) * 255 / (th * tw)).clip(0, 255).reshape(grid, grid, 256)
+
+    def ends(n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.arange(n) / size - 0.5
+        low = np.floor(at).astype(int)
+        return low.clip(0, grid - 1), (low + 1).clip(0, grid - 1), at - low
+
+    (top, bottom, v), (left, right, u) = ends(h, th), ends(w, tw)
+    rows = [maps[y[:, None], left[None, :], plane] * (1 - u) + maps[y[:, None], right[None, :], plane] * u for y in (top, bottom)]
+    return np.rint(rows[0] * (1 - v)[:, None] + rows[1] * v[:, None]).astype(np.uint8)
 
-    def stretched(f: np.ndarray) -> np.ndarray:
-        out = f.astype(np.float32)
-        gray = f.mean(axis=2)
-        for ys in np.array_split(np.arange(f.shape[0]), grid):
-            for xs in np.array_split(np.arange(f.shape[1]), grid):
-                if len(ys) and len(xs):
-                    part = gray[np.ix_(ys, xs)]
-                    counts = np.bincount(part.astype(np.uint8).ravel(), minlength=256)
-                    most = max(1.0, clip * part.size / 256)
-                    counts = np.minimum(counts, most) + np.maximum(counts - most, 0).sum() / 256
-                    level = 255 * np.cumsum(counts) / counts.sum()
-                    out[np.ix_(ys, xs)] *= (level[part.astype(np.uint8)] / np.maximum(part, 1.0))[..., None]
-        return np.clip(out, 0, 255).astype(np.uint8)
 
-    def dark(f: np.ndarray) -> bool:
-        th, tw = max(1, f.shape[0] // TILES), max(1, f.shape[1] // TILES)
-        return luma(f) < threshold or any(luma(f[i * th : (i + 1) * th, j * tw : (j + 1) * tw]) < threshold for i in range(TILES) for j in range(TILES))
+def lightened(f: np.ndarray, clip: float = 2.0, grid: int = 8) -> np.ndarray:
+    """A frame with its lightness equalized, its colours as they are."""
+    lab = to_lab(f)
+    lab[..., 0] = equalized(np.rint(lab[..., 0]).clip(0, 255).astype(np.uint8), clip, grid)
+    return from_lab(lab)
 
-    return _changed(frames, lambda f, _: stretched(f) if dark(f) else f)
 
+def enhance_dark_frames(frames: DataFrame, threshold: float = 72.0, clip: float = 2.0, grid: int = 8) -> DataFrame:
+    """Frames with the contrast of their lightness stretched where they, or a tile of them, are dark; others as they are."""
 
-def _changed(frames: DataFrame, change: Callable[[np.ndarray, object], np.ndarray]) -> DataFrame:
-    """Frames with change(pixels, boxes) as their pixels; boxes is the column of that name, if there."""
+    def change(f: np.ndarray, _: object) -> np.ndarray:
+        return lightened(f, clip, grid) if is_dark(*frame_numbers(f)[:2], threshold) else f
+
+    return _changed(frames, change)
+
+
+def _changed(frames: DataFrame, change: Callable[[np.ndarray, object], np.ndarray], timed: bool = False) -> DataFrame:
+    """Frames with change(pixels, boxes) as their pixels; boxes is the column of that name, if there; timed: and `seconds`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             boxes = batch["boxes"] if "boxes" in batch else [None] * len(batch)
-            images = [dict(image) | {"data": np.ascontiguousarray(change(pixels(image), b)).tobytes()} for image, b in zip(batch["image"], boxes, strict=True)]
-            yield pd.DataFrame({"video_id": batch["video_id"], "frame_idx": batch["frame_idx"], "image": images})
+            images, seconds = [], []
+            for image, b in zip(batch["image"], boxes, strict=True):
+                began = time.perf_counter()
+                images.append(dict(image) | {"data": np.ascontiguousarray(change(pixels(image), b)).tobytes()})
+                seconds.append(time.perf_counter() - began)
+            out = pd.DataFrame({"video_id": batch["video_id"], "frame_idx": batch["frame_idx"], "image": images})
+            yield out.assign(seconds=seconds) if timed else out
 
-    return frames.mapInPandas(run, FRAME_SCHEMA)
+    return frames.mapInPandas(run, FRAME_SCHEMA + ", seconds double" * timed)
 
 
 def _blurred(roi: np.ndarray, size: int) -> np.ndarray:
@@ -194,18 +256,19 @@ def attach_boxes(frames: DataFrame, boxes: DataFrame) -> DataFrame:
     return joined.withColumn("boxes", F.coalesce("boxes", F.slice(F.array(F.struct(*(F.lit(0).cast(t).alias(n) for n, t in (("order", "long"), ("rx1", "int"), ("ry1", "int"), ("rx2", "int"), ("ry2", "int"), ("shape", "string"), ("angle", "double"), ("kernel", "int"), ("blocks", "int"))))), 1, 0)))
 
 
-def redact_frames(frames: DataFrame, boxes: DataFrame, method: str = "hybrid", shape: str = "ellipse", pad: float = 0.40, pixel_blocks: int = 10, videos: DataFrame | None = None) -> DataFrame:
+def redact_frames(frames: DataFrame, boxes: DataFrame, method: str = "hybrid", shape: str = "ellipse", pad: float = 0.40, pixel_blocks: int = 10, videos: DataFrame | None = None, timed: bool = False) -> DataFrame:
     """Frames with boxes painted over: blackout, blur, pixelate or hybrid (blur, then pixelate); ellipse or rect.
 
     boxes: video_id, frame_idx, order, x1 ... y2, landmarks. The same frames come out, in number and size. Sizes are
     those that videos (video_id, width, height) states, or else of the frames themselves, which are then read twice.
+    timed adds `seconds`, what painting a frame took.
     """
     if videos is None:
         sized = boxes.join(frames.select("video_id", "frame_idx", F.col("image.width").alias("width"), F.col("image.height").alias("height")), ["video_id", "frame_idx"])
     else:
         sized = boxes.join(videos.select("video_id", "width", "height"), "video_id")
     plan = redaction_plan(sized, pad, pixel_blocks).withColumn("order", F.col("order").cast("long"))
-    return _changed(attach_boxes(frames, plan), lambda f, b: paint(f, list(b), method, shape))
+    return _changed(attach_boxes(frames, plan), lambda f, b: paint(f, list(b), method, shape), timed)
 
 
 def visibility(crop: np.ndarray) -> tuple[bool, float, float]:
@@ -247,20 +310,24 @@ def residual_visibility(frames: DataFrame, boxes: DataFrame) -> DataFrame:
     return frames.join(small_side(lists, "crops"), ["video_id", "frame_idx"]).mapInPandas(look, "video_id string, frame_idx long, det_idx int, visible boolean, mae double, laplacian double")
 
 
-def detect_frames(frames: DataFrame, factory: Callable[[], Callable[[np.ndarray], np.ndarray]], threshold: float, rule: str = "ge") -> DataFrame:
+def detect_frames(frames: DataFrame, factory: Callable[[], Callable[[np.ndarray], np.ndarray]], threshold: float, rule: str = "ge", points: bool = False) -> DataFrame:
     """Boxes by a detector that `factory` makes once in each Python worker: pixels -> rows (x1, y1, x2, y2, score).
 
-    Scores count from threshold on (rule 'ge') or above it ('gt').
+    Scores count from threshold on (rule 'ge') or above it ('gt'). Rows may go on with five points (x, y): with points,
+    they come out as `landmarks`, null where they are missing or not numbers.
     """
+    fields = ["video_id", "frame_idx", "det_idx", "x1", "y1", "x2", "y2", "score"] + ["landmarks"] * points
+
+    def marks(row: np.ndarray) -> list[dict] | None:
+        return [{"x": x, "y": y} for x, y in row[5:15].reshape(5, 2).tolist()] if len(row) >= 15 and not np.isnan(row[5:15]).any() else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         detector = factory()
         for batch in batches:
-            parts = []
+            out = []
             for video, frame, image in batch[["video_id", "frame_idx", "image"]].itertuples(index=False):
-                rows = np.asarray(detector(pixels(image)), float).reshape(-1, 5)
-                rows = rows[rows[:, 4] >= threshold if rule == "ge" else rows[:, 4] > threshold]
-                parts.append(pd.DataFrame(rows, columns=["x1", "y1", "x2", "y2", "score"]).assign(video_id=video, frame_idx=frame, det_idx=np.arange(len(rows), dtype=np.int32)))
-            yield pd.concat(parts)[["video_id", "frame_idx", "det_idx", "x1", "y1", "x2", "y2", "score"]] if parts else pd.DataFrame(columns=["video_id", "frame_idx", "det_idx", "x1", "y1", "x2", "y2", "score"])
+                rows = [r for r in map(np.asarray, detector(pixels(image))) if (r[4] >= threshold if rule == "ge" else r[4] > threshold)]
+                out += [(video, frame, i, *map(float, r[:5]), *([marks(r.astype(float))] if points else ())) for i, r in enumerate(rows)]
+            yield pd.DataFrame(out, columns=fields)
 
-    return frames.mapInPandas(run, "video_id string, frame_idx long, det_idx int, x1 double, y1 double, x2 double, y2 double, score double")
+    return frames.mapInPandas(run, "video_id string, frame_idx long, det_idx int, x1 double, y1 double, x2 double, y2 double, score double" + ", landmarks array<struct<x:double,y:double>>" * points)

@@ -206,6 +206,7 @@ def track(dets: DataFrame, videos: DataFrame, rules: Rules = TWO_STAGE, segmente
     """
     usable = dets if rules.low is None else dets.filter(F.col("score") >= rules.low)
     columns = ["video_id", "frame_idx", "det_idx", "x1", "y1", "x2", "y2", "score"]
+    usable = kept(usable.select(*columns, *(c for c in ("landmarks",) if c in dets.columns)))
     cut = segment_video(usable.select(*columns), rules.max_age) if segmented and rules.skip_after is None else usable.select(*columns, F.lit(0).cast("long").alias("segment"))
     spans = cut.groupBy("video_id", "segment").agg(F.min("frame_idx").alias("first"), F.max("frame_idx").alias("last"))
     nxt = F.lead("first").over(Window.partitionBy("video_id").orderBy("segment"))
@@ -227,7 +228,7 @@ def track(dets: DataFrame, videos: DataFrame, rules: Rules = TWO_STAGE, segmente
     out = local.join(shift, ["video_id", "segment"]).withColumn("track_id", F.col("track_id") + F.col("before")).drop("segment", "before")
     if "landmarks" not in dets.columns:
         return out
-    hits = dets.select("video_id", F.col("frame_idx").alias("hit_frame"), "det_idx", "landmarks")
+    hits = usable.select("video_id", F.col("frame_idx").alias("hit_frame"), "det_idx", "landmarks")
     return out.withColumn("hit_frame", F.col("frame_idx") - F.col("time_since_update")).join(hits, ["video_id", "hit_frame", "det_idx"], "left").select(*out.columns, "landmarks")
 
 

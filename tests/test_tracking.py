@@ -181,6 +181,47 @@ def test_against_a_plain_tracker(spark, rules):
     assert got == sorted(want) and len(got) > 100
 
 
+def long_video(rng, kind, n):
+    """Detections of n frames without a gap: faces that come and go, or ones that stay throughout."""
+    out, faces = [], {}
+    for f in range(n):
+        if len(faces) < 3 and rng.random() < 0.1:
+            faces[max(faces, default=0) + 1] = [rng.uniform(0, 600), rng.uniform(0, 300), rng.randrange(20, 60) if kind == "short" else 10**9]
+        for k, face in list(faces.items()):
+            face[2] -= 1
+            face[0] += rng.uniform(-3, 3)
+            if face[2] < 0:
+                del faces[k]
+        boxes = [(x, y) for x, y, _ in faces.values() if rng.random() < 0.9] or ([(900.0, 5.0)] if f % 10 == 0 else [])
+        out += [(f, x, y, rng.choice([0.2, 0.3, 0.6, 0.9])) for x, y in boxes]
+    return out
+
+
+@pytest.mark.parametrize(("kind", "rules"), [("short", Rules(max_age=4, high=0.28, low=0.18)), ("long", Rules(max_age=4)), ("short", Rules(max_age=3, min_hits=3, skip_after=6, skip_every=3))])
+def test_parts_equal_one_pass(spark, kind, rules):
+    rng = random.Random(8)
+    found = long_video(rng, kind, 1000)
+    if rules.skip_after:
+        found = [r for r in found if not 300 <= r[0] < 620 or r[0] % 41 == 0]
+    df, v = table(spark, found).repartition(3), videos(spark, 1010)
+    a, b = (sorted(map(tuple, track(df, v, rules, span=s).collect())) for s in (120, 10_000))
+    assert a == b and len(a) > 800
+
+
+def test_parts_settle_at_once_where_tracks_end(spark):
+    """Seams inside of which all tracks were born agree in the first round; none is left to one pass."""
+    from pyspark.sql import functions as F
+
+    from veilframe.operators.seams import track_in_parts
+
+    rules = Rules(max_age=4)
+    df = table(spark, long_video(random.Random(4), "short", 900)).withColumns({"segment": F.lit(0).cast("long"), "moving": F.lit(False), "first": F.lit(0).cast("long"), "end": F.lit(900).cast("long")})
+    tracked, left = track_in_parts(df, rules, span=200, rounds=2)
+    assert left.count() == 0 and tracked.count() > 500
+    none, rest = track_in_parts(table(spark, [(f, 5.0 + f % 7, 5.0, 0.9) for f in range(700)]).withColumns({"segment": F.lit(0).cast("long"), "moving": F.lit(False), "first": F.lit(0).cast("long"), "end": F.lit(700).cast("long")}), Rules(max_age=4, smooth=0.999), span=200, rounds=0)
+    assert rest.count() == 1 and none.count() == 0  # so slow to settle: left to one pass
+
+
 def test_tracks_are_made_once_and_carry_landmarks(spark):
     from pyspark.sql import functions as F
 

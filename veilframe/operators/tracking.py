@@ -118,7 +118,7 @@ def run_frames(live: Live, frames: np.ndarray, dets: np.ndarray, start: int, end
     """Emitted rows of frames start ... end - 1; frames holds each detection's frame, ascending."""
     none, at = np.zeros((0, 6)), start
     cuts = np.flatnonzero(np.append(True, frames[1:] != frames[:-1])) if len(frames) else np.zeros(0, int)
-    for a, b in zip(cuts, np.append(cuts[1:], len(frames)), strict=True):
+    for a, b in zip(cuts, np.append(cuts[1:], len(frames))[: len(cuts)], strict=True):
         while at < frames[a] and at < end:
             if not len(live.rows):
                 live.empty += int(min(frames[a], end)) - at
@@ -134,6 +134,7 @@ def run_frames(live: Live, frames: np.ndarray, dets: np.ndarray, start: int, end
     while at < end and len(live.rows):
         yield at, live.step(none, rules)
         at += 1
+    live.empty += max(0, end - at)
 
 
 def emitted(video: str, found: Iterator[tuple[int, np.ndarray]]) -> pd.DataFrame:
@@ -192,14 +193,15 @@ def segment_video(dets: DataFrame, max_age: int = 14) -> DataFrame:
     return dets.join(cuts.select("video_id", "frame_idx", F.sum("cut").over(order).alias("segment")), ["video_id", "frame_idx"])
 
 
-def track(dets: DataFrame, videos: DataFrame, rules: Rules = TWO_STAGE, segmented: bool = True, motion: DataFrame | None = None) -> DataFrame:
+def track(dets: DataFrame, videos: DataFrame, rules: Rules = TWO_STAGE, segmented: bool = True, motion: DataFrame | None = None, span: int | None = None) -> DataFrame:
     """Tracks of each video in SCHEMA's columns, also in frames where a track coasts, up to nframes.
 
     dets: video_id, frame_idx, det_idx, x1 ... y2, score; in a frame det_idx gives the order. A long video is cut into
     segments, each a group of its own, and track ids are numbered on by the births of earlier segments: the result is
-    that of one pass. With skipping (rules.skip_after), whose state crosses gaps, a video is one group; motion then has
-    frames (video_id, frame_idx) whose detections always count. A group's rows stream through the live tracks in order,
-    so a task holds one batch of them at a time, however long the video. The boxes are tracked once and stored.
+    that of one pass. With skipping (rules.skip_after), whose state crosses gaps, a video is one segment; motion then has
+    frames (video_id, frame_idx) whose detections always count. Segments of over two spans (seams.SPAN frames) are
+    tracked in parts at once, which are checked at their seams (track_in_parts); the others', and those whose seams don't
+    settle, stream through the live tracks in order, so that a task holds one batch at a time. The boxes are read once.
 
     Of a video that is not listed, or whose nframes is null or 0 (not known), the last frame is that of its last
     detection. If dets has landmarks, each row has those of its track's last hit.
@@ -212,16 +214,27 @@ def track(dets: DataFrame, videos: DataFrame, rules: Rules = TWO_STAGE, segmente
     nxt = F.lead("first").over(Window.partitionBy("video_id").orderBy("segment"))
     known = F.when(F.col("nframes") > 0, F.col("nframes"))
     spans = spans.withColumn("next", nxt).join(videos.select("video_id", "nframes"), "video_id", "left")
-    spans = spans.select("video_id", "segment", "first", F.coalesce("next", known, F.col("last") + 1).alias("end"))
+    spans = kept(spans.select("video_id", "segment", "first", F.coalesce("next", known, F.col("last") + 1).alias("end")))
     rows = cut.join(spans, ["video_id", "segment"])
     if motion is not None:
         hints = motion.select("video_id", "frame_idx").distinct().withColumn("moving", F.lit(True))
         rows = rows.join(hints, ["video_id", "frame_idx"], "left")
     rows = rows.withColumn("moving", F.coalesce("moving", F.lit(False)) if motion is not None else F.lit(False))
+    def streamed(rows: DataFrame) -> DataFrame:
+        return rows.mapInPandas(lambda batches: run_batches(batches, rules), SCHEMA + ", segment long")
+
+    from .seams import SPAN, track_in_parts
+
+    span = span or SPAN
+    long_ = spans.filter(F.col("end") - F.col("first") > 2 * span).select("video_id", "segment")
+    some, parted = kept(long_), None
+    if not some.isEmpty():
+        parted, left = track_in_parts(rows.join(some, ["video_id", "segment"], "left_semi"), rules, span)
+        rows = rows.join(some.join(left, ["video_id", "segment"], "left_anti"), ["video_id", "segment"], "left_anti")
     # tracking costs far more than its few bytes suggest: keep the number of tasks, which AQE would coalesce
     rows = rows.repartition(int(dets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "video_id", "segment")
     rows = rows.sortWithinPartitions("video_id", "segment", "frame_idx", "det_idx")
-    local = kept(rows.mapInPandas(lambda batches: run_batches(batches, rules), SCHEMA + ", segment long"))
+    local = kept(streamed(rows) if parted is None else streamed(rows).unionByName(parted))
     births = local.groupBy("video_id", "segment").agg(F.max("track_id").alias("born"))
     before = F.coalesce(F.sum("born").over(Window.partitionBy("video_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shift = births.select("video_id", "segment", before.alias("before"))

@@ -11,7 +11,7 @@ from veilframe.sources.derived import DETECTIONS, JOBS, UPLOADS, derived
 from veilframe.sources.store import kept
 
 from . import uploads as up
-from .box_queries import boxes
+from .box_queries import BOXES, boxes, d, fold, sane
 from .score_queries import truth
 
 
@@ -68,8 +68,8 @@ def compare_trackers(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, df in (("iou", track_iou(spark, sf_dir)), ("two_stage", track_two_stage(spark, sf_dir))):
         parts = parts.unionByName(df.withColumn("det_idx", F.col("track_id").cast("int")).withColumn("config", F.lit(name)).select(*columns))
     pred = kept(ev.sample_every(parts))
-    times = pred.select("config", "video_id", "frame_idx").distinct().select("config", F.lit(0.004).alias("seconds"))
-    return ev.score_configs(ev.greedy_match(truth(spark, sf_dir), pred), pred, times)
+    none = pred.select("config").distinct().withColumn("seconds", F.lit(0.0))
+    return ev.score_configs(ev.greedy_match(truth(spark, sf_dir), pred), pred, none).drop("ms_per_frame", "detect_fps", "frames")
 
 
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,4 +172,11 @@ ORACLES = {
     "job_backlog": f"select status, config_hash, count(*) as jobs from ({JOBS}) group by cube (status, config_hash)",
     "content_fingerprint": """select doc_id, sha256(case when n > 128 then encode(n::varchar) || b[1:64] || b[n // 2 + 1:n // 2 + 64] || b[greatest(0, n - 64) + 1:greatest(0, n - 64) + 64]
         else encode(n::varchar) || b[1:64] end) as fp from (select doc_id, encode(text) as b, octet_length(encode(text)) as n from documents)""",
+    "content_fingerprint_1mib": """select doc_id, sha256(case when n > 2097152 then encode(n::varchar) || b[1:1048576] || b[n // 2 + 1:n // 2 + 1048576] || b[greatest(0, n - 1048576) + 1:greatest(0, n - 1048576) + 1048576]
+        else encode(n::varchar) || b[1:1048576] end) as fp from (select doc_id, encode(text) as b, octet_length(encode(text)) as n from documents)""",
+    "segment_tracked": f"""with found as materialized (select video_id, frame_idx, det_idx from ({fold(f"select * from ({BOXES}) where {sane()}", "det_idx")}) where score >= {d(0.18)})
+      select f.video_id, f.frame_idx, det_idx, segment from found f join (
+        select video_id, frame_idx, sum(cut) over (partition by video_id order by frame_idx)::bigint as segment from (
+          select video_id, frame_idx, coalesce((frame_idx - lag(frame_idx) over (partition by video_id order by frame_idx) >= 16)::int, 0) as cut
+          from (select distinct video_id, frame_idx from found))) s on f.video_id = s.video_id and f.frame_idx = s.frame_idx""",
 }

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilframe.operators.components import components
 from veilframe.sources.store import kept
 
 LIVE = ("queued", "processing", "completed", "needs_review")
-#: Rounds of in-batch decisions after which what they found is stored, so that the plan stays short.
-ROUNDS = 10
+#: Rounds of in-batch decisions before the ordered pass, and most events of a configuration that go through one as they are.
+ROUNDS, MOST_IN_ORDER = 6, 1_000_000
 
 
 def content_fingerprint(df: DataFrame, content: str = "content", size: str | None = None, chunk: int = 1 << 20) -> Column:
@@ -37,30 +41,64 @@ def latest_by_fingerprint(jobs: DataFrame) -> DataFrame:
     return live.withColumn("rank", F.row_number().over(order)).filter("rank = 1").drop("rank")
 
 
-def creators(events: DataFrame) -> DataFrame:
+def _in_order(events: DataFrame) -> DataFrame:
+    """event_seq of the creators among events (cell, event_seq, upload_id, content_fp), which share keys within a cell alone.
+
+    A cell's events stream through a task by event_seq; what it holds are the keys that are taken, not the events.
+    """
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, uploads, contents = None, set(), set()
+        for batch in batches:
+            out = []
+            for own, seq, upload, content in batch[["cell", "event_seq", "upload_id", "content_fp"]].itertuples(index=False, name=None):
+                if own != cell:
+                    cell, uploads, contents = own, set(), set()
+                if upload not in uploads and content not in contents:
+                    uploads.add(upload)
+                    contents.add(content)
+                    out.append(seq)
+            yield pd.DataFrame({"event_seq": pd.Series(out, dtype="int64")})
+
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return events.repartition(n, "cell").sortWithinPartitions("cell", "event_seq").mapInPandas(take, "event_seq long")
+
+
+def creators(events: DataFrame, rounds: int = ROUNDS, most: int = MOST_IN_ORDER) -> DataFrame:
     """event_seq of the events that create a job, as if taken in order: no earlier creator has the upload or the content.
 
     In a round, an undecided event that comes first of its upload and first of its content creates; all others that
     share a key with it are reuse. Repeats of both keys are left out beforehand, so no hot pair meets in one task.
-    Rounds go on until none is left: a few decide nearly all, a long alternating chain takes one for every two events.
+    A few rounds decide nearly all. Long alternating chains, which would take a round for every two events, are left to
+    one ordered pass over each configuration's rest, or over each connected component of its keys where that rest has
+    more than `most` events.
     """
+    keys = ["event_seq", "upload_id", "content_fp", "config_hash"]
     left = kept(events.groupBy("upload_id", "content_fp", "config_hash").agg(F.min("event_seq").alias("event_seq")))
-    found, done = None, 0
-    while True:
+    found = None
+    for _ in range(rounds):
         by_upload, by_content = Window.partitionBy("upload_id", "config_hash"), Window.partitionBy("content_fp", "config_hash")
         marked = left.withColumn("u", F.min("event_seq").over(by_upload)).withColumn("c", F.min("event_seq").over(by_content))
         new = kept(marked.withColumn("makes", (F.col("event_seq") == F.col("u")) & (F.col("event_seq") == F.col("c"))).drop("u", "c"))
-        made = new.filter("makes").select("event_seq", "upload_id", "content_fp", "config_hash")
+        made = new.filter("makes").select(*keys)
         found = made if found is None else found.unionByName(made)
         rest = new.filter("not makes").drop("makes")
         for key in ("upload_id", "content_fp"):
             rest = rest.join(made.select(key, "config_hash"), [key, "config_hash"], "left_anti")
-        left = kept(rest.select("event_seq", "upload_id", "content_fp", "config_hash"))
+        left = kept(rest.select(*keys))
         if left.isEmpty():
             return found.select("event_seq")
-        done += 1
-        if done % ROUNDS == 0:
-            found = kept(found)
+    many = kept(left.groupBy("config_hash").count().filter(F.col("count") > most).select("config_hash"))
+    cells = left.join(many, "config_hash", "left_anti").withColumn("cell", F.col("config_hash"))
+    if not many.isEmpty():
+        large = left.join(many, "config_hash")
+        nodes = [F.sha2(F.concat_ws("|", F.lit(k), "config_hash", k), 256).alias(side) for k, side in (("upload_id", "a"), ("content_fp", "b"))]
+        roots = components(large.select(*nodes))
+        of_upload = large.withColumn("node", F.sha2(F.concat_ws("|", F.lit("upload_id"), "config_hash", "upload_id"), 256))
+        whole = of_upload.join(roots, "node", "left").withColumn("cell", F.coalesce("root", "node")).select(*keys, "cell")
+        cells = cells.unionByName(whole)
+    rest = kept(_in_order(cells))
+    return rest if found is None else found.select("event_seq").unionByName(rest)
 
 
 def resolve_uploads(events: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -177,3 +177,41 @@ def test_hot_ids_have_buckets_of_their_own(spark, tmp_path):
         at += len(r.ids) // 4
     hot = spark.read.parquet(path).groupBy("bucket").agg(F.max("n_ids").alias("n")).collect()
     assert max(r.n for r in hot) < 0.25 * at
+
+
+def test_hidden_values_are_recovered_by_shape(spark, tmp_path):
+    """Half of the base values count as unknown: shapes that the others induce find them; what fails its test stays clean."""
+    from veilframe.llm import queries
+
+    rnd = random.Random(6)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
+
+    def around(value):
+        return f"{' '.join(rnd.choice(words) for _ in range(4))} {value} {' '.join(rnd.choice(words) for _ in range(4))}"
+
+    def card(i, good):
+        body = f"4{i:014d}"
+        for check in "0123456789":
+            digits = [int(c) for c in reversed(body + check)]
+            if (sum(digits[0::2]) + sum(d * 2 - 9 * (d > 4) for d in digits[1::2])) % 10 == 0:
+                return body + (check if good else str((int(check) + 1) % 10))
+        raise AssertionError
+
+    values = [card(i * 7919, True) for i in range(30)] + [f"10.{i}.{i}.9" for i in range(30)] + [f"+1 (555) 555-{1000 + i}" for i in range(30)] + [f"ab.{i:02d}@mail.example.com" for i in range(30)]
+    junk = [card(i * 7907, False) for i in range(40)] + [f"300.{i}.{i}.9" for i in range(20)]
+    df = spark.createDataFrame([(i, around(v)) for i, v in enumerate(values + junk)], "doc_id long, text string")
+    out = {r.kind: r for r in pii.recovered(df).collect()}
+    assert set(out) == {"email", "ip", "card", "phone"} and all(r.held_out >= 5 and r.found == r.held_out and not r.wrong for r in out.values())
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in queries.op3_personal_data(spark, str(tmp_path)).collect()}
+    assert all(rows[i].n_spans == 1 and rows[i].spans.split(":")[0] in out for i in range(len(values)))
+    assert all(rows[i].spans == "" and rows[i].secrets == "" for i in range(len(values), len(values) + len(junk)))
+
+
+def test_credentials_have_a_column_of_their_own(spark, tmp_path):
+    from veilframe.llm import queries
+
+    text = 'token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae" and jo@mail.example.com'
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    row = queries.op3_personal_data(spark, str(tmp_path)).first()
+    assert row.spans == f"email:{text.index('jo@')}:{len(text)}" and row.n_spans == 1 and row.secrets == "secret:9:49"

@@ -13,7 +13,7 @@ from .jaccard_join import link_components
 from .language_id import id_remainder, predict_languages
 from .line_dedup import drop_repeated_lines
 from .ogg import stored_media
-from .pii import PATTERNS, find_personal_data, of_kind, spans_text, with_extra
+from .pii import PATTERNS, SECRET, find_personal_data, of_kind, spans_text, with_extra
 from .pieces import piece_ids
 from .shared import read_documents
 from .simhash import near_components
@@ -43,8 +43,9 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_extra(*find_personal_data(read_documents(spark, sf_dir)))
     counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{k}") for k in PATTERNS]
-    every = F.concat("base", "extra")
-    return rows.select("doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(every).alias("spans"), F.size(every).cast("long").alias("n_spans"))
+    every = F.concat("base", F.filter("extra", of_kind(*PATTERNS)))
+    secrets = spans_text(F.filter("extra", of_kind(SECRET))).alias("secrets")
+    return rows.select("doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(every).alias("spans"), F.size(every).cast("long").alias("n_spans"), secrets)
 
 
 def op4_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:

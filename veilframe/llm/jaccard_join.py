@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from veilframe.operators.components import components
 
 from . import bloom
-from .shared import binaries, by_bytes, give_back, kept, mix64, own_names, text_of, u64
+from .shared import binaries, by_bytes, give_back, kept, mix64, own_names, scratch, text_of, u64
 
 #: Words in a shingle, and the least Jaccard similarity as a fraction.
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
@@ -389,7 +389,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Rows that share that doc_id all stay, as do components without any doc_id. Only rows that a Bloom filter of the
     dropped texts may hold shuffle, to meet the list of what goes; the others pass straight through.
     """
-    gone = kept(link_components(docs).filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct())
+    with scratch(docs.sparkSession):  # the list of what goes is all that the rest needs
+        out = link_components(docs).filter("not (doc_id <=> component_id)")
+        gone = kept(out.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct(), lasting=True)
     bitmap = docs.sparkSession.sparkContext.broadcast(bloom.once_filter(gone.select("gone_key"), lambda batch: u64(batch.column(0)), gone.count()).tobytes())
 
     @F.pandas_udf("boolean")

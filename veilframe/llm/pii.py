@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import kept, own_names, text_of
+from .shared import kept, own_names, scratch, text_of
 
 #: Kinds in the order of the results, each with an expression that finds the same spans as its definition.
 LOCAL, DOMAIN = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -329,7 +329,9 @@ def find_personal_data(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = with_candidates(with_base(source)).select("doc_id", F.unhex(F.sha2("body", 256)).alias("text_key"), "mentions")
     rows = kept(found)
     base = F.transform(F.filter("mentions", lambda m: m["form"] == "base"), _bounds)
-    return rows.select("doc_id", "text_key", base.alias("base")), kept(discovered(rows.select("text_key", "mentions")))
+    with scratch(docs.sparkSession):
+        extra = kept(discovered(rows.select("text_key", "mentions")), lasting=True)
+    return rows.select("doc_id", "text_key", base.alias("base")), extra
 
 
 def with_extra(rows: DataFrame, extra: DataFrame) -> DataFrame:
@@ -391,7 +393,8 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
     """
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text_of().alias("body"))
     found = kept(with_candidates(with_base(row)).select("row", F.unhex(F.sha2("body", 256)).alias("text_key"), "mentions"))
-    extra = kept(discovered(found.select("text_key", "mentions")))
+    with scratch(docs.sparkSession):
+        extra = kept(discovered(found.select("text_key", "mentions")), lasting=True)
     base = F.transform(F.filter("mentions", lambda m: m["form"] == "base"), _bounds)
     spans = with_extra(found.select("row", "text_key", base.alias("base")), extra).select("row", F.concat("base", "extra").alias("spans"))
     done = spans.withColumn("masked", F.when(F.size("spans") > 0, mask(F.col("row.text").cast("string"), F.col("spans"))))

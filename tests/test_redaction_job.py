@@ -191,3 +191,33 @@ def test_scratch_deletes_what_was_kept_within(spark, tmp_path):
         assert outer.count() == 3 and lasting.count() == 5
     with pytest.raises(Exception, match="(?i)not.*exist|path"):
         lasting.count()
+
+
+def test_only_files_that_may_hold_them_are_opened(spark, tmp_path):
+    frames = images(spark, [(v, i, face(20, i)) for v in "ab" for i in range(6)]).repartitionByRange(4, "video_id", "frame_idx")
+    fr.write_frames(frames, str(tmp_path / "f"))
+    manifest = spark.read.parquet(str(tmp_path / "f/_manifest"))
+    assert manifest.agg(F.sum("frames")).first()[0] == 12 and manifest.select("file").distinct().count() == 4
+    part = fr.read_written(spark, str(tmp_path / "f"), "b", 4, 9)
+    assert sorted((r.video_id, r.frame_idx) for r in part.collect()) == [("b", 4), ("b", 5)] and len(part.inputFiles()) < 4
+    assert fr.read_written(spark, str(tmp_path / "f")).count() == 12 and fr.read_written(spark, str(tmp_path / "f"), "none").count() == 0
+
+
+def test_bucketed_pixels_stay_whatever_the_boxes(spark, monkeypatch):
+    """With more boxes than are broadcast, the plan shuffles boxes alone: nothing but the scan lies below the join on the frames' side."""
+    frames = images(spark, [("v", i, face(30, i)) for i in range(6)] + [("w", 0, face(10, 9))])
+    boxes = spark.createDataFrame([("v", i, 0, 30.0, 40.0, 80.0, 90.0, None) for i in (1, 4)], "video_id string, frame_idx long, order int, x1 double, y1 double, x2 double, y2 double, landmarks array<struct<x:double,y:double>>")
+    videos = spark.createDataFrame([("v", 5.0, 160, 120, 6), ("w", 5.0, 160, 120, 1)], VIDEOS)
+    want = {(r.video_id, r.frame_idx): bytes(r.image.data) for r in fr.redact_frames(frames, boxes, videos=videos).collect()}
+    stored = fr.store_frames(frames, "stored_frames", 3)
+    try:
+        monkeypatch.setattr(fr.small_side, "__defaults__", (0,))
+        out = fr.redact_frames(stored, boxes, videos=videos)
+        assert {(r.video_id, r.frame_idx): bytes(r.image.data) for r in out.collect()} == want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        frames_side = plan[plan.index("ShuffledHashJoin"):].split("stored_frames")[0]
+        assert "Exchange" not in frames_side and "SortMergeJoin" not in plan and "Bucketed: true" in plan
+        seen = fr.residual_visibility(stored, boxes.selectExpr("video_id", "frame_idx", "order as det_idx", "30 as cx1", "40 as cy1", "80 as cx2", "90 as cy2"))
+        assert seen.count() == 2
+    finally:
+        spark.sql("drop table if exists stored_frames")

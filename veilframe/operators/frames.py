@@ -33,8 +33,40 @@ def read_frames(spark: SparkSession, path: str, pattern: str = r"([^/]+)/(\d+)\.
 
 
 def write_frames(frames: DataFrame, path: str) -> None:
-    """Frames as Parquet, a folder for each video and ordered within files."""
-    frames.repartitionByRange("video_id", "frame_idx").sortWithinPartitions("video_id", "frame_idx").write.partitionBy("video_id").parquet(path)
+    """Frames as Parquet, each task's where they are, and in path/_manifest which file has which frames of which videos.
+
+    No pixels shuffle, and there are as many files as tasks, however many videos. read_written uses the manifest.
+    """
+    spark = frames.sparkSession
+    frames.write.parquet(path)
+    where = spark.read.parquet(path).select("video_id", "frame_idx", F.col("_metadata.file_path").alias("file"))
+    ranges = where.groupBy("file", "video_id").agg(F.min("frame_idx").alias("first"), F.max("frame_idx").alias("last"), F.count(F.lit(1)).alias("frames"))
+    ranges.write.parquet(f"{path}/_manifest")
+
+
+def read_written(spark: SparkSession, path: str, video_id: str | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Frames of write_frames: all, or a video's from first to last, for which only files that may hold some are opened."""
+    manifest = spark.read.parquet(f"{path}/_manifest")
+    asked = F.lit(True) if video_id is None else F.col("video_id") == video_id
+    low, high = (F.lit(True) if first is None else F.col("last") >= first), (F.lit(True) if last is None else F.col("first") <= last)
+    whole = spark.read.schema(FRAME_SCHEMA)
+    if video_id is None and first is None and last is None:
+        return whole.parquet(path)
+    files = [r.file for r in manifest.filter(asked & low & high).select("file").distinct().toLocalIterator()]
+    rows = whole.parquet(*files) if files else whole.parquet(path).limit(0)
+    within = (F.lit(True) if first is None else F.col("frame_idx") >= first) & (F.lit(True) if last is None else F.col("frame_idx") <= last)
+    return rows.filter(asked & within)
+
+
+def store_frames(frames: DataFrame, table: str, buckets: int) -> DataFrame:
+    """Frames as a table in buckets by video and frame, and that table: boxes then go to the pixels, however many they are.
+
+    Joins by video and frame (attach_boxes, residual_visibility, qc_frames) read its buckets where they lie and shuffle
+    the boxes alone. Take buckets of a few hundred megabytes. Writing moves no pixels either: each task writes its part
+    of each bucket.
+    """
+    frames.write.bucketBy(buckets, "video_id", "frame_idx").mode("overwrite").saveAsTable(table)
+    return frames.sparkSession.table(table)
 
 
 def pixels(image: dict) -> np.ndarray:
@@ -242,10 +274,11 @@ def paint(frame: np.ndarray, boxes: list[dict], method: str, shape: str) -> np.n
 def small_side(lists: DataFrame, column: str, most: int = MAX_BOXES) -> DataFrame:
     """Lists of boxes by frame, stored; to be broadcast if they hold at most so many boxes, so that no pixels shuffle.
 
-    With more, Spark joins by video and frame, which moves the frames: then cut the work into groups of videos.
+    With more, they are hashed to the frames' partitions: pixels stay where they are if these come from store_frames.
+    Other frames move then.
     """
     lists = kept(lists)
-    return F.broadcast(lists) if (lists.agg(F.sum(F.size(column) + 1)).first()[0] or 0) <= most else lists
+    return F.broadcast(lists) if (lists.agg(F.sum(F.size(column) + 1)).first()[0] or 0) <= most else lists.hint("shuffle_hash")
 
 
 def attach_boxes(frames: DataFrame, boxes: DataFrame) -> DataFrame:

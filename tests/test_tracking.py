@@ -246,3 +246,27 @@ def test_stream_ends(spark, tmp_path):
     got = sorted((r.video_id, r.frame_idx, r.hits) for r in spark.table("ends").collect())
     assert got == [("v", 0, 1), ("v", 1, 2), ("v", 2, 3), ("v", 3, 3)]
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+
+
+@pytest.mark.parametrize("rules", [Rules(max_age=3), Rules(max_age=4, high=0.5, low=0.2), Rules(max_age=2, min_hits=2, high=0.5, low=0.2)])
+def test_segments_that_go_forward_together(rules):
+    """Bit for bit what one segment after another gives, however batches are cut."""
+    import pandas as pd
+
+    from veilframe.operators.tracking import run_batches, run_together
+
+    rnd = random.Random(12)
+    rows = []
+    for v in "abcd":
+        for segment, (first, n) in enumerate([(0, 20), (40, 1), (60, 30)]):
+            found = [(f, i) for f in range(first, first + n) if rnd.random() < 0.8 for i in range(rnd.randrange(1, 5))] or [(first, 0)]
+            end = rnd.choice([found[-1][0] + 1, found[-1][0] + 9, found[-1][0] - 2])
+            for f, i in found:
+                x, y = rnd.uniform(0, 120), rnd.uniform(0, 90)
+                rows.append((v, segment, f, i, x, y, x + rnd.uniform(10, 60), y + rnd.uniform(10, 60), rnd.choice([0.3, 0.6, 0.9]), found[0][0], end, False))
+    table = pd.DataFrame(rows, columns=["video_id", "segment", "frame_idx", "det_idx", "x1", "y1", "x2", "y2", "score", "first", "end", "moving"])
+    keys = ["video_id", "segment", "frame_idx", "track_id"]
+    want = pd.concat(run_batches(iter([table]), rules)).sort_values(keys, ignore_index=True)
+    for n in (7, 100, 10_000):
+        got = pd.concat(run_together((table.iloc[i : i + n] for i in range(0, len(table), n)), rules)).sort_values(keys, ignore_index=True)
+        pd.testing.assert_frame_equal(got[list(want.columns)], want)

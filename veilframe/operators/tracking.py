@@ -6,7 +6,7 @@ grouped pandas, the streaming one per video with stored state. It moves boxes on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -41,9 +41,8 @@ COLUMNS = ["id", "x1", "y1", "x2", "y2", "vx", "vy", "hits", "tsu", "score", "de
 ID, BOX, VEL, HITS, TSU, SCORE, DET = 0, slice(1, 5), slice(5, 7), 7, 8, 9, 10
 
 
-def _weights(tracks: np.ndarray, dets: np.ndarray, rules: Rules) -> np.ndarray:
-    """How well each track and detection go together; 0: not at all. Overlap counts above nearness of centers."""
-    a, b = tracks[:, None, BOX], dets[None, :, :4]
+def _weights(a: np.ndarray, b: np.ndarray, rules: Rules) -> np.ndarray:
+    """How well tracks' boxes and detections' go together; 0: not at all. Overlap counts above nearness of centers."""
     size = [np.maximum(0.0, x[..., 2:] - x[..., :2]) for x in (a, b)]
     inner = np.maximum(0.0, np.minimum(a[..., 2:], b[..., 2:]) - np.maximum(a[..., :2], b[..., :2])).prod(-1)
     union = size[0].prod(-1) + size[1].prod(-1) - inner
@@ -93,7 +92,7 @@ class Live:
         open_ = np.ones(len(stage), bool)
         at = np.flatnonzero(free)
         if len(at) and len(stage):
-            weights = _weights(self.rows[at], dets[stage], rules)
+            weights = _weights(self.rows[at][:, None, BOX], dets[stage][None, :, :4], rules)
             t, d = np.nonzero(weights)
             for k in np.lexsort((d, t, weights[t, d]))[::-1]:
                 if free[at[t[k]]] and open_[d[k]]:
@@ -145,6 +144,11 @@ def emitted(video: str, found: Iterator[tuple[int, np.ndarray]]) -> pd.DataFrame
             rows.append(out)
     table = np.concatenate(rows) if rows else np.zeros((0, len(COLUMNS)))
     flat = np.concatenate(frames) if frames else np.zeros(0, np.int64)
+    return _shown(video, flat, table)
+
+
+def _shown(video: str | np.ndarray, flat: np.ndarray, table: np.ndarray) -> pd.DataFrame:
+    """Rows of COLUMNS in SCHEMA's."""
     return pd.DataFrame({"video_id": video, "frame_idx": flat, "track_id": table[:, ID].astype(np.int64), "x1": table[:, 1], "y1": table[:, 2], "x2": table[:, 3], "y2": table[:, 4], "score": table[:, SCORE], "det_idx": table[:, DET].astype(np.int32), "hits": table[:, HITS].astype(np.int32), "time_since_update": table[:, TSU].astype(np.int32)})
 
 
@@ -184,6 +188,123 @@ def run_batches(batches: Iterator[pd.DataFrame], rules: Rules) -> Iterator[pd.Da
         yield advance(held, end)
 
 
+class Frontier:
+    """The live tracks of many segments, which go forward together, a frame of each at a time: Live.step for all at once.
+
+    rows holds COLUMNS, by segment and within it by birth; seg the segment of each.
+    """
+
+    def __init__(self, segments: int, rules: Rules) -> None:
+        self.rules, self.rows, self.seg = rules, np.zeros((0, len(COLUMNS))), np.zeros(0, np.int64)
+        self.born = np.zeros(segments, np.int64)
+
+    def step(self, dets: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Advance by one frame with detections (x1, y1, x2, y2, score, det) of segments `of`, ascending; rows to emit, and whose."""
+        rules, rows = self.rules, self.rows
+        coasting = rows[:, TSU] >= 1
+        rows[coasting, 1:3] += rows[coasting, VEL]
+        rows[coasting, 3:5] += rows[coasting, VEL]
+        rows[:, TSU] += 1
+        free = np.ones(len(rows), bool)
+        score = dets[:, 4]
+        stages = [np.arange(len(dets))] if rules.high is None else [np.flatnonzero(score >= rules.high), np.flatnonzero((score >= rules.low) & (score < rules.high))]
+        births = np.zeros(0, np.int64)
+        for nth, stage in enumerate(stages):
+            left = self._associate(dets, of, stage, free)
+            births = left if nth == 0 else births
+        own = of[births]
+        new = np.zeros((len(births), len(COLUMNS)))
+        if len(births):
+            new[:, ID] = self.born[own] + 1 + np.arange(len(own)) - np.searchsorted(own, own)
+            new[:, BOX], new[:, SCORE], new[:, DET], new[:, HITS] = dets[births, :4], dets[births, 4], dets[births, 5], 1
+            self.born += np.bincount(own, minlength=len(self.born))
+        stay = ~(free & (rows[:, TSU] > rules.max_age))
+        seg = np.concatenate([self.seg[stay], own])
+        order = np.argsort(seg, kind="stable")
+        self.rows, self.seg = np.concatenate([rows[stay], new])[order], seg[order]
+        out = (self.rows[:, HITS] >= rules.min_hits) | (self.rows[:, TSU] == 0)
+        return self.rows[out], self.seg[out]
+
+    def _associate(self, dets: np.ndarray, of: np.ndarray, stage: np.ndarray, free: np.ndarray) -> np.ndarray:
+        """As Live's; which of the stage's detections are left."""
+        at, open_ = np.flatnonzero(free), np.ones(len(stage), bool)
+        if not len(at) or not len(stage):
+            return stage
+        low, high = (np.searchsorted(of[stage], self.seg[at], side) for side in ("left", "right"))
+        many = high - low
+        t = np.repeat(np.arange(len(at)), many)
+        d = np.arange(len(t)) - np.repeat(np.cumsum(many) - many - low, many)
+        weights = _weights(self.rows[at[t], BOX], dets[stage[d], :4], self.rules)
+        some = np.flatnonzero(weights)
+        t, d, weights = t[some], d[some], weights[some]
+        order = np.lexsort((d, t, weights))[::-1]
+        tracks, found, pairs = [True] * len(at), [True] * len(stage), []
+        for i, j in zip(t[order].tolist(), d[order].tolist(), strict=True):
+            if tracks[i] and found[j]:
+                tracks[i] = found[j] = False
+                pairs.append((i, j))
+        if pairs:
+            i, j = np.array(pairs).T
+            self._take(at[i], dets[stage[j]])
+            free[at[i]], open_[j] = False, False
+        return stage[open_]
+
+    def _take(self, at: np.ndarray, dets: np.ndarray) -> None:
+        rules, rows = self.rules, self.rows
+        old = rows[at, BOX]
+        new = rules.smooth * old + (1 - rules.smooth) * dets[:, :4]
+        moved = 0.5 * (new[:, :2] + new[:, 2:]) - 0.5 * (old[:, :2] + old[:, 2:])
+        rows[at, BOX] = new
+        rows[at, VEL] = rules.velocity_smooth * rows[at, VEL] + (1 - rules.velocity_smooth) * moved
+        rows[at, HITS] += 1
+        rows[at, TSU], rows[at, SCORE], rows[at, DET] = 0, dets[:, 4], dets[:, 5]
+
+
+def advance_together(rows: pd.DataFrame, rules: Rules) -> pd.DataFrame:
+    """Emitted rows, with segment, of whole segments; rows sorted by video_id, segment, frame_idx and det_idx. No skipping."""
+    video, segment = rows["video_id"].to_numpy(), rows["segment"].to_numpy()
+    starts = np.flatnonzero(np.append(True, (video[1:] != video[:-1]) | (segment[1:] != segment[:-1])))
+    sizes = np.diff(np.append(starts, len(rows)))
+    of, first = np.repeat(np.arange(len(starts)), sizes), rows["first"].to_numpy()[starts]
+    frame = rows["frame_idx"].to_numpy()
+    # nothing is live max_age frames after the last detection
+    stop = np.maximum(0, np.minimum(rows["end"].to_numpy()[starts], frame[starts + sizes - 1] + rules.max_age + 1) - first)
+    at = frame - first[of]
+    order = np.lexsort((of, at))
+    order = order[at[order] < stop[of[order]]]
+    dets, of, at = rows[["x1", "y1", "x2", "y2", "score", "det_idx"]].to_numpy(float)[order], of[order], at[order]
+    steps = int(stop.max(initial=0))
+    cuts, live, out, whose, when = np.searchsorted(at, np.arange(steps + 1)), Frontier(len(starts), rules), [], [], []
+    ends = np.bincount(stop, minlength=steps + 1)
+    for k in range(steps):
+        if ends[k]:
+            going = stop[live.seg] > k
+            live.rows, live.seg = live.rows[going], live.seg[going]
+        found, own = live.step(dets[cuts[k] : cuts[k + 1]], of[cuts[k] : cuts[k + 1]])
+        out.append(found.copy())
+        whose.append(own)
+        when.append(first[own] + k)
+    table = np.concatenate(out) if out else np.zeros((0, len(COLUMNS)))
+    own, frames = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (whose, when))
+    return _shown(video[starts[own]], frames, table).assign(segment=segment[starts[own]])
+
+
+def run_together(batches: Iterator[pd.DataFrame], rules: Rules) -> Iterator[pd.DataFrame]:
+    """As run_batches without skipping, whole segments of a batch at once; a task holds a batch and one segment."""
+    held = None
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if not len(rows):
+            continue
+        video, segment = rows["video_id"].to_numpy(), rows["segment"].to_numpy()
+        last = int(np.argmax((video == video[-1]) & (segment == segment[-1])))
+        if last:
+            yield advance_together(rows.iloc[:last], rules)
+        held = rows.iloc[last:]
+    if held is not None and len(held):
+        yield advance_together(held, rules)
+
+
 def segment_video(dets: DataFrame, max_age: int = 14) -> DataFrame:
     """dets with `segment`: a new one where no track can survive the gap, of max_age + 2 frames or more."""
     frames = dets.select("video_id", "frame_idx").distinct()
@@ -200,8 +321,9 @@ def track(dets: DataFrame, videos: DataFrame, rules: Rules = TWO_STAGE, segmente
     segments, each a group of its own, and track ids are numbered on by the births of earlier segments: the result is
     that of one pass. With skipping (rules.skip_after), whose state crosses gaps, a video is one segment; motion then has
     frames (video_id, frame_idx) whose detections always count. Segments of over two spans (seams.SPAN frames) are
-    tracked in parts at once, which are checked at their seams (track_in_parts); the others', and those whose seams don't
-    settle, stream through the live tracks in order, so that a task holds one batch at a time. The boxes are read once.
+    tracked in parts at once, which are checked at their seams (track_in_parts). Others go forward together, a frame of
+    each segment of a batch at a time (Frontier). Where parts don't settle, or frames may be skipped, rows stream through
+    the live tracks of one segment in order, so that a task holds one batch at a time. The boxes are read once.
 
     Of a video that is not listed, or whose nframes is null or 0 (not known), the last frame is that of its last
     detection. If dets has landmarks, each row has those of its track's last hit.
@@ -220,21 +342,25 @@ def track(dets: DataFrame, videos: DataFrame, rules: Rules = TWO_STAGE, segmente
         hints = motion.select("video_id", "frame_idx").distinct().withColumn("moving", F.lit(True))
         rows = rows.join(hints, ["video_id", "frame_idx"], "left")
     rows = rows.withColumn("moving", F.coalesce("moving", F.lit(False)) if motion is not None else F.lit(False))
-    def streamed(rows: DataFrame) -> DataFrame:
-        return rows.mapInPandas(lambda batches: run_batches(batches, rules), SCHEMA + ", segment long")
+
+    def tracked(rows: DataFrame, run: Callable[[Iterator[pd.DataFrame], Rules], Iterator[pd.DataFrame]]) -> DataFrame:
+        # tracking costs far more than its few bytes suggest: keep the number of tasks, which AQE would coalesce
+        dealt = rows.repartition(int(dets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "video_id", "segment")
+        dealt = dealt.sortWithinPartitions("video_id", "segment", "frame_idx", "det_idx")
+        return dealt.mapInPandas(lambda batches: run(batches, rules), SCHEMA + ", segment long")
 
     from .seams import SPAN, track_in_parts
 
     span = span or SPAN
     long_ = spans.filter(F.col("end") - F.col("first") > 2 * span).select("video_id", "segment")
-    some, parted = kept(long_), None
-    if not some.isEmpty():
-        parted, left = track_in_parts(rows.join(some, ["video_id", "segment"], "left_semi"), rules, span)
-        rows = rows.join(some.join(left, ["video_id", "segment"], "left_anti"), ["video_id", "segment"], "left_anti")
-    # tracking costs far more than its few bytes suggest: keep the number of tasks, which AQE would coalesce
-    rows = rows.repartition(int(dets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "video_id", "segment")
-    rows = rows.sortWithinPartitions("video_id", "segment", "frame_idx", "det_idx")
-    local = kept(streamed(rows) if parted is None else streamed(rows).unionByName(parted))
+    some, key = kept(long_), ["video_id", "segment"]
+    runner = run_batches if rules.skip_after is not None else run_together
+    if some.isEmpty():
+        local = kept(tracked(rows, runner))
+    else:
+        parted, left = track_in_parts(rows.join(some, key, "left_semi"), rules, span)
+        short = rows.join(some, key, "left_anti")
+        local = kept(tracked(short, runner).unionByName(tracked(rows.join(left, key, "left_semi"), run_batches)).unionByName(parted))
     births = local.groupBy("video_id", "segment").agg(F.max("track_id").alias("born"))
     before = F.coalesce(F.sum("born").over(Window.partitionBy("video_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shift = births.select("video_id", "segment", before.alias("before"))

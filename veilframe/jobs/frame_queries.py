@@ -135,6 +135,10 @@ ORACLES = {
     "frame_luma": f"select video_id, frame_idx, round(list_avg(b), 6) as luma, {', '.join(f'round({_tile(i)}, 6) as tile{i}' for i in (0, 5, 15))}, {' or '.join(f'{_tile(i)} < 115 - 1e-9' for i in range(16))} as dark from ({_BLOCKS})",
     "frame_motion": f"""select video_id, frame_idx, round(list_stddev_pop(list_transform(list_zip(b, p), lambda z: z[1] - z[2])), 6) as motion
       from (select *, lag(b) over (partition by video_id order by frame_idx) as p from ({_BLOCKS}))""",
+    # both boxes lie within the first one: 60 rows and 40 columns from the frame's number modulo 60 on
+    "redact_frames": f"""select video_id, frame_idx, sha256(unhex(array_to_string(list_transform(range(0, 16384), lambda p: repeat(case when p // 128 between v and v + 59 and p % 128 between v and v + 39
+        then '00' else h[p // 2048 * 8 + p % 128 // 16 + 1] end, 3)), ''))) as sha, 49152 as bytes
+      from (select video_id, frame_idx, frame_idx % 60 as v, list_transform(b, lambda x: printf('%02x', x::int)) as h from ({_BLOCKS}))""",
     "detect_frames": f"""select video_id, frame_idx, 0 as det_idx, x1, y1, x2, y2, score from (select video_id, frame_idx,
         min((i - 1) % 8) * 16::double as x1, min((i - 1) // 8) * 16::double as y1, (max((i - 1) % 8) + 1) * 16::double as x2, (max((i - 1) // 8) + 1) * 16::double as y2, avg(v) / 255 as score
       from (select video_id, frame_idx, unnest(b) as v, generate_subscripts(b, 1) as i from ({_BLOCKS})) where v > 170 group by 1, 2) where score >= cast(0.7 as double)""",

@@ -49,6 +49,8 @@ def docs(spark, corpus):
 def sf_dir(spark, docs, corpus, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("sf"))
     docs.write.parquet(f"{path}/documents.parquet")
+    rows = [(i, [float(i % 5), float(i % 3), 1.5]) for i in range(30)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
     labels = [(d, 1, d % 2) for d in range(52)] + [(3, 1, None), (None, 0, 1)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     return path
@@ -58,5 +60,6 @@ def sf_dir(spark, docs, corpus, tmp_path_factory):
 def empty_dir(spark, docs, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("none"))
     docs.filter("false").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     return path

@@ -214,9 +214,6 @@ def test_names_that_differ_by_case(spark, docs):
 
 
 def test_registered_queries_of_vectors_and_alignment(spark, sf_dir, empty_dir):
-    rows = [(i, [float(i % 5), float(i % 3), 1.5]) for i in range(30)]
-    for path, data in ((sf_dir, rows), (empty_dir, [])):
-        spark.createDataFrame(data, "vec_id long, embedding array<float>").write.mode("overwrite").parquet(f"{path}/embeddings.parquet")
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert queries.op11_whitening(spark, sf_dir).count() == 60 and queries.op11_whitening(spark, empty_dir).count() == 0
     for query in (queries.op12_simhash, queries.op13_alignment):

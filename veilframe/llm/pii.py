@@ -244,13 +244,14 @@ def bootstrap(edges: DataFrame) -> DataFrame:
     Rounds go on until one accepts nothing new. Scores are summed up in each task before a shuffle, so that a word
     before a third of all identifiers doesn't meet in one task.
     """
-    known = kept(edges.filter("kind != ''").select("value", "kind", F.lit(1.0).alias("score")).distinct())
+    edges = edges if "seeds_only" in edges.columns else edges.withColumn("seeds_only", F.lit(False))
+    known = kept(edges.filter("kind != ''").select("value", "kind", F.lit(1.0).alias("score"), F.lit(True).alias("seed")).distinct())
     alike = [F.sum(((F.col("kind") == "") & F.array_contains("alike", k)).cast("int")).alias(k) for k in KINDS]
     degree = kept(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *alike))
     doubtful = F.coalesce(*(F.when(F.col("of") == k, F.col(k)) for k in KINDS))
     unknown, found = kept(edges.filter("kind = '' and size(alike) > 0").select("pattern", "value", "alike")), known.limit(0).select("value", "kind", "score")
     while True:
-        support = edges.select("pattern", "value").join(known.select("value", F.col("kind").alias("of"), "score"), "value").groupBy("pattern", "of").agg(F.sum("score").alias("sum"), F.count(F.lit(1)).alias("many"))
+        support = edges.select("pattern", "value", "seeds_only").join(known.select("value", F.col("kind").alias("of"), "score", "seed"), "value").filter("seed or not seeds_only").groupBy("pattern", "of").agg(F.sum("score").alias("sum"), F.count(F.lit(1)).alias("many"))
         good = support.filter(F.col("many") >= MIN_SUPPORT).join(degree, "pattern").withColumn("held", F.col("sum") / (F.col("n") - (1 - DOUBT) * doubtful)).filter(F.col("held") >= MIN_PATTERN)
         good = kept(good.select("pattern", "of", F.least(F.col("held"), F.lit(0.99)).alias("held")))
         new = unknown.join(found, "value", "left_anti").join(good, "pattern").filter(F.expr("array_contains(alike, of)"))
@@ -259,7 +260,7 @@ def bootstrap(edges: DataFrame) -> DataFrame:
         if best.isEmpty():
             return found.select("value", "kind")
         found = kept(found.unionByName(best))
-        known = kept(known.unionByName(best))
+        known = kept(known.unionByName(best.withColumn("seed", F.lit(False))))
 
 
 def _apart(spans: DataFrame) -> DataFrame:
@@ -274,13 +275,14 @@ def _apart(spans: DataFrame) -> DataFrame:
 
 
 def graph_of(seen: DataFrame) -> DataFrame:
-    """Edges (pattern, value, kind, alike) of mentions: to the words around each, and to its own shape.
+    """Edges (pattern, value, kind, alike, seeds_only) of mentions: to the words around each, and to its own shape.
 
+    A shape is induced by seeds alone: that some values of a form were discovered by their contexts says nothing of others.
     Which kinds' tests a candidate passes is part of its shape: a number of a card's length with a wrong check digit has
     another one than cards. Under a shape it looks like those kinds alone; one that passes none has no shape.
     """
-    words = seen.select(F.explode("patterns").alias("pattern"), "value", "kind", "alike")
-    shapes = seen.filter("shape is not null").select(F.col("shape").alias("pattern"), "value", "kind", F.col("fits").alias("alike"))
+    words = seen.select(F.explode("patterns").alias("pattern"), "value", "kind", "alike", F.lit(False).alias("seeds_only"))
+    shapes = seen.filter("shape is not null").select(F.col("shape").alias("pattern"), "value", "kind", F.col("fits").alias("alike"), F.lit(True).alias("seeds_only"))
     return words.unionByName(shapes).distinct()
 
 

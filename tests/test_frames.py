@@ -1,7 +1,9 @@
 """Pixels: redaction, visibility and brightness."""
 
 import numpy as np
+import pandas as pd
 
+from veilframe.jobs.frame_queries import draw
 from veilframe.operators import frames as fr
 from veilframe.sources.store import config_key, merged_config
 
@@ -60,3 +62,21 @@ def test_config():
     out = merged_config(base, {"detector": {"score": 0.22}})
     assert out["detector"] == {"name": "a", "score": 0.22} and base["detector"]["score"] == 0.18
     assert config_key(base) == config_key({**base, "_path": "y"}) != config_key(out)
+
+
+def test_maps_hold_few_frames_at_once(spark):
+    pixels = np.zeros((128, 128, 3), np.uint8)
+    many = frame(spark, pixels).crossJoin(spark.range(400).withColumnRenamed("id", "n")).drop("n").coalesce(1)
+
+    def count(batches):
+        for batch in batches:
+            yield pd.DataFrame({"rows": [len(batch)]})
+
+    rows = [r.rows for r in fr.map_frames(many, count, "rows long").collect()]
+    assert sum(rows) == 400 and max(rows) * pixels.nbytes <= fr.STEP_BYTES
+
+
+def test_frames_are_drawn_a_few_at_a_time():
+    batch = pd.DataFrame({"video_id": "v", "frame_idx": range(1000), "embedding": [np.zeros(64, np.float32)] * 1000})
+    sizes = [len(out) for out in draw(iter([batch]))]
+    assert sum(sizes) == 1000 and max(sizes) <= 64

@@ -16,18 +16,20 @@ from veilframe.sources.derived import FACE
 from .redaction import Schedule, Settings, redact_and_audit, retry_schedule
 
 
+def draw(batches: Iterator[pd.DataFrame], step: int = 64) -> Iterator[pd.DataFrame]:
+    """Frames of embeddings, `step` (3 MB of pixels) at a time: a batch of embeddings is 180 times as large as frames."""
+    for batch in (b.iloc[i : i + step] for b in batches for i in range(0, len(b), step)):
+        images = []
+        for e in batch["embedding"]:
+            block = np.clip(np.floor(128 + 400 * np.asarray(e, np.float64)), 0, 255).astype(np.uint8).reshape(8, 8)
+            data = np.repeat(np.repeat(np.repeat(block, 16, 0), 16, 1)[..., None], 3, 2)
+            images.append({"origin": "", "height": 128, "width": 128, "nChannels": 3, "mode": fr.BGR_MODE, "data": data.tobytes()})
+        yield pd.DataFrame({"video_id": batch["video_id"], "frame_idx": batch["frame_idx"], "image": images})
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.concat(F.lit("v"), "label").alias("video_id"), F.col("vec_id").cast("long").alias("frame_idx"), "embedding")
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            images = []
-            for e in batch["embedding"]:
-                block = np.clip(np.floor(128 + 400 * np.asarray(e, np.float64)), 0, 255).astype(np.uint8).reshape(8, 8)
-                data = np.repeat(np.repeat(np.repeat(block, 16, 0), 16, 1)[..., None], 3, 2)
-                images.append({"origin": "", "height": 128, "width": 128, "nChannels": 3, "mode": fr.BGR_MODE, "data": data.tobytes()})
-            yield pd.DataFrame({"video_id": batch["video_id"], "frame_idx": batch["frame_idx"], "image": images})
-
     return rows.mapInPandas(draw, fr.FRAME_SCHEMA)
 
 

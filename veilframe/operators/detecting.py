@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from veilframe.functions.boxes import Box, is_sane, shifted_points
 
 from .detections import suppressed
-from .frames import frame_numbers, is_dark, lightened, pixels
+from .frames import frame_numbers, is_dark, lightened, map_frames, pixels
 
 #: Makes a detector in a Python worker: pixels -> rows (x1, y1, x2, y2, score), or with five points (x, y) after these.
 Factory = Callable[[], Callable[[np.ndarray], np.ndarray]]
@@ -110,7 +110,7 @@ def scan(frames: DataFrame, detector: Factory, strong: Factory | None = None, sc
                 out.append((video, idx, f.shape[1], f.shape[0], *numbers, time.perf_counter() - began, *boxes))
             yield pd.DataFrame(out, columns=columns)
 
-    return frames.mapInPandas(run, SCANNED)
+    return map_frames(frames, run, SCANNED)
 
 
 def _ranked(rows: Column) -> Column:

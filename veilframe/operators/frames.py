@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ FRAME_SCHEMA = f"video_id string, frame_idx long, image {IMAGE}"
 LUMA, LUMA_STEP, THUMB_STEP, TILES, BGR_MODE = (0.114, 0.587, 0.299), 8, 16, 4, 16
 #: Most boxes (about 150 bytes each) that are broadcast to their frames.
 MAX_BOXES = 200_000
+#: Bytes of pixels that a map over frames holds as Python values at once (a larger frame alone).
+STEP_BYTES = 4 << 20
 #: Fixed values of the visibility test: rim trimmed, least side, mosaic side, least error and texture.
 RIM, LEAST_SIDE, MOSAIC, LEAST_MAE, LEAST_LAPLACIAN = 0.12, 8, 8, 9.0, 22.0
 
@@ -74,6 +78,34 @@ def pixels(image: dict) -> np.ndarray:
     return np.frombuffer(image["data"], np.uint8).reshape(image["height"], image["width"], image["nChannels"])
 
 
+def map_frames(frames: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """frames.mapInPandas(run, schema), with batches that are cut to STEP_BYTES of pixels before they become Python values.
+
+    Spark's batches hold up to 10,000 frames or 64 MB; as values, and again as what run makes of them, they are several
+    times as much in each task.
+    """
+    fields = frames.sparkSession.createDataFrame([], schema).toArrow().schema
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = pc.binary_length(pc.struct_field(batch.column("image"), "data")).fill_null(0).to_pylist()
+            first, held = 0, 0
+            for i, n in enumerate(sizes):
+                if i > first and held + n > STEP_BYTES:
+                    yield batch.slice(first, i - first).to_pandas()
+                    first, held = i, 0
+                held += n
+            if first < len(sizes):
+                yield batch.slice(first).to_pandas()
+
+    def arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(steps(batches)):
+            yield pa.RecordBatch.from_pandas(out, fields, preserve_index=False)
+        pa.default_memory_pool().release_unused()
+
+    return frames.mapInArrow(arrow, schema)
+
+
 def luma(frame: np.ndarray) -> float:
     return float(frame[::LUMA_STEP, ::LUMA_STEP].reshape(-1, 3).mean(axis=0) @ np.array(LUMA))
 
@@ -98,7 +130,7 @@ def frame_stats(frames: DataFrame) -> DataFrame:
             out = [frame_numbers(pixels(image)) for image in batch["image"]]
             yield pd.concat([batch[["video_id", "frame_idx"]].reset_index(drop=True), pd.DataFrame(out, columns=["luma", "tiles", "thumb", "thumb_h", "thumb_w"])], axis=1)
 
-    return frames.mapInPandas(stats, "video_id string, frame_idx long, luma double, tiles array<double>, thumb binary, thumb_h int, thumb_w int")
+    return map_frames(frames, stats, "video_id string, frame_idx long, luma double, tiles array<double>, thumb binary, thumb_h int, thumb_w int")
 
 
 def any_tile_dark(tiles: Column, threshold: float = 72.0) -> Column:
@@ -211,7 +243,7 @@ def _changed(frames: DataFrame, change: Callable[[np.ndarray, object], np.ndarra
             out = pd.DataFrame({"video_id": batch["video_id"], "frame_idx": batch["frame_idx"], "image": images})
             yield out.assign(seconds=seconds) if timed else out
 
-    return frames.mapInPandas(run, FRAME_SCHEMA + ", seconds double" * timed)
+    return map_frames(frames, run, FRAME_SCHEMA + ", seconds double" * timed)
 
 
 def _blurred(roi: np.ndarray, size: int) -> np.ndarray:
@@ -340,7 +372,7 @@ def residual_visibility(frames: DataFrame, boxes: DataFrame) -> DataFrame:
                 out += [(video, frame, c["det_idx"], *visibility(f[c["cy1"] : c["cy2"], c["cx1"] : c["cx2"]])) for c in crops]
             yield pd.DataFrame(out, columns=["video_id", "frame_idx", "det_idx", "visible", "mae", "laplacian"])
 
-    return frames.join(small_side(lists, "crops"), ["video_id", "frame_idx"]).mapInPandas(look, "video_id string, frame_idx long, det_idx int, visible boolean, mae double, laplacian double")
+    return map_frames(frames.join(small_side(lists, "crops"), ["video_id", "frame_idx"]), look, "video_id string, frame_idx long, det_idx int, visible boolean, mae double, laplacian double")
 
 
 def detect_frames(frames: DataFrame, factory: Callable[[], Callable[[np.ndarray], np.ndarray]], threshold: float, rule: str = "ge", points: bool = False) -> DataFrame:
@@ -363,4 +395,4 @@ def detect_frames(frames: DataFrame, factory: Callable[[], Callable[[np.ndarray]
                 out += [(video, frame, i, *map(float, r[:5]), *([marks(r.astype(float))] if points else ())) for i, r in enumerate(rows)]
             yield pd.DataFrame(out, columns=fields)
 
-    return frames.mapInPandas(run, "video_id string, frame_idx long, det_idx int, x1 double, y1 double, x2 double, y2 double, score double" + ", landmarks array<struct<x:double,y:double>>" * points)
+    return map_frames(frames, run, "video_id string, frame_idx long, det_idx int, x1 double, y1 double, x2 double, y2 double, score double" + ", landmarks array<struct<x:double,y:double>>" * points)

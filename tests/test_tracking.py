@@ -270,3 +270,18 @@ def test_segments_that_go_forward_together(rules):
     for n in (7, 100, 10_000):
         got = pd.concat(run_together((table.iloc[i : i + n] for i in range(0, len(table), n)), rules)).sort_values(keys, ignore_index=True)
         pd.testing.assert_frame_equal(got[list(want.columns)], want)
+
+
+def test_tracked_rows_shuffle_no_more_after_tracking(spark, monkeypatch):
+    from veilframe.operators import tracking
+
+    rows = [(f"v{v}", f, 0, 10.0 + f, 10.0, 50.0 + f, 60.0, 0.9) for v in range(3) for f in (0, 1, 2, 40, 41, 90)]
+    dets = spark.createDataFrame(rows, "video_id string, frame_idx long, det_idx int, x1 double, y1 double, x2 double, y2 double, score double")
+    videos = spark.createDataFrame([(f"v{v}", 120) for v in range(3)], "video_id string, nframes long")
+    out = tracking.track(dets, videos)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    monkeypatch.setattr(tracking, "MAX_SEGMENTS", 0)
+    joined = tracking.track(dets, videos)
+    assert "strategy=broadcast" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, joined.collect()))

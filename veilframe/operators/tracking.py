@@ -36,6 +36,8 @@ class Rules:
     skip_every: int = 4
 
 
+#: Most segments (about 100 bytes each) whose ends and numbers are broadcast to the rows; more are joined by a shuffle.
+MAX_SEGMENTS = 2_000_000
 TWO_STAGE = Rules(high=0.28, low=0.18)
 COLUMNS = ["id", "x1", "y1", "x2", "y2", "vx", "vy", "hits", "tsu", "score", "det"]
 ID, BOX, VEL, HITS, TSU, SCORE, DET = 0, slice(1, 5), slice(5, 7), 7, 8, 9, 10
@@ -305,13 +307,17 @@ def run_together(batches: Iterator[pd.DataFrame], rules: Rules) -> Iterator[pd.D
         yield advance_together(held, rules)
 
 
-def segment_video(dets: DataFrame, max_age: int = 14) -> DataFrame:
-    """dets with `segment`: a new one where no track can survive the gap, of max_age + 2 frames or more."""
-    frames = dets.select("video_id", "frame_idx").distinct()
+def frame_segments(dets: DataFrame, max_age: int = 14) -> DataFrame:
+    """(video_id, frame_idx, segment) of the frames with detections: see segment_video."""
     order = Window.partitionBy("video_id").orderBy("frame_idx")
     cut = F.coalesce((F.col("frame_idx") - F.lag("frame_idx").over(order) >= max_age + 2).cast("int"), F.lit(0))
-    cuts = frames.withColumn("cut", cut)
-    return dets.join(cuts.select("video_id", "frame_idx", F.sum("cut").over(order).alias("segment")), ["video_id", "frame_idx"])
+    cuts = dets.select("video_id", "frame_idx").distinct().withColumn("cut", cut)
+    return cuts.select("video_id", "frame_idx", F.sum("cut").over(order).alias("segment"))
+
+
+def segment_video(dets: DataFrame, max_age: int = 14) -> DataFrame:
+    """dets with `segment`: a new one where no track can survive the gap, of max_age + 2 frames or more."""
+    return dets.join(frame_segments(dets, max_age), ["video_id", "frame_idx"])
 
 
 def track(dets: DataFrame, videos: DataFrame, rules: Rules = TWO_STAGE, segmented: bool = True, motion: DataFrame | None = None, span: int | None = None) -> DataFrame:
@@ -331,13 +337,19 @@ def track(dets: DataFrame, videos: DataFrame, rules: Rules = TWO_STAGE, segmente
     usable = dets if rules.low is None else dets.filter(F.col("score") >= rules.low)
     columns = ["video_id", "frame_idx", "det_idx", "x1", "y1", "x2", "y2", "score"]
     usable = kept(usable.select(*columns, *(c for c in ("landmarks",) if c in dets.columns)))
-    cut = segment_video(usable.select(*columns), rules.max_age) if segmented and rules.skip_after is None else usable.select(*columns, F.lit(0).cast("long").alias("segment"))
-    spans = cut.groupBy("video_id", "segment").agg(F.min("frame_idx").alias("first"), F.max("frame_idx").alias("last"))
+    if segmented and rules.skip_after is None:
+        cuts = kept(frame_segments(usable, rules.max_age))
+        cut = usable.select(*columns).join(cuts, ["video_id", "frame_idx"])
+    else:
+        cut = usable.select(*columns, F.lit(0).cast("long").alias("segment"))
+        cuts = cut
+    spans = cuts.groupBy("video_id", "segment").agg(F.min("frame_idx").alias("first"), F.max("frame_idx").alias("last"))
     nxt = F.lead("first").over(Window.partitionBy("video_id").orderBy("segment"))
     known = F.when(F.col("nframes") > 0, F.col("nframes"))
     spans = spans.withColumn("next", nxt).join(videos.select("video_id", "nframes"), "video_id", "left")
     spans = kept(spans.select("video_id", "segment", "first", F.coalesce("next", known, F.col("last") + 1).alias("end")))
-    rows = cut.join(spans, ["video_id", "segment"])
+    few = spans.count() <= MAX_SEGMENTS
+    rows = cut.join(F.broadcast(spans) if few else spans, ["video_id", "segment"])
     if motion is not None:
         hints = motion.select("video_id", "frame_idx").distinct().withColumn("moving", F.lit(True))
         rows = rows.join(hints, ["video_id", "frame_idx"], "left")
@@ -364,7 +376,7 @@ def track(dets: DataFrame, videos: DataFrame, rules: Rules = TWO_STAGE, segmente
     births = local.groupBy("video_id", "segment").agg(F.max("track_id").alias("born"))
     before = F.coalesce(F.sum("born").over(Window.partitionBy("video_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shift = births.select("video_id", "segment", before.alias("before"))
-    out = local.join(shift, ["video_id", "segment"]).withColumn("track_id", F.col("track_id") + F.col("before")).drop("segment", "before")
+    out = local.join(F.broadcast(shift) if few else shift, ["video_id", "segment"]).withColumn("track_id", F.col("track_id") + F.col("before")).drop("segment", "before")
     if "landmarks" not in dets.columns:
         return out
     hits = usable.select("video_id", F.col("frame_idx").alias("hit_frame"), "det_idx", "landmarks")

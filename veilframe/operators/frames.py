@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from veilframe.operators.redaction import redaction_plan
 from veilframe.sources.store import kept
@@ -84,7 +86,7 @@ def map_frames(frames: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterat
     Spark's batches hold up to 10,000 frames or 64 MB; as values, and again as what run makes of them, they are several
     times as much in each task.
     """
-    fields = frames.sparkSession.createDataFrame([], schema).toArrow().schema
+    fields = to_arrow_schema(StructType.fromDDL(schema))
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         for batch in batches:

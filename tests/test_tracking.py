@@ -285,3 +285,28 @@ def test_tracked_rows_shuffle_no_more_after_tracking(spark, monkeypatch):
     joined = tracking.track(dets, videos)
     assert "strategy=broadcast" not in joined._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, joined.collect()))
+
+
+@pytest.mark.parametrize("rules", [Rules(max_age=3, high=0.28, low=0.18, skip_after=4, skip_every=3), Rules(max_age=2, min_hits=3, skip_after=0, skip_every=4)])
+def test_skipping_goes_forward_together(rules):
+    """Bit for bit what one video after another gives, with long empty stretches, late first frames and frames that move."""
+    import pandas as pd
+
+    from veilframe.operators.tracking import run_batches, run_together
+
+    rnd, rows = random.Random(31), []
+    for v in "abcdef":
+        frames = [f for f in range(rnd.randrange(40), 400) if (f // 25) % 3 == ord(v) % 3 or f % 17 == 0]
+        end = rnd.choice([frames[-1] + 1, frames[-1] + 30, 300])
+        for f in frames:
+            moving = rnd.random() < 0.2
+            for i in range(rnd.randrange(1, 4)):
+                x, y = rnd.uniform(0, 120), rnd.uniform(0, 90)
+                rows.append((v, 0, f, i, x, y, x + rnd.uniform(10, 60), y + rnd.uniform(10, 60), rnd.choice([0.2, 0.3, 0.9]), frames[0], end, moving))
+    table = pd.DataFrame(rows, columns=["video_id", "segment", "frame_idx", "det_idx", "x1", "y1", "x2", "y2", "score", "first", "end", "moving"])
+    keys = ["video_id", "segment", "frame_idx", "track_id"]
+    want = pd.concat(run_batches(iter([table]), rules)).sort_values(keys, ignore_index=True)
+    assert len(want) < len(pd.concat(run_batches(iter([table.assign(moving=True)]), rules)))  # some are skipped
+    for n in (7, 10_000):
+        got = pd.concat(run_together((table.iloc[i : i + n] for i in range(0, len(table), n)), rules)).sort_values(keys, ignore_index=True)
+        pd.testing.assert_frame_equal(got[list(want.columns)], want)

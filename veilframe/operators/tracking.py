@@ -38,6 +38,8 @@ class Rules:
 
 #: Most segments (about 100 bytes each) whose ends and numbers are broadcast to the rows; more are joined by a shuffle.
 MAX_SEGMENTS = 2_000_000
+#: Detections of whole segments that go forward together, unless one segment has more: about 100 MB of a worker.
+ROWS_TOGETHER = 40_000
 TWO_STAGE = Rules(high=0.28, low=0.18)
 COLUMNS = ["id", "x1", "y1", "x2", "y2", "vx", "vy", "hits", "tsu", "score", "det"]
 ID, BOX, VEL, HITS, TSU, SCORE, DET = 0, slice(1, 5), slice(5, 7), 7, 8, 9, 10
@@ -198,7 +200,7 @@ class Frontier:
 
     def __init__(self, segments: int, rules: Rules) -> None:
         self.rules, self.rows, self.seg = rules, np.zeros((0, len(COLUMNS))), np.zeros(0, np.int64)
-        self.born = np.zeros(segments, np.int64)
+        self.born, self.empty = np.zeros(segments, np.int64), np.zeros(segments, np.int64)
 
     def step(self, dets: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Advance by one frame with detections (x1, y1, x2, y2, score, det) of segments `of`, ascending; rows to emit, and whose."""
@@ -225,8 +227,20 @@ class Frontier:
         order = np.argsort(seg, kind="stable")
         self.rows, self.seg = np.concatenate([rows[stay], new])[order], seg[order]
         out = (self.rows[:, HITS] >= rules.min_hits) | (self.rows[:, TSU] == 0)
+        if rules.skip_after is not None:
+            self.empty += 1
+            self.empty[self.seg[out]] = 0
         return self.rows[out], self.seg[out]
 
+    def counts(self, frames: np.ndarray, of: np.ndarray, moving: np.ndarray) -> np.ndarray:
+        """Which detections count, by their frame, segment and whether it moves: as Live.skips."""
+        long_ = self.empty[of] >= self.rules.skip_after
+        if not long_.any():
+            return ~long_
+        live = np.zeros(len(self.empty), bool)
+        live[self.seg] = True
+        return ~(long_ & ~live[of] & (frames % self.rules.skip_every != 0) & ~moving)
+
     def _associate(self, dets: np.ndarray, of: np.ndarray, stage: np.ndarray, free: np.ndarray) -> np.ndarray:
         """As Live's; which of the stage's detections are left."""
         at, open_ = np.flatnonzero(free), np.ones(len(stage), bool)
@@ -263,7 +277,10 @@ class Frontier:
 
 
 def advance_together(rows: pd.DataFrame, rules: Rules) -> pd.DataFrame:
-    """Emitted rows, with segment, of whole segments; rows sorted by video_id, segment, frame_idx and det_idx. No skipping."""
+    """Emitted rows, with segment, of whole segments; rows sorted by video_id, segment, frame_idx and det_idx.
+
+    They come by segment, track and frame, so that a coasting track's rows follow each other and are stored in few bytes.
+    """
     video, segment = rows["video_id"].to_numpy(), rows["segment"].to_numpy()
     starts = np.flatnonzero(np.append(True, (video[1:] != video[:-1]) | (segment[1:] != segment[:-1])))
     sizes = np.diff(np.append(starts, len(rows)))
@@ -275,36 +292,52 @@ def advance_together(rows: pd.DataFrame, rules: Rules) -> pd.DataFrame:
     order = np.lexsort((of, at))
     order = order[at[order] < stop[of[order]]]
     dets, of, at = rows[["x1", "y1", "x2", "y2", "score", "det_idx"]].to_numpy(float)[order], of[order], at[order]
+    frame, moving = frame[order], rows["moving"].to_numpy(bool)[order]
     steps = int(stop.max(initial=0))
     cuts, live, out, whose, when = np.searchsorted(at, np.arange(steps + 1)), Frontier(len(starts), rules), [], [], []
-    ends = np.bincount(stop, minlength=steps + 1)
-    for k in range(steps):
+    if rules.skip_after is not None:  # with skipping, a segment is a video, and its frames before the first detection are empty
+        live.empty += first
+    ends, k = np.bincount(stop, minlength=steps + 1), 0
+    while k < steps:
         if ends[k]:
             going = stop[live.seg] > k
             live.rows, live.seg = live.rows[going], live.seg[going]
-        found, own = live.step(dets[cuts[k] : cuts[k + 1]], of[cuts[k] : cuts[k + 1]])
+        a, b = cuts[k], cuts[k + 1]
+        if a == b and not len(live.rows):  # no one has anything before the next detection
+            nxt = int(at[a]) if a < len(at) else steps
+            live.empty += nxt - k
+            k = nxt
+            continue
+        some = slice(a, b)
+        if rules.skip_after is not None and a < b:
+            some = a + np.flatnonzero(live.counts(frame[a:b], of[a:b], moving[a:b]))
+        found, own = live.step(dets[some], of[some])
         out.append(found.copy())
         whose.append(own)
         when.append(first[own] + k)
+        k += 1
     table = np.concatenate(out) if out else np.zeros((0, len(COLUMNS)))
     own, frames = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (whose, when))
+    order = np.lexsort((frames, table[:, ID], own))
+    table, own, frames = table[order], own[order], frames[order]
     return _shown(video[starts[own]], frames, table).assign(segment=segment[starts[own]])
 
 
 def run_together(batches: Iterator[pd.DataFrame], rules: Rules) -> Iterator[pd.DataFrame]:
-    """As run_batches without skipping, whole segments of a batch at once; a task holds a batch and one segment."""
-    held = None
+    """As run_batches, whole segments at once; a task holds ROWS_TOGETHER detections and a batch, or one segment."""
+    held, many = [], 0
     for batch in batches:
-        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        if not len(rows):
+        held, many = [*held, batch], many + len(batch)
+        if many < ROWS_TOGETHER:
             continue
+        rows = pd.concat(held, ignore_index=True)
         video, segment = rows["video_id"].to_numpy(), rows["segment"].to_numpy()
         last = int(np.argmax((video == video[-1]) & (segment == segment[-1])))
         if last:
             yield advance_together(rows.iloc[:last], rules)
-        held = rows.iloc[last:]
-    if held is not None and len(held):
-        yield advance_together(held, rules)
+        held, many = [rows.iloc[last:]], len(rows) - last
+    if many:
+        yield advance_together(pd.concat(held, ignore_index=True), rules)
 
 
 def frame_segments(dets: DataFrame, max_age: int = 14) -> DataFrame:
@@ -328,8 +361,8 @@ def track(dets: DataFrame, videos: DataFrame, rules: Rules = TWO_STAGE, segmente
     that of one pass. With skipping (rules.skip_after), whose state crosses gaps, a video is one segment; motion then has
     frames (video_id, frame_idx) whose detections always count. Segments of over two spans (seams.SPAN frames) are
     tracked in parts at once, which are checked at their seams (track_in_parts). Others go forward together, a frame of
-    each segment of a batch at a time (Frontier). Where parts don't settle, or frames may be skipped, rows stream through
-    the live tracks of one segment in order, so that a task holds one batch at a time. The boxes are read once.
+    each segment of a batch at a time (Frontier), also where frames may be skipped. Where parts don't settle, rows stream
+    through the live tracks of one segment in order, so that a task holds one batch at a time. The boxes are read once.
 
     Of a video that is not listed, or whose nframes is null or 0 (not known), the last frame is that of its last
     detection. If dets has landmarks, each row has those of its track's last hit.
@@ -366,13 +399,12 @@ def track(dets: DataFrame, videos: DataFrame, rules: Rules = TWO_STAGE, segmente
     span = span or SPAN
     long_ = spans.filter(F.col("end") - F.col("first") > 2 * span).select("video_id", "segment")
     some, key = kept(long_), ["video_id", "segment"]
-    runner = run_batches if rules.skip_after is not None else run_together
     if some.isEmpty():
-        local = kept(tracked(rows, runner))
+        local = kept(tracked(rows, run_together))
     else:
         parted, left = track_in_parts(rows.join(some, key, "left_semi"), rules, span)
         short = rows.join(some, key, "left_anti")
-        local = kept(tracked(short, runner).unionByName(tracked(rows.join(left, key, "left_semi"), run_batches)).unionByName(parted))
+        local = kept(tracked(short, run_together).unionByName(tracked(rows.join(left, key, "left_semi"), run_batches)).unionByName(parted))
     births = local.groupBy("video_id", "segment").agg(F.max("track_id").alias("born"))
     before = F.coalesce(F.sum("born").over(Window.partitionBy("video_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shift = births.select("video_id", "segment", before.alias("before"))

@@ -310,3 +310,22 @@ def test_skipping_goes_forward_together(rules):
     for n in (7, 10_000):
         got = pd.concat(run_together((table.iloc[i : i + n] for i in range(0, len(table), n)), rules)).sort_values(keys, ignore_index=True)
         pd.testing.assert_frame_equal(got[list(want.columns)], want)
+
+
+@pytest.mark.parametrize("most", [64, 3])
+def test_coasting_is_stored_as_one_row(spark, monkeypatch, most):
+    """The largest table that tracking keeps has a row for each hit; the frames in between are made from it."""
+    from veilframe.operators import tracking
+
+    stored, kept = [], tracking.kept
+    monkeypatch.setattr(tracking, "kept", lambda df, *a, **k: stored.append(out := kept(df, *a, **k)) or out)
+    monkeypatch.setattr(tracking, "MOST_COASTING", most)
+    rows = [(0, 100, 80, 0.9), (2, 103.7, 80.3, 0.9), (20, 300, 10, 0.9)]
+    out = track(table(spark, rows), videos(spark, 60), Rules(max_age=9))
+    got = sorted((r.frame_idx, r.track_id, r.x1, r.y1, r.x2, r.y2, r.score, r.det_idx, r.hits, r.time_since_update) for r in out.collect())
+    live, want = Live(), []
+    dets = np.array([[x, y, x + 40, y + 40, s, i] for i, (_, x, y, s) in enumerate(rows)], float)
+    for f, emitted in run_frames(live, np.array([r[0] for r in rows]), dets, 0, 60, Rules(max_age=9)):
+        want += [(f, *r[[0, 1, 2, 3, 4]].tolist(), r[9], int(r[10]), int(r[7]), int(r[8])) for r in emitted]
+    assert got == sorted(want) and len(got) == 22
+    assert max(df.count() for df in stored) == (3 if most == 64 else 22)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 from veilframe.sources.store import kept
 
+#: Rows of SCHEMA in which a track is hit, with its velocity and the number of frames in which it then coasts.
+RUNS = "video_id string, frame_idx long, track_id long, x1 double, y1 double, x2 double, y2 double, score double, det_idx int, hits int, segment long, vx double, vy double, more int"
 SCHEMA = "video_id string, frame_idx long, track_id long, x1 double, y1 double, x2 double, y2 double, score double, det_idx int, hits int, time_since_update int"
 
 
@@ -40,6 +43,8 @@ class Rules:
 MAX_SEGMENTS = 2_000_000
 #: Detections of whole segments that go forward together, unless one segment has more: about 100 MB of a worker.
 ROWS_TOGETHER = 40_000
+#: Longest coasting that is written as a run and made into rows by the JVM; with more, rows are written.
+MOST_COASTING = 64
 TWO_STAGE = Rules(high=0.28, low=0.18)
 COLUMNS = ["id", "x1", "y1", "x2", "y2", "vx", "vy", "hits", "tsu", "score", "det"]
 ID, BOX, VEL, HITS, TSU, SCORE, DET = 0, slice(1, 5), slice(5, 7), 7, 8, 9, 10
@@ -276,10 +281,11 @@ class Frontier:
         rows[at, TSU], rows[at, SCORE], rows[at, DET] = 0, dets[:, 4], dets[:, 5]
 
 
-def advance_together(rows: pd.DataFrame, rules: Rules) -> pd.DataFrame:
+def advance_together(rows: pd.DataFrame, rules: Rules, runs: bool = False) -> pd.DataFrame:
     """Emitted rows, with segment, of whole segments; rows sorted by video_id, segment, frame_idx and det_idx.
 
-    They come by segment, track and frame, so that a coasting track's rows follow each other and are stored in few bytes.
+    They come by segment, track and frame, so that a coasting track's rows follow each other. With runs, one row of RUNS
+    stands for a hit and the coasting after it.
     """
     video, segment = rows["video_id"].to_numpy(), rows["segment"].to_numpy()
     starts = np.flatnonzero(np.append(True, (video[1:] != video[:-1]) | (segment[1:] != segment[:-1])))
@@ -319,11 +325,16 @@ def advance_together(rows: pd.DataFrame, rules: Rules) -> pd.DataFrame:
     table = np.concatenate(out) if out else np.zeros((0, len(COLUMNS)))
     own, frames = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (whose, when))
     order = np.lexsort((frames, table[:, ID], own))
+    if runs:
+        hit = np.flatnonzero(table[order, TSU] == 0)
+        more = np.diff(np.append(hit, len(order))) - 1
+        order = order[hit]
     table, own, frames = table[order], own[order], frames[order]
-    return _shown(video[starts[own]], frames, table).assign(segment=segment[starts[own]])
+    shown = _shown(video[starts[own]], frames, table).assign(segment=segment[starts[own]])
+    return shown.drop(columns="time_since_update").assign(vx=table[:, 5], vy=table[:, 6], more=more.astype(np.int32)) if runs else shown
 
 
-def run_together(batches: Iterator[pd.DataFrame], rules: Rules) -> Iterator[pd.DataFrame]:
+def run_together(batches: Iterator[pd.DataFrame], rules: Rules, runs: bool = False) -> Iterator[pd.DataFrame]:
     """As run_batches, whole segments at once; a task holds ROWS_TOGETHER detections and a batch, or one segment."""
     held, many = [], 0
     for batch in batches:
@@ -334,10 +345,23 @@ def run_together(batches: Iterator[pd.DataFrame], rules: Rules) -> Iterator[pd.D
         video, segment = rows["video_id"].to_numpy(), rows["segment"].to_numpy()
         last = int(np.argmax((video == video[-1]) & (segment == segment[-1])))
         if last:
-            yield advance_together(rows.iloc[:last], rules)
+            yield advance_together(rows.iloc[:last], rules, runs)
         held, many = [rows.iloc[last:]], len(rows) - last
     if many:
-        yield advance_together(pd.concat(held, ignore_index=True), rules)
+        yield advance_together(pd.concat(held, ignore_index=True), rules, runs)
+
+
+def coasted(runs: DataFrame, max_age: int) -> DataFrame:
+    """Rows of SCHEMA, with segment, from RUNS. A box moves from its second miss on, by one addition a frame as in Live.step."""
+    box, names = ("x1", "y1", "x2", "y2"), [c.split()[0] for c in SCHEMA.split(", ")]
+    rows, at = runs, [box, box]
+    for k in range(2, max_age + 1):
+        at.append(tuple(f"{c}_{k}" for c in box))
+        rows = rows.withColumns({new: F.col(old) + F.col(f"v{old[0]}") for new, old in zip(at[k], at[k - 1], strict=True)})
+    places = F.array(*(F.struct(F.lit(k).alias("time_since_update"), *(F.col(c).alias(b) for b, c in zip(box, cs, strict=True))) for k, cs in enumerate(at[: max_age + 1])))
+    rest = [c for c in runs.columns if c not in (*box, "vx", "vy", "more")]
+    shown = rows.select(*rest, F.inline(F.slice(places, F.lit(1), F.col("more") + 1)))
+    return shown.withColumn("frame_idx", F.col("frame_idx") + F.col("time_since_update")).select(*names, "segment")
 
 
 def frame_segments(dets: DataFrame, max_age: int = 14) -> DataFrame:
@@ -388,11 +412,17 @@ def track(dets: DataFrame, videos: DataFrame, rules: Rules = TWO_STAGE, segmente
         rows = rows.join(hints, ["video_id", "frame_idx"], "left")
     rows = rows.withColumn("moving", F.coalesce("moving", F.lit(False)) if motion is not None else F.lit(False))
 
-    def tracked(rows: DataFrame, run: Callable[[Iterator[pd.DataFrame], Rules], Iterator[pd.DataFrame]]) -> DataFrame:
+    short_runs = rules.max_age <= MOST_COASTING
+
+    def tracked(rows: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
         # tracking costs far more than its few bytes suggest: keep the number of tasks, which AQE would coalesce
         dealt = rows.repartition(int(dets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "video_id", "segment")
         dealt = dealt.sortWithinPartitions("video_id", "segment", "frame_idx", "det_idx")
-        return dealt.mapInPandas(lambda batches: run(batches, rules), SCHEMA + ", segment long")
+        return dealt.mapInPandas(run, schema)
+
+    def together(rows: DataFrame) -> DataFrame:
+        """Kept rows of RUNS, or of SCHEMA and segment."""
+        return kept(tracked(rows, lambda batches: run_together(batches, rules, short_runs), RUNS if short_runs else SCHEMA + ", segment long"))
 
     from .seams import SPAN, track_in_parts
 
@@ -400,14 +430,17 @@ def track(dets: DataFrame, videos: DataFrame, rules: Rules = TWO_STAGE, segmente
     long_ = spans.filter(F.col("end") - F.col("first") > 2 * span).select("video_id", "segment")
     some, key = kept(long_), ["video_id", "segment"]
     if some.isEmpty():
-        local = kept(tracked(rows, run_together))
+        parts, long_rows = [together(rows)], None
     else:
         parted, left = track_in_parts(rows.join(some, key, "left_semi"), rules, span)
-        short = rows.join(some, key, "left_anti")
-        local = kept(tracked(short, run_together).unionByName(tracked(rows.join(left, key, "left_semi"), run_batches)).unionByName(parted))
-    births = local.groupBy("video_id", "segment").agg(F.max("track_id").alias("born"))
+        whole = tracked(rows.join(left, key, "left_semi"), lambda batches: run_batches(batches, rules), SCHEMA + ", segment long")
+        parts, long_rows = [together(rows.join(some, key, "left_anti"))], kept(whole.unionByName(parted))
+        parts.append(long_rows)
+    births = reduce(DataFrame.unionByName, [p.select("video_id", "segment", "track_id") for p in parts]).groupBy("video_id", "segment").agg(F.max("track_id").alias("born"))
     before = F.coalesce(F.sum("born").over(Window.partitionBy("video_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shift = births.select("video_id", "segment", before.alias("before"))
+    local = coasted(parts[0], rules.max_age) if short_runs else parts[0]
+    local = local if long_rows is None else local.unionByName(long_rows)
     out = local.join(F.broadcast(shift) if few else shift, ["video_id", "segment"]).withColumn("track_id", F.col("track_id") + F.col("before")).drop("segment", "before")
     if "landmarks" not in dets.columns:
         return out

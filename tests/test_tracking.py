@@ -329,3 +329,12 @@ def test_coasting_is_stored_as_one_row(spark, monkeypatch, most):
         want += [(f, *r[[0, 1, 2, 3, 4]].tolist(), r[9], int(r[10]), int(r[7]), int(r[8])) for r in emitted]
     assert got == sorted(want) and len(got) == 22
     assert max(df.count() for df in stored) == (3 if most == 64 else 22)
+
+
+def test_compared_trackers_share_their_detections(spark, monkeypatch):
+    from veilframe.jobs import job_queries
+
+    calls, detections = [], job_queries.detections
+    monkeypatch.setattr(job_queries, "detections", lambda *a: calls.append(a) or detections(*a))
+    found = {r.config for r in job_queries.compare_trackers(spark, "/root/testdata/sf0.001").collect()}
+    assert len(calls) == 1 and found == {"raw", "iou", "two_stage"}

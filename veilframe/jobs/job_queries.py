@@ -63,9 +63,10 @@ def track_loss_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compare_trackers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall and precision on every 15th frame of raw boxes and of both trackers, which see all frames."""
     columns = ["config", "video_id", "frame_idx", "det_idx", "score", "x1", "y1", "x2", "y2"]
-    raw = detections(spark, sf_dir).filter("score >= 0.28").withColumn("config", F.lit("raw"))
-    parts = raw.select(*columns)
-    for name, df in (("iou", track_iou(spark, sf_dir)), ("two_stage", track_two_stage(spark, sf_dir))):
+    found, videos = kept(detections(spark, sf_dir)), _videos(spark, sf_dir)
+    good = found.filter("score >= 0.28")
+    parts = good.withColumn("config", F.lit("raw")).select(*columns)
+    for name, df in (("iou", tracking.track(good, videos, tracking.Rules())), ("two_stage", tracking.track(found, videos))):
         parts = parts.unionByName(df.withColumn("det_idx", F.col("track_id").cast("int")).withColumn("config", F.lit(name)).select(*columns))
     pred = kept(ev.sample_every(parts))
     none = pred.select("config").distinct().withColumn("seconds", F.lit(0.0))

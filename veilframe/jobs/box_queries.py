@@ -185,12 +185,12 @@ def _passes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return det.merge_scales(_passes(spark, sf_dir)).select(*KEY, "score", "x1", "y1", "x2", "y2")
+    return det.merge_scales(_passes(spark, sf_dir), columns=[*KEY, "score", "x1", "y1", "x2", "y2"])
 
 
 def merge_strong(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = boxes(spark, sf_dir).select(*KEY, "score", "x1", "y1", "x2", "y2", "landmarks", "width", "height", "pass")
-    return det.merge_strong(rows.filter("pass = 0"), rows.filter("pass > 0")).select(*KEY, "score", "x1", "y1", "x2", "y2")
+    return det.merge_strong(rows.filter("pass = 0"), rows.filter("pass > 0"), columns=[*KEY, "score", "x1", "y1", "x2", "y2"])
 
 
 def tiles_plus_base(spark: SparkSession, sf_dir: str) -> DataFrame:

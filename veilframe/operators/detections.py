@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,16 +32,97 @@ def suppressed(rows: Column, threshold: float = 0.4, rule: str = "ge") -> Column
     return F.aggregate(rows, F.slice(rows, 1, 0), keep)
 
 
-def nms(df: DataFrame, threshold: float = 0.4, rule: str = "ge", keys: Sequence[str] = FRAME, order: Sequence[str] = ("det_idx",)) -> DataFrame:
-    """Non-maximum suppression within each frame (keys): one shuffle by frame, then a fold over its sorted boxes.
+def _overlapping(box: np.ndarray, there: np.ndarray | None, a: np.ndarray, b: np.ndarray, threshold: float, rule: str) -> np.ndarray:
+    """Whether boxes a and b (places in box) overlap as in suppressed, also where corners are null (not there) or no numbers."""
+    p, q = box[a], box[b]
+    low, high = np.maximum(p[:, :2], q[:, :2]), np.fmin(p[:, 2:], q[:, 2:])
+    sizes = [np.maximum(0.0, x[:, 2:] - x[:, :2]) for x in (p, q)]
+    if there is None:
+        inner = np.maximum(0.0, high - low)
+    else:  # as greatest and least do: nulls are passed over, and what is null in all is 0
+        u, v = there[a], there[b]
+        low = np.where(u[:, :2] & v[:, :2], low, np.where(u[:, :2], p[:, :2], q[:, :2]))
+        high = np.where(u[:, 2:] & v[:, 2:], high, np.where(u[:, 2:], p[:, 2:], q[:, 2:]))
+        sizes = [np.where(x[:, :2] & x[:, 2:], size, 0.0) for x, size in zip((u, v), sizes, strict=True)]
+        inner = np.where((u | v)[:, :2] & (u | v)[:, 2:], np.maximum(0.0, high - low), 0.0)
+    both = inner[:, 0] * inner[:, 1]
+    union = sizes[0][:, 0] * sizes[0][:, 1] + sizes[1][:, 0] * sizes[1][:, 1] - both
+    some = (union > 0) | np.isnan(union)
+    value = np.where(some, both / np.where(some, union, 1.0), 0.0)
+    return (value >= threshold if rule == "ge" else value > threshold) | np.isnan(value)
+
+
+def _starts(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """Where frames begin in sorted rows."""
+    new = np.ones(table.num_rows, bool)
+    if table.num_rows > 1:
+        new[1:] = False
+        for c in (table[k].combine_chunks() for k in keys):
+            same = pc.fill_null(pc.equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False)
+            gone = c.is_null().to_numpy(zero_copy_only=False)
+            new[1:] |= ~(same | (gone[1:] & gone[:-1]))
+    return np.flatnonzero(new)
+
+
+def staying(table: pa.Table, starts: np.ndarray, threshold: float, rule: str) -> np.ndarray:
+    """Which rows of whole frames, best first, suppression keeps: the nth rows of all frames at once, against those after them."""
+    columns = [table[c].combine_chunks() for c in Box._fields]
+    box = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in columns], axis=1)
+    there = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in columns], axis=1) if any(c.null_count for c in columns) else None
+    ends, stay, nth = np.append(starts[1:], len(box)), np.ones(len(box), bool), 0
+    with np.errstate(all="ignore"):
+        while len(starts):
+            some = starts + nth + 1 < ends
+            starts, ends = starts[some], ends[some]
+            best = stay[starts + nth]
+            own, many = starts[best] + nth, ends[best] - starts[best] - nth - 1
+            a = np.repeat(own, many)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)
+            a, b = a[stay[b]], b[stay[b]]
+            stay[b[_overlapping(box, there, a, b, threshold, rule)]] = False
+            nth += 1
+    return stay
+
+
+def _suppress(keys: Sequence[str], threshold: float, rule: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map over rows sorted by frame and rank, in batches cut anywhere; it holds a batch and one frame."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                table = pa.Table.from_batches(held)
+                yield from table.filter(pa.array(staying(table, _starts(table, keys), threshold, rule))).to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = int(_starts(pa.Table.from_batches([batch]), keys)[-1])
+            if not last and held and all(batch[k][0].as_py() == held[-1][k][-1].as_py() for k in keys):
+                held.append(batch)
+                continue
+            held.append(batch[:last])
+            yield from done()
+            held = [batch[last:]]
+        yield from done()
+
+    return run
+
+
+def nms(df: DataFrame, threshold: float = 0.4, rule: str = "ge", keys: Sequence[str] = FRAME, order: Sequence[str] = ("det_idx",), columns: Sequence[str] | None = None, dealt: bool = False) -> DataFrame:
+    """Non-maximum suppression within each frame (keys): one shuffle by frame, a sort, and a map over many frames at once.
 
     Boxes go by descending score, ties in `order`; one is dropped if its IoU with a kept box is at least threshold
-    (rule 'ge'), or above it ('gt'). All other columns stay with their box. Null coordinates or scores sort last.
+    (rule 'ge'), or above it ('gt'). Other columns (all, or `columns`) stay with their box. Rows come in as suppressed takes
+    them: null scores first, scores that are no numbers last. dealt: the rows of a frame are in one partition already.
     """
-    rest = [c for c in df.columns if c not in keys]
-    first = [(-F.col("score")).alias("_s"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order))]
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*first, *rest))).alias("rows"))
-    return rows.select(*keys, F.inline(suppressed(F.col("rows"), threshold, rule))).drop("_s", *(f"_o{i}" for i in range(len(order)))).select(*df.columns)
+    columns = df.columns if columns is None else columns
+    used = list(dict.fromkeys([*keys, *columns, *order, "score", *Box._fields]))
+    rows = df.select(*used) if dealt else df.select(*used).repartition(*keys)
+    rank = [-F.col("score"), *(F.col(c) for c in order)]
+    rows = rows.sortWithinPartitions(*keys, *rank, *(c for c in used if c not in keys))
+    return rows.mapInArrow(_suppress(keys, threshold, rule), rows.schema).select(*columns)
 
 
 def min_face_filter(df: DataFrame, least: float) -> DataFrame:
@@ -62,8 +146,8 @@ def scale_boxes(df: DataFrame, inv: Column, min_face: float = 6.0) -> DataFrame:
     return sane_boxes(_mapped(df, Box.of().scaled(inv), shifted_points(F.col("landmarks"), F.lit(0.0), F.lit(0.0), inv)), min_face)
 
 
-def merge_scales(df: DataFrame, min_face: float = 6.0) -> DataFrame:
-    """Passes at several long sides (column long_side), each side once, mapped back to the frame and merged by NMS.
+def merge_scales(df: DataFrame, min_face: float = 6.0, columns: Sequence[str] | None = None) -> DataFrame:
+    """Passes at several long sides (column long_side), each side once, mapped back to the frame and merged by NMS (with `columns`).
 
     Ties go by pass (column pass), then det_idx. A side that a frame has from more than one pass counts from the first.
     One shuffle, by frame, serves both the choice of passes and the NMS.
@@ -71,14 +155,14 @@ def merge_scales(df: DataFrame, min_face: float = 6.0) -> DataFrame:
     first = F.min("pass").over(Window.partitionBy(*FRAME, "long_side"))
     own = df.repartition(*FRAME).withColumn("_first", first).filter(F.col("pass") == F.col("_first")).drop("_first")
     inv = F.lit(1.0) / detect_scale(F.col("long_side"), F.col("width"), F.col("height"))
-    return nms(scale_boxes(own, inv, min_face), order=("pass", "det_idx"))
+    return nms(scale_boxes(own, inv, min_face), order=("pass", "det_idx"), columns=columns, dealt=True)
 
 
-def merge_strong(boxes: DataFrame, strong: DataFrame, min_face: float = 6.0) -> DataFrame:
-    """Boxes of a frame and those of a second detector, clipped and plausible, merged by NMS; the first win ties."""
+def merge_strong(boxes: DataFrame, strong: DataFrame, min_face: float = 6.0, columns: Sequence[str] | None = None) -> DataFrame:
+    """Boxes of a frame and those of a second detector, clipped and plausible, merged by NMS (with `columns`); the first win ties."""
     extra = sane_boxes(_mapped(strong, Box.of(), F.col("landmarks")), min_face)
     both = boxes.withColumn("_from", F.lit(0)).unionByName(extra.withColumn("_from", F.lit(1)))
-    return nms(both, order=("_from", "det_idx")).drop("_from")
+    return nms(both, order=("_from", "det_idx"), columns=columns or boxes.columns)
 
 
 def tiles_plus_base(base: DataFrame, tiles: DataFrame) -> DataFrame:

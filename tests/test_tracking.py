@@ -338,3 +338,16 @@ def test_compared_trackers_share_their_detections(spark, monkeypatch):
     monkeypatch.setattr(job_queries, "detections", lambda *a: calls.append(a) or detections(*a))
     found = {r.config for r in job_queries.compare_trackers(spark, "/root/testdata/sf0.001").collect()}
     assert len(calls) == 1 and found == {"raw", "iou", "two_stage"}
+
+
+def test_segments_take_one_shuffle(spark):
+    """Windows over the rows as they are give what a join with the distinct frames does."""
+    from veilframe.operators.tracking import frame_segments, segment_video
+
+    rnd = random.Random(2)
+    found = [(v, f, i) for v in ("a", "b", None) for f in [*rnd.sample(range(400), 40), None] for i in range(rnd.randrange(1, 4))]
+    dets = spark.createDataFrame(found, "video_id string, frame_idx long, det_idx int").repartition(3)
+    out = segment_video(dets, 4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, dets.join(frame_segments(dets, 4), ["video_id", "frame_idx"]).select("video_id", "frame_idx", "det_idx", "segment").collect()))

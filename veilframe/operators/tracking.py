@@ -373,8 +373,14 @@ def frame_segments(dets: DataFrame, max_age: int = 14) -> DataFrame:
 
 
 def segment_video(dets: DataFrame, max_age: int = 14) -> DataFrame:
-    """dets with `segment`: a new one where no track can survive the gap, of max_age + 2 frames or more."""
-    return dets.join(frame_segments(dets, max_age), ["video_id", "frame_idx"])
+    """dets with `segment`: a new one where no track can survive the gap, of max_age + 2 frames or more.
+
+    One shuffle and sort by video; of a frame's rows the first alone is after a gap, and all have the same sum.
+    """
+    order = Window.partitionBy("video_id").orderBy("frame_idx")
+    cut = F.coalesce((F.col("frame_idx") - F.lag("frame_idx").over(order) >= max_age + 2).cast("int"), F.lit(0))
+    rows = dets.filter("video_id is not null and frame_idx is not null").withColumn("_cut", cut)
+    return rows.select(*dets.columns, F.sum("_cut").over(order).alias("segment"))
 
 
 def track(dets: DataFrame, videos: DataFrame, rules: Rules = TWO_STAGE, segmented: bool = True, motion: DataFrame | None = None, span: int | None = None) -> DataFrame:

@@ -341,6 +341,22 @@ def _searched(cells: DataFrame, total: int, between: bool) -> DataFrame:
     return cells.groupBy(F.pmod("cell", F.lit(parts)).alias("deal")).applyInArrow(lambda _, g: search(g), "a long, b long")
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n, set_id) of all documents, and (set_id, n, shingles, node) of the sets that may link, each with a stored number.
+
+    The first outlives the two scopes around, the second one ends with the inner of them.
+    """
+    chosen = kept(suspects(docs))
+    suspected = bloom.once_filter(chosen, lambda batch: u64(batch.column(0)), chosen.count())
+    with scratch(docs.sparkSession):  # the only table of all documents with shingles
+        sets = kept(shingle_sets(docs, suspected), "none")
+        small = kept(sets.select("doc_id", "key", "n", "set_id"), lasting=3)
+        # besides suspects this has what the filter takes for one, at most a few in a hundred of the others: they find no partner
+        live = sets.filter("shingles is not null").groupBy("set_id").agg(F.any_value("n").alias("n"), F.any_value("shingles").alias("shingles"))
+        # names are long: from here on a stored number stands for each
+        return small, kept(live.withColumn("node", F.monotonically_increasing_id()), "none", lasting=1)
+
+
 @own_names
 def link_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, key (xxhash64 of the text), n_shingles, component_id.
@@ -350,33 +366,29 @@ def link_components(docs: DataFrame) -> DataFrame:
     Null doc_ids count in a component, and give its id only if it has no other; rows that repeat a doc_id are documents
     of their own. An empty table gives an empty result; other columns are ignored.
     """
-    chosen = kept(suspects(docs))
-    suspected = bloom.once_filter(chosen, lambda batch: u64(batch.column(0)), chosen.count())
-    sets = kept(shingle_sets(docs, suspected), "none")
-    named = sets.filter("set_id is not null")
-    classes = kept(named.groupBy("set_id").agg(F.min("doc_id").alias("rep")))
-    # besides suspects this has what the filter takes for one, at most a few in a hundred of the others: they find no partner
-    live = named.filter("shingles is not null").groupBy("set_id").agg(F.any_value("n").alias("n"), F.any_value("shingles").alias("shingles"))
-    # names are long: from here on a stored number stands for each
-    numbered = kept(live.withColumn("node", F.monotonically_increasing_id()), "none")
-    live = numbered.select(F.col("node").alias("set_id"), "n", "shingles")
-    alive = live.agg(F.sum("n")).first()[0] or 0
-    heads = live.mapInArrow(_heads(lambda x: x[:CELLS]), "shingle long, set_id long")
-    links = kept(_searched(_cells(heads, live), alive * CELLS, between=False))
-    roots = kept(components(links))
-    comp = kept(live.join(roots, live.set_id == roots.node, "left").select("set_id", "n", F.coalesce("root", "set_id").alias("comp"), "shingles"), "none")
-    apart = _apart(comp, alive)
-    if not apart.isEmpty():
-        cells = apart.join(comp, "set_id").select("cell", "set_id", "comp", "asks", "shingles")
-        later = kept(_searched(cells, apart.join(comp, "set_id").agg(F.sum("n")).first()[0], between=True))
-        if not later.isEmpty():
-            roots = kept(components(links.unionByName(later)))
-    named_roots = numbered.select("set_id", "node").join(roots, "node", "left").select("set_id", F.coalesce("root", "node").alias("root"))
-    tops = kept(classes.join(named_roots, "set_id", "left"))
-    least = kept(tops.filter("root is not null").groupBy("root").agg(F.min("rep").alias("component_id")))
-    # a set without a number links with none
-    of_set = kept(tops.join(least, "root", "left").select("set_id", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id")))
-    small = sets.select("doc_id", "key", "n", "set_id")
+    spark = docs.sparkSession
+    with scratch(spark):  # all but the documents' names and their components
+        with scratch(spark):  # shingles without components
+            small, numbered = _numbered(docs)
+            live = numbered.select(F.col("node").alias("set_id"), "n", "shingles")
+            alive = live.agg(F.sum("n")).first()[0] or 0
+            heads = live.mapInArrow(_heads(lambda x: x[:CELLS]), "shingle long, set_id long")
+            links = kept(_searched(_cells(heads, live), alive * CELLS, between=False), lasting=1)
+            roots = kept(components(links), lasting=1)
+            names = kept(numbered.select("set_id", "node"), lasting=1)
+            comp = kept(live.join(roots, live.set_id == roots.node, "left").select("set_id", "n", F.coalesce("root", "set_id").alias("comp"), "shingles"), "none", lasting=1)
+        apart = _apart(comp, alive)
+        if not apart.isEmpty():
+            cells = apart.join(comp, "set_id").select("cell", "set_id", "comp", "asks", "shingles")
+            later = kept(_searched(cells, apart.join(comp, "set_id").agg(F.sum("n")).first()[0], between=True))
+            if not later.isEmpty():
+                roots = kept(components(links.unionByName(later)))
+        classes = small.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
+        named_roots = names.join(roots, "node", "left").select("set_id", F.coalesce("root", "node").alias("root"))
+        tops = kept(classes.join(named_roots, "set_id", "left"))
+        least = kept(tops.filter("root is not null").groupBy("root").agg(F.min("rep").alias("component_id")))
+        # a set without a number links with none
+        of_set = kept(tops.join(least, "root", "left").select("set_id", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id")), lasting=1)
     linked = small.filter("set_id is not null").join(of_set, "set_id").select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id")
     alone = small.filter("set_id is null").select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)

@@ -23,7 +23,7 @@ _scopes = threading.local()
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete the tables that are kept within, at its end: write or collect what reads them before.
 
-    Tables kept with lasting=True belong to the scope around this one, or to the caller if there is none.
+    Tables kept with lasting=n belong to the nth scope around this one, or to the caller if there is none.
     """
     _scopes.__dict__.setdefault("stack", []).append([])
     try:
@@ -34,7 +34,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def kept_folder(spark: SparkSession, lasting: bool = False) -> str:
+def kept_folder(spark: SparkSession, lasting: int = 0) -> str:
     """A new folder below spark.checkpoint.dir, which every executor sees.
 
     Where that is unset, below the folder of setCheckpointDir; else, in local mode alone, below a temporary one.
@@ -53,7 +53,7 @@ def kept_folder(spark: SparkSession, lasting: bool = False) -> str:
     return path
 
 
-def kept(df: DataFrame, codec: str = "zstd", lasting: bool = False, by: str | None = None) -> DataFrame:
+def kept(df: DataFrame, codec: str = "zstd", lasting: int = 0, by: str | None = None) -> DataFrame:
     """Write df to a kept_folder and read it back: cuts lineage, survives lost executors, is computed once. See scratch.
 
     by: its last column, whose values become folders, so that a filter on it reads its part alone.

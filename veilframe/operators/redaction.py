@@ -18,8 +18,10 @@ def redaction_plan(df: DataFrame, base_pad: float = 0.40, pixel_blocks: int = 10
     """
     w, h, box = F.col("width"), F.col("height"), Box.of()
     df = df.withColumn("pad", adaptive_pad(box, w, h, F.lit(base_pad)))
-    region = box.expanded(F.col("pad"), w, h)
-    df = df.withColumns({f"r{n}": c.cast("int") for n, c in zip(Box._fields, region, strict=True)})
+    region = {f"r{n}": c.cast("int") for n, c in zip(Box._fields, box.expanded(F.col("pad"), w, h), strict=True)}
+    # A generated row: as plain columns, Spark would copy the padding rule into the filter below four times, and such a
+    # stage is too long for the JVM to compile.
+    df = df.drop(*region).select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in region.items())))))
     rw, rh = F.col("rx2") - F.col("rx1"), F.col("ry2") - F.col("ry1")
     left, right = F.get("landmarks", F.lit(0)), F.get("landmarks", F.lit(1))
     angle = F.coalesce(F.degrees(F.atan2(right["y"] - left["y"], right["x"] - left["x"])), F.lit(0.0))

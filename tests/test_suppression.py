@@ -57,3 +57,22 @@ def test_a_frame_of_very_many_boxes(spark):
     """Memory and time of one frame stay those of its boxes, not of their pairs."""
     df = spark.range(20_000).selectExpr("'v' as video_id", "cast(0 as long) as frame_idx", "cast(id as int) as det_idx", "cast(id % 10 * 100 as double) as x1", "0D as y1", "cast(id % 10 * 100 + 50 as double) as x2", "50D as y2", "cast(1 / (1 + id) as double) as score")
     assert sorted(r.det_idx for r in nms(df).collect()) == list(range(10))
+
+
+def test_boxes_of_a_frame_meet_after_joins(spark):
+    """Joins have dealt the boxes by frame already, and Spark puts the parts of each side together in its own way."""
+    frame, box = ("'v' || id % 40 as video_id", "id % 5 as frame_idx"), ("0D as x1", "0D as y1", "9D as x2", "9D as y2")
+    base = spark.range(40).selectExpr(*frame, "0 as det_idx", *box, "0.5D as score")
+    tiles = spark.range(40_000).selectExpr(*frame, "cast(1 + id as int) as det_idx", *box, "0.4D as score")
+    risky = spark.range(200).selectExpr(*frame).distinct()
+    coalesce = "spark.sql.adaptive.coalescePartitions"
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", f"{coalesce}.parallelismFirst": "false", f"{coalesce}.minPartitionSize": "1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = nms(base.unionByName(tiles.join(risky, FRAME, "left_semi")).join(risky, FRAME, "left_semi")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 40 and {r.det_idx for r in got} == {0}

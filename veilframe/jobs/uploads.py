@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.operators.components import components
-from veilframe.sources.store import kept
+from veilframe.sources.store import dealt_by, kept
 
 LIVE = ("queued", "processing", "completed", "needs_review")
 #: Rounds of in-batch decisions before the ordered pass, and most events of a configuration that go through one as they are.
@@ -61,7 +61,7 @@ def _in_order(events: DataFrame) -> DataFrame:
             yield pd.DataFrame({"event_seq": pd.Series(out, dtype="int64")})
 
     n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return events.repartition(n, "cell").sortWithinPartitions("cell", "event_seq").mapInPandas(take, "event_seq long")
+    return dealt_by(events, "cell", parts=n).sortWithinPartitions("cell", "event_seq").mapInPandas(take, "event_seq long")
 
 
 def creators(events: DataFrame, rounds: int = ROUNDS, most: int = MOST_IN_ORDER) -> DataFrame:

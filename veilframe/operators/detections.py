@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.boxes import Box, detect_scale, iou, is_sane, resized, shifted_points
+from veilframe.sources.store import dealt_by
 
 FRAME = ["video_id", "frame_idx"]
 #: Most rows of anchor grids (60 bytes each) that are broadcast.
@@ -119,7 +120,7 @@ def nms(df: DataFrame, threshold: float = 0.4, rule: str = "ge", keys: Sequence[
     """
     columns = df.columns if columns is None else columns
     used = list(dict.fromkeys([*keys, *columns, *order, "score", *Box._fields]))
-    rows = df.select(*used) if dealt else df.select(*used).repartition(*keys)
+    rows = df.select(*used) if dealt else dealt_by(df.select(*used), *keys)
     rank = [-F.col("score"), *(F.col(c) for c in order)]
     rows = rows.sortWithinPartitions(*keys, *rank, *(c for c in used if c not in keys))
     return rows.mapInArrow(_suppress(keys, threshold, rule), rows.schema).select(*columns)

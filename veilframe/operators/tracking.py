@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.sources.store import kept
+from veilframe.sources.store import dealt_by, kept
 
 #: Rows of SCHEMA in which a track is hit, with its velocity and the number of frames in which it then coasts.
 RUNS = "video_id string, frame_idx long, track_id long, x1 double, y1 double, x2 double, y2 double, score double, det_idx int, hits int, segment long, vx double, vy double, more int"
@@ -422,7 +422,7 @@ def track(dets: DataFrame, videos: DataFrame, rules: Rules = TWO_STAGE, segmente
 
     def tracked(rows: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
         # tracking costs far more than its few bytes suggest: keep the number of tasks, which AQE would coalesce
-        dealt = rows.repartition(int(dets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "video_id", "segment")
+        dealt = dealt_by(rows, "video_id", "segment", parts=int(dets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         dealt = dealt.sortWithinPartitions("video_id", "segment", "frame_idx", "det_idx")
         return dealt.mapInPandas(run, schema)
 

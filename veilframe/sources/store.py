@@ -12,6 +12,7 @@ from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 JOB_SCHEMA = "job_id string, upload_id string, content_fp string, config_hash string, input_path string, output_path string, status string, qc_status string, error string, created_at timestamp, updated_at timestamp, metrics_json string"
 
@@ -64,6 +65,16 @@ def kept(df: DataFrame, codec: str = "zstd", lasting: int = 0, by: str | None =
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt_by(df: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
+    """df in partitions by keys, for a map over partitions that takes the rows of a key together.
+
+    Of rows that joins have dealt by these keys already, Spark leaves out a plain repartition, and as a map asks for no
+    partitioning, it may then cut or merge the partitions of each joined side on its own. A hash of the keys is dealt anew.
+    """
+    by = F.xxhash64(*keys)
+    return df.repartition(by) if parts is None else df.repartition(parts, by)
+
+
 def read_jobs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(JOB_SCHEMA).parquet(path)
 

@@ -351,3 +351,59 @@ def test_segments_take_one_shuffle(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, dets.join(frame_segments(dets, 4), ["video_id", "frame_idx"]).select("video_id", "frame_idx", "det_idx", "segment").collect()))
+
+
+def many_segments(rnd, v, n):
+    """Segments of a few frames, and some long ones; gaps are 20 frames at least."""
+    at = 0
+    for k in range(n):
+        for f in range(at, at := at + (60 if k % 5 == 2 else rnd.randrange(1, 7))):
+            for i in range(rnd.randrange(1, 4)):
+                x, y = rnd.uniform(0, 150), rnd.uniform(0, 150)
+                yield (v, f, i, x, y, x + 40, y + 40, rnd.choice([0.1, 0.3, 0.6, 0.9]))
+        at += 20
+
+
+@pytest.mark.parametrize("most", [1, 9, 40_000])
+def test_lots_of_segments_are_numbered_on(spark, monkeypatch, most):
+    """Short segments before and after long ones, in lots of several sizes, also where a video's length is not known."""
+    from veilframe.operators import tracking
+
+    rnd = random.Random(most)
+    rows = [r for v in ("v", "w", "x", None) for r in many_segments(rnd, v, 12)] + [("v", None, 0, 1.0, 1.0, 9.0, 9.0, 0.9)]
+    df = spark.createDataFrame(rows, DETS).repartition(3)
+    v = spark.createDataFrame([("v", 5000), ("w", None), ("y", 7)], "video_id string, nframes long")
+    monkeypatch.setattr(tracking, "ROWS_TOGETHER", most)
+    rules = Rules(max_age=4, high=0.5, low=0.2)
+    a, b = (sorted(map(tuple, track(df, v, rules, segmented=s, span=20 if s else 10_000).collect())) for s in (True, False))
+    assert a == b and len({r[2] for r in a if r[0] == "v"}) > 50
+
+
+def test_lots_in_batches(monkeypatch):
+    """A lot that goes on in the next batches is numbered on there."""
+    import pandas as pd
+
+    from veilframe.operators import tracking
+
+    rnd = random.Random(5)
+    table = pd.DataFrame([r for v in "abc" for r in many_segments(rnd, v, 9)], columns=["video_id", "frame_idx", "det_idx", "x1", "y1", "x2", "y2", "score"])
+    table["segment"] = (table.groupby("video_id")["frame_idx"].diff() > 20).groupby(table["video_id"]).cumsum()
+    key = ["video_id", "segment"]
+    table = table.assign(first=table.groupby(key)["frame_idx"].transform("min"), end=table.groupby(key)["frame_idx"].transform("max") + 3, moving=False, lot=table["segment"] // 4)
+    whole = pd.concat(tracking.run_together(iter([table]), Rules()), ignore_index=True)
+    assert sorted(set(whole["segment"])) == [0, 4, 8] and all(sorted(set(g)) == list(range(1, max(g) + 1)) for _, g in whole.groupby(key)["track_id"])
+    for n in (1, 7, 30):
+        monkeypatch.setattr(tracking, "ROWS_TOGETHER", n)
+        pd.testing.assert_frame_equal(pd.concat(tracking.run_together((table.iloc[i : i + n] for i in range(0, len(table), n)), Rules()), ignore_index=True), whole)
+
+
+def test_segments_dont_pass_through_the_driver(spark, monkeypatch):
+    """What is broadcast holds no row for an ordinary video, however many segments it has; larger tables are merged."""
+    from veilframe.operators import tracking
+
+    sent, broadcast = [], tracking.F.broadcast
+    monkeypatch.setattr(tracking.F, "broadcast", lambda df: sent.append(df.count()) or broadcast(df))
+    rnd = random.Random(1)
+    df = spark.createDataFrame([r for v in range(20) for r in many_segments(rnd, f"v{v}", 4)], DETS)
+    assert track(df, videos(spark, 500)).count() > 1000
+    assert sum(sent) == 0

@@ -39,9 +39,9 @@ class Rules:
     skip_every: int = 4
 
 
-#: Most segments (about 100 bytes each) whose ends and numbers are broadcast to the rows; more are joined by a shuffle.
-MAX_SEGMENTS = 2_000_000
-#: Detections of whole segments that go forward together, unless one segment has more: about 100 MB of a worker.
+#: Lots (about 100 bytes each) whose numbers are broadcast to the rows if they are fewer; others are joined by a shuffle.
+MAX_SEGMENTS = 100_000
+#: Detections of whole segments that go forward together, unless one segment has more: about 100 MB of a worker. A lot has as many.
 ROWS_TOGETHER = 40_000
 #: Longest coasting that is written as a run and made into rows by the JVM; with more, rows are written.
 MOST_COASTING = 64
@@ -281,11 +281,32 @@ class Frontier:
         rows[at, TSU], rows[at, SCORE], rows[at, DET] = 0, dets[:, 4], dets[:, 5]
 
 
-def advance_together(rows: pd.DataFrame, rules: Rules, runs: bool = False) -> pd.DataFrame:
+@dataclass
+class Numbering:
+    """Numbers tracks on from segment to segment of a lot, whose rows then go by its first segment; segments come in order."""
+
+    lot: tuple[str, int] | None = None
+    segment: int = 0
+    born: int = 0
+
+    def on(self, video: np.ndarray, lot: np.ndarray, segment: np.ndarray, born: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each segment, with the tracks that were born in it: the first one of its lot, and the tracks of those before it."""
+        starts = np.flatnonzero(np.append(True, (video[1:] != video[:-1]) | (lot[1:] != lot[:-1])))
+        sizes = np.diff(np.append(starts, len(lot)))
+        before = np.cumsum(born) - born
+        before -= np.repeat(before[starts], sizes)
+        first = np.repeat(segment[starts], sizes)
+        if (video[0], lot[0]) == self.lot:
+            first[: sizes[0]], before[: sizes[0]] = self.segment, before[: sizes[0]] + self.born
+        self.lot, self.segment, self.born = (video[-1], lot[-1]), int(first[-1]), int(before[-1] + born[-1])
+        return first, before
+
+
+def advance_together(rows: pd.DataFrame, rules: Rules, runs: bool = False, numbering: Numbering | None = None) -> pd.DataFrame:
     """Emitted rows, with segment, of whole segments; rows sorted by video_id, segment, frame_idx and det_idx.
 
     They come by segment, track and frame, so that a coasting track's rows follow each other. With runs, one row of RUNS
-    stands for a hit and the coasting after it.
+    stands for a hit and the coasting after it. With numbering, rows have `lot`, and tracks are numbered on within it.
     """
     video, segment = rows["video_id"].to_numpy(), rows["segment"].to_numpy()
     starts = np.flatnonzero(np.append(True, (video[1:] != video[:-1]) | (segment[1:] != segment[:-1])))
@@ -330,14 +351,19 @@ def advance_together(rows: pd.DataFrame, rules: Rules, runs: bool = False) -> pd
         more = np.diff(np.append(hit, len(order))) - 1
         order = order[hit]
     table, own, frames = table[order], own[order], frames[order]
-    shown = _shown(video[starts[own]], frames, table).assign(segment=segment[starts[own]])
+    named = segment[starts]
+    if numbering is not None:
+        named, before = numbering.on(video[starts], rows["lot"].to_numpy()[starts], named, live.born)
+        table[:, ID] += before[own]
+    shown = _shown(video[starts[own]], frames, table).assign(segment=named[own])
     return shown.drop(columns="time_since_update").assign(vx=table[:, 5], vy=table[:, 6], more=more.astype(np.int32)) if runs else shown
 
 
 def run_together(batches: Iterator[pd.DataFrame], rules: Rules, runs: bool = False) -> Iterator[pd.DataFrame]:
     """As run_batches, whole segments at once; a task holds ROWS_TOGETHER detections and a batch, or one segment."""
-    held, many = [], 0
+    held, many, numbering = [], 0, None
     for batch in batches:
+        numbering = numbering or (Numbering() if "lot" in batch.columns else None)
         held, many = [*held, batch], many + len(batch)
         if many < ROWS_TOGETHER:
             continue
@@ -345,10 +371,10 @@ def run_together(batches: Iterator[pd.DataFrame], rules: Rules, runs: bool = Fal
         video, segment = rows["video_id"].to_numpy(), rows["segment"].to_numpy()
         last = int(np.argmax((video == video[-1]) & (segment == segment[-1])))
         if last:
-            yield advance_together(rows.iloc[:last], rules, runs)
+            yield advance_together(rows.iloc[:last], rules, runs, numbering)
         held, many = [rows.iloc[last:]], len(rows) - last
     if many:
-        yield advance_together(pd.concat(held, ignore_index=True), rules, runs)
+        yield advance_together(pd.concat(held, ignore_index=True), rules, runs, numbering)
 
 
 def coasted(runs: DataFrame, max_age: int) -> DataFrame:
@@ -372,6 +398,30 @@ def frame_segments(dets: DataFrame, max_age: int = 14) -> DataFrame:
     return cuts.select("video_id", "frame_idx", F.sum("cut").over(order).alias("segment"))
 
 
+def frame_lots(dets: DataFrame, videos: DataFrame, max_age: int | None, longest: int) -> DataFrame:
+    """(video_id, frame_idx, segment, first, end, lot) of the frames with detections, by windows over a video's frames.
+
+    A segment has the frames from first to before end: see track; with max_age None, a video is one. Its lot, of consecutive
+    segments, begins anew after ROWS_TOGETHER detections; a segment of over longest frames is a lot of its own.
+    """
+    order, back = (Window.partitionBy("video_id").orderBy(c) for c in (F.col("frame_idx"), F.desc("frame_idx")))
+    so_far, earlier, later = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1), back.rowsBetween(Window.unboundedPreceding, -1)
+    last = F.lag("frame_idx").over(order)
+    starts = last.isNull() if max_age is None else last.isNull() | (F.col("frame_idx") - last >= max_age + 2)
+    frames = dets.filter("video_id is not null and frame_idx is not null").groupBy("video_id", "frame_idx").agg(F.count(F.lit(1)).alias("n"))
+    frames = frames.withColumns({"starts": starts, "before": F.coalesce(F.sum("n").over(earlier), F.lit(0))})
+    frames = frames.withColumns({"segment": F.sum(F.col("starts").cast("int")).over(so_far) - 1, "first": F.max(F.when(F.col("starts"), F.col("frame_idx"))).over(so_far), "before": F.max(F.when(F.col("starts"), F.col("before"))).over(so_far)})
+    known = videos.select("video_id", F.when(F.col("nframes") > 0, F.col("nframes")).alias("known"))
+    frames = frames.join(known.hint("merge"), "video_id", "left")
+    nxt = F.min(F.when(F.col("starts"), F.col("frame_idx"))).over(later)
+    final = F.max("frame_idx").over(back.rowsBetween(Window.unboundedPreceding, 0))
+    frames = frames.withColumn("end", F.coalesce(nxt, "known", final + 1))
+    frames = frames.withColumn("long", (F.col("end") - F.col("first") > longest).cast("int"))
+    # of the long segments after it, and of itself if it is long: falls at both ends of a long one
+    rest = 2 * F.coalesce(F.sum(F.when(F.col("starts"), F.col("long"))).over(later), F.lit(0)) + F.col("long")
+    return frames.select("video_id", "frame_idx", "segment", "first", "end", (F.floor(F.col("before") / ROWS_TOGETHER) - rest).alias("lot"))
+
+
 def segment_video(dets: DataFrame, max_age: int = 14) -> DataFrame:
     """dets with `segment`: a new one where no track can survive the gap, of max_age + 2 frames or more.
 
@@ -400,19 +450,12 @@ def track(dets: DataFrame, videos: DataFrame, rules: Rules = TWO_STAGE, segmente
     usable = dets if rules.low is None else dets.filter(F.col("score") >= rules.low)
     columns = ["video_id", "frame_idx", "det_idx", "x1", "y1", "x2", "y2", "score"]
     usable = kept(usable.select(*columns, *(c for c in ("landmarks",) if c in dets.columns)))
-    if segmented and rules.skip_after is None:
-        cuts = kept(frame_segments(usable, rules.max_age))
-        cut = usable.select(*columns).join(cuts, ["video_id", "frame_idx"])
-    else:
-        cut = usable.select(*columns, F.lit(0).cast("long").alias("segment"))
-        cuts = cut
-    spans = cuts.groupBy("video_id", "segment").agg(F.min("frame_idx").alias("first"), F.max("frame_idx").alias("last"))
-    nxt = F.lead("first").over(Window.partitionBy("video_id").orderBy("segment"))
-    known = F.when(F.col("nframes") > 0, F.col("nframes"))
-    spans = spans.withColumn("next", nxt).join(videos.select("video_id", "nframes"), "video_id", "left")
-    spans = kept(spans.select("video_id", "segment", "first", F.coalesce("next", known, F.col("last") + 1).alias("end")))
-    few = spans.count() <= MAX_SEGMENTS
-    rows = cut.join(F.broadcast(spans) if few else spans, ["video_id", "segment"])
+    from .seams import SPAN, track_in_parts
+
+    longest, key = 2 * (span or SPAN), ["video_id", "segment"]
+    # neither Spark nor the driver should take these by their few bytes as a file: they are as many as there are frames
+    cuts = kept(frame_lots(usable, videos, rules.max_age if segmented and rules.skip_after is None else None, longest))
+    rows = usable.select(*columns).join(cuts.hint("merge"), ["video_id", "frame_idx"])
     if motion is not None:
         hints = motion.select("video_id", "frame_idx").distinct().withColumn("moving", F.lit(True))
         rows = rows.join(hints, ["video_id", "frame_idx"], "left")
@@ -422,7 +465,7 @@ def track(dets: DataFrame, videos: DataFrame, rules: Rules = TWO_STAGE, segmente
 
     def tracked(rows: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
         # tracking costs far more than its few bytes suggest: keep the number of tasks, which AQE would coalesce
-        dealt = dealt_by(rows, "video_id", "segment", parts=int(dets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        dealt = dealt_by(rows, "video_id", "lot", parts=int(dets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         dealt = dealt.sortWithinPartitions("video_id", "segment", "frame_idx", "det_idx")
         return dealt.mapInPandas(run, schema)
 
@@ -430,24 +473,21 @@ def track(dets: DataFrame, videos: DataFrame, rules: Rules = TWO_STAGE, segmente
         """Kept rows of RUNS, or of SCHEMA and segment."""
         return kept(tracked(rows, lambda batches: run_together(batches, rules, short_runs), RUNS if short_runs else SCHEMA + ", segment long"))
 
-    from .seams import SPAN, track_in_parts
-
-    span = span or SPAN
-    long_ = spans.filter(F.col("end") - F.col("first") > 2 * span).select("video_id", "segment")
-    some, key = kept(long_), ["video_id", "segment"]
-    if some.isEmpty():
-        parts, long_rows = [together(rows)], None
+    long_ = F.col("end") - F.col("first") > longest
+    if cuts.filter(long_).isEmpty():
+        parts = [together(rows)]
     else:
-        parted, left = track_in_parts(rows.join(some, key, "left_semi"), rules, span)
-        whole = tracked(rows.join(left, key, "left_semi"), lambda batches: run_batches(batches, rules), SCHEMA + ", segment long")
-        parts, long_rows = [together(rows.join(some, key, "left_anti"))], kept(whole.unionByName(parted))
-        parts.append(long_rows)
+        long_rows = rows.filter(long_)
+        parted, left = track_in_parts(long_rows.drop("lot"), rules, longest // 2)
+        whole = tracked(long_rows.join(left, key, "left_semi"), lambda batches: run_batches(batches, rules), SCHEMA + ", segment long")
+        parts = [together(rows.filter(~long_)), kept(whole.unionByName(parted))]
     births = reduce(DataFrame.unionByName, [p.select("video_id", "segment", "track_id") for p in parts]).groupBy("video_id", "segment").agg(F.max("track_id").alias("born"))
-    before = F.coalesce(F.sum("born").over(Window.partitionBy("video_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shift = births.select("video_id", "segment", before.alias("before"))
-    local = coasted(parts[0], rules.max_age) if short_runs else parts[0]
-    local = local if long_rows is None else local.unionByName(long_rows)
-    out = local.join(F.broadcast(shift) if few else shift, ["video_id", "segment"]).withColumn("track_id", F.col("track_id") + F.col("before")).drop("segment", "before")
+    before = F.sum("born").over(Window.partitionBy("video_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1))
+    shift = kept(births.select("video_id", "segment", before.alias("before")).filter("before > 0"))
+    shift = F.broadcast(shift) if shift.count() < MAX_SEGMENTS else shift.hint("merge")
+    parts = [p.join(shift, key, "left").withColumn("track_id", F.col("track_id") + F.coalesce("before", F.lit(0))).drop("before") for p in parts]
+    parts[0] = coasted(parts[0], rules.max_age) if short_runs else parts[0]
+    out = reduce(DataFrame.unionByName, parts).drop("segment")
     if "landmarks" not in dets.columns:
         return out
     hits = usable.select("video_id", F.col("frame_idx").alias("hit_frame"), "det_idx", "landmarks")

@@ -453,7 +453,7 @@ def track(dets: DataFrame, videos: DataFrame, rules: Rules = TWO_STAGE, segmente
     from .seams import SPAN, track_in_parts
 
     longest, key = 2 * (span or SPAN), ["video_id", "segment"]
-    # neither Spark nor the driver should take these by their few bytes as a file: they are as many as there are frames
+    # merged, as Spark would broadcast millions of frames by the few bytes that they take as a file
     cuts = kept(frame_lots(usable, videos, rules.max_age if segmented and rules.skip_after is None else None, longest))
     rows = usable.select(*columns).join(cuts.hint("merge"), ["video_id", "frame_idx"])
     if motion is not None:
